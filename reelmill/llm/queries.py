@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import audio, exact_dedup, langid, mixing, packing, sharding
+from reelmill.llm import audio, exact_dedup, langid, mixing, packing, sharding, suffix_dedup
 from reelmill.llm.common import documents, stored
 
 
@@ -25,6 +25,10 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_features(media, with_tensors=False).drop("logmel", "valid_frames")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(documents(spark, sf_dir)).drop("kept", "spans")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), *vocabulary())
 
@@ -47,7 +51,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_audio_features, op6_best_fit_packing, op7_language_id, op8_temperature_mix, op10_lpt_sharding)
+    for f in (op2_exact_dedup, op3_audio_features, op4_suffix_dedup, op6_best_fit_packing, op7_language_id, op8_temperature_mix, op10_lpt_sharding)
 }
 
 ORACLE_SQL = {
