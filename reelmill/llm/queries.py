@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import audio, exact_dedup, langid, mixing, packing, sharding, suffix_dedup
+from reelmill.llm import audio, exact_dedup, langid, minhash, mixing, packing, sharding, suffix_dedup
 from reelmill.llm.common import documents, stored
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_audio_features, op4_suffix_dedup, op6_best_fit_packing, op7_language_id, op8_temperature_mix, op10_lpt_sharding)
+    for f in (op1_prob_minhash, op2_exact_dedup, op3_audio_features, op4_suffix_dedup, op6_best_fit_packing, op7_language_id, op8_temperature_mix, op10_lpt_sharding)
 }
 
 ORACLE_SQL = {
