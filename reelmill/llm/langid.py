@@ -180,3 +180,19 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known and not ambiguous; rows go through the tasks
+    once, so repeated rows and rows with a null id are judged like any other."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat_bytes(batch.column(at))
+            keep = np.array([bool(LETTER.search(t.as_py() or "")) for t in batch.column(at)], bool)
+            if len(keep):
+                keep &= ~model.decode(model.margins(data, offsets))[2]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmill.llm import audio, exact_dedup, langid, minhash, mixing, packing, sharding, suffix_dedup
+from reelmill.llm import audio, exact_dedup, html_crf, langid, minhash, mixing, packing, sharding, suffix_dedup, warc
 from reelmill.llm.common import documents, stored
 
 
@@ -33,6 +33,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.cut_repeats(documents(spark, sf_dir)).drop("kept", "spans")
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    made = warc.derivatives(warc.page_responses(pages), "key")
+    return made.withColumnRenamed("key", "page_id").withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), *vocabulary())
 
@@ -49,13 +55,18 @@ def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("h")
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_crf.extract(pages, html_crf.train(pages))
+
+
 def op10_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_prob_minhash, op2_exact_dedup, op3_audio_features, op4_suffix_dedup, op6_best_fit_packing, op7_language_id, op8_temperature_mix, op10_lpt_sharding)
+    for f in (op1_prob_minhash, op2_exact_dedup, op3_audio_features, op4_suffix_dedup, op5_warc_derivatives, op6_best_fit_packing, op7_language_id, op8_temperature_mix, op9_html_main_text, op10_lpt_sharding)
 }
 
 ORACLE_SQL = {
