@@ -27,20 +27,33 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Shingle identities have this many bits.
 ID_BITS = 40
-STEP = 4 << 20
+STEP = 2 << 20
 STAR_ROUNDS = 2
+#: Bits of the sketches that are compared where star rounds leave several components in a bucket.
+SKETCH = 1024
 #: Beyond this many candidate documents the filter on the documents is a shuffled join, not a broadcast.
 BROADCAST_IDS = 200_000
-#: One-bit signatures that differ in more bits than this are below the similarity (five standard deviations).
-MAX_DIFFER = 30
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
+def max_differ(similarity: float, bits: int) -> int:
+    """One-bit signatures that differ in more bits than this are below the similarity (by five standard deviations)."""
+    p = (1 - similarity) / 2
+    return int(bits * p + 5 * (bits * p * (1 - p)) ** 0.5)
+
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse modulo 2^64; kept up to a little over STEP."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", int(_BASE)), ("back", pow(int(_BASE), -1, 1 << 64))):
+            _POWERS[name] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, np.uint64(base)))), dtype=np.uint64)
+    return _POWERS["up"][:n], _POWERS["back"][:n]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,11 +64,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(start):
         return np.zeros(0, np.uint64), start
     with np.errstate(over="ignore"):
-        power = np.full(len(data) + 1, _BASE)
-        power[0] = 1
-        power = np.cumprod(power, dtype=np.uint64)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)))
-        back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(data), np.uint64(_inverse(int(_BASE)))))), dtype=np.uint64)
+        power, back = _powers(len(data))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64)))
         return mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64)), start
 
 
@@ -151,11 +161,23 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 
 def bit_words(sign: np.ndarray) -> np.ndarray:
-    """One bit a component, as n x 2 signed words."""
+    """One bit a component, as rows of signed 64-bit words."""
     bits = (mixed(sign + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
+def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, k0, k1, ...): one bit for each of SKETCH components."""
+    for batch in batches:
+        parts = []
+        for _, counts, words in words_of(batch.column(1).to_pylist()):
+            rows, grams, weights = shingles(counts, words)
+            parts.append(bit_words(prob_minhash(rows, grams, weights, len(counts), SKETCH)))
+        if parts:
+            words = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, i]) for i in range(SKETCH // 64)]], ["doc_id", *[f"k{i}" for i in range(SKETCH // 64)]])
+
+
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
@@ -227,11 +249,16 @@ def _verified(limit: float):
     return run
 
 
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of a table of doc_id; the ids are broadcast if they are few."""
+    wanted = stored(ids.distinct(), "wanted")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+
+
 def _pairs_verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The stored pairs (a, b) whose documents are similar enough, with sim."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    picked = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    picked = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts)
     grams = stored(picked.mapInArrow(_grams, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
     one = pairs.join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
     two = one.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a")
@@ -253,7 +280,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     rows = reps.select(F.col("doc_id").alias("id"), "s0", "s1", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band", F.shiftright("band", 60).alias("part")).agg(F.min("id").alias("hub"), F.max("id").alias("most")).filter("hub != most").select("band", "hub")
     members = stored(rows.join(buckets, "band"), "members")
-    differ = lambda x: F.bit_count(F.col("s0").bitwiseXOR(F.col(f"{x}0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col(f"{x}1")))
+
+    def differ(x: str, y: str, n: int):
+        return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(n)), F.lit(0))
 
     links: DataFrame | None = None
     checked: DataFrame | None = None
@@ -265,12 +294,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             # the first round takes the smallest document as hub, the next ones a document of the last component
             hub_comp = F.col("lo") if turn == 0 else F.col("hi")
             hubs = state.join(open_buckets, "band").filter(F.col("comp") == hub_comp).groupBy("band", F.shiftright("band", 60).alias("part")).agg(F.min_by(F.struct("id", "comp", "s0", "s1"), "id").alias("h")).select("band", F.col("h.id").alias("hub_id"), F.col("h.comp").alias("hub_comp"), F.col("h.s0").alias("t0"), F.col("h.s1").alias("t1"))
-            met = state.join(hubs, "band").filter((F.col("comp") != F.col("hub_comp")) & (differ("t") <= MAX_DIFFER))
+            met = state.join(hubs, "band").filter((F.col("comp") != F.col("hub_comp")) & (differ("s", "t", 2) <= max_differ(similarity, M)))
             pairs = met.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
         else:
-            rest = stored(state.join(open_buckets.select("band"), "band"), "rest")
-            other = rest.select("band", F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-            met = rest.join(other, (rest["band"] == other["band"]) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (differ("t") <= MAX_DIFFER))
+            # pairs are compared inside the join on sketches that tell 0.8 from 0.71; only those that may be links leave it
+            rest = stored(state.join(open_buckets.select("band"), "band").select("band", "id", "comp"), "rest")
+            words = SKETCH // 64
+            kinds = ", ".join(f"k{i} long" for i in range(words))
+            sketches = _texts_of(rest.select(F.col("id").alias("doc_id")), texts).mapInArrow(_sketches, f"doc_id long, {kinds}").dropDuplicates(["doc_id"])
+            rest = stored(rest.join(sketches.withColumnRenamed("doc_id", "id"), "id"), "rest")
+            other = rest.withColumnsRenamed({"id": "id2", "comp": "comp2", "band": "band2"} | {f"k{i}": f"t{i}" for i in range(words)})
+            met = rest.join(other, (F.col("band") == F.col("band2")) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (differ("k", "t", words) <= max_differ(similarity, SKETCH)))
             pairs = met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
         pairs = pairs.distinct()
         if checked is not None:
