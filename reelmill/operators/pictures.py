@@ -23,7 +23,7 @@ def assemble_access_units(nals: DataFrame, key: str = "stream_id", order: str =
     rows = rows.withColumn("_n", F.sum(F.when(starts, 1).otherwise(0)).over(w))
     au = F.when(vcl, F.col("_n") - 1).when((F.col("_open") == 1) & ~closes_before, F.col("_n") - 1).otherwise(F.col("_n"))
     total = F.max("_n").over(Window.partitionBy(key))
-    return rows.withColumn("au_no", au).filter(F.col("au_no") < total).drop("_open", "_n")
+    return rows.withColumns({"au_no": au, "_total": total}).filter("au_no < _total").drop("_open", "_n", "_total")
 
 
 def access_units(nals: DataFrame, key: str = "stream_id") -> DataFrame:

@@ -106,3 +106,10 @@ def retained_window(placed: DataFrame, rate: int, max_seconds: float, max_bytes:
 def audio_covers(points: DataFrame, ranges: DataFrame, key: str = "stream_id", at: str = "media_ms") -> DataFrame:
     """points with covered: whether they lie in their stream's range start_ms (inclusive) to end_ms (exclusive)."""
     return points.join(ranges, key, "left").withColumn("covered", F.coalesce((F.col(at) >= F.col("start_ms")) & (F.col(at) < F.col("end_ms")), F.lit(False)))
+
+
+def first_stable_audio_config(units: DataFrame, key: str = "stream_id", order: str = "unit_no") -> DataFrame:
+    """key, config (the first unit's struct object_type, sampling_frequency, channel_config), configs (how many there
+    are), violation: unsupported_object_type for any but 2, config_changed if they differ."""
+    each = units.groupBy(key).agg(F.min_by("config", order).alias("config"), F.count_distinct("config").alias("configs"), F.bool_or(F.col("config.object_type") != 2).alias("_odd"))
+    return each.withColumn("violation", F.when(F.col("_odd"), "unsupported_object_type").when(F.col("configs") > 1, "config_changed")).drop("_odd")

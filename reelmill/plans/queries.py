@@ -11,17 +11,19 @@ from reelmill.functions import bytefields as B
 from reelmill.functions import scalars as S
 from reelmill.operators import abr, clocks, containers, manifests, pictures, playback, segments, transport
 from reelmill.plans import views as V
-from reelmill.plans.views import bind, duck, longs
+from reelmill.plans.views import bind, duck
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, longs: str = "") -> Callable:
+    """Registers a query with its SQL twin; longs names columns of the twin to be widened."""
+
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: longs(f(lambda view: bind(spark, sf_dir, view("spark")), spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: V.longs(f(lambda view: bind(spark, sf_dir, view("spark")), spark, sf_dir))
         if sql:
-            ORACLE_SQL[f.__name__] = duck(sql)
+            ORACLE_SQL[f.__name__] = duck(f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in longs.split())}) FROM ({sql})" if longs else sql)
         return f
 
     return add
