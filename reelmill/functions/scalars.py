@@ -20,9 +20,8 @@ def wrap_delta(a, b, bits: int = MPEG_BITS) -> Column:
 
 def scale_ticks(v, from_scale, to_scale) -> Column:
     """v ticks of one time scale in another, rounded half away from zero, in integers."""
-    v = _col(v)
-    a = F.lit(from_scale) if isinstance(from_scale, int) else _col(from_scale)
-    b = F.lit(to_scale) if isinstance(to_scale, int) else _col(to_scale)
+    v = _col(v).cast("long")
+    a, b = ((F.lit(x) if isinstance(x, int) else _col(x)).cast("long") for x in (from_scale, to_scale))
     return (F.signum(v).cast("long") * quotient(F.abs(v) * b + quotient(a, F.lit(2)), a)).cast("long")
 
 

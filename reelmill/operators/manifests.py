@@ -32,7 +32,7 @@ def playlist_kind(text) -> Column:
 def parse_attributes(text) -> Column:
     """Map of an attribute list; commas inside quotes do not part, quotes are dropped, the last of equal keys wins."""
     pattern = r'([^=,]+)=("[^"]*"|[^,]*)'
-    keys = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.trim)
+    keys = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda k: F.trim(k))
     values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.trim(F.regexp_replace(F.trim(v), '^"|"$', "")))
     pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"] != "")
     rest = lambda i: F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1)))
