@@ -111,3 +111,8 @@ def resolve_uri(base, ref) -> Column:
         .when(r.startswith("?"), F.concat(origin, whole_path, r))
         .otherwise(F.concat(origin, normal, rest))
     )
+
+
+def clock_column(audio_ms, wall_ms) -> Column:
+    """The playback clock: the audio position where there is one, else wall time."""
+    return F.coalesce(_col(audio_ms), _col(wall_ms))

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.functions import bytefields as B
-from reelmill.operators import parameter_sets, pictures, playback, transport
+from reelmill.operators import manifests, parameter_sets, pictures, playback, transport
 from reelmill.plans import queries as Q
 from reelmill.plans import views as V
 from reelmill.plans.queries import AU, PCM, PLAY, SNAP, TS, query, v_ts
-from reelmill.sources import scans
+from reelmill.sources import files, scans
 from reelmill.streaming import folds
 from reelmill.streaming.runs import replay
 
@@ -26,8 +26,8 @@ def _joined(rows: DataFrame, keys: list[str], order: str, data: str) -> DataFram
 
 @query(f"SELECT stream_id, packet_no // 100 AS segment_seq, row_number() OVER (PARTITION BY stream_id, packet_no // 100 ORDER BY packet_no) - 1 AS packet_no, pid, cc AS continuity_counter FROM {TS}")
 def scan_ts_packets(view, spark, sf):
-    files = _joined(view(v_ts).withColumn("segment_seq", F.floor(F.col("packet_no") / 100)), ["stream_id", "segment_seq"], "packet_no", "bytes")
-    return transport.packet_fields(scans.scan_ts_packets(files)).select("stream_id", "segment_seq", "packet_no", "pid", "continuity_counter")
+    made = _joined(view(v_ts).withColumn("segment_seq", F.floor(F.col("packet_no") / 100)), ["stream_id", "segment_seq"], "packet_no", "bytes")
+    return transport.packet_fields(scans.scan_ts_packets(made)).select("stream_id", "segment_seq", "packet_no", "pid", "continuity_counter")
 
 
 @query(f"""SELECT stream_id, au_no // 100 AS block, row_number() OVER w - 1 AS nal_no, CAST(sum(5 + au_no % 3) OVER w - (5 + au_no % 3) AS BIGINT) AS start_offset,
@@ -90,6 +90,16 @@ def carry_streams(view, spark, sf):
     return found.select("stream_id", "segment_seq", F.get(audio, 0)["pid"].alias("audio_pid"), "missing_psi", "pid_changed")
 
 
+@query(f"SELECT master_uri, ordinal, uri, bandwidth, resolution, codecs FROM {Q.VAR}")
+def read_manifests(view, spark, sf):
+    """Master playlists written as one file each, read back under the byte cap and parsed."""
+    folder = files.new_folder(spark, "manifests")
+    Q._masters(view(V.v_variants)).select("uri", "text").repartition("uri").write.partitionBy("uri").text(folder)
+    read = files.read_manifests(spark, f"{folder}/*/", pattern="part-*").filter("violation is null")
+    named = read.withColumn("master_uri", F.url_decode(F.regexp_extract(F.url_decode("uri"), "/uri=([^/]*)/", 1)))
+    return manifests.variants(named.select("master_uri", "text"), ("master_uri",)).select("master_uri", "ordinal", "uri", "bandwidth", "resolution", "codecs")
+
+
 # --- parameter sets -------------------------------------------------------------------------------------------------
 
 
