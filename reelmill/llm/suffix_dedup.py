@@ -33,6 +33,10 @@ LENGTH = 50
 GRAM = 16
 STEP = 1 << 20
 KNOWN = -1
+#: Bytes of text that a task works on at once.
+BATCH_BYTES = 12 << 20
+#: Bytes of a minimiser that travel (its upper ones); the bucket adds to them. A clash only costs work.
+KEY_BYTES = 6
 BLOBS = "bucket long, doc_id long, n long, blob binary"
 BLOB_TYPES, BLOB_NAMES = [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["bucket", "doc_id", "n", "blob"]
 DONE_NAMES = ["doc_id", "blob"]
@@ -89,6 +93,11 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) ->
     return tuple(np.concatenate(x) for x in (rows, starts, counts, keys))
 
 
+def upper(key: np.ndarray) -> np.ndarray:
+    """Keys without the bytes that do not travel."""
+    return key & ~np.uint64((1 << 8 * (8 - KEY_BYTES)) - 1)
+
+
 def _groups(sorted_values: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the end."""
     if not len(sorted_values):
@@ -105,6 +114,26 @@ def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]
         yield int(docs[a]), values[a:b].tobytes()
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of about BATCH_BYTES of a text column (a longer text is a piece of its own)."""
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + BATCH_BYTES, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
+def _squeezed(*parts: np.ndarray | bytes) -> bytes:
+    raw = b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+
+
 def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -114,7 +143,7 @@ def _asks(buckets: int, length: int):
     document's keys that are known to be shared. Both go to the bucket that they name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = flat_bytes(batch.column(1))
             row, _, _, key = window_runs(data, offsets, length)
@@ -125,19 +154,21 @@ def _asks(buckets: int, length: int):
             key, row = key[once], row[once]
             at = _groups(key)
             size = np.repeat(np.diff(at), np.diff(at))
-            out: list[tuple] = [(d % buckets, d, 0, b) for d, b in _by_doc(ids[row[size > 1]], key[size > 1])]
+            out: list[tuple] = [(d % buckets, d, 0, b) for d, b in _by_doc(ids[row[size > 1]], upper(key[size > 1]))]
             head = np.zeros(len(key), bool)
             head[at[:-1]] = True
             doc = np.where(size > 1, KNOWN, row)[head]
             key = key[head]
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((doc, bucket))
             bucket, doc, key = bucket[order], doc[order], key[order]
+            small = key.view(np.uint8).reshape(-1, 8)[:, 8 - KEY_BYTES :]
             at = _groups(bucket)
             for a, b in zip(at[:-1], at[1:], strict=True):
-                present, index = np.unique(doc[a:b], return_inverse=True)
-                named = np.where(present == KNOWN, KNOWN, ids[np.maximum(present, 0)])
-                out.append((int(bucket[a]), None, int(b - a), b"".join((key[a:b].tobytes(), index.astype(np.uint32).tobytes(), np.where(present == KNOWN, 1, 0).astype(np.uint8).tobytes(), named.astype(np.int64).tobytes()))))
+                by = _groups(doc[a:b])
+                present = doc[a:b][by[:-1]]
+                named = np.where(present == KNOWN, 0, ids[np.maximum(present, 0)])
+                out.append((int(bucket[a]), None, int(b - a), b"".join((small[a:b].tobytes(), np.diff(by).astype(np.uint32).tobytes(), (present == KNOWN).tobytes(), named.astype(np.int64).tobytes()))))
             if out:
                 yield _batch(out, BLOB_TYPES, BLOB_NAMES)
 
@@ -173,11 +204,14 @@ def _answers(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """Reduce side of step 2: (doc_id, its minimisers that occur elsewhere too)."""
     keys, docs, known = [], [], []
     for n, blob in held:
-        m = (len(blob) - 12 * n) // 9
-        keys.append(np.frombuffer(blob, np.uint64, n))
-        index = np.frombuffer(blob, np.uint32, n, 8 * n)
-        known.append(np.frombuffer(blob, np.uint8, m, 12 * n)[index])
-        docs.append(np.frombuffer(blob[12 * n + m :], np.int64, m)[index])
+        rest = blob[KEY_BYTES * n :]
+        m = len(rest) // 13
+        key = np.zeros((n, 8), np.uint8)
+        key[:, 8 - KEY_BYTES :] = np.frombuffer(blob, np.uint8, KEY_BYTES * n).reshape(n, KEY_BYTES)
+        keys.append(key.view(np.uint64)[:, 0])
+        times = np.frombuffer(rest, np.uint32, m)
+        known.append(np.repeat(np.frombuffer(rest, np.uint8, m, 4 * m), times))
+        docs.append(np.repeat(np.frombuffer(rest[5 * m :], np.int64, m), times))
     key, doc, told = np.concatenate(keys), np.concatenate(docs), np.concatenate(known)
     order = np.argsort(key, kind="stable")
     key, doc, told = key[order], doc[order], told[order]
@@ -192,23 +226,22 @@ def _shared_runs(buckets: int, length: int):
     finished: ranges of a document that is not the smallest of an equal run."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = flat_bytes(batch.column(1))
-            wanted = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column(2).to_pylist()]
             row, start, count, key = window_runs(data, offsets, length)
-            at = np.searchsorted(row, np.arange(len(ids) + 1))
-            pick = np.zeros(len(row), bool)
-            for i, w in enumerate(wanted):
-                pick[at[i] : at[i + 1]] = np.isin(key[at[i] : at[i + 1]], w)
-            order = np.flatnonzero(pick)
-            order = order[np.argsort(ids[row[order]], kind="stable")]
+            # a minimiser that one document shares is shared by all that have it
+            wanted = np.frombuffer(b"".join(x for blobs in batch.column(2).to_pylist() for x in blobs), np.uint64)
+            pick = np.flatnonzero(np.isin(upper(key), wanted))
+            pick = pick[np.argsort(ids[row[pick]], kind="stable")]
+            raw, begin = data.tobytes(), (offsets[row] + start)[pick].tolist()
             first: dict[bytes, int] = {}
-            send, gone = [], []
-            for j in order:
-                a = offsets[row[j]] + start[j]
-                if first.setdefault(data[a : a + count[j] + length - 1].tobytes(), ids[row[j]]) == ids[row[j]]:
+            send, texts, gone = [], [], []
+            for j, d, a, n in zip(pick.tolist(), ids[row[pick]].tolist(), begin, (count[pick] + length - 1).tolist(), strict=True):
+                text = raw[a : a + n]
+                if first.setdefault(text, d) == d:
                     send.append(j)
+                    texts.append(text)
                 else:
                     gone.append(j)
             gone = np.array(gone, np.int64)
@@ -216,12 +249,13 @@ def _shared_runs(buckets: int, length: int):
             send = np.array(send, np.int64)
             bucket = (key[send] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            send, bucket = send[order], bucket[order]
-            at = _groups(bucket)
+            at = _groups(bucket[order])
             for a, b in zip(at[:-1], at[1:], strict=True):
-                js = send[a:b]
-                text = b"".join(data[offsets[row[j]] + start[j] : offsets[row[j]] + start[j] + count[j] + length - 1].tobytes() for j in js)
-                out.append((int(bucket[a]), None, int(b - a), b"".join((ids[row[js]].tobytes(), start[js].astype(np.int64).tobytes(), count[js].astype(np.int64).tobytes(), key[js].tobytes(), text))))
+                js = send[order[a:b]]
+                text = b"".join([texts[i] for i in order[a:b].tolist()])
+                # in rising order of the documents; half a minimiser is enough to tell runs apart
+                docs, times = np.unique(ids[row[js]], return_counts=True)
+                out.append((int(bucket[order[a]]), None, len(js), _squeezed(np.array([len(docs)]), docs, times.astype(np.uint32), start[js].astype(np.int64), count[js].astype(np.uint32), (key[js] >> np.uint64(32)).astype(np.uint32), text)))
             if out:
                 yield _batch(out, BLOB_TYPES, BLOB_NAMES)
 
@@ -263,8 +297,12 @@ def _matches(length: int):
         found: dict[bytes, list] = {}
         texts_of: dict[int, set] = defaultdict(set)
         for n, blob in held:
-            doc, start, count, key = (np.frombuffer(blob, t, n, 8 * n * i).tolist() for i, t in enumerate((np.int64, np.int64, np.int64, np.uint64)))
-            at = 32 * n
+            blob = _unsqueezed(blob)
+            m = int(np.frombuffer(blob, np.int64, 1)[0])
+            doc = np.repeat(np.frombuffer(blob, np.int64, m, 8), np.frombuffer(blob, np.uint32, m, 8 + 8 * m)).tolist()
+            at = 8 + 12 * m
+            start, count, key = np.frombuffer(blob, np.int64, n, at).tolist(), np.frombuffer(blob, np.uint32, n, at + 8 * n).tolist(), np.frombuffer(blob, np.uint32, n, at + 12 * n).tolist()
+            at += 16 * n
             for d, s, c, k in zip(doc, start, count, key, strict=True):
                 text = blob[at : at + c + length - 1]
                 at += c + length - 1
@@ -288,11 +326,16 @@ def _matches(length: int):
             shift = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
             owner = np.array([min(found[t])[0] for t in inner], np.int64)
             covered = earlier_documents(suffix_words(flat, begin[which] + shift, length), owner[which])
-            for w, s in zip(which[covered].tolist(), shift[covered].tolist(), strict=True):
-                for d, at in found[inner[w]]:
+            at = np.flatnonzero(covered)
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(at) > 1) | (which[at[1:]] != which[at[:-1]])
+            first = at[new]
+            last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else first
+            for w, a, b in zip(which[first].tolist(), shift[first].tolist(), shift[last].tolist(), strict=True):
+                for d, s in found[inner[w]]:
                     if d == owner[w]:
                         docs.append(d)
-                        ranges.append((at + s, at + s + length))
+                        ranges.append((s + a, s + b + length))
         return _by_doc(np.array(docs, np.int64), np.array(ranges, np.int64).reshape(-1, 2))
 
     return reduce
@@ -338,7 +381,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(id_col, text_col)
+    if dict(texts.dtypes) != {"doc_id": "bigint", "text": "string"}:
+        texts = texts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.filter("doc_id is not null")
 
     def met(made: DataFrame, reduce) -> DataFrame:
