@@ -30,7 +30,9 @@ ID_BITS = 40
 STEP = 2 << 20
 STAR_ROUNDS = 2
 #: Bits of the sketches that are compared where star rounds leave several components in a bucket.
-SKETCH = 1024
+SKETCH = 4096
+#: Components that are worked on at once.
+PIECE = 1 << 21
 #: Beyond this many candidate documents the filter on the documents is a shuffled join, not a broadcast.
 BROADCAST_IDS = 200_000
 
@@ -129,22 +131,34 @@ def shingles(counts: np.ndarray, words: np.ndarray, n: int = WORDS) -> tuple[np.
 
 
 def prob_minhash(rows: np.ndarray, ids: np.ndarray, weights: np.ndarray, n: int, m: int = M) -> np.ndarray:
-    """n x m signatures (ProbMinHash, one exponential arrival of every live element a round)."""
+    """n x m signatures (ProbMinHash). In a round every live element has its next exponential arrival, or the next few
+    where few elements are left; rows are in rising order, and long inputs go in pieces of PIECE components."""
+    piece = max(1, PIECE // m)
+    if n > piece:
+        cut = np.searchsorted(rows, np.arange(0, n + piece, piece))
+        parts = [(rows[a:b] - i * piece, ids[a:b], weights[a:b], min(piece, n - i * piece)) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i * piece < n]
+        return np.concatenate([prob_minhash(*x, m) for x in parts])
     first = np.full(n * m, np.inf)
     sign = np.zeros(n * m, np.uint64)
     time = np.zeros(len(rows))
     rows, weights = rows.astype(np.int64), weights.astype(np.float64)
-    turn = 0
+    turn = 1
     with np.errstate(over="ignore"):
         while len(rows):
-            turn += 1
-            z = mixed(ids * np.uint64(0xD1342543DE82EF95) + np.uint64(turn) * _BASE)
-            time = time - np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights
-            slot = rows * m + (z & np.uint64(m - 1)).astype(np.int64)
-            np.minimum.at(first, slot, time)
-            hit = first[slot] == time
-            sign[slot[hit]] = ids[hit]
+            k = max(1, min(64, (1 << 16) // len(rows)))
+            turns = np.arange(turn, turn + k, dtype=np.uint64)
+            turn += k
+            z = mixed((ids * np.uint64(0xD1342543DE82EF95))[:, None] + turns * _BASE)
+            steps = -np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[:, None]
+            steps[:, 0] += time
+            times = np.cumsum(steps, axis=1)
+            slot = (rows[:, None] * m + (z & np.uint64(m - 1)).astype(np.int64)).ravel()
+            flat = times.ravel()
+            np.minimum.at(first, slot, flat)
+            hit = np.flatnonzero(first[slot] == flat)
+            sign[slot[hit]] = ids[hit // k]
             last = first.reshape(n, m).max(1)
+            time = times[:, -1]
             live = time < last[rows]
             rows, ids, weights, time = rows[live], ids[live], weights[live], time[live]
     return sign.reshape(n, m)
@@ -161,8 +175,10 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 
 def bit_words(sign: np.ndarray) -> np.ndarray:
-    """One bit a component, as rows of signed 64-bit words."""
-    bits = (mixed(sign + np.uint64(1)) & np.uint64(1)).astype(np.uint8)
+    """One bit a component, as rows of signed 64-bit words; an element has another bit in each component, so that the
+    bits of different elements agree independently."""
+    with np.errstate(over="ignore"):
+        bits = (mixed((sign + np.uint64(1)) * _BASE + np.arange(sign.shape[1], dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64)
 
 
@@ -297,7 +313,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             met = state.join(hubs, "band").filter((F.col("comp") != F.col("hub_comp")) & (differ("s", "t", 2) <= max_differ(similarity, M)))
             pairs = met.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
         else:
-            # pairs are compared inside the join on sketches that tell 0.8 from 0.71; only those that may be links leave it
+            # pairs are compared inside the join on sketches that tell 0.8 from 0.75; only those that may be links leave it
             rest = stored(state.join(open_buckets.select("band"), "band").select("band", "id", "comp"), "rest")
             words = SKETCH // 64
             kinds = ", ".join(f"k{i} long" for i in range(words))
