@@ -87,3 +87,20 @@ def test_words_do_not_depend_on_slices(monkeypatch):
     parts = [(c.tolist(), w.tolist()) for _, c, w in M.words_of(texts)]
     assert sum((c for c, _ in parts), []) == sum((c for c, _ in whole), [])
     assert sum((w for _, w in parts), []) == sum((w for _, w in whole), [])
+
+
+def test_pieces_and_blocks_do_not_change_signatures(monkeypatch):
+    rng = np.random.default_rng(0)
+    counts = np.concatenate([rng.integers(0, 6, 40), rng.integers(100, 300, 20)])
+    rows = np.repeat(np.arange(60), counts)
+    ids, weights = rng.integers(0, 1 << 40, len(rows)).astype(np.uint64), rng.integers(1, 4, len(rows))
+    whole = M.prob_minhash(rows, ids, weights, 60)
+    monkeypatch.setattr(M, "PIECE", 7 * M.M)
+    assert (M.prob_minhash(rows, ids, weights, 60) == whole).all()
+
+
+def test_leftovers_are_compared_without_star_rounds(spark, monkeypatch):
+    monkeypatch.setattr(M, "STAR_ROUNDS", 0)
+    data = near_copies(5)
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(edge.table(spark, data)).collect()}
+    assert got == classes([(d, grams(t)) for d, t, *_ in data])
