@@ -213,7 +213,10 @@ def fit(pages: list[list[Block]], rounds: int = 120, rate: float = 0.15, l2: flo
 def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Field:
     """A field trained on a bounded sample of the table's pages; with none that mark an article, on made layouts alone."""
     marks = pages.select(F.col(html_col).alias("html")).filter((F.length("html") <= sample_chars) & F.col("html").rlike("<(article|main)[ >]"))
-    rows = marks.orderBy(F.xxhash64("html")).limit(sample_pages).collect()
+    # a threshold on the hash leaves about twice the sample, so that tasks send few pages however many there are
+    share = min(1.0, 2 * sample_pages / max(1, marks.count()))
+    drawn = marks.withColumn("h", F.xxhash64("html")).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    rows = drawn.orderBy("h").limit(sample_pages).collect()
     return fit(labelled([r["html"] for r in rows]))
 
 
