@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reelmill.llm.common import stored, text_of
 
 BUNDLES_PER_SHARD = 64
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def lpt(sizes: dict, shards: int) -> dict:
