@@ -15,10 +15,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     shared folder; rounds go on until no label changes. Labels only fall, and each round at least halves the depth of
     the label trees, so rounds grow with the logarithm of the longest path.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = stored(both.filter("src != dst").distinct(), "edges")
+    labels = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("comp")), "labels")
     while True:
-        near = both.join(labels.withColumnsRenamed({"id": "b", "comp": "c"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
+        near = both.join(labels.withColumnsRenamed({"id": "dst", "comp": "c"}), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         hooked = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
         above = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
         after = stored(hooked.join(above, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")

@@ -319,8 +319,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
             kinds = ", ".join(f"k{i} long" for i in range(words))
             sketches = _texts_of(rest.select(F.col("id").alias("doc_id")), texts).mapInArrow(_sketches, f"doc_id long, {kinds}").dropDuplicates(["doc_id"])
             rest = stored(rest.join(sketches.withColumnRenamed("doc_id", "id"), "id"), "rest")
+            # known not to be null, the long comparison compiles to a method that the JVM optimises
+            rest = rest.filter(" and ".join(f"{c} is not null" for c in rest.columns))
             other = rest.withColumnsRenamed({"id": "id2", "comp": "comp2", "band": "band2"} | {f"k{i}": f"t{i}" for i in range(words)})
-            met = rest.join(other, (F.col("band") == F.col("band2")) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (differ("k", "t", words) <= max_differ(similarity, SKETCH)))
+            met = rest.join(other, (F.col("band") == F.col("band2")) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (differ("k", "t", words // 8) <= max_differ(similarity, SKETCH // 8)) & (differ("k", "t", words) <= max_differ(similarity, SKETCH)))
             pairs = met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
         pairs = pairs.distinct()
         if checked is not None:
