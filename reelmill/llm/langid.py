@@ -22,7 +22,7 @@ ORDERS = (2, 3, 4)
 #: The classifiers are fitted on at most this many labelled rows a language, chosen by a hash of text and id, and on at most SAMPLE_BYTES of each.
 SAMPLE_ROWS = 300
 AMBIGUOUS = 0.15
-STEP = 1 << 20
+STEP = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 

@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Shingle identities have this many bits.
 ID_BITS = 40
-STEP = 2 << 20
+STEP = 1 << 20
 STAR_ROUNDS = 2
 #: Bits of the sketches that are compared where star rounds leave several components in a bucket.
 SKETCH = 4096
