@@ -11,8 +11,8 @@ from reelmill.llm.queries import vocabulary
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a language that the labelled ones teach; `und` (null text, no letter) and texts whose
-    best two languages are too close to call go. With no labelled document there is nothing to judge by, and only texts
-    without a letter go."""
+    best language scores below 0.4 go, texts in two known languages stay. With no labelled document there is nothing to
+    judge by, and only texts without a letter go."""
     model = langid.train(docs)
     if model is None:
         return docs.filter("text rlike '\\\\p{L}'")

@@ -22,6 +22,8 @@ ORDERS = (2, 3, 4)
 #: The classifiers are fitted on at most this many labelled rows a language, chosen by a hash of text and id, and on at most SAMPLE_BYTES of each.
 SAMPLE_ROWS = 300
 AMBIGUOUS = 0.15
+#: A filtering stage rejects texts whose best language scores less: theirs is none of the known ones, or many at once.
+MIN_SCORE = 0.4
 STEP = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
@@ -182,9 +184,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known and not ambiguous; rows go through the tasks
-    once, so repeated rows and rows with a null id are judged like any other."""
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs, with all their columns, that are in a known language: they have a letter, and the best language
+    reaches the score `least`. A text in two known languages stays. Repeated rows and rows with a null id are judged
+    like any other."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +195,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             data, offsets = flat_bytes(batch.column(at))
             keep = np.array([bool(LETTER.search(t.as_py() or "")) for t in batch.column(at)], bool)
             if len(keep):
-                keep &= ~model.decode(model.margins(data, offsets))[2]
+                keep &= model.decode(model.margins(data, offsets))[1] >= least
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
