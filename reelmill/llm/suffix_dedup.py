@@ -35,6 +35,8 @@ STEP = 1 << 20
 KNOWN = -1
 #: Bytes of text that a task works on at once.
 BATCH_BYTES = 12 << 20
+#: Windows that are sorted at once.
+WINDOWS = 200_000
 #: Bytes of a minimiser that travel (its upper ones); the bucket adds to them. A clash only costs work.
 KEY_BYTES = 6
 BLOBS = "bucket long, doc_id long, n long, blob binary"
@@ -290,6 +292,20 @@ def earlier_documents(words: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _several(texts_of: dict[int, set], length: int) -> Iterator[list[bytes]]:
+    """The runs of minimisers that have several (only there can a window lie in two runs), about WINDOWS windows at a time."""
+    held, windows = [], 0
+    for texts in texts_of.values():
+        if len(texts) > 1:
+            held += texts
+            windows += sum(len(t) - length + 1 for t in texts)
+            if windows > WINDOWS:
+                yield held
+                held, windows = [], 0
+    if held:
+        yield held
+
+
 def _matches(length: int):
     """Reduce side of step 3: (doc_id, ranges) whose windows start in an earlier document."""
 
@@ -315,9 +331,7 @@ def _matches(length: int):
                 if d > owner:
                     docs.append(d)
                     ranges.append((s, s + len(text)))
-        # only where a minimiser has several runs can a window lie in two of them
-        inner = [text for texts in texts_of.values() if len(texts) > 1 for text in texts]
-        if inner:
+        for inner in _several(texts_of, length):
             flat = np.frombuffer(b"".join(inner), np.uint8)
             sizes = np.array([len(t) for t in inner])
             begin = np.cumsum(sizes) - sizes
