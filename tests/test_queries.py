@@ -9,8 +9,8 @@ from reelmill.plans import media_queries  # noqa: F401
 from reelmill.plans.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.001")
-#: The independent twin of the clock needs gaps under half a turn, as from sf0.01 on.
-DENSE = {"unwrap_clock": "/root/testdata/sf0.01"}
+#: The independent twins of the clocks need gaps under half a turn, as from sf0.01 on.
+DENSE = {"unwrap_clock": "/root/testdata/sf0.01", "shared_epoch": "/root/testdata/sf0.01"}
 
 
 @pytest.fixture(scope="module")
