@@ -15,10 +15,10 @@ def throughput_estimate(fetches: DataFrame, key: str = "session_id", order: str
     w = Window.partitionBy(key).orderBy(order).rowsBetween(-(depth - 1), 0)
     rows = fetches.withColumn("_s", sample).withColumn("_l", F.collect_list("_s").over(w))
 
-    def fold(keep: float) -> Column:
-        return F.aggregate(F.slice("_l", 2, depth), F.col("_l")[0], lambda a, x: a * keep + x * (1 - keep))
+    def fold(keep: float, take: float) -> Column:
+        return F.aggregate(F.slice("_l", 2, depth), F.col("_l")[0], lambda a, x: a * keep + x * take)
 
-    return rows.withColumns({"fast_bps": fold(0.5), "slow_bps": fold(0.8)}).withColumn("estimate_bps", F.least("fast_bps", "slow_bps")).drop("_s", "_l")
+    return rows.withColumns({"fast_bps": fold(0.5, 0.5), "slow_bps": fold(0.8, 0.2)}).withColumn("estimate_bps", F.least("fast_bps", "slow_bps")).drop("_s", "_l")
 
 
 def rebuffer_episodes(events: DataFrame, key: str = "session_id", order: str = "ord", kind: str = "kind", at: str = "media_ms") -> DataFrame:
