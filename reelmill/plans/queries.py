@@ -452,9 +452,9 @@ def retry_policy(view, spark, sf):
 
 @query(f"""WITH RECURSIVE f AS (SELECT session_id, ord, n_bytes * 8.0e6 / elapsed_us AS s, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS k FROM {FETCH}),
            r AS (SELECT session_id, ord, k, s AS fast, s AS slow FROM f WHERE k = 1 UNION ALL SELECT f.session_id, f.ord, f.k, r.fast * 0.5::DOUBLE + f.s * 0.5::DOUBLE, r.slow * 0.8::DOUBLE + f.s * 0.2::DOUBLE FROM r JOIN f ON f.session_id = r.session_id AND f.k = r.k + 1)
-           SELECT session_id, ord, round(least(fast, slow), 2) AS estimate_bps FROM r""")
+           SELECT session_id, ord, CAST(round(least(fast, slow)) AS BIGINT) AS estimate_bps FROM r""")
 def throughput_estimate(view, spark, sf):
-    return playback.throughput_estimate(view(V.v_fetch)).select("session_id", "ord", F.round("estimate_bps", 2).alias("estimate_bps"))
+    return playback.throughput_estimate(view(V.v_fetch)).select("session_id", "ord", F.round("estimate_bps").cast("long").alias("estimate_bps"))
 
 
 _EPISODES = f"""r AS (SELECT *, coalesce(sum(CASE WHEN kind = 'buffer_recovered' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS episode FROM {PLAY}),
