@@ -274,7 +274,7 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _pairs_verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The stored pairs (a, b) whose documents are similar enough, with sim."""
-    picked = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts)
+    picked = _texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), texts)
     grams = stored(picked.mapInArrow(_grams, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
     one = pairs.join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
     two = one.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a")
