@@ -37,6 +37,8 @@ KNOWN = -1
 BATCH_BYTES = 12 << 20
 #: Windows that are sorted at once.
 WINDOWS = 200_000
+#: Bytes of results that a task gathers by document before it sends them on.
+DONE_BYTES = 48 << 20
 #: Bytes of a minimiser that travel (its upper ones); the bucket adds to them. A clash only costs work.
 KEY_BYTES = 6
 BLOBS = "bucket long, doc_id long, n long, blob binary"
@@ -178,26 +180,38 @@ def _asks(buckets: int, length: int):
 
 
 def _by_bucket(batches: Iterable[pa.RecordBatch], reduce) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: finished ones go on as they are, each bucket's (n, blob) go through reduce."""
+    """Rows sorted by bucket: each bucket's (n, blob) go through reduce; what it finds and the finished rows leave as
+    one row a document for all buckets of the task (up to DONE_BYTES at a time)."""
     held: list[tuple[int, bytes]] = []
-    now = None
+    done: dict[int, list[bytes]] = defaultdict(list)
+    size, now = 0, None
     for batch in batches:
-        done = batch.filter(pc.is_valid(batch.column(1)))
-        if len(done):
-            yield pa.RecordBatch.from_arrays([done.column(1), done.column(3)], DONE_NAMES)
-        asked = batch.filter(pc.is_null(batch.column(1)))
-        for bucket, n, blob in zip(asked.column(0).to_pylist(), asked.column(2).to_pylist(), asked.column(3), strict=True):
-            if bucket != now and held:
-                yield from _done(reduce(held))
-                held = []
-            now = bucket
-            held.append((n, blob.as_py()))
+        for bucket, doc, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            found: Iterable[tuple[int, bytes]] = ()
+            if doc is not None:
+                found = [(doc, blob)]
+            else:
+                if bucket != now and held:
+                    found = reduce(held)
+                    held = []
+                now = bucket
+                held.append((n, blob))
+            for d, b in found:
+                done[d].append(b)
+                size += len(b) + 64
+            if size > DONE_BYTES:
+                yield from _done(done)
+                size = 0
     if held:
-        yield from _done(reduce(held))
+        for d, b in reduce(held):
+            done[d].append(b)
+    yield from _done(done)
 
 
-def _done(rows: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    rows = list(rows)
+def _done(done: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows of done, which is emptied."""
+    rows = [(d, b"".join(x)) for d, x in done.items()]
+    done.clear()
     for a in range(0, len(rows), 50_000):
         yield _batch(rows[a : a + 50_000], [pa.int64(), pa.binary()], DONE_NAMES)
 
