@@ -41,6 +41,28 @@ def test_pack_documents(spark):
     assert P.pack_documents(edge.table(spark, []), *vocabulary()).collect() == []
 
 
+def test_ids_are_those_of_the_json(spark):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    place = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(place)
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|", "<|", "|>", " ", "  ", "\n", "It's", "a", "É", "日本", "1", "😀", "\u00a0"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 1500] + ["".join(rng.choices(parts, k=12)) for _ in range(300)]
+    rows = P.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *vocabulary()).collect()
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows}
+    want = {}
+    for d, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want |= {(d, k): (a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(P.pieces_of(len(ids), 1024))}
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275] and got == want
+    with open(place) as f:
+        assert {t["content"]: t["id"] for t in json.load(f)["added_tokens"]} == P.SPECIAL
+
+
 @pytest.mark.parametrize("rule", ["dot", "norm"])
 @pytest.mark.parametrize("limits", [{}, {"max_docs": 3}, {"max_cost": 400_000}, {"max_docs": 4, "max_cost": 300_000}])
 def test_every_constraint_holds(rule, limits):
