@@ -19,7 +19,7 @@ from reelmill.llm.common import flat_bytes, mixed
 
 BUCKETS = 1 << 12
 ORDERS = (2, 3, 4)
-#: The classifiers are fitted on at most this many labelled rows a language, chosen by a hash of text and id, and on at most SAMPLE_BYTES of each.
+#: The classifiers are fitted on at most this many distinct labelled texts a language, chosen by a hash, and on at most SAMPLE_BYTES of each.
 SAMPLE_ROWS = 300
 AMBIGUOUS = 0.15
 #: A filtering stage rejects texts whose best language scores less: theirs is none of the known ones, or many at once.
@@ -143,21 +143,25 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 200, rate: float = 0.
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = 20_000) -> Model | None:
-    """A model from a bounded sample of labelled rows: of each language, up to sample_rows rows with the smallest hashes
-    of their text, cut to sample_bytes characters for the fit alone. None if no row is labelled."""
+    """A model from a bounded sample of the labelled texts: of each language, up to sample_rows distinct texts with the
+    smallest hashes, cut to sample_bytes characters for the fit alone. Every labelled language has a text in it, whatever
+    the copies in the others. None if no row is labelled."""
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and length(text) > 0")
     share = known.withColumn("h", F.xxhash64("text"))
-    total = {r["lang"]: r["n"] for r in share.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not total:
+    todo = {r["lang"]: r["n"] for r in share.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not todo:
         return None
-    # a hash threshold a language keeps about 1.5 sample_rows of its rows (all, if it has fewer)
-    cut = F.create_map(*[F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, 1.5 * sample_rows / n))])
-    picked = share.filter(F.pmod("h", F.lit(1 << 20)) < cut[F.col("lang")] * F.lit(1 << 20)).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text"))
-    rows = picked.orderBy("h").limit(2 * sample_rows * len(total)).collect()
     kept: dict[str, list[bytes]] = {}
-    for r in rows:
-        if len(kept.setdefault(r["lang"], [])) < sample_rows:
-            kept[r["lang"]].append(r["text"].encode())
+    wide = 1.5
+    while todo:
+        # a hash threshold a language keeps about wide * sample_rows of its distinct texts (all, if it has fewer)
+        cut = F.create_map(*[F.lit(x) for lang, n in todo.items() for x in (lang, min(1.0, wide * sample_rows / max(1, n)))])
+        picked = share.filter(F.pmod("h", F.lit(1 << 40)) < cut[F.col("lang")] * F.lit(1 << 40)).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text"))
+        for r in sorted(picked.distinct().collect()):
+            if len(kept.setdefault(r["lang"], [])) < sample_rows:
+                kept[r["lang"]].append(r["text"].encode())
+        todo = {lang: n for lang, n in todo.items() if lang not in kept}
+        wide *= 16
     texts = [t for lang in sorted(kept) for t in kept[lang]]
     return fit(texts, [lang for lang in sorted(kept) for _ in kept[lang]])
 

@@ -28,6 +28,15 @@ def test_edges(spark, sf_dir):
     assert L.predict(edge.table(spark, []), model).collect() == []
 
 
+def test_copies_leave_every_language_in_the_sample(spark):
+    made = [(r.t, r.h) for r in spark.range(3000).selectExpr("'text number ' || id as t").selectExpr("t", "xxhash64(t) as h").orderBy("h").collect()]
+    first = next(t for t, h in made if h % (1 << 20) < 1000)
+    high = [t for t, h in made if h % (1 << 20) > 900_000][-1]
+    rows = [(i, first, "aa") for i in range(100)] + [(i, t, "bb") for i, (t, _) in enumerate(made[-5:])] + [(i, high, "cc") for i in range(1000)]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=5)
+    assert model.langs == ["aa", "bb", "cc"]
+
+
 def test_one_language_and_many():
     assert L.codewords(1).shape == (1, 1)
     for k in (2, 4, 6, 9, 40):
