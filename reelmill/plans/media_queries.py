@@ -90,14 +90,34 @@ def carry_streams(view, spark, sf):
     return found.select("stream_id", "segment_seq", F.get(audio, 0)["pid"].alias("audio_pid"), "missing_psi", "pid_changed")
 
 
+#: Variants of a written master playlist: about 0.1 MB, whatever the size of the table.
+MASTER_VARIANTS = 1000
+
+
+def _written_masters(found: DataFrame, folder: str) -> None:
+    """A file for every MASTER_VARIANTS variants of a master, named by the master and the piece."""
+    piece = F.floor(F.col("ordinal") / MASTER_VARIANTS).cast("string")
+    Q._masters(found.withColumn("master_uri", F.concat_ws("-", "master_uri", piece))).select("uri", "text").repartition("uri").write.partitionBy("uri").text(folder)
+
+
+def _read_masters(spark, folder: str, max_bytes: int = files.PLAYLIST_BYTES) -> DataFrame:
+    """The variants of the written masters, with their ordinals in the whole master; a file that was not read is one row
+    with the ordinal of its first variant and a violation."""
+    read = files.read_manifests(spark, f"{folder}/*/", max_bytes, pattern="part-*")
+    name = F.url_decode(F.regexp_extract(F.url_decode("uri"), "/uri=([^/]*)/", 1))
+    named = read.select(F.regexp_extract(name, "^(.*)-[0-9]+$", 1).alias("master_uri"), F.substring_index(name, "-", -1).cast("long").alias("piece"), "text", "violation")
+    made = manifests.variants(named.filter("violation is null"), ("master_uri", "piece")).withColumn("violation", F.lit(None).cast("string"))
+    whole = made.unionByName(named.filter("violation is not null").select("master_uri", "piece", F.lit(0).alias("ordinal"), "violation"), allowMissingColumns=True)
+    return whole.withColumn("ordinal", F.col("piece") * MASTER_VARIANTS + F.col("ordinal")).select("master_uri", "ordinal", "uri", "bandwidth", "resolution", "codecs", "violation")
+
+
 @query(f"SELECT master_uri, ordinal, uri, bandwidth, resolution, codecs FROM {Q.VAR}")
 def read_manifests(view, spark, sf):
-    """Master playlists written as one file each, read back under the byte cap and parsed."""
+    """Master playlists written in files of bounded size, read back under the byte cap and parsed; what was not read
+    shows as a row without a uri."""
     folder = files.new_folder(spark, "manifests")
-    Q._masters(view(V.v_variants)).select("uri", "text").repartition("uri").write.partitionBy("uri").text(folder)
-    read = files.read_manifests(spark, f"{folder}/*/", pattern="part-*").filter("violation is null")
-    named = read.withColumn("master_uri", F.url_decode(F.regexp_extract(F.url_decode("uri"), "/uri=([^/]*)/", 1)))
-    return manifests.variants(named.select("master_uri", "text"), ("master_uri",)).select("master_uri", "ordinal", "uri", "bandwidth", "resolution", "codecs")
+    _written_masters(view(V.v_variants), folder)
+    return _read_masters(spark, folder).drop("violation")
 
 
 # --- parameter sets -------------------------------------------------------------------------------------------------

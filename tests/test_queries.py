@@ -44,3 +44,17 @@ def test_query_equals_its_twin(spark, duck, name):
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert got == normal(cursor.fetchall(), names) and got
+
+
+def test_manifest_files_are_bounded_and_violations_stay(spark, tmp_path):
+    from reelmill.plans import media_queries as M
+
+    part = spark.range(25_000).selectExpr("'Brand#12' as p_brand", "id as p_partkey", "id % 50 as p_size")
+    part.write.parquet(f"{tmp_path}/sf/part.parquet")
+    got = QUERIES["read_manifests"](spark, f"{tmp_path}/sf").collect()
+    assert sorted((r.master_uri, r.ordinal, r.uri) for r in got) == [("Brand#12", i, f"v{i}.m3u8") for i in range(25_000)]
+    view = M.V.bind(spark, f"{tmp_path}/sf", M.V.v_variants("spark")).filter("ordinal < 1002")
+    M._written_masters(view, f"{tmp_path}/masters")
+    rows = M._read_masters(spark, f"{tmp_path}/masters", max_bytes=1000).collect()
+    assert sorted((r.ordinal, r.uri, r.violation) for r in rows if r.violation) == [(0, None, "playlist_too_large")]
+    assert sorted((r.ordinal, r.uri) for r in rows if not r.violation) == [(1000, "v1000.m3u8"), (1001, "v1001.m3u8")]
