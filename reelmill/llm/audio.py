@@ -3,8 +3,8 @@
 `encode_wav` stores bytes losslessly as unsigned 8-bit mono samples. `decode_wav` reads them back. The features are
 computed from the samples that were read: a polyphase FIR filter resamples by UP/DOWN, overlapped Hann frames go through
 a mel filterbank into log energies, and two thresholds on the frame energy cut active spans. Spans carry times in
-milliseconds; the log-mel frames are stored as fixed-shape tensors of CHUNK frames by MELS bands (int16, 1/256 of a
-natural logarithm), the last one padded with its valid number of frames beside it.
+milliseconds; `store_features` holds the log-mel frames as Arrow fixed-shape tensors of CHUNK frames by MELS bands (int16,
+1/256 of a natural logarithm), the last one padded with its valid number of frames beside it; `read_features` reads them.
 """
 
 from __future__ import annotations
@@ -141,6 +141,29 @@ def tensor_array(chunks: np.ndarray) -> pa.Array:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(chunks)
 
 
+def pack_tensors(mel: np.ndarray) -> bytes:
+    """The frames as an Arrow IPC stream: logmel (fixed_shape_tensor) and valid_frames, a row a chunk."""
+    chunks, valid = tensors(mel)
+    batch = pa.RecordBatch.from_arrays([tensor_array(chunks), pa.array(valid, pa.int32())], ["logmel", "valid_frames"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_tensors(data: bytes) -> np.ndarray:
+    """The valid frames (n x MELS) of what pack_tensors made."""
+    with pa.ipc.open_stream(data) as stream:
+        found = stream.read_next_batch()
+    chunks = found.column("logmel").to_numpy_ndarray()
+    return chunks.reshape(-1, MELS)[: sum(found.column("valid_frames").to_pylist())]
+
+
+def feature_text(mel: np.ndarray, spans: list[tuple[int, int]]) -> str:
+    digest = hashlib.sha256(mel.tobytes() + repr(spans).encode()).hexdigest()
+    return f"frames={len(mel)};mels={MELS};spans={len(spans)};active_ms={sum(b - a for a, b in spans)};sha256={digest}"
+
+
 def _payload(text: str | None) -> tuple[bytes, int]:
     data = (text or "").encode()
     n = max(BLOCK, -(-len(data) // BLOCK) * BLOCK)
@@ -184,8 +207,7 @@ def media_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
                 samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
                 mel, energy = extract.logmel(samples)
                 spans = extract.spans(energy)
-                digest = hashlib.sha256(mel.tobytes() + repr(spans).encode()).hexdigest()
-                feature = f"frames={len(mel)};mels={MELS};spans={len(spans)};active_ms={sum(b - a for a, b in spans)};sha256={digest}"
+                feature = feature_text(mel, spans)
                 chunks, valid = tensors(mel) if with_tensors else (np.zeros((0, CHUNK, MELS), np.int16), [])
                 out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(mel), [{"start": a, "stop": b} for a, b in spans], list(chunks.reshape(-1, CHUNK * MELS)), valid))
                 size += chunks.nbytes + 600
@@ -206,3 +228,53 @@ def media_schema() -> pa.Schema:
     ])
 
 
+PLACED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+SPANS = "spans_ms array<struct<start:long,stop:long>>"
+
+
+def store_features(media: DataFrame) -> DataFrame:
+    """Reads each stored file back: its sizes and digests, its spans, and its log-mel tensors as pack_tensors makes them
+    (to be written beside the media). A file that is not 8-bit mono PCM fails the job."""
+    kinds = [f.type for f in media_schema()]
+    kinds = [*kinds[:7], kinds[9], pa.binary()]
+    names = [c.split()[0] for c in PLACED.split(", ")] + ["spans_ms", "tensors"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        extract = Extractor()
+        for batch in batches:
+            size = 0
+            out: list[tuple] = []
+            for doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = data.as_py()
+                payload, _ = decode_wav(data)
+                mel, energy = extract.logmel((np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128)
+                spans = [{"start": a, "stop": b} for a, b in extract.spans(energy)]
+                packed = pack_tensors(mel)
+                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), spans, packed))
+                size += len(packed) + 600
+                if size > 16 << 20:
+                    yield made(out)
+                    out, size = [], 0
+            if out:
+                yield made(out)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"{PLACED}, {SPANS}, tensors binary")
+
+
+def read_features(features: DataFrame) -> DataFrame:
+    """The stored features with `feature` and n_frames from the stored tensors and spans; the tensors stay in their files."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, frames = [], []
+            for spans, data in zip(batch.column(7).to_pylist(), batch.column(8), strict=True):
+                mel = unpack_tensors(data.as_buffer())
+                texts.append(feature_text(mel, [(x["start"], x["stop"]) for x in spans]))
+                frames.append(len(mel))
+            held = batch.columns
+            yield pa.RecordBatch.from_arrays([*held[:7], pa.array(texts, pa.string()), pa.array(frames, pa.int64()), held[7]], [*batch.schema.names[:7], "feature", "n_frames", "spans_ms"])
+
+    return features.mapInArrow(run, f"{PLACED}, feature string, n_frames long, {SPANS}")

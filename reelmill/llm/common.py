@@ -20,10 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: later stages start from files that outlive executors."""
     path = f"{shared_dir(df.sparkSession)}/reelmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

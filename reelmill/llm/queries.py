@@ -26,7 +26,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = stored(audio.store_media(documents(spark, sf_dir)), "media")
-    return audio.media_features(media, with_tensors=False).drop("logmel", "valid_frames")
+    return audio.read_features(stored(audio.store_features(media), "features", compression="zstd"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,23 @@ def test_steps_do_not_change_features(monkeypatch):
 def test_tensors_are_fixed_shape():
     chunks, valid = A.tensors(np.ones((A.CHUNK + 3, A.MELS), np.int16))
     assert valid == [A.CHUNK, 3] and A.tensor_array(chunks).type.shape == [A.CHUNK, A.MELS]
+
+
+def test_query_stores_fixed_shape_tensors_and_reads_them(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from reelmill.llm import queries as Q
+
+    edge.table(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    monkeypatch.setattr(Q, "stored", lambda df, name, inner=Q.stored, **options: kept.setdefault(name, inner(df, name, **options)))
+    got = Q.op3_audio_features(spark, str(tmp_path))
+    want = A.media_features(A.store_media(edge.table(spark))).drop("logmel", "valid_frames")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    texts = {d: t for d, t, *_ in edge.rows()}
+    for r in kept["features"].collect():
+        table = pa.ipc.open_stream(bytes(r.tensors)).read_all()
+        assert table.schema.field("logmel").type == pa.fixed_shape_tensor(pa.int16(), [A.CHUNK, A.MELS])
+        mel, energy = A.Extractor().logmel((np.frombuffer(A._payload(texts[r.doc_id])[0], np.uint8).astype(np.float32) - 128) / 128)
+        assert np.array_equal(A.unpack_tensors(bytes(r.tensors)), mel)
+        assert [(x.start, x.stop) for x in r.spans_ms] == A.Extractor().spans(energy)
