@@ -188,10 +188,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """The rows of docs that own their text, with all their columns; of rows that repeat an owner's doc_id, the one with
-    the longest text stays. Rows with a null doc_id are all kept."""
-    kept = owners(docs, id_col, text_col, trie_bytes).select(F.col("owner").alias("_rm_owner"))
-    mine = docs.join(kept, docs[id_col] == kept["_rm_owner"], "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
-    whole = mine.withColumn("_rm_row", F.row_number().over(one)).filter("_rm_row = 1").drop("_rm_row")
+    """One row of docs for each distinct text, with all its columns: a row of the owner's doc_id with that text, the
+    longest one if several have it. Rows with a null doc_id are all kept."""
+    kept = owners(docs, id_col, text_col, trie_bytes).select(F.col("owner").alias("_rm_owner"), F.col("sha").alias("_rm_kept"))
+    named = docs.withColumn("_rm_sha", F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), IGNORED.decode(), "").cast("binary"), 256))
+    mine = named.join(kept, (F.col(id_col) == F.col("_rm_owner")) & (F.col("_rm_sha") == F.col("_rm_kept")), "left_semi")
+    one = Window.partitionBy(id_col, "_rm_sha").orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
+    whole = mine.withColumn("_rm_row", F.row_number().over(one)).filter("_rm_row = 1").drop("_rm_row", "_rm_sha")
     return whole.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -343,8 +343,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one a class, with all their columns; rows with a null doc_id all stay."""
-    kept = near_duplicates(docs, similarity, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_rm_kept"))
-    mine = docs.join(kept, docs[id_col] == kept["_rm_kept"], "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
-    return mine.withColumn("_rm_row", F.row_number().over(one)).filter("_rm_row = 1").drop("_rm_row").unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of docs that stay, one a class (of its smallest doc_id the longest text), with all their columns; rows with
+    a null doc_id all stay. Rows are compared as rows, so different texts under one doc_id are judged one by one."""
+    rows = stored(docs.filter(F.col(id_col).isNotNull()).withColumn("_rm_row", F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows, similarity, "_rm_row", text_col).select(F.col("doc_id").alias("_rm_row"), "class_id")
+    order = rows.select("_rm_row", F.struct(F.col(id_col), -F.coalesce(F.length(text_col), F.lit(-1)), F.xxhash64(text_col), F.col("_rm_row").alias("_rm_kept")).alias("_rm_order"))
+    kept = order.join(classes, "_rm_row").groupBy("class_id").agg(F.min("_rm_order").alias("first")).select(F.col("first._rm_kept").alias("_rm_row"))
+    return rows.join(kept, "_rm_row", "left_semi").drop("_rm_row").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -35,3 +35,13 @@ def test_run_equals_its_stages_and_edges(spark, tmp_path):
     edge.table(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert C.run(spark, f"{tmp_path}/b").count() == 0
     assert [n for n, _ in C.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
+
+
+def test_no_text_vanishes_where_ids_repeat(spark):
+    long, b = "A long text of quite other words than these", "B is short and plain text"
+    docs = spark.createDataFrame([(5, long), (5, b), (7, b)], "doc_id long, text string")
+    for stage in (C.drop_exact_copies, C.drop_near_copies):
+        assert sorted((r.doc_id, r.text) for r in stage(spark, docs, "").collect()) == [(5, long), (5, b)]
+    # 3 is near to one text of 5; the other one has no copy anywhere
+    near = spark.createDataFrame([(3, long), (5, long.lower()), (5, b), (5, None), (9, " "), (None, b)], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0), r.text or "") for r in C.drop_near_copies(spark, near, "").collect()) == [(0, b), (3, long), (5, ""), (5, b)]
