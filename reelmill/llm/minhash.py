@@ -4,13 +4,15 @@ A document is the multiset of its lower-cased five-word shingles, each weighted
 Poisson process whose rate is its weight; its arrivals fall on random signature components, and a component keeps the
 shingle that arrives first. A shingle is dropped as soon as its next arrival is later than all components' first ones.
 Two documents agree in a component with the probability Jaccard similarity of their weights. Bands of ROWS components
-name candidate buckets. In a bucket candidates are compared with its smallest document, so a bucket of any size costs
-one pair a row; what a few such rounds leave in different components is compared across components. All pairs are
-verified on the exact similarity; classes are the connected components of the verified pairs.
+name candidate buckets. In a bucket candidates are first compared with its smallest document, so a bucket of any size
+costs one pair a row. Buckets that still hold several components are dealt out in units: a bucket, or a pair of its
+bounded blocks. A unit verifies its pairs on the exact similarity and passes on a spanning forest of the verified ones,
+so it never emits more links than it has rows. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import mixed, stored
+from reelmill.llm.common import byte_pieces, mixed, stored
 from reelmill.llm.components import connected_components
 
 WORDS = 5
@@ -27,12 +29,14 @@ BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 #: Shingle identities have this many bits.
 ID_BITS = 40
-STEP = 1 << 20
-STAR_ROUNDS = 2
-#: Bits of the sketches that are compared where star rounds leave several components in a bucket.
-SKETCH = 4096
+#: Bytes of text that are hashed at once.
+STEP = 1 << 18
 #: Components that are worked on at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
+#: Bytes of text that a task takes from a batch at once.
+BATCH_BYTES = 4 << 20
+#: A unit holds at most two blocks of a bucket, each of about so many rows and bytes of shingles.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 6 << 20
 #: Beyond this many candidate documents the filter on the documents is a shuffled join, not a broadcast.
 BROADCAST_IDS = 200_000
 
@@ -182,22 +186,8 @@ def bit_words(sign: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def _sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, k0, k1, ...): one bit for each of SKETCH components."""
-    for batch in batches:
-        parts = []
-        for _, counts, words in words_of(batch.column(1).to_pylist()):
-            rows, grams, weights = shingles(counts, words)
-            parts.append(bit_words(prob_minhash(rows, grams, weights, len(counts), SKETCH)))
-        if parts:
-            words = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(words[:, i]) for i in range(SKETCH // 64)]], ["doc_id", *[f"k{i}" for i in range(SKETCH // 64)]])
-
-
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
-    for batch in batches:
+    for batch in byte_pieces(batches, 1, BATCH_BYTES):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         prints, n_words, keys, bits = [], [], [], []
         for _, counts, words in words_of(texts):
@@ -215,27 +205,30 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array(prints), pa.array(np.concatenate(n_words), pa.int64()), lists, pa.array(word[:, 0]), pa.array(word[:, 1])], ["doc_id", "fp", "n_words", "bands", "s0", "s1"])
 
 
+def _packed(ids: np.ndarray, weights: np.ndarray) -> bytes:
+    """Shingles in rising order: whether weights follow, 5 bytes an identity, then 4 bytes a weight unless all are 1."""
+    small = ids.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return b"\1" + small + weights.astype(np.uint32).tobytes() if (weights != 1).any() else b"\0" + small
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = (len(blob) - 1) // (9 if blob[0] else 5)
+    ids = np.zeros((n, 8), np.uint8)
+    ids[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 1).reshape(n, 5)
+    return ids.view(np.uint64)[:, 0], np.frombuffer(blob, np.uint32, n, 1 + 5 * n) if blob[0] else np.ones(n, np.uint32)
+
+
 def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, its shingles): 5 bytes an identity in rising order, then 4 bytes a weight."""
-    for batch in batches:
+    """(doc_id, its packed shingles)."""
+    for batch in byte_pieces(batches, 1, BATCH_BYTES):
         blobs = []
         for _, counts, words in words_of(batch.column(1).to_pylist()):
             rows, grams, weights = shingles(counts, words)
             at = np.searchsorted(rows, np.arange(len(counts) + 1))
-            small = grams.view(np.uint8).reshape(-1, 8)[:, :5]
-            for i in range(len(counts)):
-                a, b = at[i], at[i + 1]
-                blobs.append(small[a:b].tobytes() + weights[a:b].astype(np.uint32).tobytes())
+            blobs += [_packed(grams[a:b], weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "grams"])
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 9
-    ids = np.zeros((n, 8), np.uint8)
-    ids[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(n, 5)
-    return ids.view(np.uint64)[:, 0], np.frombuffer(blob, np.uint32, n, 5 * n)
-
-
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum over common elements d of 1 / sum_e max(x_e / x_d, y_e / y_d); the plain Jaccard if all weights are equal."""
     common, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
@@ -260,7 +253,89 @@ def _verified(limit: float):
         for batch in batches:
             sims = [probability_jaccard(_unpacked(x.as_py()), _unpacked(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             ok = pa.array([s >= limit - 1e-12 for s in sims], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"]).filter(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(ok)
+
+    return run
+
+
+def forest(comps: list[int], sides: list[int], grams: list[tuple[np.ndarray, np.ndarray]], limit: float) -> list[tuple[int, int]]:
+    """Pairs of positions with at least the similarity `limit` that join components: a spanning forest of all such pairs.
+
+    sides: 0 and 1 are compared with each other alone; rows of side 2 with one another. Common shingles are counted with
+    all later rows at once through the shingles' lists of rows. Equal weights give the similarity from the counts; else
+    the smaller share of the weights that is common bounds it from above, and what passes is computed.
+    """
+    sizes = np.array([len(g) for g, _ in grams])
+    rank = np.argsort(sizes, kind="stable")
+    row = np.repeat(np.arange(len(rank)), sizes[rank])
+    ids = np.concatenate([grams[i][0] for i in rank])
+    weight = np.concatenate([grams[i][1] for i in rank]).astype(np.float64)
+    sizes, side = sizes[rank], np.array(sides)[rank]
+    plain = np.array([(grams[i][1] == grams[i][1][:1]).all() for i in rank])
+    total = np.bincount(row, weight, len(rank))
+    order = np.argsort(ids, kind="stable")
+    head = np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
+    stop = np.append(np.flatnonzero(head)[1:], len(ids))[np.cumsum(head) - 1]
+    # for each shingle of a row: its list's rows after this row, as a stretch of `order`
+    after, end = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+    after[order], end[order] = np.arange(1, len(ids) + 1), stop
+    listed, listed_weight = row[order], weight[order]
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    up = {c: c for c in comps}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    links = []
+    for x in range(len(rank)):
+        a = after[at[x] : at[x + 1]]
+        n = end[at[x] : at[x + 1]] - a
+        if not n.sum():
+            continue
+        where = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        others = listed[where]
+        common = np.bincount(others, minlength=len(rank))
+        share = common / (sizes[x] + sizes - common)
+        maybe = share >= limit - 1e-12
+        if not plain[x] or not plain.all():
+            mine = np.bincount(others, np.repeat(weight[at[x] : at[x + 1]], n), len(rank)) / total[x]
+            theirs = np.bincount(others, listed_weight[where], len(rank)) / total
+            maybe = np.where(plain & plain[x], maybe, np.minimum(mine, theirs) >= limit - 1e-9)
+        if side[x] < 2:
+            maybe &= side != side[x]
+        for y in np.flatnonzero(maybe).tolist():
+            i, j = int(rank[x]), int(rank[y])
+            p, q = find(comps[i]), find(comps[j])
+            if p != q and (plain[x] and plain[y] or probability_jaccard(grams[i], grams[j]) >= limit - 1e-12):
+                up[max(p, q)] = min(p, q)
+                links.append((i, j))
+    return links
+
+
+def _forests(limit: float):
+    """Rows (unit: band, i, j, then id, comp, side, grams) sorted by unit: the links of each unit's forest."""
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        ids = [r[0] for r in held]
+        found = forest([r[1] for r in held], [r[2] for r in held], [_unpacked(r[3]) for r in held], limit)
+        return pa.RecordBatch.from_arrays([pa.array([min(ids[x], ids[y]) for x, y in found], pa.int64()), pa.array([max(ids[x], ids[y]) for x, y in found], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            units = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True)
+            for unit, row in zip(units, rows, strict=True):
+                if unit != now and held:
+                    yield links(held)
+                    held = []
+                now = unit
+                held.append(row)
+        if held:
+            yield links(held)
 
     return run
 
@@ -272,13 +347,37 @@ def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
 
-def _pairs_verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The stored pairs (a, b) whose documents are similar enough, with sim."""
-    picked = _texts_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), texts)
-    grams = stored(picked.mapInArrow(_grams, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+def _shingled(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, grams of each document in a table of doc_id, stored."""
+    return stored(_texts_of(ids, texts).mapInArrow(_grams, "doc_id long, grams binary").dropDuplicates(["doc_id"]), "grams")
+
+
+def _hub_links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The stored pairs (a, b) whose documents are similar enough."""
+    grams = _shingled(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), texts)
     one = pairs.join(grams.withColumnsRenamed({"doc_id": "b", "grams": "gb"}), "b")
     two = one.join(grams.withColumnsRenamed({"doc_id": "a", "grams": "ga"}), "a")
-    return stored(two.select("a", "b", "ga", "gb").mapInArrow(_verified(similarity), "a long, b long, sim double"), "links")
+    return stored(two.select("a", "b", "ga", "gb").mapInArrow(_verified(similarity), "a long, b long"), "links")
+
+
+def _unit_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Stored links (a, b) that join the components left in the buckets of members (band, id, s0, comp)."""
+    part = F.shiftright("band", 60).alias("part")
+    sets = members.groupBy("band", part).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("id", "s0")).alias("x"), F.bit_xor(F.xxhash64("s0", "id")).alias("y")).filter("lo != hi")
+    # buckets of several bands that hold the same documents are one
+    chosen = sets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
+    rest = stored(members.join(chosen, "band").select("band", "id", "comp"), "rest")
+    if rest.isEmpty():
+        return rest.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    grams = _shingled(rest.select(F.col("id").alias("doc_id")), texts).withColumnRenamed("doc_id", "id")
+    sizes = rest.join(grams.select("id", F.length("grams").alias("bytes")), "id").groupBy("band", part).agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    dealt = rest.join(sizes.select("band", "blocks"), "band").withColumn("k", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int"))
+    units = dealt.join(grams, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("k", "other"), F.greatest("k", "other")
+    # a row is in the unit of each block with its own; the pairs inside a block are compared in the unit of the block with itself
+    side = F.when(i == j, F.lit(2)).otherwise((F.col("k") == j).cast("int"))
+    units = units.select("band", i.alias("i"), j.alias("j"), "id", "comp", side.alias("side"), "grams")
+    return stored(units.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id").mapInArrow(_forests(similarity), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,53 +391,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     signed = stored(texts.mapInArrow(_signatures, "doc_id long, fp string, n_words long, bands array<long>, s0 long, s1 long"), "signatures")
     # grouped by more than the join key below, so that both sides of that join are exchanged and a hot print can be split
     heads = stored(signed.groupBy("fp", "n_words").agg(F.min("doc_id").alias("rep")), "heads")
-    reps = signed.join(heads.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi").filter("n_words > 0")
+    reps = signed.join(heads.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"], "left_semi").filter("n_words > 0").dropDuplicates(["fp", "doc_id"])
     rows = reps.select(F.col("doc_id").alias("id"), "s0", "s1", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band", F.shiftright("band", 60).alias("part")).agg(F.min("id").alias("hub"), F.max("id").alias("most")).filter("hub != most").select("band", "hub")
     members = stored(rows.join(buckets, "band"), "members")
-
-    def differ(x: str, y: str, n: int):
-        return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(n)), F.lit(0))
-
-    links: DataFrame | None = None
-    checked: DataFrame | None = None
-    state = members.withColumn("comp", F.col("id"))
-    comps: DataFrame | None = None
-    for turn in range(STAR_ROUNDS + 1):
-        open_buckets = state.groupBy("band", F.shiftright("band", 60).alias("part")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("band", "lo", "hi")
-        if turn < STAR_ROUNDS:
-            # the first round takes the smallest document as hub, the next ones a document of the last component
-            hub_comp = F.col("lo") if turn == 0 else F.col("hi")
-            hubs = state.join(open_buckets, "band").filter(F.col("comp") == hub_comp).groupBy("band", F.shiftright("band", 60).alias("part")).agg(F.min_by(F.struct("id", "comp", "s0", "s1"), "id").alias("h")).select("band", F.col("h.id").alias("hub_id"), F.col("h.comp").alias("hub_comp"), F.col("h.s0").alias("t0"), F.col("h.s1").alias("t1"))
-            met = state.join(hubs, "band").filter((F.col("comp") != F.col("hub_comp")) & (differ("s", "t", 2) <= max_differ(similarity, M)))
-            pairs = met.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"))
-        else:
-            # pairs are compared inside the join on sketches that tell 0.8 from 0.75; only those that may be links leave it
-            rest = stored(state.join(open_buckets.select("band"), "band").select("band", "id", "comp"), "rest")
-            words = SKETCH // 64
-            kinds = ", ".join(f"k{i} long" for i in range(words))
-            sketches = _texts_of(rest.select(F.col("id").alias("doc_id")), texts).mapInArrow(_sketches, f"doc_id long, {kinds}").dropDuplicates(["doc_id"])
-            rest = stored(rest.join(sketches.withColumnRenamed("doc_id", "id"), "id"), "rest")
-            # known not to be null, the long comparison compiles to a method that the JVM optimises
-            rest = rest.filter(" and ".join(f"{c} is not null" for c in rest.columns))
-            other = rest.withColumnsRenamed({"id": "id2", "comp": "comp2", "band": "band2"} | {f"k{i}": f"t{i}" for i in range(words)})
-            met = rest.join(other, (F.col("band") == F.col("band2")) & (F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & (differ("k", "t", words // 8) <= max_differ(similarity, SKETCH // 8)) & (differ("k", "t", words) <= max_differ(similarity, SKETCH)))
-            pairs = met.select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        pairs = pairs.distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = _pairs_verified(pairs, texts, similarity)
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(links)
-        state = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    hubs = members.filter("id = hub").select("band", F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+    near = members.filter("id != hub").join(hubs, "band").filter(differ <= max_differ(similarity, M))
+    links = _hub_links(stored(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs"), texts, similarity)
+    comps = connected_components(links)
+    state = members.join(comps, "id", "left").select("band", "id", "s0", F.coalesce("comp", "id").alias("comp"))
+    more = _unit_links(state, texts, similarity)
+    if not more.isEmpty():
+        comps = connected_components(links.unionByName(more))
     classes = heads.select("fp", F.col("rep").alias("id"))
-    classes = classes.join(comps, "id", "left").select("fp", F.coalesce("comp", "id").alias("class_id")) if comps is not None else classes.select("fp", F.col("id").alias("class_id"))
+    classes = classes.join(comps, "id", "left").select("fp", F.coalesce("comp", "id").alias("class_id"))
     return signed.select("doc_id", "fp").join(classes, "fp").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 

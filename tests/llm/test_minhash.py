@@ -99,8 +99,51 @@ def test_pieces_and_blocks_do_not_change_signatures(monkeypatch):
     assert (M.prob_minhash(rows, ids, weights, 60) == whole).all()
 
 
-def test_leftovers_are_compared_without_star_rounds(spark, monkeypatch):
-    monkeypatch.setattr(M, "STAR_ROUNDS", 0)
+def test_units_of_many_blocks_lose_no_link(spark, monkeypatch):
     data = near_copies(5)
-    got = {r.doc_id: r.class_id for r in M.near_duplicates(edge.table(spark, data)).collect()}
-    assert got == classes([(d, grams(t)) for d, t, *_ in data])
+    want = classes([(d, grams(t)) for d, t, *_ in data])
+    monkeypatch.setattr(M, "BLOCK_ROWS", 2)
+    assert {r.doc_id: r.class_id for r in M.near_duplicates(edge.table(spark, data)).collect()} == want
+    # no hub links: the units find all of them
+    monkeypatch.setattr(M, "max_differ", lambda *_: -1)
+    assert {r.doc_id: r.class_id for r in M.near_duplicates(edge.table(spark, data)).collect()} == want
+
+
+def packed(counter):
+    ids = np.array(sorted(hash(k) & ((1 << 40) - 1) for k in counter), np.uint64)
+    by = {hash(k) & ((1 << 40) - 1): v for k, v in counter.items()}
+    return ids, np.array([by[int(i)] for i in ids], np.uint32)
+
+
+def test_forest_against_all_pairs():
+    rng = random.Random(8)
+    base = edge.words(rng, 90).split()
+    bags = []
+    for k in range(60):
+        w = [x if rng.random() > 0.006 * (k % 5) else f"q{rng.randrange(9)}" for x in base] + (base[:30] if k % 7 == 0 else [])
+        bags.append(packed(grams(" ".join(w))))
+    comps = [k // 2 * 2 for k in range(60)]
+    sides = [k % 2 for k in range(60)]
+    for side in (sides, [2] * 60):
+        found = M.forest(comps, side, bags, 0.8)
+        up = {c: c for c in comps}
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i in range(60):
+            for j in range(i):
+                if (side[i] == 2 or side[i] != side[j]) and M.probability_jaccard(bags[i], bags[j]) >= 0.8:
+                    up[max(find(comps[i]), find(comps[j]))] = min(find(comps[i]), find(comps[j]))
+        merges = len(set(comps)) - len({find(c) for c in comps})
+        assert len(found) == merges and merges > 5
+        assert all(M.probability_jaccard(bags[i], bags[j]) >= 0.8 and find(comps[i]) == find(comps[j]) for i, j in found)
+
+
+def test_packed_shingles_come_back():
+    for w in ([1, 1, 1], [1, 3, 2], []):
+        ids = np.array([5, 1 << 33, (1 << 40) - 1][: len(w)], np.uint64)
+        back = M._unpacked(M._packed(ids, np.array(w)))
+        assert back[0].tolist() == ids.tolist() and back[1].tolist() == w
