@@ -59,3 +59,33 @@ def test_steps_do_not_change_windows(monkeypatch):
         row, start, count, key = S.window_runs(data, offsets, 50)
         got = {(int(r), int(s) + i): int(k) for r, s, c, k in zip(row, start, count, key, strict=True) for i in range(c)}
         assert set(got) == {(i, j) for i, d in enumerate(docs) for j in range(len(d) - 49)}
+
+
+def test_longest_previous_factors(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(6)
+    text = bytes(rng.choice(b"ab") for _ in range(300)) * 2
+    flat, n, length = np.frombuffer(text, np.uint8), 500, 50
+    starts = np.arange(n)
+    place = np.array([rng.randrange(40) for _ in range(n)])
+    words = S.suffix_words(flat, starts, length)
+
+    def common(i, j):
+        return next((k for k in range(length) if text[i + k] != text[j + k]), length)
+
+    want = [max((common(i, j) for j in range(n) if place[j] < place[i]), default=0) for i in range(n)]
+    assert S.previous_factors(words, place, length).tolist() == want
+    assert S.previous_factors(words, place, length, 20).tolist() == [x if x >= 20 else 0 for x in want]
+    for windows in (10**6, 100, 1):
+        monkeypatch.setattr(S, "WINDOWS", windows)
+        assert S._repeated(flat, starts, place, length).tolist() == [x >= length for x in want]
+
+
+def test_many_groups_and_buckets(spark, monkeypatch):
+    data = [r for r in edge.rows() if r[0] is not None]
+    docs = {d: (t or "").encode() for d, t, *_ in data}
+    monkeypatch.setattr(S, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(S, "PARTITIONS", 5)
+    monkeypatch.setattr(S, "BATCH_BYTES", 5_000)
+    assert sorted(set(found(S.cut_repeats(edge.table(spark))))) == expected(docs, 50)
