@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 #: The white space that equality ignores: [\x20\x09-\x0D].
 IGNORED = b" \t\n\x0b\x0c\r"
-TRIE_BYTES = 96 << 20
+TRIE_BYTES = 48 << 20
+#: Stands for a null doc_id inside the tries, so that it comes last.
+NO_ID = (1 << 63) - 1
 OUT_BYTES = 8 << 20
 
 
@@ -164,9 +166,9 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """One row for each distinct text: sha, n_bytes, owner (the doc_id that stays), group_size."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = texts.filter("doc_id is not null").mapInArrow(_map_tries(trie_bytes), "norm binary, cps long, owner long, n long")
+    """One row for each distinct text: sha, n_bytes, owner (the doc_id that stays; NO_ID for a null one), group_size."""
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    first = texts.mapInArrow(_map_tries(trie_bytes), "norm binary, cps long, owner long, n long")
     dealt = first.repartition(F.length("norm"), F.xxhash64("norm"))
     found = dealt.mapInArrow(_reduce_tries(trie_bytes), "sha string, n_bytes long, cps long, owner long, n long")
     return found.groupBy("sha", "n_bytes").agg(F.min(F.struct((-F.col("cps")).alias("c"), F.col("owner").alias("owner")))["owner"].alias("owner"), F.sum("n").alias("group_size"))
@@ -176,21 +178,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
     Null text counts as empty; empty and all-white texts are one group. Rows that repeat a doc_id get the same keep_id
-    (and the same kept). Rows with a null doc_id cannot own or name a group and are left out. An empty table gives no
-    rows. Other columns of docs are not read.
+    (and the same kept). A null doc_id is the largest one: such rows are members like any other, and a group that one of
+    them owns (by its code points, or as there is no other row) has a null keep_id, kept for its rows with a null doc_id.
+    An empty table gives no rows. Other columns of docs are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = texts.mapInArrow(_digests, "doc_id long, sha string")
     # the join key is narrower than the owners' grouping, so both sides are exchanged and Spark can split a hot digest
-    return members.join(owners(docs, id_col, text_col, trie_bytes), "sha").select(
-        "doc_id", F.col("owner").alias("keep_id"), "group_size", (F.col("owner") == F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    keep = F.nullif("owner", F.lit(NO_ID))
+    return members.join(owners(docs, id_col, text_col, trie_bytes), "sha").select("doc_id", keep.alias("keep_id"), "group_size", keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row of docs for each distinct text, with all its columns: a row of the owner's doc_id with that text, the
     longest one if several have it. Rows with a null doc_id are all kept."""
-    kept = owners(docs, id_col, text_col, trie_bytes).select(F.col("owner").alias("_rm_owner"), F.col("sha").alias("_rm_kept"))
+    kept = owners(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, trie_bytes).select(F.col("owner").alias("_rm_owner"), F.col("sha").alias("_rm_kept"))
     named = docs.withColumn("_rm_sha", F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), IGNORED.decode(), "").cast("binary"), 256))
     mine = named.join(kept, (F.col(id_col) == F.col("_rm_owner")) & (F.col("_rm_sha") == F.col("_rm_kept")), "left_semi")
     one = Window.partitionBy(id_col, "_rm_sha").orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))

@@ -8,6 +8,8 @@ are closer than a margin is flagged as ambiguous.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
+from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +17,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import flat_bytes, mixed
+from reelmill.llm.common import byte_pieces, flat_bytes, mixed
 
 BUCKETS = 1 << 12
 ORDERS = (2, 3, 4)
-#: The classifiers are fitted on at most this many distinct labelled texts a language, chosen by a hash, and on at most SAMPLE_BYTES of each.
+#: The classifiers are fitted on at most this many distinct labelled texts a language, chosen by a hash; each is read whole.
 SAMPLE_ROWS = 300
 AMBIGUOUS = 0.15
 #: A filtering stage rejects texts whose best language scores less: theirs is none of the known ones, or many at once.
 MIN_SCORE = 0.4
 STEP = 1 << 18
+#: Bytes of text that a task takes from a batch at once.
+BATCH_BYTES = 4 << 20
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -48,27 +52,42 @@ def buckets_of(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def codewords(k: int) -> np.ndarray:
-    """k codewords of -1/1: all distinct two-way splits of the languages if there are few (an exhaustive code), else
-    rows of a random balanced matrix of 12 log2(k) bits with distinct columns."""
+    """k distinct codewords of -1/1. Up to six languages have an exhaustive code: all two-way splits. More have
+    12 log2(k) balanced splits drawn at random, or all balanced splits where these are fewer. A split and its inverse
+    are the same one."""
     if k <= 6:
         bits = [[1 if (m >> i) & 1 else -1 for i in range(k)] for m in range(1, 1 << (k - 1))] if k > 1 else [[1]]
         return np.array(bits, np.float32).T
+    half = k // 2
+    there = comb(k, half) // (2 if k % 2 == 0 else 1)
+    width = min(there, 12 * ceil(log2(k)))
+    if there <= 4 * width:
+        every = np.full((comb(k, half), k), -1, np.float32)
+        for i, ones in enumerate(combinations(range(k), half)):
+            every[i, list(ones)] = 1
+        every = every[every[:, 0] > 0] if k % 2 == 0 else every
+        return every[np.sort(np.random.default_rng(7).permutation(len(every))[:width])].T.copy()
     rng = np.random.default_rng(7)
-    width = int(12 * np.ceil(np.log2(k)))
-    columns: dict[bytes, np.ndarray] = {}
-    while len(columns) < width:
-        c = rng.permutation(np.where(np.arange(k) < k // 2, 1, -1)).astype(np.float32)
-        columns[c.tobytes()] = c
-    return np.stack(list(columns.values()), 1)
+    while True:
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < width:
+            c = rng.permutation(np.where(np.arange(k) < half, 1, -1)).astype(np.float32)
+            c = c if k % 2 or c[0] > 0 else -c
+            columns[c.tobytes()] = c
+        code = np.stack(list(columns.values()), 1)
+        # no two languages may be near each other: in a drawn code they differ in about half the bits
+        agree = code @ code.T
+        if (agree - 2 * width * np.eye(k)).max() < width / 2 + 1:
+            return code
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Length-normalised, square-rooted bucket counts of each text (rows), for fitting."""
     out = np.zeros((len(offsets) - 1, BUCKETS), np.float32)
     for i in range(len(offsets) - 1):
-        part = folded(data[offsets[i] : offsets[i + 1]])
         for n in ORDERS:
-            if len(part) >= n:
+            for a in range(offsets[i], offsets[i + 1] - n + 1, STEP):
+                part = folded(data[a : min(offsets[i + 1], a + STEP + n - 1)])
                 out[i] += np.bincount(buckets_of(part, n), minlength=BUCKETS)
     return out / np.maximum(1, out.sum(1, keepdims=True))
 
@@ -85,11 +104,11 @@ class Model:
         count = np.zeros(len(offsets) - 1)
         for n in ORDERS:
             count += np.maximum(0, np.diff(offsets) - n + 1)
-        data = folded(data)
         for a in range(0, len(data), STEP):
             b = min(len(data), a + STEP)
+            whole = folded(data[a : b + max(ORDERS) - 1])
             for n in ORDERS:
-                part = data[a : min(len(data), b + n - 1)]
+                part = whole[: b - a + n - 1]
                 if len(part) < n:
                     continue
                 bucket = buckets_of(part, n)
@@ -115,13 +134,15 @@ class Model:
         return best, score, score - second < AMBIGUOUS
 
 
-def fit(texts: list[bytes], langs: list[str], steps: int = 200, rate: float = 0.5, l2: float = 1e-6) -> Model:
-    """Fits one logistic classifier a bit (full-batch, with momentum; languages have equal weight)."""
+def fit(texts: list[bytes], langs: list[str]) -> Model:
+    """A model of labelled texts."""
+    return fit_features(features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))), langs)
+
+
+def fit_features(x: np.ndarray, langs: list[str], steps: int = 200, rate: float = 0.5, l2: float = 1e-6) -> Model:
+    """Fits one logistic classifier a bit (full-batch, with momentum; languages have equal weight) on rows of features."""
     names = sorted(set(langs))
     code = codewords(len(names))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    x = features(data, offsets)
     scale = 1 / (x.std(0) + 1e-5)
     mean = x.mean(0)
     x = (x - mean) * scale / np.sqrt(BUCKETS)
@@ -142,10 +163,18 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 200, rate: float = 0.
     return Model(names, code, weight.astype(np.float32), (b - mean @ weight).astype(np.float64), trust / trust.sum() * code.shape[1])
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = 20_000) -> Model | None:
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, h, the features of the whole text, compressed) of (lang, h, text)."""
+    for batch in byte_pieces(batches, 2, BATCH_BYTES):
+        data, offsets = flat_bytes(batch.column(2))
+        found = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in features(data, offsets)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["lang", "h", "x"])
+
+
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from a bounded sample of the labelled texts: of each language, up to sample_rows distinct texts with the
-    smallest hashes, cut to sample_bytes characters for the fit alone. Every labelled language has a text in it, whatever
-    the copies in the others. None if no row is labelled."""
+    smallest hashes, whole. What reaches the driver is their features, of a fixed size each. Every labelled language has
+    a text in it, whatever the copies in the others. None if no row is labelled."""
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and length(text) > 0")
     share = known.withColumn("h", F.xxhash64("text"))
     todo = {r["lang"]: r["n"] for r in share.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
@@ -156,14 +185,15 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
     while todo:
         # a hash threshold a language keeps about wide * sample_rows of its distinct texts (all, if it has fewer)
         cut = F.create_map(*[F.lit(x) for lang, n in todo.items() for x in (lang, min(1.0, wide * sample_rows / max(1, n)))])
-        picked = share.filter(F.pmod("h", F.lit(1 << 40)) < cut[F.col("lang")] * F.lit(1 << 40)).select("lang", "h", F.substring("text", 1, sample_bytes).alias("text"))
-        for r in sorted(picked.distinct().collect()):
+        picked = share.filter(F.pmod("h", F.lit(1 << 40)) < cut[F.col("lang")] * F.lit(1 << 40)).select("lang", "h", "text").distinct()
+        for r in sorted(picked.mapInArrow(_counted, "lang string, h long, x binary").collect()):
             if len(kept.setdefault(r["lang"], [])) < sample_rows:
-                kept[r["lang"]].append(r["text"].encode())
+                kept[r["lang"]].append(bytes(r["x"]))
         todo = {lang: n for lang, n in todo.items() if lang not in kept}
         wide *= 16
-    texts = [t for lang in sorted(kept) for t in kept[lang]]
-    return fit(texts, [lang for lang in sorted(kept) for _ in kept[lang]])
+    names = sorted(kept)
+    x = np.stack([np.frombuffer(pa.decompress(b, 4 * BUCKETS, "zstd", asbytes=True), np.float32) for lang in names for b in kept[lang]])
+    return fit_features(x, [lang for lang in names for _ in kept[lang]])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +204,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_pieces(batches, 1, BATCH_BYTES):
             data, offsets = flat_bytes(batch.column(1))
             letters = np.array([bool(LETTER.search(t.as_py() or "")) for t in batch.column(1)], bool)
             n = len(offsets) - 1
@@ -195,7 +225,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: flo
     at = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_pieces(batches, at, BATCH_BYTES):
             data, offsets = flat_bytes(batch.column(at))
             keep = np.array([bool(LETTER.search(t.as_py() or "")) for t in batch.column(at)], bool)
             if len(keep):

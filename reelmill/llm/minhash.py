@@ -123,7 +123,7 @@ def shingles(counts: np.ndarray, words: np.ndarray, n: int = WORDS) -> tuple[np.
         h = np.zeros(len(words), np.uint64)
         for i in range(n):
             nxt = np.zeros(len(words), np.uint64)
-            nxt[: len(words) - i] = words[i:]
+            nxt[: max(0, len(words) - i)] = words[i:]
             h = np.where(i < size, h * _BASE + nxt, h)
         h = mixed(h + size.astype(np.uint64)) >> np.uint64(64 - ID_BITS)
     # texts in a call are fewer than 2^(64 - ID_BITS)
@@ -385,9 +385,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     Documents with the same lower-cased words are one class outright; texts without words (null, empty, white) are one
     class too. A text of fewer than five words has one shingle. Rows that repeat a doc_id get one class: the one of the
-    row whose words hash lowest. Rows with a null doc_id are left out. An empty table gives no rows.
+    row whose words hash lowest. Rows with a null doc_id get the class of the documents with the same words; where there
+    are none, class_id is null and kept is true. An empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signatures, "doc_id long, fp string, n_words long, bands array<long>, s0 long, s1 long"), "signatures")
     # grouped by more than the join key below, so that both sides of that join are exchanged and a hot print can be split
     heads = stored(signed.groupBy("fp", "n_words").agg(F.min("doc_id").alias("rep")), "heads")
@@ -406,7 +407,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         comps = connected_components(links.unionByName(more))
     classes = heads.select("fp", F.col("rep").alias("id"))
     classes = classes.join(comps, "id", "left").select("fp", F.coalesce("comp", "id").alias("class_id"))
-    return signed.select("doc_id", "fp").join(classes, "fp").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return signed.select("doc_id", "fp").join(classes, "fp").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,10 +73,10 @@ ORACLE_SQL = {
     "op2_exact_dedup": r"""
         WITH t AS (
           SELECT doc_id, length(coalesce(text, '')) AS cps, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
-          FROM documents WHERE doc_id IS NOT NULL),
+          FROM documents),
         g AS (
-          SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY cps DESC, doc_id) AS keep_id,
+          SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY cps DESC, doc_id NULLS LAST) AS keep_id,
                  count(*) OVER (PARTITION BY norm) AS group_size FROM t)
-        SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, sha256(norm) AS text_sha256 FROM g
+        SELECT doc_id, keep_id, group_size, keep_id IS NOT DISTINCT FROM doc_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
 }

@@ -37,11 +37,45 @@ def test_copies_leave_every_language_in_the_sample(spark):
     assert model.langs == ["aa", "bb", "cc"]
 
 
+def made_texts(rng, lang, n, words=40):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = np.random.default_rng(lang).permutation(list(letters))[:9]
+    return [" ".join("".join(rng.choice(own, 4)) for _ in range(words)) for _ in range(n)]
+
+
+def test_seven_languages_and_copies(spark):
+    rng = np.random.default_rng(1)
+    texts = {f"l{k}": made_texts(rng, k, 60) for k in range(7)}
+    rows = [(i, t, lang) for lang, some in texts.items() for i, t in enumerate(some[:40])]
+    held = [(t, lang) for lang, some in texts.items() for t in some[40:]]
+    for copies in (0, 20_000):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        docs = docs.unionByName(spark.range(copies).selectExpr("id as doc_id", f"'{texts['l0'][0]}' as text", "'l0' as lang"))
+        model = L.train(docs, sample_rows=30)
+        assert model.langs == sorted(texts)
+        data, offsets = np.frombuffer("".join(t for t, _ in held).encode(), np.uint8), np.cumsum([0] + [len(t) for t, _ in held])
+        best = model.decode(model.margins(data, offsets))[0]
+        assert np.mean([model.langs[b] == lang for b, (_, lang) in zip(best, held, strict=True)]) > 0.97
+
+
+def test_features_of_whole_texts(monkeypatch):
+    text = "abc déf ".encode() * 9_000
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = L.features(data, offsets)
+    monkeypatch.setattr(L, "STEP", 1000)
+    assert (L.features(data, offsets) == whole).all()
+    batch = next(L._counted(iter([__import__("pyarrow").RecordBatch.from_pydict({"lang": ["x"], "h": [1], "text": [text.decode()]})])))
+    back = np.frombuffer(__import__("pyarrow").decompress(batch.column(2)[0].as_py(), 4 * L.BUCKETS, "zstd", asbytes=True), np.float32)
+    assert (back == whole[0]).all()
+
+
 def test_one_language_and_many():
     assert L.codewords(1).shape == (1, 1)
-    for k in (2, 4, 6, 9, 40):
+    for k in range(1, 65):
         code = L.codewords(k)
-        assert len({tuple(r) for r in code.tolist()}) == k
+        assert len({tuple(r) for r in code.tolist()}) == k == len(code)
+        columns = {tuple(c) for c in code.T.tolist()}
+        assert len(columns) == code.shape[1] and (k == 1 or not any(tuple(-x for x in c) in columns for c in columns))
     model = L.fit([b"the cat and the dog"] * 3, ["en"] * 3)
     assert model.decode(model.margins(np.frombuffer(b"a dog", np.uint8), np.array([0, 5])))[0].tolist() == [0]
 

@@ -61,7 +61,11 @@ def test_edges(spark):
     data = [r for r in edge.rows() if r[0] is not None]
     want = classes(list({d: grams(t) for d, t, *_ in data}.items()))
     found = M.near_duplicates(edge.table(spark)).collect()
+    assert [(r.class_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+    found = [r for r in found if r.doc_id is not None]
     assert len(found) == len(data) and {r.doc_id: r.class_id for r in found} == want
+    named = [(3, "some few words", *[None] * 9), (None, "Some  few words", *[None] * 9)]
+    assert {(r.doc_id, r.class_id, r.kept) for r in M.near_duplicates(edge.table(spark, named)).collect()} == {(3, 3, True), (None, 3, False)}
     kept = M.drop_near_duplicates(edge.table(spark))
     assert kept.columns == edge.SCHEMA.replace(",", "").split()[::2]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(want.values()))
