@@ -2,14 +2,17 @@
 
 Blocks carry hashed features of their ancestors (tags, class and id words) and of their text; the field has one weight a
 feature and label and one a pair of neighbouring labels. It is trained by gradient ascent on the conditional likelihood
-of labelled pages: a bounded sample of pages that mark their article by tag, and the same texts set into other layouts
-whose labels are known. Pages are decoded by Viterbi in the tasks.
+of labelled pages. Tables of pages carry no labels, so the labelled pages are layouts made by `layout`: articles with
+tables, lists, unclosed tags and foreign parts inside, among menus, footers, sidebars, notices, adverts, forms and
+comments, filled with texts of the table's own blocks. What a part is follows from where the layout puts it; no rule
+reads the labels off a given page. Pages are decoded by Viterbi in the tasks.
 """
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Iterator
+from html import escape
 from zlib import crc32
 
 import numpy as np
@@ -17,15 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.llm.common import byte_pieces, stored
 from reelmill.llm.html_blocks import Block, parse
 
 BUCKETS = 1 << 12
-#: The field is trained on at most this many pages of the table, those with the smallest hashes among pages of at most SAMPLE_CHARS that mark an article.
-SAMPLE_PAGES = 120
-SAMPLE_CHARS = 200_000
+#: Bytes of pages that a task takes from a batch at once.
+BATCH_BYTES = 4 << 20
+#: The layouts are filled with texts of at most this many distinct blocks of the table, chosen by a hash.
+SAMPLE_BLOCKS = 1500
+#: The field is trained on so many layouts.
+LAYOUTS = 450
 
 #: Words by which layouts name their parts; used to make training layouts only.
 MAIN_WORDS = "content post entry article main story body text page single".split()
+WRAP_WORDS = "wrapper container site inner row col grid layout center outer".split()
 SIDE_WORDS = {
     "nav": "nav menu navigation breadcrumb pagination topbar".split(),
     "header": "header masthead top branding hero".split(),
@@ -113,57 +121,85 @@ class Field:
         return labels[::-1]
 
 
-def layout(rng: random.Random, title: str, main: list[str], side: list[str]) -> str:
-    """A labelled page (data-y) with the given main and other texts in a random layout."""
+def _phrase(rng: random.Random, texts: list[str], kind: str) -> str:
+    """Escaped words from the given texts: a word or two, a line, a sentence or a paragraph."""
+    words = rng.choice(texts).split()
+    n = {"word": rng.randint(1, 3), "line": rng.randint(2, 9), "sentence": rng.randint(6, 25), "paragraph": rng.randint(20, 250)}[kind]
+    at = rng.randint(0, max(0, len(words) - n))
+    return escape(" ".join(words[at : at + n]) or "x")
 
-    def part(tag: str) -> str:
-        word = rng.choice(SIDE_WORDS[tag])
-        own = tag if rng.random() < 0.5 else "div"
-        texts = [rng.choice(side) for _ in range(rng.randint(1, 4))] if tag != "section" else [rng.choice(side + main) for _ in range(rng.randint(1, 3))]
-        kind = rng.random()
-        if tag in ("nav", "ul") or kind < 0.2:
-            body = "<ul>" + "".join(f'<li><a href="#">{t[:25]}</a></li>' for t in texts) + "</ul>"
-        elif kind < 0.6:
-            body = "".join(f"<p>{t}</p>" for t in texts)
-        else:
-            body = texts[0]
-        return f'<{own} class="{word}{rng.choice(["", "-box", " wrap"])}" data-y="0">{body}</{own}>'
 
-    def text(t: str) -> str:
-        return rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</ul>", "<h2>{}</h2>", "<pre>{}</pre>"] if rng.random() < 0.3 else ["<p>{}</p>"]).format(t)
+def _main_part(rng: random.Random, texts: list[str]) -> str:
+    """A part of an article: mostly paragraphs, else any element that holds text, some of them never closed."""
+    kind = rng.random()
 
-    inner = [f"<h1>{title}</h1>"] * (rng.random() < 0.9) + [text(t) for t in main]
-    for tag in ("div", "section", "ul", "form", "aside"):
+    def phrase() -> str:
+        return _phrase(rng, texts, rng.choice(["word", "line", "sentence", "paragraph"]))
+
+    if kind < 0.55:
+        text = _phrase(rng, texts, rng.choice(["line", "sentence", "paragraph", "paragraph"]))
         if rng.random() < 0.2:
-            inner.insert(rng.randint(1, len(inner)), part(tag))
-    own = rng.choice(["article", "main", "div", "section", "td"])
-    word = rng.choice(MAIN_WORDS)
-    named = f' class="{word}"' if own in ("div", "section", "td") or rng.random() < 0.5 else ""
-    outer = [part(t) for t in SIDE_WORDS if rng.random() < 0.5]
+            text += f' <a href="/x">{_phrase(rng, texts, "word")}</a> {_phrase(rng, texts, "line")}'
+        return rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}<br>"]).format(text)
+    if kind < 0.72:
+        return rng.choice(["<div>{}</div>", "<p>{}<div>{}</div>", "<blockquote>{}</blockquote>", "<h2>{}</h2>", "<h3>{}</h3><p>{}</p>", "<pre>{}</pre>", "<section><p>{}</p></section>", "<figure><figcaption>{}</figcaption></figure>", "<dl><dt>{}<dd>{}</dl>"]).replace("{}", "\0").replace("\0", phrase(), 1).replace("\0", phrase())
+    if kind < 0.86:
+        own, shut = rng.choice(["ul", "ol"]), rng.choice(["</li>", ""])
+        return f"<{own}>" + "".join(f"<li>{phrase()}{shut}" for _ in range(rng.randint(1, 6))) + f"</{own}>"
+    shut, width = rng.choice([True, False]), rng.randint(1, 4)
+    rows = []
+    for k in range(rng.randint(1, 5)):
+        cell = "th" if k == 0 and rng.random() < 0.6 else "td"
+        cells = [str(rng.randint(0, 10**rng.randint(1, 6))) if cell == "td" and rng.random() < 0.4 else _phrase(rng, texts, rng.choice(["word", "word", "line", "sentence"])) for _ in range(width)]
+        rows.append("<tr>" + "".join(f"<{cell}>{c}" + f"</{cell}>" * shut for c in cells) + "</tr>" * shut)
+    return "<table>" + "".join(rows) + "</table>"
+
+
+def _side_part(rng: random.Random, texts: list[str], tag: str) -> str:
+    """A labelled part that is no main text: its element or a div, named by one of its words or (elements) not at all."""
+    own = tag if rng.random() < 0.6 else "div"
+    word = rng.choice(SIDE_WORDS[tag])
+    name = f' {rng.choice(["class", "class", "id"])}="{word}{rng.choice(["", "", "-box", " wrap", "-list"])}"' if own in ("div", "section", "ul") or rng.random() < 0.5 else ""
+    many = range(rng.randint(1, 5))
+    if tag == "section":
+        held = [rng.choice(["<p>{}</p>", "<li>{}</li>", "<div><b>{}</b><p>{}</p></div>", "<blockquote>{}</blockquote>", "<div><span>{}</span> {}</div>"]) for _ in many]
+        body = f"<h3>{_phrase(rng, texts, 'word')}</h3>" * rng.randint(0, 1) + "".join(h.replace("{}", _phrase(rng, texts, rng.choice(["line", "sentence", "paragraph"]))) for h in held)
+    elif tag in ("nav", "ul") or tag in ("header", "aside", "footer") and rng.random() < 0.4:
+        body = "<ul>" + "".join(f'<li><a href="/x">{_phrase(rng, texts, "word")}</a>' + "</li>" * rng.randint(0, 1) for _ in many) + "</ul>"
+    elif tag == "footer":
+        body = rng.choice(["", "&copy; ", "\u00a9 2020 "]) + rng.choice([" &middot; ", " | ", " "]).join(_phrase(rng, texts, rng.choice(["word", "sentence"])) for _ in range(2))
+    elif tag == "form":
+        body = f'<label>{_phrase(rng, texts, "word")}</label><input name="q"><button>{_phrase(rng, texts, "word")}</button>' + f"<p>{_phrase(rng, texts, 'line')}</p>" * rng.randint(0, 1)
+    elif rng.random() < 0.5:
+        body = _phrase(rng, texts, rng.choice(["line", "sentence"]))
+    else:
+        body = "".join(f"<p>{_phrase(rng, texts, rng.choice(['line', 'sentence', 'paragraph']))}</p>" for _ in many)
+    return f'<{own}{name} data-y="0">{body}</{own}>'
+
+
+def layout(rng: random.Random, texts: list[str]) -> str:
+    """A labelled page (data-y) in a random layout, filled with words of the given texts."""
+    inner = [f"<h1>{_phrase(rng, texts, rng.choice(['line', 'sentence']))}</h1>"] * (rng.random() < 0.9) + [_main_part(rng, texts) for _ in range(rng.randint(1, 12))]
+    for tag in ("div", "section", "ul", "form", "aside", "dialog", "nav", "footer"):
+        if rng.random() < 0.15:
+            inner.insert(rng.randint(1, len(inner)), _side_part(rng, texts, tag))
+    own = rng.choice(["article", "article", "main", "div", "section", "td"])
+    named = f' {rng.choice(["class", "class", "id"])}="{rng.choice(MAIN_WORDS)}"' if own in ("div", "section", "td") or rng.random() < 0.4 else ""
+    main = f'<{own}{named} data-y="1">' + "".join(inner) + f"</{own}>"
+    outer = [_side_part(rng, texts, t) for t in SIDE_WORDS if rng.random() < 0.45]
     rng.shuffle(outer)
     at = rng.randint(0, len(outer))
-    return "<html><body>" + "".join(outer[:at]) + f'<{own}{named} data-y="1">' + "".join(inner) + f"</{own}>" + "".join(outer[at:]) + "</body></html>"
+    page = "".join(outer[:at]) + main + "".join(outer[at:])
+    for _ in range(rng.randint(0, 2)):
+        page = f'<{rng.choice(["div", "div", "main"]) if own != "main" else "div"} {rng.choice(["class", "id"])}="{rng.choice(WRAP_WORDS)}">{page}</div>'
+    return f"<html><body>{page}</body></html>"
 
 
-def labelled(pages: list[str], seed: int = 5) -> list[list[Block]]:
-    """Label sequences to train on: pages that mark one article, and three layouts made from the texts of each."""
+def labelled(texts: list[str], seed: int = 5, layouts: int = LAYOUTS) -> list[list[Block]]:
+    """Label sequences to train on, made from the texts of blocks."""
     rng = random.Random(seed)
-    out = []
-    for html in pages:
-        blocks = parse(html).blocks
-        mark = [int(any(t in ("article", "main") for t, _ in b.path) and not any(t in ("nav", "aside", "footer", "form") for t, _ in b.path)) for b in blocks]
-        main = [b.text for b, y in zip(blocks, mark, strict=True) if y]
-        side = [b.text for b, y in zip(blocks, mark, strict=True) if not y]
-        if not main:
-            continue
-        if side:
-            out.append([b._replace(label=y) for b, y in zip(blocks, mark, strict=True)])
-        for _ in range(3):
-            made = [rng.choice(main)[: rng.choice([40, 200, 2000])] for _ in range(rng.randint(1, 12))]
-            out.append(parse(layout(rng, main[0], made, (side or []) + FILLER)).blocks)
-    for _ in range(100):
-        out.append(parse(layout(rng, rng.choice(FILLER), [" ".join(rng.choices(FILLER, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 9))], FILLER)).blocks)
-    return [x for x in out if x]
+    made = [parse(layout(rng, [*texts, *FILLER])).blocks for _ in range(layouts)]
+    return [x for x in made if x]
 
 
 def fit(pages: list[list[Block]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Field:
@@ -210,14 +246,33 @@ def fit(pages: list[list[Block]], rounds: int = 120, rate: float = 0.15, l2: flo
     return Field(emit, step)
 
 
-def train(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """A field trained on a bounded sample of the table's pages; with none that mark an article, on made layouts alone."""
-    marks = pages.select(F.col(html_col).alias("html")).filter((F.length("html") <= sample_chars) & F.col("html").rlike("<(article|main)[ >]"))
-    # a threshold on the hash leaves about twice the sample, so that tasks send few pages however many there are
-    share = min(1.0, 2 * sample_pages / max(1, marks.count()))
-    drawn = marks.withColumn("h", F.xxhash64("html")).filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    rows = drawn.orderBy("h").limit(sample_pages).collect()
-    return fit(labelled([r["html"] for r in rows]))
+def _block_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the blocks of the pages; of long ones the pieces of 300 words."""
+    for batch in byte_pieces(batches, 0, BATCH_BYTES):
+        out = []
+        for html in batch.column(0):
+            for block in parse(html.as_py()).blocks:
+                words = block.text.split(" ")
+                out += [" ".join(words[a : a + 300]) for a in range(0, len(words), 300)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
+
+
+def train(pages: DataFrame, html_col: str = "html", sample_blocks: int = SAMPLE_BLOCKS) -> Field:
+    """A field trained on layouts filled with a bounded sample of the texts of the table's blocks: sample_blocks distinct
+    ones of a sample of pages, both chosen by hashes, so that repeated pages or blocks count once. With no page the
+    layouts have made texts alone."""
+    html = pages.select(F.col(html_col).alias("html")).filter("length(html) > 0").withColumn("h", F.xxhash64("html"))
+
+    def drawn(rows: DataFrame, n: int) -> DataFrame:
+        """About n to 2n distinct rows, by a threshold on their hash: tasks send few rows on however many there are."""
+        share = min(1.0, 1.5 * n / max(1, rows.agg(F.approx_count_distinct("h")).first()[0]))
+        return rows.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+    # nearly every page has a block at least
+    some = drawn(html, sample_blocks).select("html").distinct()
+    blocks = stored(some.mapInArrow(_block_texts, "text string").distinct().withColumn("h", F.xxhash64("text")), "blocks")
+    rows = sorted(drawn(blocks, sample_blocks).select("h", "text").collect())[:sample_blocks]
+    return fit(labelled([r["text"] for r in rows]))
 
 
 def extract(pages: DataFrame, field: Field, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -228,7 +283,7 @@ def extract(pages: DataFrame, field: Field, id_col: str = "page_id", url_col: st
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_pieces(batches, 2, BATCH_BYTES):
             texts, counts, mains = [], [], []
             for html in batch.column(2):
                 blocks = parse(html.as_py()).blocks
