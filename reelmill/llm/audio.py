@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.llm.common import byte_pieces
+
 BLOCK = 576
 RATE = 16_000
-UP, DOWN = 1, 2
+UP, DOWN = 2, 5
 TAPS = 32
 FRAME, HOP, MELS, CHUNK = 256, 128, 32, 64
 #: Frames a step: bounds the memory that a long text takes.
-STEP = 2048
+STEP = 1024
+#: Bytes of media that a task takes from a batch at once.
+BATCH_BYTES = 4 << 20
 HIGH, LOW = 0.35, -0.15
 
 
@@ -77,9 +81,13 @@ def resample(x: np.ndarray, first: int, count: int, up: int = UP, down: int = DO
     if a < b:
         part[a - begin : b - begin] = x[a:b]
     windows = np.lib.stride_tricks.sliding_window_view(part, taps)
-    if up == 1:
-        return windows[::down][:count] @ phases[0]
-    return np.einsum("ij,ij->i", windows[ends - taps + 1 - begin], phases[(k * down) % up])
+    out = np.empty(count, np.float32)
+    for r in range(min(up, count)):
+        # outputs first + r + up * j share a phase, and their windows lie `down` inputs apart
+        at = int(ends[r]) - taps + 1 - begin
+        mine = out[r::up]
+        mine[:] = windows[at::down][: len(mine)] @ phases[(first + r) * down % up]
+    return out
 
 
 def mel_bank(rate: float, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
@@ -177,57 +185,13 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_bytes and the WAV file of each text (null: empty), padded with 255 to a positive multiple of BLOCK."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_pieces(batches, 1, BATCH_BYTES):
             made = [_payload(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([encode_wav(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STORE)
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, spans_ms array<struct<start:long,stop:long>>, logmel array<array<smallint>>, valid_frames array<int>"
-
-
-def media_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Reads each stored file back and computes its features.
-
-    logmel holds one flat CHUNK x MELS tensor (row-major; `tensor_array` gives Arrow's fixed_shape_tensor of them) a
-    chunk, valid_frames its frames; with_tensors=False leaves both empty. feature is a digest of the log-mel frames with
-    the spans. The result depends on the stored bytes alone. A file that is not 8-bit mono PCM fails the job.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor()
-        kinds = media_schema()
-        for batch in batches:
-            size = 0
-            out: list[tuple] = []
-            for doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = data.as_py()
-                payload, _ = decode_wav(data)
-                samples = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-                mel, energy = extract.logmel(samples)
-                spans = extract.spans(energy)
-                feature = feature_text(mel, spans)
-                chunks, valid = tensors(mel) if with_tensors else (np.zeros((0, CHUNK, MELS), np.int16), [])
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(mel), [{"start": a, "stop": b} for a, b in spans], list(chunks.reshape(-1, CHUNK * MELS)), valid))
-                size += chunks.nbytes + 600
-                if size > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
-
-
-def media_schema() -> pa.Schema:
-    span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    return pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-        ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("spans_ms", pa.list_(span)), ("logmel", pa.list_(pa.list_(pa.int16()))), ("valid_frames", pa.list_(pa.int32())),
-    ])
-
-
 PLACED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 SPANS = "spans_ms array<struct<start:long,stop:long>>"
 
@@ -235,8 +199,8 @@ SPANS = "spans_ms array<struct<start:long,stop:long>>"
 def store_features(media: DataFrame) -> DataFrame:
     """Reads each stored file back: its sizes and digests, its spans, and its log-mel tensors as pack_tensors makes them
     (to be written beside the media). A file that is not 8-bit mono PCM fails the job."""
-    kinds = [f.type for f in media_schema()]
-    kinds = [*kinds[:7], kinds[9], pa.binary()]
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
     names = [c.split()[0] for c in PLACED.split(", ")] + ["spans_ms", "tensors"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +208,7 @@ def store_features(media: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
         extract = Extractor()
-        for batch in batches:
+        for batch in byte_pieces(batches, 2, BATCH_BYTES):
             size = 0
             out: list[tuple] = []
             for doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -268,7 +232,7 @@ def read_features(features: DataFrame) -> DataFrame:
     """The stored features with `feature` and n_frames from the stored tensors and spans; the tensors stay in their files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_pieces(batches, 8, BATCH_BYTES):
             texts, frames = [], []
             for spans, data in zip(batch.column(7).to_pylist(), batch.column(8), strict=True):
                 mel = unpack_tensors(data.as_buffer())
