@@ -4,7 +4,8 @@ Documents are tokenised where they lie; only lengths and checksums travel. Docum
 that all but the first piece are full; the rest of the work is a vector bin packing in which a bin has three residual
 capacities: tokens, documents and attention cost (the sum of squared lengths). Pieces are placed in falling length; of
 the bins that can take a piece under every constraint, the best by weighted dot-product (or by least residual norm) gets
-it. Packing runs in groups of about GROUP pieces, dealt by hash, so no task holds more than a bounded number.
+it. Packing runs in groups of about GROUP pieces, dealt by hash or of consecutive rows (so that a sequence holds what
+lay together in a mixture), so no task holds more than a bounded number.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import stored
+from reelmill.llm.common import byte_pieces, stored
 
 CAPACITY = 1024
 EOS = 2
 GROUP = 40_000
+#: Bytes of text that a task takes from a batch at once.
+BATCH_BYTES = 4 << 20
 WEIGHTS = (1.0, 0.05, 0.2)
 #: The added tokens of byte_bpe_50k.json; the rank file has none.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -50,21 +53,23 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, eos: int = EOS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; a null text is empty and has the end token alone."""
+    """doc_id, piece, start, length, ids_crc32 of every piece, and place, which numbers the rows of docs in their order; a
+    null text is empty and has the end token alone."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, pattern).encode_to_numpy
-        for batch in batches:
+        for batch in byte_pieces(batches, 1, BATCH_BYTES):
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, text, place in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py() or ""
                 ids = np.append(encode(text, allowed_special="all").astype("<u4"), np.uint32(eos)).astype("<u4")
-                out += [(doc, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(pieces_of(len(ids), capacity))]
+                out += [(doc, k, a, n, zlib.crc32(ids[a : a + n].tobytes()), place) for k, (a, n) in enumerate(pieces_of(len(ids), capacity))]
             if out:
                 cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "place"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, place long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "dot", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
@@ -131,25 +136,32 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int | None
     return bins, offsets
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "dot", weights: tuple[float, float, float] = WEIGHTS, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (any columns besides doc_id, piece and length are kept).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "dot", weights: tuple[float, float, float] = WEIGHTS, group: int = GROUP, in_order: bool = False) -> DataFrame:
+    """sequence_id and offset for stored pieces, whose columns besides place are kept.
 
     A full piece is a sequence of its own where it lies. The others are dealt by hash into groups of about `group`
-    pieces, each packed on its own, which costs at most about one part-filled sequence a group. Sequence ids are
-    group * 2^40 + bin, those of full pieces negative. An empty table gives no rows.
+    pieces, or with in_order into groups of at most `group` consecutive rows of a partition (a row has one piece that is
+    not full); each is packed on its own, which costs at most about one part-filled sequence a group. Sequence ids of
+    full pieces are negative. An empty table gives no rows.
     """
     docs = capacity if max_docs is None else max_docs
     short = pieces.filter(F.col("length") < capacity)
-    groups = max(1, round(short.count() / group))
-    keyed = short.withColumn("_rm_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
+    if in_order:
+        # the first place of the group; its bins are no more than its rows, so first place + bin tells all sequences apart
+        key, step = F.col("place") - F.col("place").bitwiseAND((1 << 33) - 1) % group, 1
+    else:
+        groups = max(1, round(short.count() / group))
+        key, step = F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"), 1 << 40
+    keyed = short.withColumn("_rm_group", key)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "length", "ids_crc32"], kind="stable", ignore_index=True)
         bins, offsets = best_fit(frame["length"].to_numpy(), capacity, docs, max_cost, rule, weights)
-        return frame.assign(sequence_id=frame["_rm_group"] * (1 << 40) + bins, offset=offsets).drop(columns="_rm_group")
+        return frame.assign(sequence_id=frame["_rm_group"] * step + bins, offset=offsets).drop(columns=["_rm_group", "place"], errors="ignore")
 
-    packed = keyed.groupBy("_rm_group").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
-    full = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
+    kept = [f for f in pieces.schema if f.name != "place"]
+    packed = keyed.groupBy("_rm_group").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long")
+    full = pieces.filter(F.col("length") >= capacity).withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long")).drop("place")
     return full.unionByName(packed)
 
 

@@ -15,7 +15,6 @@ def test_pack_documents(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = P.pack_documents(edge.table(spark), *vocabulary()).collect()
     ids = {d: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for d, t, *_ in edge.rows()}
     want = defaultdict(int)
@@ -90,3 +89,14 @@ def test_groups_are_bounded(spark):
     for r in rows:
         sums[r.sequence_id] += r.length
     assert max(sums.values()) <= 1024 and sum(sums.values()) == sum(1 + i % 700 for i in range(3000))
+
+
+def test_groups_of_consecutive_rows(spark):
+    pieces = spark.range(0, 3000, 1, 3).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id % 1024 as length", "id as ids_crc32", "monotonically_increasing_id() as place")
+    rows = P.pack(pieces, group=250, in_order=True).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append(r)
+    assert len(rows) == 3000 and max(sum(r.length for r in b) for b in bins.values()) <= 1024
+    assert all(len({r.doc_id // 250 for r in b}) == 1 for b in bins.values())
+    assert all(o == sum(r.length for r in b if r.offset < o) for b in bins.values() for o in [x.offset for x in b])
