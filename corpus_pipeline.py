@@ -30,13 +30,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, those of under-weighted sources repeated as the temperature mixture draws them."""
+    """Every document, those of under-weighted sources repeated as the temperature mixture draws them, in its order."""
     return mixing.apply_mix(docs, mixing.mix(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack_documents(docs, *vocabulary())
+    """The pieces of all documents in sequences of 1024 tokens, packed in groups of consecutive rows of the mixture."""
+    return packing.pack_documents(docs, *vocabulary(), in_order=True)
 
 
 STAGES = [
