@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,7 +102,11 @@ def nal_ref_idc(b) -> Column:
     return F.shiftright(uint(b, 0), 5).bitwiseAND(3).cast("int")
 
 
-def rbsp_bits(b, max_bytes: int = 16) -> Column:
+#: Three Exp-Golomb codes of at most 63 bits take 24 bytes, and 36 with an emulation byte after every two.
+PROBE_BYTES = 40
+
+
+def rbsp_bits(b, max_bytes: int = PROBE_BYTES) -> Column:
     """The first bytes after the NAL header, without emulation prevention, as a string of 0 and 1."""
     raw = F.decode(F.substring(_col(b), 2, max_bytes), "ISO-8859-1")
     plain = F.encode(F.regexp_replace(raw, "\\x00\\x00\\x03(?=[\\x00-\\x03])", "\u0000\u0000"), "ISO-8859-1")
@@ -109,22 +115,36 @@ def rbsp_bits(b, max_bytes: int = 16) -> Column:
     return F.array_join(nibbles, "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it (expressions are trees: each naming copies)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def exp_golomb(bits: Column, at: Column) -> Column:
     """Struct (value, next) of the unsigned Exp-Golomb code at a 0-based bit; null if it is cut off."""
-    zeros = F.instr(F.substr(bits, at + 1), "1") - 1
-    stop = at + 2 * zeros + 1
-    ok = (zeros >= 0) & (zeros < 32) & (stop <= F.length(bits))
-    code = F.conv(F.substr(bits, at + zeros + 1, zeros + 1), 2, 10).cast("long") - 1
-    return F.when(ok, F.struct(code.alias("value"), stop.cast("int").alias("next")))
+
+    def read(zeros: Column) -> Column:
+        stop = at + 2 * zeros + 1
+        ok = (zeros >= 0) & (zeros < 32) & (stop <= F.length(bits))
+        code = F.conv(F.substr(bits, at + zeros + 1, zeros + 1), 2, 10).cast("long") - 1
+        return F.when(ok, F.struct(code.alias("value"), stop.cast("int").alias("next")))
+
+    return let(F.instr(F.substr(bits, at + 1), "1") - 1, read)
 
 
 def slice_probe(b) -> Column:
     """Struct (first_mb, slice_type modulo 5, pps_id) of a slice NAL; null if it is too short or malformed."""
-    bits = rbsp_bits(b)
-    first = exp_golomb(bits, F.lit(0))
-    kind = exp_golomb(bits, first["next"])
-    pps = exp_golomb(bits, kind["next"])
-    return F.when(pps.isNotNull() & (kind["value"] < 10), F.struct(first["value"].alias("first_mb"), (kind["value"] % 5).cast("int").alias("slice_type"), pps["value"].alias("pps_id")))
+
+    def made(first: Column, kind: Column, pps: Column) -> Column:
+        return F.when(pps.isNotNull() & (kind["value"] < 10), F.struct(first["value"].alias("first_mb"), (kind["value"] % 5).cast("int").alias("slice_type"), pps["value"].alias("pps_id")))
+
+    def third(bits: Column, first: Column, kind: Column) -> Column:
+        return let(exp_golomb(bits, kind["next"]), lambda pps: made(first, kind, pps))
+
+    def second(bits: Column, first: Column) -> Column:
+        return let(exp_golomb(bits, first["next"]), lambda kind: third(bits, first, kind))
+
+    return let(rbsp_bits(b), lambda bits: let(exp_golomb(bits, F.lit(0)), lambda first: second(bits, first)))
 
 
 def sps_geometry(width_mbs, height_map_units, frame_mbs_only, chroma_format, crop_left, crop_right, crop_top, crop_bottom) -> Column:

@@ -1,17 +1,21 @@
 """The adaptive-bitrate controller over ordered samples of a session.
 
-Its state has no closed form: a session's samples are folded in order by one pure step function, which the batch form
-(applyInPandas a session) and the streaming form share.
+Its state has no closed form: a session's samples are folded in order, by the batch form (applyInPandas a session) and
+the streaming form alike. The controller is a table: for each kind of sample, rules in order; the first one whose
+condition holds changes counters and perhaps moves the rung.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+#: Thresholds of the controller.
 UPGRADE_BUFFER_MS, LOW_BUFFER_MS, CRITICAL_BUFFER_MS = 8000, 3000, 1200
 FAST_DOWNLOADS, HEALTHY_SAMPLES, SMOOTH_FRAMES, TROUBLED_FRAMES, LOW_SAMPLES, COOLDOWN = 4, 8, 90, 3, 2, 6
 LATE_MS, SMOOTH_MS, SAFE_SHARE, DOWN_MARGIN = 180, 60, 0.72, 1.10
@@ -19,7 +23,8 @@ LATE_MS, SMOOTH_MS, SAFE_SHARE, DOWN_MARGIN = 180, 60, 0.72, 1.10
 
 @dataclass
 class Controller:
-    """Rungs are bandwidths in rising order; ceiling is the highest rung that may be chosen."""
+    """Rungs are bandwidths in rising order; ceiling is the highest rung that may be chosen. counts holds the runs of
+    like samples that rules wait for."""
 
     rungs: list[int]
     ceiling: int
@@ -30,99 +35,95 @@ class Controller:
     buffer_ms: int | None = None
     constrained: bool = False
     cooldown: int = 0
-    n_fast: int = 0
-    n_low: int = 0
-    n_healthy: int = 0
-    n_smooth: int = 0
-    n_troubled: int = 0
-
-    def _trouble(self) -> None:
-        self.constrained, self.n_healthy, self.cooldown = True, 0, COOLDOWN
-
-    def _move(self, by: int, reason: str) -> tuple[int, int, str] | None:
-        was, self.index = self.index, max(0, min(self.ceiling if by > 0 else len(self.rungs) - 1, self.index + by))
-        return (was, self.index, reason) if was != self.index else None
-
-    def download(self, n_bytes: int, elapsed_us: int, duration_us: int | None) -> tuple[int, int, str] | None:
-        elapsed_us = max(1, elapsed_us)
-        rate = n_bytes * 8 * 1e6 / elapsed_us
-        self.fast = rate if self.fast is None else self.fast * 0.5 + rate * 0.5
-        self.slow = rate if self.slow is None else self.slow * 0.8 + rate * 0.2
-        if self.manual:
-            return None
-        estimate = min(self.fast, self.slow)
-        self.cooldown = max(0, self.cooldown - 1)
-        now = self.rungs[self.index]
-        behind = bool(duration_us) and duration_us > 0 and elapsed_us * 100 > duration_us * 90
-        if self.index > 0 and now > 0 and (estimate < now * DOWN_MARGIN or behind):
-            self.n_fast = 0
-            self._trouble()
-            return self._move(-1, "bandwidth")
-        if self.constrained or self.cooldown or self.index >= self.ceiling or (self.buffer_ms or 0) < UPGRADE_BUFFER_MS:
-            self.n_fast = 0
-            return None
-        above = self.rungs[self.index + 1]
-        self.n_fast = self.n_fast + 1 if above > 0 and estimate * SAFE_SHARE >= above else 0
-        if self.n_fast >= FAST_DOWNLOADS:
-            self.n_fast = 0
-            return self._move(1, "headroom")
-        return None
-
-    def failure(self) -> tuple[int, int, str] | None:
-        if self.manual:
-            return None
-        self.n_fast = 0
-        self._trouble()
-        return self._move(-1, "download_failed")
+    counts: dict[str, int] = field(default_factory=dict)
 
-    def buffer(self, video_ms: int, audio_ms: int | None, playing: bool, starved: bool) -> tuple[int, int, str] | None:
-        self.buffer_ms = ahead = video_ms if audio_ms is None else min(video_ms, audio_ms)
-        if self.manual:
-            return None
-        if starved or (playing and ahead <= CRITICAL_BUFFER_MS):
-            self.n_low = 0
-            self._trouble()
-            return self._move(-2 if starved else -1, "starved" if starved else "critical_buffer")
-        if playing and ahead < LOW_BUFFER_MS:
-            self.n_healthy, self.n_fast, self.n_low = 0, 0, self.n_low + 1
-            if self.n_low >= LOW_SAMPLES:
-                self.n_low = 0
-                self._trouble()
-                return self._move(-1, "low_buffer")
-            return None
-        self.n_low = 0
-        self.n_healthy = self.n_healthy + 1 if ahead >= UPGRADE_BUFFER_MS else 0
-        if self.n_healthy >= HEALTHY_SAMPLES:
-            self.constrained, self.n_healthy = False, 0
-        return None
-
-    def playback(self, lateness_ms: int, starved: bool) -> tuple[int, int, str] | None:
-        if self.manual:
-            return None
-        if starved or lateness_ms >= LATE_MS:
-            self.n_smooth, self.n_fast, self.n_troubled = 0, 0, self.n_troubled + 1
-            if self.constrained and self.n_troubled < TROUBLED_FRAMES:
-                return None
-            self._trouble()
-            self.n_troubled = 0
-            return self._move(-1, "queue_starved" if starved else "late")
-        self.n_troubled = 0
-        self.n_smooth = self.n_smooth + 1 if lateness_ms <= SMOOTH_MS else 0
-        if self.n_smooth >= SMOOTH_FRAMES:
-            self.constrained, self.n_smooth = False, 0
-        return None
+    def above(self) -> int:
+        return self.rungs[self.index + 1]
 
-    def step(self, x) -> tuple[int, int, str] | None:
-        """One sample: kind download, failure, buffer or playback, with that kind's fields."""
+    def estimate(self) -> float:
+        return min(self.fast, self.slow)
+
+    def measure(self, x) -> None:
+        """What a sample tells besides the rules: throughput (two moving averages) and the buffer."""
         if x.kind == "download":
-            return self.download(int(x.n_bytes), int(x.elapsed_us), None if pd.isna(x.segment_us) else int(x.segment_us))
-        if x.kind == "failure":
-            return self.failure()
-        if x.kind == "buffer":
-            return self.buffer(int(x.video_ms), None if pd.isna(x.audio_ms) else int(x.audio_ms), bool(x.playing), bool(x.starved))
-        if x.kind == "playback":
-            return self.playback(int(x.lateness_ms), bool(x.starved))
-        return None
+            rate = int(x.n_bytes) * 8e6 / max(1, int(x.elapsed_us))
+            self.fast, self.slow = ((rate, rate) if self.fast is None else (0.5 * self.fast + 0.5 * rate, 0.8 * self.slow + 0.2 * rate))
+            self.cooldown = self.cooldown if self.manual else max(0, self.cooldown - 1)
+        elif x.kind == "buffer":
+            self.buffer_ms = int(x.video_ms) if pd.isna(x.audio_ms) else min(int(x.video_ms), int(x.audio_ms))
+
+    def step(self, x) -> tuple[int, int, str] | None:
+        """One sample: kind download, failure, buffer or playback, with that kind's fields. (from, to, reason) of a move."""
+        self.measure(x)
+        rule = None if self.manual else next((r for r in RULES.get(x.kind, ()) if r.when(self, x)), None)
+        if rule is None:
+            return None
+        self.counts.update(dict.fromkeys(rule.clear, 0))
+        if rule.count:
+            self.counts[rule.count] = self.counts.get(rule.count, 0) + 1
+            if self.counts[rule.count] < rule.upto(self):
+                return None
+            self.counts[rule.count] = 0
+        return rule.act(self)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """when it applies; counters it clears; the counter it raises and how far before it acts; what it does then:
+    trouble (a constrained state with a cooldown), calm (its end) and a move by so many rungs with a reason."""
+
+    when: Callable[[Controller, Any], bool]
+    clear: tuple[str, ...] = ()
+    count: str | None = None
+    upto: Callable[[Controller], int] = lambda c: 1
+    trouble: bool = False
+    calm: bool = False
+    move: int = 0
+    reason: str = ""
+
+    def act(self, c: Controller) -> tuple[int, int, str] | None:
+        if self.trouble:
+            c.constrained, c.cooldown = True, COOLDOWN
+            c.counts["healthy"] = 0
+        if self.calm:
+            c.constrained = False
+        was = c.index
+        c.index = max(0, min(c.index + self.move, c.ceiling if self.move > 0 else was))
+        return (was, c.index, self.reason) if c.index != was else None
+
+
+def _lags(c: Controller, x) -> bool:
+    """A download that the rung is too much for: by its estimate, or as it took over nine tenths of its duration."""
+    duration = 0 if pd.isna(x.segment_us) else int(x.segment_us)
+    slow = duration > 0 and 10 * max(1, int(x.elapsed_us)) > 9 * duration
+    return c.index > 0 and c.rungs[c.index] > 0 and (slow or c.estimate() < DOWN_MARGIN * c.rungs[c.index])
+
+
+def _may_rise(c: Controller) -> bool:
+    return not c.constrained and c.cooldown == 0 and c.index < c.ceiling and (c.buffer_ms or 0) >= UPGRADE_BUFFER_MS
+
+
+RULES: dict[str, tuple[Rule, ...]] = {
+    "download": (
+        Rule(_lags, clear=("fast",), trouble=True, move=-1, reason="bandwidth"),
+        Rule(lambda c, x: _may_rise(c) and 0 < c.above() <= SAFE_SHARE * c.estimate(), count="fast", upto=lambda c: FAST_DOWNLOADS, move=1, reason="headroom"),
+        Rule(lambda c, x: True, clear=("fast",)),
+    ),
+    "failure": (Rule(lambda c, x: True, clear=("fast",), trouble=True, move=-1, reason="download_failed"),),
+    "buffer": (
+        Rule(lambda c, x: bool(x.starved), clear=("low",), trouble=True, move=-2, reason="starved"),
+        Rule(lambda c, x: bool(x.playing) and c.buffer_ms <= CRITICAL_BUFFER_MS, clear=("low",), trouble=True, move=-1, reason="critical_buffer"),
+        Rule(lambda c, x: bool(x.playing) and c.buffer_ms < LOW_BUFFER_MS, clear=("healthy", "fast"), count="low", upto=lambda c: LOW_SAMPLES, trouble=True, move=-1, reason="low_buffer"),
+        Rule(lambda c, x: c.buffer_ms >= UPGRADE_BUFFER_MS, clear=("low",), count="healthy", upto=lambda c: HEALTHY_SAMPLES, calm=True),
+        Rule(lambda c, x: True, clear=("low", "healthy")),
+    ),
+    "playback": (
+        Rule(lambda c, x: bool(x.starved), clear=("smooth", "fast"), count="troubled", upto=lambda c: TROUBLED_FRAMES if c.constrained else 1, trouble=True, move=-1, reason="queue_starved"),
+        Rule(lambda c, x: x.lateness_ms >= LATE_MS, clear=("smooth", "fast"), count="troubled", upto=lambda c: TROUBLED_FRAMES if c.constrained else 1, trouble=True, move=-1, reason="late"),
+        Rule(lambda c, x: x.lateness_ms <= SMOOTH_MS, clear=("troubled",), count="smooth", upto=lambda c: SMOOTH_FRAMES, calm=True),
+        Rule(lambda c, x: True, clear=("troubled", "smooth")),
+    ),
+}
 
 
 SAMPLES = "kind n_bytes elapsed_us segment_us video_ms audio_ms playing starved lateness_ms".split()
@@ -150,14 +151,9 @@ def abr_decisions(samples: DataFrame, rungs: list[int], ceiling: int | None = No
     return samples.select(key, order, *SAMPLES).groupBy(key).applyInPandas(run, f"{key} {kind}, {DECISIONS}")
 
 
-def apply_switches(segments: DataFrame, key: str = "session_id", order: str = "sequence") -> DataFrame:
-    """Adds active_index: the target of the last segment that could switch (its bytes start with a refresh), 0 before."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
+def apply_switches(segments: DataFrame, key: str = "session_id", order: str = "sequence", rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds active_index: the target of the last segment that could switch, 0 before. A segment can if its bytes start
+    with a refresh (safe); rule, a function of the column safe, replaces that test."""
     w = Window.partitionBy(key).orderBy(order)
-    return segments.withColumn("active_index", F.coalesce(F.last(F.when(F.col("safe"), F.col("target_index")), ignorenulls=True).over(w), F.lit(0)))
-
-
-def snapshot(controller: Controller) -> dict:
-    return asdict(controller)
+    can = F.col("safe") if rule is None else rule(F.col("safe"))
+    return segments.withColumn("active_index", F.coalesce(F.last(F.when(can, F.col("target_index")), ignorenulls=True).over(w), F.lit(0)))

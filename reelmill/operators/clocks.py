@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.scalars import quotient, wrap_delta
+from reelmill.operators.rows import merged
 
 MS_ALIGNMENT_TICKS = 45_000
 
@@ -93,8 +94,9 @@ def anchor_to_unit(anchors: DataFrame, units: DataFrame, key: str = "stream_id")
     it; the latest of several wins, those past the last unit are dropped."""
     a = anchors.select(key, F.col("offset").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("au_no"), F.col("pts90k").cast("long").alias("pts90k"))
     u = units.select(key, F.col("first_vcl_offset").alias("at"), F.lit(1).alias("kind"), F.col("au_no").cast("long").alias("au_no"), F.lit(None).cast("long").alias("pts90k"))
-    w = Window.partitionBy(key).orderBy("at", "kind", "au_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    met = a.unionByName(u).withColumn("to", F.first("au_no", ignorenulls=True).over(w)).filter("kind = 0 and to is not null")
+    # a running frame over falling offsets: a frame to the end of the partition would be read anew for every row
+    w = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("kind"), F.desc("au_no")).rowsBetween(Window.unboundedPreceding, 0)
+    met = merged([a, u], key).withColumn("to", F.last("au_no", ignorenulls=True).over(w)).filter("kind = 0 and to is not null")
     return met.groupBy(key, F.col("to").alias("au_no")).agg(F.max_by("pts90k", "at").alias("pts90k"))
 
 
@@ -105,11 +107,12 @@ def interpolate_pts(units: DataFrame, key: str = "stream_id", pts: str = "anchor
     with one). base is the value of the first unit if it has no anchor, and of all units if there is none (else 0).
     """
     w = Window.partitionBy(key).orderBy(order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     rows = units.withColumn("_i", F.row_number().over(w))
     known = F.col(pts) if base is None else F.when(F.col(pts).isNull() & (F.col("_i") == 1), F.col(base)).otherwise(F.col(pts))
     rows = rows.withColumn("_known", known).withColumn("_at", F.when(F.col("_known").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_known").alias("v"))))
-    rows = rows.withColumns({"_l": F.last("_at", ignorenulls=True).over(back), "_r": F.first("_at", ignorenulls=True).over(ahead)})
+    rows = rows.withColumns({"_l": F.last("_at", ignorenulls=True).over(back), "_r": F.last("_at", ignorenulls=True).over(ahead)})
     # the anchor before the last one, for the tail
     rows = rows.withColumn("_prev", F.when(F.col("_at").isNotNull(), F.lag("_l").over(w)))
     rows = rows.withColumn("_p", F.last(F.when(F.col("_at").isNotNull(), F.struct(F.col("_prev").alias("x"))), ignorenulls=True).over(back)["x"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.scalars import quotient
+from reelmill.operators.rows import merged
 
 KEYS = ("file", "track")
 
@@ -26,7 +27,7 @@ def chunk_samples(chunk_runs: DataFrame, chunks: DataFrame, keys: tuple[str, ...
     r = chunk_runs.select(*keys, F.col("first_chunk").alias("chunk_no"), F.lit(0).alias("kind"), "samples_per_chunk", F.lit(None).cast("long").alias("chunk_offset"))
     c = chunks.select(*keys, "chunk_no", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("samples_per_chunk"), "chunk_offset")
     w = Window.partitionBy(*keys).orderBy("chunk_no", "kind")
-    return r.unionByName(c).withColumn("samples_per_chunk", F.last("samples_per_chunk", ignorenulls=True).over(w)).filter("kind = 1").drop("kind")
+    return merged([r, c], *keys).withColumn("samples_per_chunk", F.last("samples_per_chunk", ignorenulls=True).over(w)).filter("kind = 1").drop("kind")
 
 
 def sample_offsets(samples: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = KEYS, file_bytes: str | None = None) -> DataFrame:

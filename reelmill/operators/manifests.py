@@ -6,6 +6,8 @@ filter on it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,7 +168,9 @@ def initial_selection(ladder: DataFrame, requests: DataFrame, master: str = "mas
     return top.select(master, "requested_uri", "uri", "ladder_index", (~F.coalesce(F.col("uri") == F.col("requested_uri"), F.lit(False))).alias("fell_back"))
 
 
-def retryable(status, error_kind) -> Column:
-    """Whether a failed fetch is tried again."""
+def retryable(status, error_kind, rule: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Whether a failed fetch is tried again; rule, a function of status and error_kind, replaces the policy."""
+    if rule is not None:
+        return F.coalesce(rule(status, error_kind), F.lit(False))
     final = F.coalesce(error_kind.isin("too_large", "cancelled", "disposed"), F.lit(False))
     return F.when(final, False).when(status.isNull(), True).otherwise(status.isin(408, 429) | (status >= 500))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.bytefields import exp_golomb, nal_type, rbsp_bits, uint
+from reelmill.operators.rows import merged
 
 
 def inventory(nals: DataFrame, key: str = "stream_id", data: str = "bytes", order: str = "nal_no") -> DataFrame:
@@ -45,7 +46,7 @@ def active_sets(units: DataFrame, sets: DataFrame, key: str = "stream_id") -> Da
 
     def as_of(left: DataFrame, right: DataFrame, by: list[str], found: str, also: list[str]) -> DataFrame:
         r = right.select(key, *by, "nal_no", F.lit(0).alias("_k"), F.struct(F.col("nal_no").alias("n"), *[F.col(c).cast(kinds).alias(c) for c in also]).alias("_f"))
-        both = left.withColumn("_k", F.lit(1)).unionByName(r, allowMissingColumns=True)
+        both = merged([left.withColumn("_k", F.lit(1)), r], key)
         w = Window.partitionBy(key, *by).orderBy("nal_no", "_k").rowsBetween(Window.unboundedPreceding, -1)
         return both.withColumn(found, F.last("_f", ignorenulls=True).over(w)).filter("_k = 1").drop("_k", "_f")
 
@@ -65,3 +66,72 @@ def compatibility_audit(slices: DataFrame, rules: dict[str, Column], key: str =
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items()]))
     named = slices.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(broken)))).alias("reasons"))
     return named.withColumn("compatible", F.size("reasons") == 0)
+
+
+def _rules(c: dict[str, Column]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The decoder's rules over the columns of a slice joined with its sets: those on sets, and those on slice headers."""
+    cabac, p, b = c["cabac"], ~c["is_idr"] & (c["slice_type"] == 0), ~c["is_idr"] & (c["slice_type"] == 1)
+    plain = (c["chroma_format"] == 1) & ~c["separate_planes"] & (c["bit_depth_luma"] == 8) & (c["bit_depth_chroma"] == 8) & c["frame_mbs_only"]
+    flat = ~c["sps_scaling"]
+    sets = {
+        "missing_pps": c["pps_found"].isNull(),
+        "missing_sps": c["pps_found"].isNotNull() & c["sps_found"].isNull(),
+        "cabac_profile": cabac & ~((c["profile_idc"] == 100) & plain & flat & ~c["pps_scaling"]),
+        "cabac_p_unweighted": cabac & c["saw_p"] & ~c["weighted_pred"],
+        "cabac_b_direct": cabac & c["saw_b"] & ~c["direct_8x8"],
+        "cabac_b_order": cabac & c["saw_b"] & (c["poc_type"] != 0),
+        "cabac_b_bipred": cabac & c["saw_b"] & (c["weighted_bipred_idc"] != 2),
+        "profile": ~cabac & ~(c["profile_idc"].isin(66, 77, 88) & plain & flat),
+        "b_pictures": ~cabac & c["saw_b"],
+        "weighted_prediction": ~cabac & (c["weighted_pred"] | (c["weighted_bipred_idc"] != 0)),
+        "transform_or_scaling": ~cabac & (c["transform_8x8"] | c["pps_scaling"]),
+        "slice_groups": c["slice_groups"] > 1,
+    }
+    heads = {
+        "slice_type": F.when(cabac, (c["slice_type"] != 2) & ~p & ~b).when(~cabac, ~c["slice_type"].isin(0, 2)),
+        "p_not_reference": cabac & p & (c["nal_ref_idc"] == 0),
+        "cabac_init": cabac & (p | b) & (c["cabac_init_idc"] != 0),
+        "p_without_weights": cabac & p & ~(c["weighted_pred"] & c["weight_table"]),
+        "b_modified_lists": cabac & b & c["modified_lists"],
+        "b_order": cabac & b & ((c["poc_type"] != 0) | c["poc_lsb"].isNull()),
+        "b_list1": cabac & b & (c["l1_active"] > 2),
+        "redundant_picture": c["redundant_pic_cnt"] > 0,
+        "long_term_reference": c["long_term_reference"],
+        "references": ((c["slice_type"] == 0) | b) & (c["l0_active"] > 32) | b & (c["l1_active"] > 32),
+        "marking": c["adaptive_marking"] & ((F.size("marking_ops") <= 0) | F.exists("marking_ops", lambda o: o != 1)),
+    }
+    return sets, heads
+
+
+def probe_audit(segments: DataFrame, slices: DataFrame, pps: DataFrame, sps: DataFrame, key: str = "variant_uri") -> DataFrame:
+    """key, reasons (sorted), compatible, pending of every variant in segments, by the decoder's rules.
+
+    segments: the probed segments (key, is_end_list, has_segment, has_pat, has_pmt, has_h264). pps: key, pps_id, sps_id,
+    cabac, weighted_pred, weighted_bipred_idc, transform_8x8, pps_scaling, slice_groups (how many). sps: key, sps_id,
+    profile_idc, chroma_format, separate_planes, bit_depth_luma, bit_depth_chroma, frame_mbs_only, sps_scaling,
+    direct_8x8, poc_type. slices: key, pps_id (null if unreadable), is_idr, slice_type (0 P, 1 B, 2 I, 3 SP, 4 SI),
+    nal_ref_idc, cabac_init_idc, weight_table, modified_lists, poc_lsb, l0_active, l1_active, redundant_pic_cnt,
+    long_term_reference, adaptive_marking, marking_ops. Sets are judged if a readable slice names them (all of them if
+    none is readable); slice headers where the probe has a refresh. An empty live window is pending and compatible, an
+    empty finished one is not. Null flags break no rule.
+    """
+    seen = slices.groupBy(key).agg(F.bool_or((F.col("slice_type") == 0) & F.col("pps_id").isNotNull()).alias("saw_p"), F.bool_or((F.col("slice_type") == 1) & F.col("pps_id").isNotNull()).alias("saw_b"), F.bool_or("is_idr").alias("saw_idr"), F.count("pps_id").alias("_read"))
+    have = pps.groupBy(key).agg(F.count("*").alias("_pps"))
+    named = slices.filter("pps_id is not null").select(key, "pps_id").distinct()
+    silent = pps.select(key, "pps_id").distinct().join(seen.filter("_read > 0").select(key), key, "left_anti")
+    p = pps.dropDuplicates([key, "pps_id"]).withColumn("pps_found", F.lit(True))
+    s = sps.dropDuplicates([key, "sps_id"]).withColumn("sps_found", F.lit(True))
+    fields = ["is_idr", "slice_type", "nal_ref_idc", "cabac_init_idc", "weight_table", "modified_lists", "poc_lsb", "l0_active", "l1_active", "redundant_pic_cnt", "long_term_reference", "adaptive_marking", "marking_ops"]
+
+    def broken(rows: DataFrame, heads: bool) -> DataFrame:
+        met = rows.join(p, [key, "pps_id"], "left").join(s, [key, "sps_id"], "left").join(seen, key, "left")
+        told = met if heads else met.withColumns({f: F.lit(None).cast(slices.schema[f].dataType) for f in fields})
+        rules = _rules({c: F.col(c) for c in told.columns})[heads]
+        return told.filter("saw_idr" if heads else "true").select(key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), name) for name, cond in rules.items()]))).alias("reason"))
+
+    whole = segments.groupBy(key).agg(F.bool_or("has_segment").alias("_some"), F.bool_and("is_end_list").alias("_ended"), *[F.bool_and(F.coalesce(F.col(c), F.lit(False)) | ~F.col("has_segment")).alias(c) for c in ("has_pat", "has_pmt", "has_h264")]).join(have, key, "left")
+    own = F.when(~F.col("_some"), F.when(F.col("_ended"), "empty_media")).when(~F.col("has_pat"), "missing_pat").when(~F.col("has_pmt"), "missing_pmt").when(~F.col("has_h264"), "no_h264").when(F.col("_pps").isNull(), "no_pps")
+    found = broken(merged([named, silent], key), False).unionByName(broken(slices.select(key, "pps_id", *fields).filter("pps_id is not null"), True))
+    reasons = merged([found, whole.select(key, own.alias("reason")).filter("reason is not null")], key).groupBy(key).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
+    none = F.array().cast("array<string>")
+    return whole.join(reasons, key, "left").select(key, F.coalesce("reasons", none).alias("reasons"), F.col("reasons").isNull().alias("compatible"), (~F.col("_some") & ~F.col("_ended")).alias("pending"))

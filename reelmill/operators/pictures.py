@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.operators.rows import merged
+
 LATE_MS, LARGE_PIXELS = 100, 1280 * 720
 
 
@@ -99,7 +101,31 @@ def keyframe_navigation(units: DataFrame, key: str = "stream_id", order: str = "
     """Adds preceding_idr (at or before a unit) and next_idr (at or after it)."""
     w = Window.partitionBy(key).orderBy(order)
     at = F.when(F.col("is_idr"), F.col(order))
-    return units.withColumns({"preceding_idr": F.last(at, ignorenulls=True).over(w), "next_idr": F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return units.withColumns({"preceding_idr": F.last(at, ignorenulls=True).over(w), "next_idr": F.last(at, ignorenulls=True).over(ahead)})
+
+
+def previous_idr(positions: DataFrame, units: DataFrame, back_off: int = 2, key: str = "stream_id", next_no: str = "next_no", now: str = "now_ms", order: str = "au_no", pts: str = "pts_ms") -> DataFrame:
+    """positions (key, next_no, now_ms) with previous_idr: the last refresh at least back_off units before the next one
+    (unit 0 counts for the first ones) whose time is before now; null if there is none.
+
+    A refresh closes the order of times: later refreshes have later times. So it is the earlier one of two as-of matches,
+    by number and by time. positions with equal values are one row.
+    """
+    idr = units.filter("is_idr").select(key, F.col(order).cast("long").alias("_no"), F.col(pts).cast("long").alias("_ms"))
+    asked = positions.select(key, next_no, now).distinct()
+
+    def as_of(at: Column, place: str, upto: bool) -> DataFrame:
+        """The last refresh whose place is at most (upto) or less than `at`."""
+        a = asked.withColumns({"_at": at.cast("long"), "_k": F.lit(1 if upto else -1), "_no": F.lit(None).cast("long")})
+        r = idr.select(key, F.col(place).alias("_at"), F.lit(0).alias("_k"), "_no")
+        w = Window.partitionBy(key).orderBy("_at", "_k", "_no").rowsBetween(Window.unboundedPreceding, 0)
+        return merged([a, r], key).withColumn("_found", F.max("_no").over(w)).filter("_k != 0").select(key, next_no, now, "_found")
+
+    by_number = as_of(F.greatest(F.col(next_no) - back_off, F.lit(0)), "_no", True).withColumnRenamed("_found", "_by_number")
+    by_time = as_of(F.col(now), "_ms", False).withColumnRenamed("_found", "_by_time")
+    both = F.when(F.col("_by_number").isNotNull() & F.col("_by_time").isNotNull(), F.least("_by_number", "_by_time"))
+    return by_number.join(by_time, [key, next_no, now]).select(key, next_no, now, both.alias("previous_idr"))
 
 
 def unit_at_or_before(targets: DataFrame, units: DataFrame, key: str = "stream_id", at: str = "target_ms", pts: str = "pts_ms") -> DataFrame:
@@ -108,7 +134,7 @@ def unit_at_or_before(targets: DataFrame, units: DataFrame, key: str = "stream_i
     u = units.select(key, F.col(pts).alias("t"), F.lit(0).alias("kind"), F.col("au_no").cast("long").alias("au_no"))
     w = Window.partitionBy(key).orderBy("t", "kind", "au_no")
     first = units.filter("is_idr").groupBy(key).agg(F.min("au_no").alias("first_idr"))
-    met = t.unionByName(u).withColumn("found", F.last("au_no", ignorenulls=True).over(w)).filter("kind = 1")
+    met = merged([t, u], key).withColumn("found", F.last("au_no", ignorenulls=True).over(w)).filter("kind = 1")
     return met.join(first, key, "left").select(key, F.col("t").alias(at), F.coalesce("found", "first_idr").alias("au_no"))
 
 
@@ -130,3 +156,9 @@ def retention_start(units: DataFrame, next_no: str = "next_no", keep: int = 90,
     all do without one. units carries next_no, the unit to be decoded next."""
     last = F.max(F.when(F.col("is_idr") & (F.col(order) <= F.col(next_no)), F.col(order)))
     return units.groupBy(key, next_no).agg(last.alias("idr")).select(key, next_no, F.when(F.col("idr").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col(next_no) - keep, F.col("idr")))).alias("retain_from"))
+
+
+def concat_batches(batches: list[DataFrame], segment: str = "segment_seq", key: str = "stream_id") -> DataFrame:
+    """The rows of incremental batches (the final tail is one too) as one table, with batch_no: the place of a row's
+    segment in its stream. Order is columns, so batches may come in any order; one that comes twice counts once."""
+    return merged(batches, key).dropDuplicates().withColumn("batch_no", F.dense_rank().over(Window.partitionBy(key).orderBy(segment)) - 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.operators.rows import merged
+
 
 def throughput_estimate(fetches: DataFrame, key: str = "session_id", order: str = "ord", depth: int = 200) -> DataFrame:
     """Adds fast_bps, slow_bps, estimate_bps: averages that halve (fast) and keep four fifths (slow) at each fetch.
@@ -55,7 +57,7 @@ def consecutive_runs(df: DataFrame, condition: Column, key: str = "session_id",
 
 def buffer_ahead(units: DataFrame, now: str = "now_ms", pts: str = "pts_ms", key: str = "session_id", order: str = "ord", audio: str | None = None) -> DataFrame:
     """Adds video_ahead_ms, the greatest remaining time past now, and ahead_ms, the smaller of it and the audio's."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     video = F.greatest(F.max(pts).over(w) - F.col(now), F.lit(0))
     rows = units.withColumn("video_ahead_ms", video)
     return rows.withColumn("ahead_ms", F.least("video_ahead_ms", audio) if audio else F.col("video_ahead_ms"))
@@ -66,7 +68,7 @@ def quality_at(points: DataFrame, boundaries: DataFrame, key: str = "session_id"
     p = points.withColumns({"_kind": F.lit(1), "_q": F.lit(None).cast(boundaries.schema[quality].dataType)})
     b = boundaries.select(key, at, F.lit(0).alias("_kind"), F.col(quality).alias("_q"))
     w = Window.partitionBy(key).orderBy(at, "_kind")
-    return p.unionByName(b, allowMissingColumns=True).withColumn(quality, F.last("_q", ignorenulls=True).over(w)).filter("_kind = 1").drop("_kind", "_q")
+    return merged([p, b], key).withColumn(quality, F.last("_q", ignorenulls=True).over(w)).filter("_kind = 1").drop("_kind", "_q")
 
 
 def present_latest(ticks: DataFrame, frames: DataFrame, key: str = "session_id", clock: str = "clock_ms", pts: str = "pts_ms") -> DataFrame:
@@ -75,7 +77,7 @@ def present_latest(ticks: DataFrame, frames: DataFrame, key: str = "session_id",
     t = ticks.select(key, F.col(clock).alias("t"), F.lit(1).alias("kind"))
     f = frames.select(key, F.col(pts).alias("t"), F.lit(0).alias("kind"))
     w = Window.partitionBy(key).orderBy("t", "kind")
-    met = t.unionByName(f).withColumns({"best": F.max(F.when(F.col("kind") == 0, F.col("t"))).over(w), "seen": F.count_if(F.col("kind") == 0).over(w)}).filter("kind = 1")
+    met = merged([t, f], key).withColumns({"best": F.max(F.when(F.col("kind") == 0, F.col("t"))).over(w), "seen": F.count_if(F.col("kind") == 0).over(w)}).filter("kind = 1")
     over = Window.partitionBy(key).orderBy("t")
     met = met.withColumns({"due": F.col("seen") - F.coalesce(F.lag("seen").over(over), F.lit(0)), "was": F.max("best").over(over.rowsBetween(Window.unboundedPreceding, -1))})
     new = F.col("best").isNotNull() & (F.col("was").isNull() | (F.col("best") > F.col("was")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TICKS = 90_000
@@ -118,25 +120,38 @@ def live_edge(snapshots: DataFrame, hold_back: int | None = 3, key: str = "playl
 
 def snapshot_windows(snapshots: DataFrame, key: str = "playlist_uri") -> DataFrame:
     """One row a snapshot: first and last sequence, count, media_sequence and discontinuity_sequence of its window."""
-    return snapshots.groupBy(key, "snapshot_no").agg(F.min("media_sequence").alias("media_sequence"), F.min("sequence").alias("window_first"), F.max("sequence").alias("window_last"), F.count("*").alias("window_count"), F.min("window_discontinuity").alias("discontinuity_sequence"))
+    return snapshots.groupBy(key, "snapshot_no").agg(F.min("media_sequence").alias("media_sequence"), F.min("sequence").alias("window_first"), F.max("sequence").alias("window_last"), F.count("*").alias("window_count"), F.min("window_discontinuity").alias("discontinuity_sequence"), F.min("target_duration").alias("target_duration"))
+
+
+#: What ends a live playlist, by the first rule that holds: a window against the one before it (was_), the last sequence
+#: emitted so far and whether it changes a known segment. The rules are written for columns and for plain values alike.
+LIVE_RULES: dict[str, Callable] = {
+    "target_duration_changed": lambda x: x.target_duration != x.was_target,
+    "rewind": lambda x: (x.media_sequence < x.was_first) | (x.window_last < x.was_last),
+    "discontinuity_rewind": lambda x: x.discontinuity_sequence < x.was_gap,
+    "expired_gap": lambda x: x.media_sequence > x.emitted + 1,
+    "mutation": lambda x: x.changes_known,
+}
+
+
+class _Columns:
+    """The columns that rules name, as attributes."""
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
 
 
 def live_violations(snapshots: DataFrame, key: str = "playlist_uri") -> DataFrame:
-    """The terminal violation of each playlist, null if none: the first snapshot that rewinds, skips past unseen
-    segments or changes a known one. Snapshots after it are not looked at."""
+    """The terminal violation of each playlist, null if none: the first snapshot that breaks a rule of LIVE_RULES.
+    Snapshots after it are not looked at."""
     w = Window.partitionBy(key).orderBy("snapshot_no")
     windows = snapshot_windows(snapshots, key)
     changed = mutations(snapshots, key).groupBy(key, "snapshot_no").agg(F.min("sequence").alias("mutated"))
     told = windows.join(changed, [key, "snapshot_no"], "left").withColumns({
-        "was_first": F.lag("media_sequence").over(w), "was_last": F.lag("window_last").over(w), "was_gap": F.lag("discontinuity_sequence").over(w),
-        "emitted": F.max("window_last").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "was_first": F.lag("media_sequence").over(w), "was_last": F.lag("window_last").over(w), "was_gap": F.lag("discontinuity_sequence").over(w), "was_target": F.lag("target_duration").over(w),
+        "emitted": F.max("window_last").over(w.rowsBetween(Window.unboundedPreceding, -1)), "changes_known": F.col("mutated").isNotNull(),
     })
-    code = _first_code(
-        rewind=(F.col("media_sequence") < F.col("was_first")) | (F.col("window_last") < F.col("was_last")),
-        discontinuity_rewind=F.col("discontinuity_sequence") < F.col("was_gap"),
-        expired_gap=F.col("media_sequence") > F.col("emitted") + 1,
-        mutation=F.col("mutated").isNotNull(),
-    )
+    code = _first_code(**{name: rule(_Columns()) for name, rule in LIVE_RULES.items()})
     told = told.withColumn("code", code)
     at = F.when(F.col("code").isNotNull(), F.col("snapshot_no"))
     return told.groupBy(key).agg(F.min_by("code", at).alias("violation"), F.min(at).alias("violation_snapshot"), F.count("*").alias("snapshots"))

@@ -5,10 +5,10 @@ Payloads stay out of the windows: sequences are judged on keys and header fields
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.bytefields import ts_header, uint
+from reelmill.functions.bytefields import pes_header, ts_header, uint
 
 STREAM_TYPES = {"h264": 0x1B, "adts": 0x0F, "latm": 0x11}
 
@@ -50,58 +50,107 @@ def assemble_pes(checked: DataFrame, keys: tuple[str, ...] = ("stream_id", "pid"
     A unit is kept if it begins with the start code 00 00 01 and damage did not cut it; the last one of a pid only with
     flush. checked is the result of continuity_check with a `payload` column.
     """
-    kept = checked.filter(~F.col("duplicate") & (F.col("scrambling") == 0))
-    islands = checked.filter(~F.col("duplicate")).groupBy(*keys, "island").agg(F.min(order).alias("first_packet"), F.bool_or("fresh").alias("starts"), F.min_by("damaged", order).alias("by_damage"))
-    w = Window.partitionBy(*keys).orderBy("island")
-    next_cut = F.lead("by_damage").over(w)
-    whole = islands.withColumn("whole", F.coalesce(~next_cut, F.lit(flush))).filter("starts and whole").select(*keys, "island", "first_packet")
-    joined = kept.join(whole, [*keys, "island"]).groupBy(*keys, "island", "first_packet").agg(F.count("*").alias("n_packets"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "payload"))).alias("parts"))
+    there = ~F.col("duplicate")
+    part = F.when(F.col("scrambling") == 0, F.struct(F.col(order).alias("o"), "payload"))
+    islands = checked.filter(there).groupBy(*keys, "island").agg(
+        F.min(order).alias("first_packet"), F.bool_or("fresh").alias("starts"), F.min_by("damaged", order).alias("by_damage"), F.count(part).alias("n_packets"), F.sort_array(F.collect_list(part)).alias("parts"),
+    )
+    # one exchange: what cuts a unit is how the next island of its pid begins
+    whole = F.coalesce(~F.lead("by_damage").over(Window.partitionBy(*keys).orderBy("island")), F.lit(flush))
+    kept = islands.withColumn("whole", whole).filter("starts and whole and n_packets > 0")
     bytes_of = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), ""))
-    made = joined.select(*keys, "first_packet", "n_packets", bytes_of.alias("payload")).filter(uint("payload", 0, 3) == 1)
+    made = kept.select(*keys, "first_packet", "n_packets", bytes_of.alias("payload")).filter(uint("payload", 0, 3) == 1)
     return made.withColumn("pes_no", F.row_number().over(Window.partitionBy(*keys).orderBy("first_packet")) - 1)
 
 
-def program_streams(packets: DataFrame, key: str = "stream_id", segment: str = "segment_seq", order: str = "packet_no", payload: str = "payload") -> DataFrame:
-    """key, segment, program_number, pmt_pid, pid, stream_type from the program tables of each segment.
-
-    A table must lie in one packet. The association table is pid 0; the map tables are looked up on its pids.
-    """
+def _tables(packets: DataFrame, payload: str) -> DataFrame:
+    """Packets that start a table: _at (after the pointer field), _id and _len of it."""
     psi = packets.filter(F.col("payload_unit_start") & F.col("has_payload"))
-    at = uint(payload, 0) + 1  # after the pointer field
-    table = psi.withColumns({"_at": at.cast("int")}).withColumns({"_id": uint(F.col(payload), F.col("_at")), "_len": uint(F.col(payload), F.col("_at") + 1, 2).bitwiseAND(0xFFF)})
-    pat = table.filter("pid = 0 and _id = 0 and _len >= 9").withColumn("_n", ((F.col("_len") - 9) / 4).cast("int")).filter("_n > 0")
+    at = (uint(payload, 0) + 1).cast("int")
+    return psi.withColumn("_at", at).withColumns({"_id": uint(F.col(payload), F.col("_at")), "_len": uint(F.col(payload), F.col("_at") + 1, 2).bitwiseAND(0xFFF)})
+
+
+def association_tables(packets: DataFrame, key: str = "stream_id", segment: str = "segment_seq", payload: str = "payload") -> DataFrame:
+    """key, segment, program_number, pmt_pid from the association tables (pid 0) of each segment; a table must lie in one
+    packet."""
+    pat = _tables(packets, payload).filter("pid = 0 and _id = 0 and _len >= 9").withColumn("_n", ((F.col("_len") - 9) / 4).cast("int")).filter("_n > 0")
     entries = pat.select(key, segment, payload, "_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
     place = (F.col("_at") + 8 + 4 * F.col("_i")).cast("int")
-    programs = entries.select(key, segment, uint(F.col(payload), place, 2).alias("program_number"), uint(F.col(payload), place + 2, 2).bitwiseAND(0x1FFF).cast("int").alias("pmt_pid")).filter("program_number != 0").distinct()
-    pmt = table.filter("_id = 2").withColumnRenamed("pid", "pmt_pid").join(programs, [key, segment, "pmt_pid"])
+    return entries.select(key, segment, uint(F.col(payload), place, 2).alias("program_number"), uint(F.col(payload), place + 2, 2).bitwiseAND(0x1FFF).cast("int").alias("pmt_pid")).filter("program_number != 0").distinct()
+
+
+def _byte(b: Column, at: Column, n: int = 1) -> Column:
+    return F.conv(F.hex(F.substring(b, at + 1, F.lit(n))), 16, 10).cast("int")
+
+
+def program_streams(packets: DataFrame, key: str = "stream_id", segment: str = "segment_seq", order: str = "packet_no", payload: str = "payload") -> DataFrame:
+    """key, segment, program_number, pmt_pid, pid, stream_type from the map tables of each segment, on the pids that the
+    segment's association table names, or the latest earlier one. A table must lie in one packet."""
+    own = association_tables(packets, key, segment, payload).groupBy(key, segment).agg(F.collect_set(F.struct("program_number", "pmt_pid")).alias("_own"))
+    w = Window.partitionBy(key).orderBy(segment)
+    held = packets.select(key, segment).distinct().join(own, [key, segment], "left").withColumn("_p", F.last("_own", ignorenulls=True).over(w))
+    programs = held.select(key, segment, F.explode("_p").alias("_e")).select(key, segment, "_e.*")
+    pmt = _tables(packets, payload).filter("_id = 2").withColumnRenamed("pid", "pmt_pid").join(programs, [key, segment, "pmt_pid"])
     first = pmt.groupBy(key, segment, "program_number", "pmt_pid").agg(F.min_by(F.struct(payload, "_at", "_len"), order).alias("t"))
     body = F.col(f"t.{payload}")
     start = (F.col("t._at") + 12 + uint(body, F.col("t._at") + 10, 2).bitwiseAND(0xFFF)).cast("int")
     end = (F.col("t._at") + 3 + F.col("t._len") - 4).cast("int")
-    # entries have their own length: walk them by folding over the most that fit
-    step = lambda acc, _: F.when(
-        acc["at"] + 5 <= acc["end"],
-        F.struct(
-            (acc["at"] + 5 + F.conv(F.hex(F.substring(acc["b"], acc["at"] + 4, F.lit(2))), 16, 10).cast("int").bitwiseAND(0xFFF)).alias("at"), acc["end"].alias("end"), acc["b"].alias("b"),
-            F.concat(acc["made"], F.array(F.struct(F.conv(F.hex(F.substring(acc["b"], acc["at"] + 1, F.lit(1))), 16, 10).cast("int").alias("stream_type"), F.conv(F.hex(F.substring(acc["b"], acc["at"] + 2, F.lit(2))), 16, 10).cast("int").bitwiseAND(0x1FFF).alias("pid")))).alias("made"),
-        ),
-    ).otherwise(acc)
+
+    def walk(acc: Column, _: Column) -> Column:
+        """The next entry; entries have their own length, so this is folded over the most that fit."""
+        entry = F.struct(_byte(acc["b"], acc["at"]).alias("stream_type"), _byte(acc["b"], acc["at"] + 1, 2).bitwiseAND(0x1FFF).alias("pid"))
+        after = acc["at"] + 5 + _byte(acc["b"], acc["at"] + 3, 2).bitwiseAND(0xFFF)
+        return F.when(acc["at"] + 5 <= acc["end"], F.struct(after.alias("at"), acc["end"].alias("end"), acc["b"].alias("b"), F.concat(acc["made"], F.array(entry)).alias("made"))).otherwise(acc)
+
     init = F.struct(start.alias("at"), end.alias("end"), body.alias("b"), F.array().cast("array<struct<stream_type:int,pid:int>>").alias("made"))
-    walked = first.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(36)), init, step)["made"])
+    walked = first.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(36)), init, walk)["made"])
     return walked.select(key, segment, "program_number", "pmt_pid", F.explode("m").alias("e")).select(key, segment, "program_number", "pmt_pid", "e.pid", "e.stream_type")
 
 
 def carry_streams(segments: DataFrame, streams: DataFrame, key: str = "stream_id", segment: str = "segment_seq") -> DataFrame:
     """The stream table in force in each segment: its own, else that of the latest earlier one; missing_psi marks
-    segments without their own, pid_changed those whose table differs from the one before."""
+    segments without their own, pid_changed those whose table differs from the one before. violation: latm_unsupported
+    for a table with LATM audio; audio_pid_changed where the first ADTS pid is another one than in the table before and
+    segments carries no `discontinuity` that declares it."""
     table = streams.groupBy(key, segment).agg(F.sort_array(F.collect_set(F.struct("program_number", "pid", "stream_type"))).alias("own"))
     w = Window.partitionBy(key).orderBy(segment)
-    met = segments.select(key, segment).distinct().join(table, [key, segment], "left").withColumn("streams", F.last("own", ignorenulls=True).over(w))
-    return met.select(key, segment, "streams", F.col("own").isNull().alias("missing_psi"), F.coalesce(F.lag("streams").over(w) != F.col("streams"), F.lit(False)).alias("pid_changed"))
-
+    declared = F.bool_or("discontinuity") if "discontinuity" in segments.columns else F.bool_or(F.lit(False))
+    met = segments.groupBy(key, segment).agg(declared.alias("_declared")).join(table, [key, segment], "left").withColumn("streams", F.last("own", ignorenulls=True).over(w))
+    adts = F.get(F.filter("streams", lambda s: s["stream_type"] == STREAM_TYPES["adts"]), 0)["pid"]
+    latm = F.exists("streams", lambda s: s["stream_type"] == STREAM_TYPES["latm"])
+    moved = (F.lag(adts).over(w) != adts) & ~F.coalesce(F.col("_declared"), F.lit(False))
+    return met.select(
+        key, segment, "streams", F.col("own").isNull().alias("missing_psi"), F.coalesce(F.lag("streams").over(w) != F.col("streams"), F.lit(False)).alias("pid_changed"),
+        F.when(latm, "latm_unsupported").when(moved, "audio_pid_changed").alias("violation"),
+    )
+
+
+def demux_diagnostics(packets: DataFrame, checked: DataFrame, segments: DataFrame, tables: DataFrame, streams: DataFrame, pes: DataFrame, units: DataFrame, epochs: DataFrame, key: str = "stream_id", segment: str = "segment_seq") -> DataFrame:
+    """The counters of each stream of packets (packet_fields); a stream that another table lacks has 0 there.
+
+    packets, rejected: valid and invalid packets. scrambled, duplicates, continuity_errors, flagged (discontinuity
+    flags), discontinuities (scrambled, flagged or out of order: what cuts units) and unit_starts come from checked
+    (continuity_check). segments, trailing_bytes: from segments (key, segment, n_bytes). segments_without_pat: no row in
+    tables (association_tables); segments_without_pmt: no H.264 stream in streams (program_streams); video_pid_changes:
+    of the pid in force. malformed_pes: units of pes (assemble_pes) without a valid header. discarded_pictures,
+    dropped_dependents, emitted_units: units (damaged, emitted) that damage cut, that wait for a refresh, and the rest.
+    epochs: the distinct ones of epochs (key, epoch).
+    """
+    def count(cond: Column | str, name: str) -> Column:
+        return F.count_if(cond if isinstance(cond, Column) else F.col(cond)).alias(name)
 
-def demux_diagnostics(checked: DataFrame, packets: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Counts a stream: packets, rejected, scrambled, duplicates, continuity errors, discontinuities."""
-    every = packets.groupBy(key).agg(F.count("*").alias("packets"), F.count_if("rejected").alias("rejected"))
-    flags = checked.groupBy(key).agg(F.count_if(F.col("scrambling") != 0).alias("scrambled"), F.count_if("duplicate").alias("duplicates"), F.count_if("continuity_error").alias("continuity_errors"), F.count_if("damaged").alias("discontinuities"), F.count_if("fresh").alias("unit_starts"))
-    return every.join(flags, key, "left").na.fill(0)
+    w = Window.partitionBy(key).orderBy(segment)
+    video = streams.filter(F.col("stream_type") == STREAM_TYPES["h264"]).groupBy(key, segment).agg(F.min_by("pid", F.struct("program_number", "pid")).alias("_video"))
+    seg = segments.join(tables.select(key, segment, F.lit(True).alias("_pat")).distinct(), [key, segment], "left").join(video, [key, segment], "left")
+    seg = seg.withColumn("_held", F.last("_video", ignorenulls=True).over(w)).withColumn("_moved", F.lag("_held").over(w) != F.col("_held"))
+    parts = [
+        checked.groupBy(key).agg(count(F.col("scrambling") != 0, "scrambled"), count("duplicate", "duplicates"), count("continuity_error", "continuity_errors"), count("discontinuity_indicator", "flagged"), count("damaged", "discontinuities"), count("fresh", "unit_starts")),
+        seg.groupBy(key).agg(F.count("*").alias("segments"), F.sum(F.col("n_bytes") % 188).alias("trailing_bytes"), count(F.col("_pat").isNull(), "segments_without_pat"), count(F.col("_video").isNull(), "segments_without_pmt"), count("_moved", "video_pid_changes")),
+        pes.groupBy(key).agg(count(pes_header("payload").isNull(), "malformed_pes")),
+        units.groupBy(key).agg(count("damaged", "discarded_pictures"), count(~F.col("damaged") & ~F.col("emitted"), "dropped_dependents"), count(~F.col("damaged") & F.col("emitted"), "emitted_units")),
+        epochs.groupBy(key).agg(F.count_distinct("epoch").alias("epochs")),
+    ]
+    found = packets.groupBy(key).agg(count(~F.col("rejected"), "packets"), count("rejected", "rejected"))
+    for part in parts:
+        found = found.join(part, key, "left")
+    return found.na.fill(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.functions import bytefields as B
@@ -34,21 +34,27 @@ def scan_ts_packets(view, spark, sf):
              CAST(sum(5 + au_no % 3) OVER w - (1 + au_no % 3) AS BIGINT) AS payload_offset, CASE WHEN is_idr THEN 5 ELSE 1 END AS nal_type FROM {AU} WINDOW w AS (PARTITION BY stream_id, au_no // 100 ORDER BY au_no ROWS UNBOUNDED PRECEDING)""", longs="nal_type")
 def scan_annexb_nals(view, spark, sf):
     """Units of 1 to 3 bytes behind four-byte start codes."""
-    unit = F.unhex(F.concat(F.lit("00000001"), F.when(F.col("is_idr"), "65").otherwise("41"), F.substring(F.lit("8888"), 1, (2 * (F.col("au_no") % 3)).cast("int"))))
-    blocks = _joined(view(V.v_au).withColumn("block", F.floor(F.col("au_no") / 100)).withColumn("nal", unit), ["stream_id", "block"], "au_no", "nal")
-    return scans.scan_annexb_nals(blocks, ("stream_id", "block")).select("stream_id", "block", "nal_no", "start_offset", "payload_offset", B.nal_type("bytes").alias("nal_type"))
+    return scans.scan_annexb_nals(_nal_blocks(view), ("stream_id", "block")).select("stream_id", "block", "nal_no", "start_offset", "payload_offset", B.nal_type("bytes").alias("nal_type"))
 
 
 @query(f"""SELECT stream_id, unit_no // 100 AS block, row_number() OVER w - 1 AS frame_no, sum(9 + unit_no % 5) OVER w - (7 + unit_no % 5) AS byte_offset, CAST(44100 AS BIGINT) AS sampling_frequency, CAST(2 AS BIGINT) AS channel_config, 7 + unit_no % 5 AS frame_length
            FROM {PCM} WINDOW w AS (PARTITION BY stream_id, unit_no // 100 ORDER BY unit_no ROWS UNBOUNDED PRECEDING)""", longs="byte_offset")
 def scan_adts_frames(view, spark, sf):
     """Frames of 0 to 4 payload bytes, two junk bytes before each."""
+    head = B.adts_header("header")
+    return scans.scan_adts_frames(_adts_blocks(view), ("stream_id", "block")).select("stream_id", "block", F.col("unit_no").alias("frame_no"), "byte_offset", head["sampling_frequency"].alias("sampling_frequency"), head["channel_config"].alias("channel_config"), "frame_length")
+
+
+def _nal_blocks(view) -> DataFrame:
+    unit = F.unhex(F.concat(F.lit("00000001"), F.when(F.col("is_idr"), "65").otherwise("41"), F.substring(F.lit("8888"), 1, (2 * (F.col("au_no") % 3)).cast("int"))))
+    return _joined(view(V.v_au).withColumn("block", F.floor(F.col("au_no") / 100)).withColumn("nal", unit), ["stream_id", "block"], "au_no", "nal")
+
+
+def _adts_blocks(view) -> DataFrame:
     n = 7 + F.col("unit_no") % 5
     hexed = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
     frame = F.unhex(F.concat(F.lit("AABBFFF150"), hexed(F.lit(128) + F.shiftright(n, 11)), hexed(F.shiftright(n, 3).bitwiseAND(255)), hexed(F.shiftleft(n.bitwiseAND(7), 5) + 31), F.lit("FC"), F.substring(F.lit("11111111"), 1, (2 * (n - 7)).cast("int"))))
-    blocks = _joined(view(V.v_pcm).withColumn("block", F.floor(F.col("unit_no") / 100)).withColumn("frame", frame), ["stream_id", "block"], "unit_no", "frame")
-    head = B.adts_header("header")
-    return scans.scan_adts_frames(blocks, ("stream_id", "block")).select("stream_id", "block", F.col("unit_no").alias("frame_no"), "byte_offset", head["sampling_frequency"].alias("sampling_frequency"), head["channel_config"].alias("channel_config"), "frame_length")
+    return _joined(view(V.v_pcm).withColumn("block", F.floor(F.col("unit_no") / 100)).withColumn("frame", frame), ["stream_id", "block"], "unit_no", "frame")
 
 
 @query(f"""SELECT file, row_no, v0, v1 FROM (SELECT file, run_no - 1 AS row_no, count AS v0, delta AS v1 FROM {Q.MP4})""")
@@ -64,30 +70,21 @@ def scan_sample_tables(view, spark, sf):
     return scans.scan_sample_tables(listed.select("file", F.unhex(F.concat(F.lit("000000086672656500000008"), F.lit("66726565"), body)).alias("content"))).filter("`table` = 'stts'").select("file", "row_no", "v0", "v1")
 
 
-def _psi(view) -> DataFrame:
-    """Program tables a segment: program 1 on pid 4096; video on pid 256, audio on 257 + segment % 2; every third segment
-    has none of its own."""
-    seg = view(V.v_au).select("stream_id", "segment_seq").distinct()
-    pat = F.lit("00" + "00B00D0001C10000" + "0001F000" + "00000000")
-    audio = F.lpad(F.hex((257 + F.col("segment_seq") % 2 + 0xE000).cast("long")), 4, "0")
-    pmt = F.concat(F.lit("00" + "02B017" + "0001C10000" + "E100F000" + "1BE100F000" + "0F"), audio, F.lit("F000" + "00000000"))
-    both = F.array(F.struct(F.lit(0).alias("packet_no"), F.lit(0).alias("pid"), F.unhex(pat).alias("payload")), F.struct(F.lit(1).alias("packet_no"), F.lit(4096).alias("pid"), F.unhex(pmt).alias("payload")))
-    return seg.filter("segment_seq % 3 != 2").select("stream_id", "segment_seq", F.explode(both).alias("_e")).select("stream_id", "segment_seq", "_e.*", F.lit(True).alias("payload_unit_start"), F.lit(True).alias("has_payload"))
-
-
 @query(f"""SELECT stream_id, segment_seq, CAST(1 AS BIGINT) AS program_number, CAST(4096 AS BIGINT) AS pmt_pid, pid, stream_type FROM (SELECT DISTINCT stream_id, segment_seq FROM {AU} WHERE segment_seq % 3 <> 2) s,
            LATERAL (SELECT 256 AS pid, 27 AS stream_type UNION ALL SELECT 257 + segment_seq % 2, 15) t""", longs="pid stream_type")
 def program_streams(view, spark, sf):
-    return transport.program_streams(_psi(view))
+    return transport.program_streams(Q.program_tables(view))
 
 
 @query(f"""WITH s AS (SELECT DISTINCT stream_id, segment_seq FROM {AU}), o AS (SELECT *, CASE WHEN segment_seq % 3 <> 2 THEN 257 + segment_seq % 2 END AS own FROM s),
            c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY segment_seq) AS audio_pid FROM o)
-           SELECT stream_id, segment_seq, audio_pid, own IS NULL AS missing_psi, coalesce(lag(audio_pid) OVER (PARTITION BY stream_id ORDER BY segment_seq) <> audio_pid, false) AS pid_changed FROM c""")
+           SELECT stream_id, segment_seq, audio_pid, own IS NULL AS missing_psi, coalesce(lag(audio_pid) OVER (PARTITION BY stream_id ORDER BY segment_seq) <> audio_pid, false) AS pid_changed,
+             CASE WHEN lag(audio_pid) OVER (PARTITION BY stream_id ORDER BY segment_seq) <> audio_pid AND segment_seq % 5 <> 0 THEN 'audio_pid_changed' END AS violation FROM c""")
 def carry_streams(view, spark, sf):
-    found = transport.carry_streams(view(V.v_au), transport.program_streams(_psi(view)))
+    declared = view(V.v_au).withColumn("discontinuity", F.col("segment_seq") % 5 == 0)
+    found = transport.carry_streams(declared, transport.program_streams(Q.program_tables(view)))
     audio = F.filter("streams", lambda s: s["stream_type"] == 0x0F)
-    return found.select("stream_id", "segment_seq", F.get(audio, 0)["pid"].alias("audio_pid"), "missing_psi", "pid_changed")
+    return found.select("stream_id", "segment_seq", F.get(audio, 0)["pid"].alias("audio_pid"), "missing_psi", "pid_changed", "violation")
 
 
 #: Variants of a written master playlist: about 0.1 MB, whatever the size of the table.
@@ -103,7 +100,10 @@ def _written_masters(found: DataFrame, folder: str) -> None:
 def _read_masters(spark, folder: str, max_bytes: int = files.PLAYLIST_BYTES) -> DataFrame:
     """The variants of the written masters, with their ordinals in the whole master; a file that was not read is one row
     with the ordinal of its first variant and a violation."""
-    read = files.read_manifests(spark, f"{folder}/*/", max_bytes, pattern="part-*")
+    return _masters_of(files.read_manifests(spark, f"{folder}/*/", max_bytes, pattern="part-*"))
+
+
+def _masters_of(read: DataFrame) -> DataFrame:
     name = F.url_decode(F.regexp_extract(F.url_decode("uri"), "/uri=([^/]*)/", 1))
     named = read.select(F.regexp_extract(name, "^(.*)-[0-9]+$", 1).alias("master_uri"), F.substring_index(name, "-", -1).cast("long").alias("piece"), "text", "violation")
     made = manifests.variants(named.filter("violation is null"), ("master_uri", "piece")).withColumn("violation", F.lit(None).cast("string"))
@@ -120,6 +120,34 @@ def read_manifests(view, spark, sf):
     return _read_masters(spark, folder).drop("violation")
 
 
+@query(f"SELECT master_uri, ordinal, uri, bandwidth FROM {Q.VAR}")
+def read_segments(view, spark, sf):
+    """Files written and read back as bytes under the cap, decoded and parsed."""
+    folder = files.new_folder(spark, "segments")
+    _written_masters(view(V.v_variants), folder)
+    read = files.read_segments(spark, f"{folder}/*/", pattern="part-*").withColumn("text", F.decode("content", "UTF-8"))
+    return _masters_of(read).filter("violation is null").select("master_uri", "ordinal", "uri", "bandwidth")
+
+
+@query(f"""SELECT playlist_uri, sequence, CAST(coalesce(sum(CAST(round(duration * 90000) AS BIGINT)) OVER (PARTITION BY playlist_uri ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start90k FROM {Q.SEG}""")
+def write_timeline(view, spark, sf):
+    """The timeline appended in two batches to a partitioned sink and read back."""
+    from reelmill.operators import segments
+
+    made = segments.segment_timeline(view(V.v_seg)).select("playlist_uri", "sequence", "start90k", (F.col("sequence") % 3).alias("part"))
+    folder = files.new_folder(spark, "timeline")
+    for batch in (made.filter("sequence < 2"), made.filter("sequence >= 2")):
+        files.write_timeline(batch, folder, ("part",))
+    return spark.read.parquet(folder).drop("part")
+
+
+@query(f"SELECT session_id, ord, CASE WHEN ord % 3 = 0 THEN media_ms ELSE media_ms - lateness_ms END AS clock_ms FROM {PLAY}")
+def playback_clock(view, spark, sf):
+    from reelmill.functions.scalars import clock_column
+
+    return view(V.v_play).select("session_id", "ord", clock_column(F.when(F.col("ord") % 3 == 0, F.col("media_ms")), F.col("media_ms") - F.col("lateness_ms")).alias("clock_ms"))
+
+
 # --- parameter sets -------------------------------------------------------------------------------------------------
 
 
@@ -163,10 +191,43 @@ def resolve_parameter_sets(view, spark, sf):
     return parameter_sets.resolve(units.withColumn("pps_id", (F.col("ord") % 3).cast("int")), pps, sps).select("stream_id", "au_no", "violation")
 
 
-@query(f"""SELECT stream_id, concat_ws('|', CASE WHEN bool_or(disposable) THEN 'b_slices' END, CASE WHEN bool_or(lateness_ms > 499) THEN 'cabac' END, CASE WHEN bool_or(damaged AND is_idr) THEN 'never' END) AS reasons FROM {AU} GROUP BY 1""")
+_PROBE = {n: f"({v('duck')})" for n, v in (("seg", V.v_probe_segments), ("sl", V.v_probe_slices), ("pps", V.v_probe_pps), ("sps", V.v_probe_sps))}
+
+
+@query(f"""WITH g AS (SELECT * FROM {_PROBE['seg']}), s AS (SELECT * FROM {_PROBE['sl']}), p AS (SELECT * FROM {_PROBE['pps']}), q AS (SELECT * FROM {_PROBE['sps']}),
+           n AS (SELECT variant_uri, count(*) FILTER (WHERE slice_type = 0 AND pps_id IS NOT NULL) > 0 AS ps, count(*) FILTER (WHERE slice_type = 1 AND pps_id IS NOT NULL) > 0 AS bs, count(*) FILTER (WHERE is_idr) > 0 AS idr, count(pps_id) AS readable FROM s GROUP BY 1),
+           ids AS (SELECT DISTINCT variant_uri, pps_id FROM s WHERE pps_id IS NOT NULL UNION SELECT p.variant_uri, p.pps_id FROM p LEFT JOIN n USING (variant_uri) WHERE coalesce(readable, 0) = 0),
+           j AS (SELECT i.variant_uri, p.pps_id AS found, q.sps_id AS sps_found, p.* EXCLUDE (variant_uri, pps_id, sps_id), q.* EXCLUDE (variant_uri, sps_id), n.ps, n.bs, chroma_format = 1 AND NOT separate_planes AND bit_depth_luma = 8 AND bit_depth_chroma = 8 AND frame_mbs_only AND NOT sps_scaling AS plain
+                 FROM ids i LEFT JOIN p ON p.variant_uri = i.variant_uri AND p.pps_id = i.pps_id LEFT JOIN q ON q.variant_uri = i.variant_uri AND q.sps_id = p.sps_id LEFT JOIN n ON n.variant_uri = i.variant_uri),
+           x AS (SELECT s.*, p.cabac, p.weighted_pred, q.poc_type, NOT is_idr AND slice_type = 0 AS is_p, NOT is_idr AND slice_type = 1 AS is_b FROM s LEFT JOIN p ON p.variant_uri = s.variant_uri AND p.pps_id = s.pps_id LEFT JOIN q ON q.variant_uri = s.variant_uri AND q.sps_id = p.sps_id JOIN n ON n.variant_uri = s.variant_uri WHERE n.idr AND s.pps_id IS NOT NULL),
+           h AS (SELECT variant_uri, bool_or(has_segment) AS some_seg, bool_and(is_end_list) AS ended, bool_and(has_pat OR NOT has_segment) AS pat, bool_and(has_pmt OR NOT has_segment) AS pmt, bool_and(has_h264 OR NOT has_segment) AS h264, (SELECT count(*) FROM p WHERE p.variant_uri = g.variant_uri) AS sets FROM g GROUP BY 1),
+           r AS (SELECT variant_uri, CASE WHEN NOT some_seg THEN CASE WHEN ended THEN 'empty_media' END WHEN NOT pat THEN 'missing_pat' WHEN NOT pmt THEN 'missing_pmt' WHEN NOT h264 THEN 'no_h264' WHEN sets = 0 THEN 'no_pps' END AS why FROM h
+             UNION ALL SELECT variant_uri, unnest([CASE WHEN found IS NULL THEN 'missing_pps' WHEN sps_found IS NULL THEN 'missing_sps' END, CASE WHEN cabac AND NOT (plain AND profile_idc = 100 AND NOT pps_scaling) THEN 'cabac_profile' END, CASE WHEN cabac AND ps AND NOT weighted_pred THEN 'cabac_p_unweighted' END,
+               CASE WHEN cabac AND bs AND NOT direct_8x8 THEN 'cabac_b_direct' END, CASE WHEN cabac AND bs AND poc_type <> 0 THEN 'cabac_b_order' END, CASE WHEN cabac AND bs AND weighted_bipred_idc <> 2 THEN 'cabac_b_bipred' END, CASE WHEN NOT cabac AND NOT (plain AND profile_idc IN (66, 77, 88)) THEN 'profile' END,
+               CASE WHEN NOT cabac AND bs THEN 'b_pictures' END, CASE WHEN NOT cabac AND (weighted_pred OR weighted_bipred_idc <> 0) THEN 'weighted_prediction' END, CASE WHEN NOT cabac AND (transform_8x8 OR pps_scaling) THEN 'transform_or_scaling' END, CASE WHEN slice_groups > 1 THEN 'slice_groups' END]) FROM j
+             UNION ALL SELECT variant_uri, unnest([CASE WHEN cabac AND slice_type <> 2 AND NOT is_p AND NOT is_b OR NOT cabac AND slice_type NOT IN (0, 2) THEN 'slice_type' END, CASE WHEN cabac AND is_p AND nal_ref_idc = 0 THEN 'p_not_reference' END, CASE WHEN cabac AND (is_p OR is_b) AND cabac_init_idc <> 0 THEN 'cabac_init' END,
+               CASE WHEN cabac AND is_p AND NOT (weighted_pred AND weight_table) THEN 'p_without_weights' END, CASE WHEN cabac AND is_b AND modified_lists THEN 'b_modified_lists' END, CASE WHEN cabac AND is_b AND (coalesce(poc_type <> 0, false) OR poc_lsb IS NULL) THEN 'b_order' END, CASE WHEN cabac AND is_b AND l1_active > 2 THEN 'b_list1' END,
+               CASE WHEN redundant_pic_cnt > 0 THEN 'redundant_picture' END, CASE WHEN long_term_reference THEN 'long_term_reference' END, CASE WHEN (slice_type = 0 OR is_b) AND l0_active > 32 OR is_b AND l1_active > 32 THEN 'references' END, CASE WHEN adaptive_marking AND (len(marking_ops) = 0 OR list_max(marking_ops) > 1) THEN 'marking' END]) FROM x)
+           SELECT variant_uri, coalesce(array_to_string(list_sort(list_distinct(list(why) FILTER (WHERE why IS NOT NULL))), '|'), '') AS reasons, count(why) = 0 AS compatible, any_value(NOT h.some_seg AND NOT h.ended) AS pending FROM h LEFT JOIN r USING (variant_uri) GROUP BY 1""")
 def compatibility_audit(view, spark, sf):
-    rules = {"b_slices": F.col("disposable"), "cabac": F.col("lateness_ms") > 499, "never": F.col("damaged") & F.col("is_idr")}
-    return parameter_sets.compatibility_audit(view(V.v_au), rules, "stream_id").select("stream_id", F.array_join("reasons", "|").alias("reasons"))
+    return parameter_sets.probe_audit(view(V.v_probe_segments), view(V.v_probe_slices), view(V.v_probe_pps), view(V.v_probe_sps)).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+def _code(v: Column) -> Column:
+    """The unsigned Exp-Golomb code of a small number as a string of bits."""
+    bits = F.bin(v + 1)
+    return F.concat(F.repeat(F.lit("0"), F.length(bits) - 1), bits)
+
+
+@query(f"SELECT stream_id, au_no, ord * 1000 AS first_mb, ord % 10 % 5 AS slice_type, ord % 4 AS pps_id FROM {AU}", longs="first_mb slice_type pps_id")
+def slice_probe(view, spark, sf):
+    """Slice headers of three codes behind a byte; the first one is long."""
+    bits = F.rpad(F.concat(_code(F.col("ord") * 1000), _code(F.col("ord") % 10), _code(F.col("ord") % 4), F.lit("1")), 96, "0")
+    rows = view(V.v_au).select("stream_id", "au_no", bits.alias("bits"))
+    raw = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.lpad(F.conv(F.substr("bits", 8 * k + 1, F.lit(8)), 2, 16), 2, "0")), "")
+    # as a writer does: a byte of 3 after two zero bytes before a byte below 4
+    data = F.encode(F.regexp_replace(F.decode(F.unhex(raw), "ISO-8859-1"), "\\x00\\x00(?=[\\x00-\\x03])", "\u0000\u0000\u0003"), "ISO-8859-1")
+    return rows.select("stream_id", "au_no", B.slice_probe(F.concat(F.unhex(F.lit("41")), data)).alias("_probe")).select("stream_id", "au_no", "_probe.*")
 
 
 @query("""SELECT p_partkey, (p_size + 1) * 16 AS coded_width, (p_size + 2) * 32 AS coded_height, (p_size + 1) * 16 - 2 * (p_size % 3) AS display_width, (p_size + 2) * 32 - 4 * (p_size % 2) AS display_height FROM part WHERE p_size IS NOT NULL""", longs="coded_width coded_height display_width display_height")
@@ -189,9 +250,9 @@ def _snapshots(view) -> DataFrame:
     return rows.withColumn("is_end_list", (F.col("snapshot_no") == last) & (F.col("playlist_uri") % 2 == 0))
 
 
-_LIVE = f"""w AS (SELECT playlist_uri, snapshot_no, min(media_sequence) m, max(sequence) l, min(window_discontinuity) d FROM {SNAP} GROUP BY 1, 2),
-           p AS (SELECT *, lag(m) OVER k pm, lag(l) OVER k pl, lag(d) OVER k pd, max(l) OVER (PARTITION BY playlist_uri ORDER BY snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) e, max(snapshot_no) OVER (PARTITION BY playlist_uri) AS final FROM w WINDOW k AS (PARTITION BY playlist_uri ORDER BY snapshot_no)),
-           c AS (SELECT *, CASE WHEN m < pm OR l < pl THEN 'rewind' WHEN d < pd THEN 'discontinuity_rewind' WHEN m > e + 1 THEN 'expired_gap' WHEN playlist_uri % 13 = 0 AND snapshot_no = 2 THEN 'mutation' END AS code FROM p),
+_LIVE = f"""w AS (SELECT playlist_uri, snapshot_no, min(media_sequence) m, max(sequence) l, min(window_discontinuity) d, min(target_duration) t FROM {SNAP} GROUP BY 1, 2),
+           p AS (SELECT *, lag(m) OVER k pm, lag(l) OVER k pl, lag(d) OVER k pd, lag(t) OVER k pt, max(l) OVER (PARTITION BY playlist_uri ORDER BY snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) e, max(snapshot_no) OVER (PARTITION BY playlist_uri) AS final FROM w WINDOW k AS (PARTITION BY playlist_uri ORDER BY snapshot_no)),
+           c AS (SELECT *, CASE WHEN t <> pt THEN 'target_duration_changed' WHEN m < pm OR l < pl THEN 'rewind' WHEN d < pd THEN 'discontinuity_rewind' WHEN m > e + 1 THEN 'expired_gap' WHEN playlist_uri % 13 = 0 AND snapshot_no = 2 THEN 'mutation' END AS code FROM p),
            b AS (SELECT playlist_uri, min(snapshot_no) FILTER (WHERE code IS NOT NULL) AS bad, arg_min(code, snapshot_no) FILTER (WHERE code IS NOT NULL) AS why, max(final) AS final FROM c GROUP BY 1)"""
 
 
@@ -259,11 +320,45 @@ def late_frames(view, spark, sf):
     return pictures.skip_when_late(view(V.v_au), pixels=F.lit(0)).filter("not skip").select("stream_id", "au_no")
 
 
-@query(f"""SELECT stream_id, au_no, ord FROM {AU}""")
+@query(f"SELECT session_id, ord, CASE WHEN error_kind IS DISTINCT FROM 'cancelled' AND coalesce(status, 0) <> 404 THEN true ELSE false END AS retryable FROM {Q.FETCH}")
+def retry_rule(view, spark, sf):
+    """The retry policy of a caller."""
+    rule = lambda status, kind: ~kind.eqNullSafe(F.lit("cancelled")) & (F.coalesce(status, F.lit(0)) != 404)
+    return view(V.v_fetch).select("session_id", "ord", manifests.retryable(F.col("status"), F.col("error_kind"), rule).alias("retryable"))
+
+
+def _straddled(blocks: DataFrame, content: str = "content") -> DataFrame:
+    """Blocks (stream_id, block) cut so that their last unit goes on in the next row; cut_no is the order."""
+    n = F.octet_length(content)
+    parts = F.array(F.struct((2 * F.col("block")).alias("cut_no"), F.substring(F.col(content), F.lit(1), n - 2).alias("content")), F.struct((2 * F.col("block") + 1).alias("cut_no"), F.substring(F.col(content), n - 1, F.lit(2)).alias("content")))
+    return blocks.select("stream_id", F.explode(parts).alias("_p")).select("stream_id", "_p.*")
+
+
+@query(f"""SELECT stream_id, row_number() OVER w - 1 AS unit_no, CAST(sum(5 + au_no % 3) OVER w - (5 + au_no % 3) AS BIGINT) AS start_offset, 1 + au_no % 3 AS n_bytes, CASE WHEN is_idr THEN 5 ELSE 1 END AS nal_type
+           FROM (SELECT *, max(au_no) OVER (PARTITION BY stream_id) AS final FROM {AU}) WHERE au_no < final WINDOW w AS (PARTITION BY stream_id ORDER BY au_no ROWS UNBOUNDED PRECEDING)""", longs="nal_type")
+def carry_nals(view, spark, sf):
+    """NAL units over block boundaries of a stream; the last one stays open."""
+    made = replay(_straddled(_nal_blocks(view)), lambda s: folds.fold_stream(s, folds.NalCarry, "stream_id", "cut_no", folds.UNITS_OUT), "stream_id", "cut_no")
+    return made.select("stream_id", "unit_no", "start_offset", F.octet_length("bytes").alias("n_bytes"), B.nal_type("bytes").alias("nal_type"))
+
+
+@query(f"""SELECT stream_id, row_number() OVER w - 1 AS unit_no, CAST(sum(9 + unit_no % 5) OVER w - (7 + unit_no % 5) AS BIGINT) AS start_offset, 7 + unit_no % 5 AS n_bytes FROM {PCM} WINDOW w AS (PARTITION BY stream_id ORDER BY unit_no ROWS UNBOUNDED PRECEDING)""")
+def carry_audio_frames(view, spark, sf):
+    """Audio frames over block boundaries, to the end of the stream."""
+    from pyspark.sql import Window
+
+    cut = _straddled(_adts_blocks(view))
+    rows = cut.withColumn("last", F.col("cut_no") == F.max("cut_no").over(Window.partitionBy("stream_id")))
+    made = folds.fold(rows, folds.AdtsCarry, "stream_id", "cut_no", folds.UNITS_OUT)
+    return made.select("stream_id", "unit_no", "start_offset", F.octet_length("bytes").alias("n_bytes"))
+
+
+@query(f"""SELECT stream_id, batch_no, count(*) AS units, min(au_no) AS first_au, max(au_no) AS last_au FROM (SELECT *, dense_rank() OVER (PARTITION BY stream_id ORDER BY segment_seq) - 1 AS batch_no FROM {AU}) GROUP BY 1, 2""")
 def concat_batches(view, spark, sf):
-    """Two batches and a tail put together again, with their order columns."""
-    units = view(V.v_au).select("stream_id", "au_no", "ord")
-    return units.filter("au_no < 100").unionByName(units.filter("au_no between 100 and 499")).unionByName(units.filter("au_no >= 500"))
+    """The units of each segment as one batch, put together in the order of the segments."""
+    units = view(V.v_au).select("stream_id", "segment_seq", "au_no")
+    whole = pictures.concat_batches([units.filter(f"segment_seq % 3 = {k}") for k in (2, 0, 1)], "segment_seq")
+    return whole.groupBy("stream_id", "batch_no").agg(F.count("*").alias("units"), F.min("au_no").alias("first_au"), F.max("au_no").alias("last_au"))
 
 
 @query(f"""SELECT stream_id, min_by_rate AS sampling_frequency, n, CASE WHEN n > 1 THEN 'config_changed' END AS violation FROM (SELECT stream_id, arg_min(CASE WHEN unit_no > 3000 AND stream_id = 2 THEN 48000 ELSE 44100 END, unit_no) AS min_by_rate, count(DISTINCT CASE WHEN unit_no > 3000 AND stream_id = 2 THEN 48000 ELSE 44100 END) AS n FROM {PCM} GROUP BY 1)""", longs="sampling_frequency")

@@ -114,9 +114,9 @@ def contiguous_window(view, spark, sf):
     return segments.contiguous_window(view(V.v_snap)).select("playlist_uri", "snapshot_no", "violation")
 
 
-@query(f"""WITH w AS (SELECT playlist_uri, snapshot_no, min(media_sequence) m, max(sequence) l, min(window_discontinuity) d FROM {SNAP} GROUP BY 1, 2),
-           p AS (SELECT *, lag(m) OVER k pm, lag(l) OVER k pl, lag(d) OVER k pd, max(l) OVER (PARTITION BY playlist_uri ORDER BY snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) e FROM w WINDOW k AS (PARTITION BY playlist_uri ORDER BY snapshot_no)),
-           c AS (SELECT *, CASE WHEN m < pm OR l < pl THEN 'rewind' WHEN d < pd THEN 'discontinuity_rewind' WHEN m > e + 1 THEN 'expired_gap' WHEN playlist_uri % 13 = 0 AND snapshot_no = 2 THEN 'mutation' WHEN playlist_uri % 13 = 0 AND snapshot_no > 2 THEN NULL END AS code FROM p)
+@query(f"""WITH w AS (SELECT playlist_uri, snapshot_no, min(media_sequence) m, max(sequence) l, min(window_discontinuity) d, min(target_duration) t FROM {SNAP} GROUP BY 1, 2),
+           p AS (SELECT *, lag(m) OVER k pm, lag(l) OVER k pl, lag(d) OVER k pd, lag(t) OVER k pt, max(l) OVER (PARTITION BY playlist_uri ORDER BY snapshot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) e FROM w WINDOW k AS (PARTITION BY playlist_uri ORDER BY snapshot_no)),
+           c AS (SELECT *, CASE WHEN t <> pt THEN 'target_duration_changed' WHEN m < pm OR l < pl THEN 'rewind' WHEN d < pd THEN 'discontinuity_rewind' WHEN m > e + 1 THEN 'expired_gap' WHEN playlist_uri % 13 = 0 AND snapshot_no = 2 THEN 'mutation' WHEN playlist_uri % 13 = 0 AND snapshot_no > 2 THEN NULL END AS code FROM p)
            SELECT playlist_uri, arg_min(code, snapshot_no) FILTER (WHERE code IS NOT NULL) AS violation, min(snapshot_no) FILTER (WHERE code IS NOT NULL) AS violation_snapshot, count(*) AS snapshots FROM c GROUP BY 1""")
 def live_violations(view, spark, sf):
     return segments.live_violations(view(V.v_snap))
@@ -352,15 +352,68 @@ def assemble_pes(view, spark, sf):
     return made.select("stream_id", "pid", "pes_no", "first_packet", "n_packets", B.pes_header("payload")["pts90k"].alias("pts90k"), F.octet_length("payload").alias("n_bytes"))
 
 
-@query(f"""WITH {_ISLANDS} SELECT stream_id, count(*) AS packets, CAST(0 AS BIGINT) AS rejected, count(*) FILTER (WHERE dup) AS duplicates, count(*) FILTER (WHERE err) AS continuity_errors, count(*) FILTER (WHERE starts AND NOT dup) AS unit_starts FROM c GROUP BY 1""")
+def _worn(view) -> DataFrame:
+    """The packets of v_ts with damage: bad sync bytes, scrambling, discontinuity flags, and unit starts without the marker
+    bits of a PES header."""
+    n, h = F.col("packet_no"), F.hex("bytes")
+    bad, scrambled, flagged = n % 89 == 0, n % 97 == 0, n % 101 == 0
+    control = F.when(scrambled & flagged, "B").when(scrambled, "9").when(flagged, "3").otherwise("1")
+    head = F.concat(F.when(bad, "48").otherwise("47"), F.substring(h, 3, 4), control, F.substring(h, 8, 1))
+    rest = F.when(flagged, F.concat(F.lit("0180"), F.substring(h, 13, 364))).when(F.col("starts") & (n % 5 == 0), F.concat(F.substring(h, 9, 12), F.lit("00"), F.substring(h, 23, 354))).otherwise(F.substring(h, 9, 368))
+    return view(v_ts).drop("pid").withColumn("bytes", F.unhex(F.concat(head, rest)))
+
+
+@query(f"""WITH p AS (SELECT *, packet_no % 89 = 0 AS rej, packet_no % 97 = 0 AS scr, packet_no % 101 = 0 AS flg FROM {TS}),
+           l AS (SELECT *, CASE WHEN NOT flg THEN lag(cc) OVER (PARTITION BY stream_id, pid ORDER BY packet_no) END AS prev FROM p WHERE NOT rej),
+           c AS (SELECT *, coalesce(NOT scr AND cc = prev, false) AS dup, coalesce(NOT scr AND cc <> prev AND cc <> (prev + 1) % 16, false) AS err FROM l),
+           e AS (SELECT *, scr OR flg OR err AS dmg, starts AND NOT scr AND NOT dup AS fresh FROM c),
+           i AS (SELECT *, sum(CASE WHEN NOT dup AND (fresh OR dmg) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, pid ORDER BY packet_no ROWS UNBOUNDED PRECEDING) AS island FROM e),
+           g AS (SELECT stream_id, pid, island, bool_or(fresh) AS s, arg_min(dmg, packet_no) AS d, arg_min(flg, packet_no) AS f, arg_min(packet_no % 5 = 0, packet_no) AS bad FROM i WHERE NOT dup GROUP BY 1, 2, 3),
+           k AS (SELECT *, coalesce(NOT lead(d) OVER (PARTITION BY stream_id, pid ORDER BY island), true) AS whole FROM g),
+           u AS (SELECT *, sum(CASE WHEN damaged THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY au_no) AS isl FROM {AU}), v AS (SELECT *, bool_or(is_idr) OVER (PARTITION BY stream_id, isl ORDER BY au_no ROWS UNBOUNDED PRECEDING) AS emitted FROM u)
+           SELECT * FROM (SELECT stream_id, count(*) FILTER (WHERE NOT rej) AS packets, count(*) FILTER (WHERE rej) AS rejected, count(DISTINCT packet_no // 100) AS segments FROM p GROUP BY 1)
+           JOIN (SELECT stream_id, count(*) FILTER (WHERE scr) AS scrambled, count(*) FILTER (WHERE dup) AS duplicates, count(*) FILTER (WHERE err) AS continuity_errors, count(*) FILTER (WHERE flg) AS flagged, count(*) FILTER (WHERE dmg) AS discontinuities, count(*) FILTER (WHERE fresh) AS unit_starts FROM e GROUP BY 1) USING (stream_id)
+           JOIN (SELECT stream_id, CAST(sum(s % 7) AS BIGINT) AS trailing_bytes, count(*) FILTER (WHERE s % 3 = 2) AS segments_without_pat, count(*) FILTER (WHERE s % 3 = 2) AS segments_without_pmt,
+                        CAST(0 AS BIGINT) AS video_pid_changes
+                 FROM (SELECT DISTINCT stream_id, packet_no // 100 AS s FROM p) z GROUP BY 1) USING (stream_id)
+           JOIN (SELECT stream_id, count(*) FILTER (WHERE s AND whole AND NOT f AND bad) AS malformed_pes FROM k GROUP BY 1) USING (stream_id)
+           JOIN (SELECT stream_id, count(*) FILTER (WHERE damaged) AS discarded_pictures, count(*) FILTER (WHERE NOT damaged AND NOT emitted) AS dropped_dependents, count(*) FILTER (WHERE NOT damaged AND emitted) AS emitted_units FROM v GROUP BY 1) USING (stream_id)
+           JOIN (SELECT stream_id, count(DISTINCT epoch) AS epochs FROM {PTS} GROUP BY 1) USING (stream_id)""")
 def demux_diagnostics(view, spark, sf):
-    packets = transport.packet_fields(view(v_ts).drop("pid"))
-    return transport.demux_diagnostics(transport.continuity_check(packets), packets).select("stream_id", "packets", "rejected", "duplicates", "continuity_errors", "unit_starts")
+    packets = transport.packet_fields(_worn(view))
+    checked = transport.continuity_check(packets)
+    held = packets.withColumn("segment_seq", F.floor(F.col("packet_no") / 100))
+    seg = held.groupBy("stream_id", "segment_seq").agg((F.count("*") * 188).alias("_n")).select("stream_id", "segment_seq", (F.col("_n") + F.col("segment_seq") % 7).alias("n_bytes"))
+    pes = transport.assemble_pes(checked.withColumn("payload", F.substring("bytes", F.col("payload_start") + 1, F.lit(184))))
+    units = pictures.gate_on_keyframe(view(V.v_au))
+    psi = program_tables(view)
+    return transport.demux_diagnostics(packets, checked, seg, transport.association_tables(psi), transport.program_streams(psi), pes, units, view(V.v_pts))
+
+
+def program_tables(view) -> DataFrame:
+    """Program tables a segment: program 1 on pid 4096; video on pid 256, audio on 257 + segment % 2; every third segment
+    has none of its own."""
+    seg = view(V.v_au).select("stream_id", "segment_seq").distinct()
+    pat = F.lit("00" + "00B00D0001C10000" + "0001F000" + "00000000")
+    audio = F.lpad(F.hex((257 + F.col("segment_seq") % 2 + 0xE000).cast("long")), 4, "0")
+    pmt = F.concat(F.lit("00" + "02B017" + "0001C10000" + "E100F000" + "1BE100F000" + "0F"), audio, F.lit("F000" + "00000000"))
+    both = F.array(F.struct(F.lit(0).alias("packet_no"), F.lit(0).alias("pid"), F.unhex(pat).alias("payload")), F.struct(F.lit(1).alias("packet_no"), F.lit(4096).alias("pid"), F.unhex(pmt).alias("payload")))
+    return seg.filter("segment_seq % 3 != 2").select("stream_id", "segment_seq", F.explode(both).alias("_e")).select("stream_id", "segment_seq", "_e.*", F.lit(True).alias("payload_unit_start"), F.lit(True).alias("has_payload"))
 
 
 # --- pictures -------------------------------------------------------------------------------------------------------
 
 
+_CLOCKED = f"(SELECT *, au_no * 33 + 5 AS pts_ms, au_no + ord % 5 AS next_no, au_no * 33 - ord % 400 AS now_ms FROM {AU})"
+
+
+@query(f"""SELECT stream_id, next_no, now_ms, max(u.au_no) AS previous_idr FROM (SELECT DISTINCT stream_id, next_no, now_ms FROM {_CLOCKED} WHERE ord % 7 = 0) p
+           LEFT JOIN (SELECT stream_id AS s, au_no, pts_ms FROM {_CLOCKED} WHERE is_idr) u ON u.s = p.stream_id AND u.au_no <= greatest(next_no - 2, 0) AND u.pts_ms < now_ms GROUP BY 1, 2, 3""")
+def previous_idr(view, spark, sf):
+    units = view(V.v_au).withColumns({"pts_ms": F.col("au_no") * 33 + 5, "next_no": F.col("au_no") + F.col("ord") % 5, "now_ms": F.col("au_no") * 33 - F.col("ord") % 400})
+    return pictures.previous_idr(units.filter("ord % 7 = 0"), units)
+
+
 @query(f"SELECT stream_id, au_no, last_value(CASE WHEN is_idr THEN au_no END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY au_no) AS preceding_idr, first_value(CASE WHEN is_idr THEN au_no END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY au_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_idr FROM {AU}")
 def keyframe_navigation(view, spark, sf):
     return pictures.keyframe_navigation(view(V.v_au)).select("stream_id", "au_no", "preceding_idr", "next_idr")

@@ -78,11 +78,11 @@ def v_variants(d: str) -> str:
 
 def v_snap(d: str) -> str:
     """Snapshot n shows the sequences n to n + 3; playlists of key 0 modulo 13 change a duration in snapshot 2, those of
-    1 rewind by two in snapshot 2, those of 2 skip snapshots 1 to 5."""
+    1 rewind by two in snapshot 2, those of 2 skip snapshots 1 to 5, those of 3 change the target duration in snapshot 2."""
     return f"""
       SELECT s.playlist_uri, n.snapshot_no, s.sequence, s.segment_uri, s.discontinuity_sequence,
              s.duration + CASE WHEN s.playlist_uri % 13 = 0 AND n.snapshot_no = 2 THEN 1 ELSE 0 END AS duration,
-             n.media_sequence, n.window_discontinuity, CAST(5 AS BIGINT) AS target_duration,
+             n.media_sequence, n.window_discontinuity, CAST(CASE WHEN s.playlist_uri % 13 = 3 AND n.snapshot_no >= 2 THEN 6 ELSE 5 END AS BIGINT) AS target_duration,
              CAST(row_number() OVER (PARTITION BY s.playlist_uri, n.snapshot_no ORDER BY s.sequence) - 1 AS BIGINT) AS ordinal
       FROM ({v_seg(d)}) AS s JOIN (
         SELECT playlist_uri, snapshot_no, CASE WHEN playlist_uri % 13 = 1 AND snapshot_no = 2 THEN snapshot_no - 2 ELSE snapshot_no END AS media_sequence,
@@ -137,3 +137,44 @@ def v_mp4(d: str) -> str:
              CAST(l_linenumber AS BIGINT) AS count, CAST(512 * l_linenumber AS BIGINT) AS delta, CAST(l_quantity AS BIGINT) AS size
       FROM {lineitem}
     """
+
+
+def v_probe_segments(d: str) -> str:
+    """Two probed segments a variant."""
+    return """
+      SELECT l_orderkey AS variant_uri, segment_no, l_orderkey % 2 = 0 AS is_end_list, l_orderkey % 71 <> 0 AS has_segment, l_orderkey % 73 <> 0 AS has_pat,
+             NOT (l_orderkey % 79 = 0 AND segment_no = 1) AS has_pmt, l_orderkey % 83 <> 0 AS has_h264
+      FROM (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS segment_no FROM {lineitem} UNION ALL SELECT DISTINCT l_orderkey, CAST(1 AS BIGINT) FROM {lineitem}) AS a
+    """
+
+
+def v_probe_slices(d: str) -> str:
+    some, one, two = ("CAST(array() AS ARRAY<INT>)", "array(1)", "array(1, 2)") if d == "spark" else ("CAST([] AS INTEGER[])", "[1]", "[1, 2]")
+    return f"""
+      SELECT l_orderkey AS variant_uri, CASE WHEN l_linenumber % 6 = 5 THEN NULL ELSE CAST((l_orderkey + l_linenumber) % 3 % 2 + CASE WHEN l_orderkey % 21 = 0 THEN 1 ELSE 0 END AS BIGINT) END AS pps_id,
+             l_linenumber = 1 AND l_orderkey % 7 <> 0 AS is_idr,
+             CAST(CASE WHEN l_linenumber = 1 THEN 2 WHEN l_orderkey % 8 = 0 THEN l_suppkey % 5 WHEN l_orderkey % 4 = 1 THEN 0 WHEN l_orderkey % 4 = 2 THEN l_partkey % 3 ELSE 2 END AS BIGINT) AS slice_type,
+             CAST(l_partkey % 9 AS BIGINT) AS nal_ref_idc, CAST(CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS cabac_init_idc, l_orderkey % 5 <> 0 AS weight_table,
+             l_orderkey % 13 = 0 AS modified_lists, CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END AS poc_lsb, CAST(1 + l_orderkey % 34 AS BIGINT) AS l0_active,
+             CAST(1 + l_orderkey % 3 AS BIGINT) AS l1_active, CAST(CASE WHEN l_orderkey % 19 = 0 THEN 1 ELSE 0 END AS BIGINT) AS redundant_pic_cnt, l_orderkey % 23 = 0 AS long_term_reference,
+             l_orderkey % 6 = 0 AS adaptive_marking, CASE l_orderkey % 18 WHEN 6 THEN {one} WHEN 12 THEN {two} ELSE {some} END AS marking_ops
+      FROM {{lineitem}}
+    """
+
+
+def v_probe_pps(d: str) -> str:
+    return """
+      SELECT l_orderkey AS variant_uri, pps_id, CAST(CASE WHEN l_orderkey % 29 = 0 THEN 9 ELSE 0 END AS BIGINT) AS sps_id, l_orderkey % 2 = 0 AS cabac, l_orderkey % 3 = 0 AS weighted_pred,
+             CAST(CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE l_orderkey % 5 % 2 END AS BIGINT) AS weighted_bipred_idc, l_orderkey % 31 = 0 AS transform_8x8, l_orderkey % 37 = 0 AS pps_scaling,
+             CAST(CASE WHEN l_orderkey % 41 = 0 THEN 2 ELSE 1 END AS BIGINT) AS slice_groups
+      FROM (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS pps_id FROM {lineitem} UNION ALL SELECT DISTINCT l_orderkey, CAST(1 AS BIGINT) FROM {lineitem}) AS a WHERE l_orderkey % 43 <> 0
+    """
+
+
+def v_probe_sps(d: str) -> str:
+    return """
+      SELECT DISTINCT l_orderkey AS variant_uri, CAST(0 AS BIGINT) AS sps_id, CAST(CASE l_orderkey % 4 WHEN 0 THEN 100 WHEN 1 THEN 66 WHEN 2 THEN 100 ELSE 77 END + CASE WHEN l_orderkey % 89 = 0 THEN 10 ELSE 0 END AS BIGINT) AS profile_idc,
+             CAST(CASE WHEN l_orderkey % 47 = 0 THEN 2 ELSE 1 END AS BIGINT) AS chroma_format, l_orderkey % 97 = 0 AS separate_planes, CAST(CASE WHEN l_orderkey % 53 = 0 THEN 10 ELSE 8 END AS BIGINT) AS bit_depth_luma,
+             CAST(8 AS BIGINT) AS bit_depth_chroma, l_orderkey % 59 <> 0 AS frame_mbs_only, l_orderkey % 61 = 0 AS sps_scaling, l_orderkey % 67 <> 0 AS direct_8x8, CAST(CASE WHEN l_orderkey % 10 = 0 THEN 2 ELSE 0 END AS BIGINT) AS poc_type
+      FROM {lineitem}
+    """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,9 +43,12 @@ def write_timeline_stream(df: DataFrame, path: str, checkpoint: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (local sessions without one) a new temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir, or (sessions of one process without one) a new temporary
+    folder. Sessions on a cluster must name it."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

@@ -70,32 +70,51 @@ def nal_offsets(data: bytes) -> Iterator[tuple[int, int, int]]:
             yield s, one + 1, e
 
 
+def nal_open(data: bytes) -> int:
+    """Where the unit begins that no later start code has closed; without a start code, where one may have begun."""
+    at = data.rfind(b"\0\0\1")
+    if at < 0:
+        return len(data.rstrip(b"\0"))
+    while at > 0 and data[at - 1] == 0:
+        at -= 1
+    return at
+
+
 def scan_annexb_nals(blocks: DataFrame, keys: tuple[str, ...] = ("stream_id",), content: str = "content") -> DataFrame:
     """keys, nal_no, start_offset, payload_offset, end_offset, bytes of the units of each elementary stream."""
     return _scan(blocks, list(keys), content, lambda data: ((k, s, p, e, data[p:e]) for k, (s, p, e) in enumerate(nal_offsets(data))), "nal_no long, start_offset long, payload_offset long, end_offset long, bytes binary")
 
 
-def adts_offsets(data: bytes) -> Iterator[tuple[int, int]]:
-    """(offset, frame length) of whole ADTS frames; what is no valid header is skipped up to the next sync word."""
+def adts_frames(data: bytes, final: bool = True) -> tuple[list[tuple[int, int]], int]:
+    """(offset, frame length) of whole ADTS frames; what is no valid header is skipped up to the next sync word. Then
+    where the rest begins: a frame that goes on after data is skipped if data is final, else it is the rest."""
     b = np.frombuffer(data, np.uint8)
     sync = np.flatnonzero((b[:-1] == 0xFF) & (b[1:] & 0xF6 == 0xF0)) if len(b) > 1 else np.zeros(0, np.int64)
-    at, k = 0, 0
+    found, at, k = [], 0, 0
     while k < len(sync):
         p = int(sync[k])
         if p < at:
             k = int(np.searchsorted(sync, at))
             continue
-        n = (data[p + 3] & 3) << 11 | data[p + 4] << 3 | data[p + 5] >> 5 if p + 7 <= len(data) else 0
-        head = 7 if data[p + 1] & 1 else 9
-        if n >= head and (data[p + 2] >> 2 & 15) < 13 and p + n <= len(data):
-            yield p, n
-            at = p + n
+        if p + 7 > len(data):
+            if not final:
+                return found, p
+            break
+        n = (data[p + 3] & 3) << 11 | data[p + 4] << 3 | data[p + 5] >> 5
+        if n >= (7 if data[p + 1] & 1 else 9) and (data[p + 2] >> 2 & 15) < 13:
+            if p + n <= len(data):
+                found.append((p, n))
+                at = p + n
+            elif not final:
+                return found, p
         k += 1
+    # a last byte may be half a sync word
+    return found, len(data) if final or not data or data[-1] != 0xFF or at == len(data) else len(data) - 1
 
 
 def scan_adts_frames(blocks: DataFrame, keys: tuple[str, ...] = ("stream_id",), content: str = "content") -> DataFrame:
     """keys, unit_no, byte_offset, frame_length, header (7 bytes) of the audio frames of each elementary stream."""
-    return _scan(blocks, list(keys), content, lambda data: ((k, p, n, data[p : p + 7]) for k, (p, n) in enumerate(adts_offsets(data))), "unit_no long, byte_offset long, frame_length long, header binary")
+    return _scan(blocks, list(keys), content, lambda data: ((k, p, n, data[p : p + 7]) for k, (p, n) in enumerate(adts_frames(data)[0])), "unit_no long, byte_offset long, frame_length long, header binary")
 
 
 def boxes(data: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int, int]]:

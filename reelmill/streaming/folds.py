@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelmill.operators.abr import Controller
+from reelmill.operators.segments import LIVE_RULES
+from reelmill.sources.scans import adts_frames, nal_offsets, nal_open
 
 HISTORY = 256
 
@@ -52,6 +55,17 @@ def fold_stream(df: DataFrame, make: Callable, key: str, order: str, output: str
 SEGMENTS_OUT = "snapshot_no long, kind string, sequence long, segment_uri string, violation string"
 
 
+#: What a window of a live playlist must meet by itself, and then against the windows before it; the first rule that holds fails it.
+WINDOW_RULES: dict[str, Callable] = {
+    "bad_target_duration": lambda x: x.target_duration <= 0,
+    "target_duration_changed": LIVE_RULES["target_duration_changed"],
+    "negative_sequence": lambda x: x.media_sequence < 0 or x.discontinuity_sequence < 0,
+    "window_too_large": lambda x: len(x.sequences) > HISTORY,
+    "sequence_gap": lambda x: x.sequences != list(range(x.media_sequence, x.media_sequence + len(x.sequences))),
+    "bad_duration": lambda x: not all(0 < d < float("inf") for d in x.durations),
+} | {name: rule for name, rule in LIVE_RULES.items() if name != "target_duration_changed"}
+
+
 class LiveSegments:
     """Snapshots of a live playlist -> each sequence once, in order, then one terminal row (sealed or failed).
 
@@ -61,60 +75,41 @@ class LiveSegments:
     """
 
     def __init__(self, hold_back: int | None = 3) -> None:
-        self.hold_back, self.done, self.anchored = hold_back, False, False
+        self.hold_back, self.ended = hold_back, False
+        self.was: SimpleNamespace | None = None  # the last window
         self.emitted: int | None = None
-        self.media: int | None = None
-        self.high: int | None = None
-        self.gaps: int | None = None
         self.known: dict[int, tuple] = {}
 
-    def _violation(self, x, found: list) -> str | None:
-        sequences = [s["sequence"] for s in found]
-        if x.target_duration <= 0:
-            return "bad_target_duration"
-        if x.media_sequence < 0:
-            return "negative_sequence"
-        if len(found) > HISTORY:
-            return "window_too_large"
-        if sequences != list(range(x.media_sequence, x.media_sequence + len(found))):
-            return "sequence_gap"
-        if any(not 0 < s["duration"] < float("inf") for s in found):
-            return "bad_duration"
-        high = sequences[-1] if sequences else x.media_sequence - 1
-        if self.media is not None and (x.media_sequence < self.media or high < self.high):
-            return "rewind"
-        if self.gaps is not None and x.window_discontinuity < self.gaps:
-            return "discontinuity_rewind"
-        if self.anchored and x.media_sequence > self.emitted + 1:
-            return "expired_gap"
-        if any(self.known.get(s["sequence"], v) != v for s in found for v in [(s["segment_uri"], s["duration"], s["discontinuity_sequence"])]):
-            return "mutation"
-        return None
+    def _window(self, x) -> SimpleNamespace:
+        """The snapshot as the rules see it; without a window before, it is compared with itself."""
+        held = {s["sequence"]: (s["segment_uri"], s["duration"], s["discontinuity_sequence"]) for s in x.segments}
+        now = SimpleNamespace(
+            target_duration=x.target_duration, media_sequence=x.media_sequence, discontinuity_sequence=x.window_discontinuity, held=held,
+            sequences=sorted(s["sequence"] for s in x.segments), durations=[s["duration"] for s in x.segments],
+            changes_known=any(self.known.get(k, v) != v for k, v in held.items()), emitted=x.media_sequence if self.emitted is None else self.emitted,
+        )
+        now.window_last = now.sequences[-1] if now.sequences else now.media_sequence - 1
+        was = self.was or now
+        now.was_target, now.was_first, now.was_last, now.was_gap = was.target_duration, was.media_sequence, was.window_last, was.discontinuity_sequence
+        return now
 
     def take(self, x) -> Iterator[tuple]:
-        if self.done:
-            return
-        found = sorted(list(x.segments), key=lambda s: s["sequence"])
-        why = self._violation(x, found)
-        if why:
-            self.done = True
-            yield x.snapshot_no, "failed", None, None, why
+        if self.ended:
             return
-        new = [s for s in found if self.emitted is None or s["sequence"] > self.emitted]
-        if not self.anchored and self.hold_back is not None:
-            new = new[-self.hold_back :]
-        for s in new:
-            self.emitted = s["sequence"]
-            yield x.snapshot_no, "segment", s["sequence"], s["segment_uri"], None
-        self.anchored = self.anchored or bool(found)
-        for s in found:
-            self.known.setdefault(s["sequence"], (s["segment_uri"], s["duration"], s["discontinuity_sequence"]))
-        self.known = dict(sorted(self.known.items())[-HISTORY:])
-        self.media, self.gaps = x.media_sequence, x.window_discontinuity
-        self.high = found[-1]["sequence"] if found else x.media_sequence - 1
-        if x.is_end_list:
-            self.done = True
-            yield x.snapshot_no, "sealed", None, None, None
+        now = self._window(x)
+        broken = next((name for name, holds in WINDOW_RULES.items() if holds(now)), None)
+        if broken is None:
+            fresh = [k for k in now.sequences if self.emitted is None or k > self.emitted]
+            if self.emitted is None and self.hold_back is not None:
+                fresh = fresh[-self.hold_back :]
+            for k in fresh:
+                yield x.snapshot_no, "segment", k, now.held[k][0], None
+            self.emitted = fresh[-1] if fresh else self.emitted
+            self.known = dict(sorted((now.held | self.known).items())[-HISTORY:])
+            self.was = SimpleNamespace(**{k: v for k, v in vars(now).items() if k not in ("held", "sequences", "durations")})
+        self.ended = broken is not None or bool(x.is_end_list)
+        if self.ended:
+            yield x.snapshot_no, "failed" if broken else "sealed", None, None, broken
 
 
 EPISODES_OUT = "episode long, start_ms long, end_ms long, rebuffer_ms long, starvations long, underruns long"
@@ -174,14 +169,15 @@ class PesCarry:
     """PES units of one (stream, pid) that go on over segments: packet rows in, whole units out.
 
     Rows: packet_no, payload, payload_unit_start, continuity_counter, discontinuity_indicator, scrambling and `last`
-    (true on the stream's final packet, which flushes). The tail is bounded by max_bytes; a longer unit is dropped.
+    (true on the stream's final packet, which flushes). The open unit is the state, whatever its length; units are those
+    of operators.transport.assemble_pes.
     """
 
-    def __init__(self, max_bytes: int = 32 << 20) -> None:
-        self.counter, self.tail, self.first, self.n, self.max_bytes = None, None, None, 0, max_bytes
+    def __init__(self) -> None:
+        self.counter, self.tail, self.first, self.n = None, None, None, 0
 
     def _close(self) -> Iterator[tuple]:
-        if self.tail is not None and self.tail[:3] == b"\0\0\1" and len(self.tail) <= self.max_bytes:
+        if self.tail is not None and self.tail[:3] == b"\0\0\1":
             yield self.first, self.n, bytes(self.tail)
         self.tail = None
 
@@ -208,8 +204,87 @@ class PesCarry:
         elif self.tail is not None:
             self.tail += x.payload
             self.n += 1
-            if len(self.tail) > self.max_bytes:
-                self.tail = None
+
+
+UNITS_OUT = "unit_no long, start_offset long, bytes binary"
+
+
+class _ByteCarry:
+    """Blocks of one elementary stream in, units that may lie in several blocks out.
+
+    Rows: content, and if present `discontinuity` (a declared one or damage: what is open is dropped) and `last` (true on
+    the final block, which flushes). Offsets count all bytes of the stream. What follows the last whole unit is the state.
+    """
+
+    def __init__(self) -> None:
+        self.tail, self.at, self.units = b"", 0, 0
+
+    def _found(self, data: bytes, final: bool) -> tuple[list[tuple[int, int, int]], int]:
+        """(start, from, to) of the whole units in data, and where the rest begins."""
+        raise NotImplementedError
+
+    def take(self, x) -> Iterator[tuple]:
+        if getattr(x, "discontinuity", False):
+            self.at += len(self.tail)
+            self.tail = b""
+        data = self.tail + bytes(x.content or b"")
+        whole, rest = self._found(data, bool(getattr(x, "last", False)))
+        for start, a, b in whole:
+            yield self.units, self.at + start, data[a:b]
+            self.units += 1
+        self.tail, self.at = data[rest:], self.at + rest
+
+
+class NalCarry(_ByteCarry):
+    """NAL units over block boundaries; a unit is whole once the next start code is seen."""
+
+    def _found(self, data: bytes, final: bool) -> tuple[list[tuple[int, int, int]], int]:
+        units = list(nal_offsets(data))
+        if final:
+            return units, len(data)
+        # zeros at the end may belong to the next start code
+        open_at = nal_open(data)
+        return [u for u in units if u[0] < open_at], open_at
+
+
+class AdtsCarry(_ByteCarry):
+    """Audio frames over block boundaries."""
+
+    def _found(self, data: bytes, final: bool) -> tuple[list[tuple[int, int, int]], int]:
+        frames, rest = adts_frames(data, final)
+        return [(p, p, p + n) for p, n in frames], rest
+
+
+PICTURES_OUT = "au_no long, first_nal long, nal_count long, is_idr boolean"
+
+
+class PictureCarry:
+    """Access units over segments: NAL rows (nal_no, nal_type, first_mb) in, whole pictures out, as
+    operators.pictures.assemble_access_units groups them. `discontinuity` drops the open picture; `last` flushes."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, int]] = []
+        self.sliced, self.pictures = False, 0
+
+    def _close(self) -> Iterator[tuple]:
+        """Gives out what is held if it has a slice."""
+        if self.sliced:
+            yield self.pictures, self.held[0][0], len(self.held), any(t == 5 for _, t in self.held)
+            self.pictures += 1
+        self.held, self.sliced = ([], False) if self.sliced else (self.held, False)
+
+    def take(self, x) -> Iterator[tuple]:
+        t = int(x.nal_type)
+        if getattr(x, "discontinuity", False):
+            self.held, self.sliced = [], False
+        vcl = 1 <= t <= 5
+        first = t in (1, 2, 5) and (pd.isna(x.first_mb) or x.first_mb == 0)
+        if self.sliced and (first if vcl else 6 <= t <= 9 or 12 <= t <= 18):
+            yield from self._close()
+        self.held.append((int(x.nal_no), t))
+        self.sliced = self.sliced or vcl
+        if t in (10, 11) or getattr(x, "last", False):
+            yield from self._close()
 
 
 def latest_wins(batch: DataFrame, key: str = "session_id", order: str = "ord") -> DataFrame:

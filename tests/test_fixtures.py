@@ -201,6 +201,7 @@ def snapshots(spark, rows, start=0):
 
 
 @pytest.mark.parametrize(("rows", "violation"), [
+    ([(100, 6), (101, 6, {"target": 5})], "target_duration_changed"),
     ([(100, 6), (103, 5)], None), ([(100, 6), (110, 3)], "expired_gap"), ([(100, 6), (99, 6)], "rewind"), ([(100, 6), (101, 3)], "rewind"),
     ([(100, 6, {"gap": 2}), (101, 6, {"gap": 1})], "discontinuity_rewind"), ([(100, 6), (101, 6, {"uri": "other"})], "mutation"),
 ])
@@ -225,21 +226,29 @@ def test_contiguous_window(spark):
     assert segments.contiguous_window(snapshots(spark, [(0, 3)]).filter("sequence != 1")).first().violation == "sequence_gap"
 
 
+def sample(kind, **values):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(**{"kind": kind, "n_bytes": 0, "elapsed_us": 1, "segment_us": None, "video_ms": 0, "audio_ms": None, "playing": True, "starved": False, "lateness_ms": 0} | values)
+
+
 def test_controller():
+    buffer, late = (lambda v, a=None, starved=False: sample("buffer", video_ms=v, audio_ms=a, starved=starved)), (lambda ms: sample("playback", lateness_ms=ms))
+    fetch = lambda n, us, d=None: sample("download", n_bytes=n, elapsed_us=us, segment_us=d)
     c = abr.Controller([250_000, 500_000, 1_500_000], 2)
-    c.buffer(12_000, 11_000, True, False)
-    moves = [c.download(200_000, 100_000, 2_000_000) for _ in range(8)]
+    c.step(buffer(12_000, 11_000))
+    moves = [c.step(fetch(200_000, 100_000, 2_000_000)) for _ in range(8)]
     assert [m[1] if m else None for m in moves] == [None, None, None, 1, None, None, None, 2]
-    assert c.playback(220, False)[1] == 1
-    assert [c.playback(240, False) for _ in range(2)] == [None, None] and c.playback(240, False)[1] == 0
+    assert c.step(late(220))[1] == 1
+    assert [c.step(late(240)) for _ in range(2)] == [None, None] and c.step(late(240))[1] == 0
     d = abr.Controller([250_000, 500_000, 1_500_000], 2, index=2)
-    assert d.buffer(0, None, True, True)[1] == 0
-    assert all(d.download(200_000, 100_000, None) is None for _ in range(8))
-    assert all(d.buffer(12_000, None, True, False) is None for _ in range(8)) and not d.constrained
-    assert [d.download(200_000, 100_000, None) for _ in range(4)][-1][1] == 1
+    assert d.step(buffer(0, starved=True))[1] == 0
+    assert all(d.step(fetch(200_000, 100_000)) is None for _ in range(8))
+    assert all(d.step(buffer(12_000)) is None for _ in range(8)) and not d.constrained
+    assert [d.step(fetch(200_000, 100_000)) for _ in range(4)][-1][1] == 1
     e = abr.Controller([250_000, 500_000, 1_500_000], 1)
-    e.buffer(12_000, None, True, False)
-    assert {m[1] for m in (e.download(900_000, 100_000, None) for _ in range(20)) if m} == {1}
+    e.step(buffer(12_000))
+    assert {m[1] for m in (e.step(fetch(900_000, 100_000)) for _ in range(20)) if m} == {1}
 
 
 def test_qoe(spark):
@@ -290,3 +299,101 @@ def test_byte_caps(spark, tmp_path):
 def test_small_scalars(spark):
     got = one(spark, s=S.scale_ticks(F.lit(-3), 2, 1), t=S.scale_ticks(F.lit(90001), 90000, 44100), e=S.nearest_epoch_offset(F.lit(100), F.lit(M + 50)), f=S.nearest_epoch_offset(F.lit(M - 5), F.lit(3)), r=S.retry_backoff_ms(F.lit(9)), d=S.refresh_delay_us(F.lit(4), F.lit(False), F.lit(5)))
     assert (got.s, got.t, got.e, got.f, got.r, got.d) == (-2, 44100, M, -M, 4000, 0)
+
+
+def test_byte_tails_do_not_depend_on_cuts():
+    """Units found block by block, wherever the blocks are cut, are those of the whole stream."""
+    import random
+
+    from reelmill.sources import scans
+    from reelmill.streaming import folds
+
+    rng = random.Random(3)
+    nals = b"".join(rng.choice([b"\0\0\1", b"\0\0\0\1", b"\0\0\0\0\1"]) + bytes(rng.choice([0, 1, 3, 65, 200]) for _ in range(rng.randrange(6))) for _ in range(60))
+    adts = b""
+    for _ in range(40):
+        n = 7 + rng.randrange(30)
+        adts += bytes(rng.choice([0xFF, 0xF1, 7]) for _ in range(rng.randrange(4))) + bytes([0xFF, 0xF1, 0x50, 0x80 | n >> 11, n >> 3 & 255, (n & 7) << 5 | 31, 0xFC]) + bytes(rng.choice([0xFF, 0xF1, 1]) for _ in range(n - 7))
+    for data, make, whole in (
+        (nals, folds.NalCarry, [(s, nals[p:e]) for s, p, e in scans.nal_offsets(nals)]),
+        (adts, folds.AdtsCarry, [(p, adts[p : p + n]) for p, n in scans.adts_frames(adts)[0]]),
+    ):
+        for _ in range(40):
+            cuts = sorted(rng.sample(range(len(data)), rng.randrange(1, 30)))
+            step, got = make(), []
+            for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True):
+                got += step.take(sample("", content=data[a:b], last=b == len(data)))
+            assert [(s, u) for _, s, u in got] == whole and [k for k, *_ in got] == list(range(len(whole)))
+
+
+def test_a_declared_discontinuity_drops_the_tail():
+    from reelmill.streaming import folds
+
+    step = folds.NalCarry()
+    assert list(step.take(sample("", content=b"\0\0\1Aa\0\0\1Ab"))) == [(0, 0, b"Aa")]
+    assert list(step.take(sample("", content=b"cc\0\0\1Ad", discontinuity=True, last=True))) == [(1, 12, b"Ad")]
+
+
+def test_picture_tails_equal_the_batch_form(spark):
+    import random
+
+    from reelmill.streaming import folds
+
+    rng = random.Random(9)
+    rows = [(0, i, rng.choice([1, 1, 1, 2, 5, 6, 7, 8, 9, 10, 12, 3, 19]), rng.choice([0, 0, 3, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "stream_id long, nal_no long, nal_type long, first_mb long")
+    want = pictures.assemble_access_units(df).groupBy("au_no").agg(F.min("nal_no").alias("a"), F.count("*").alias("n"), F.bool_or(F.col("nal_type") == 5).alias("idr"))
+    step, got = folds.PictureCarry(), []
+    for _, i, t, m in rows:
+        got += step.take(sample("", nal_no=i, nal_type=t, first_mb=m, last=i == 399))
+    assert got == sorted((r.au_no, r.a, r.n, r.idr) for r in want.collect())
+
+
+def test_long_units_are_not_dropped():
+    from reelmill.streaming import folds
+
+    step = folds.PesCarry()
+    packet = lambda k, data, start=False, last=False: sample("", packet_no=k, payload=data, payload_unit_start=start, continuity_counter=k % 16, discontinuity_indicator=False, scrambling=0, last=last)
+    out = list(step.take(packet(0, b"\0\0\1" + bytes(1 << 20), True)))
+    for k in range(1, 36):
+        out += step.take(packet(k, bytes(1 << 20), last=k == 35))
+    assert [(f, n, len(data)) for f, n, data in out] == [(0, 36, 3 + 36 * (1 << 20))]
+
+
+def test_demux_counters(spark):
+    from reelmill.operators import transport
+
+    head = lambda n, scr, cc: bytes([0x47, 0x41 if n == 0 else 0x01, 0x00, scr << 6 | 0x10 | cc]) + b"\0\0\1\xe0" + bytes(180)
+    data = [(0, 0, head(0, 0, 0)), (0, 1, head(1, 2, 1)), (0, 2, head(2, 0, 2)), (0, 3, head(3, 0, 9)), (0, 4, b"\x48" + head(4, 0, 10)[1:])]
+    packets = transport.packet_fields(spark.createDataFrame(data, "stream_id long, packet_no long, bytes binary"))
+    checked = transport.continuity_check(packets)
+    seg = spark.createDataFrame([(0, 0, 941), (0, 1, 188), (0, 2, 188)], "stream_id long, segment_seq long, n_bytes long")
+    tables = spark.createDataFrame([(0, 0, 1, 4096), (0, 2, 1, 4096)], "stream_id long, segment_seq long, program_number long, pmt_pid int")
+    streams = spark.createDataFrame([(0, 0, 1, 256, 0x1B), (0, 2, 1, 258, 0x1B), (0, 2, 1, 259, 0x0F)], "stream_id long, segment_seq long, program_number long, pid int, stream_type int")
+    units = spark.createDataFrame([(0, True, False), (0, False, False), (0, False, True), (0, False, True)], "stream_id long, damaged boolean, emitted boolean")
+    epochs = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "stream_id long, epoch long")
+    pes = spark.createDataFrame([(0, b"\0\0\1\xe0\0\0\0\0\0")], "stream_id long, payload binary")
+    got = transport.demux_diagnostics(packets, checked, seg, tables, streams, pes, units, epochs).first().asDict()
+    assert got == {"stream_id": 0, "packets": 4, "rejected": 1, "scrambled": 1, "duplicates": 0, "continuity_errors": 1, "flagged": 0, "discontinuities": 2, "unit_starts": 1, "segments": 3, "trailing_bytes": 1, "segments_without_pat": 1, "segments_without_pmt": 1, "video_pid_changes": 1, "malformed_pes": 1, "discarded_pictures": 1, "dropped_dependents": 1, "emitted_units": 2, "epochs": 2}
+    found = transport.carry_streams(seg, streams.union(spark.createDataFrame([(0, 1, 1, 300, 0x11)], streams.schema))).orderBy("segment_seq").collect()
+    assert [r.violation for r in found] == [None, "latm_unsupported", None]
+
+
+def test_pictures_of_a_finished_stream_stay_linear():
+    """No window looks to the end of its partition from each row."""
+    import pathlib
+
+    for path in pathlib.Path(pictures.__file__).parent.glob("*.py"):
+        assert "unboundedFollowing" not in path.read_text(), path
+
+
+def test_merged_rows_of_a_key_are_together(spark):
+    """Also where both sides are dealt by the key already and have been coalesced in different ways."""
+    from pyspark.sql import Window
+
+    from reelmill.operators.rows import merged
+
+    dealt = lambda n: spark.range(n).withColumn("key", F.col("id") % 7).withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+    both = merged([dealt(5000), dealt(50).filter("k > 3")], "key").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    want = {k: sum(1 for i in range(5000) if i % 7 == k) + sum(1 for i in range(50) if i % 7 == k) - 3 for k in range(7)}
+    assert {(r.key, r.n) for r in both.select("key", "n").distinct().collect()} == set(want.items())
