@@ -1,7 +1,6 @@
 """The adaptive-bitrate controller over ordered samples of a session.
 
-Its state has no closed form: a session's samples are folded in order, by the batch form (applyInPandas a session) and
-the streaming form alike. The controller is a table: for each kind of sample, rules in order; the first one whose
+Its state has no closed form: a session's samples are folded in order, in the batch and the streaming form alike. The controller is a table: for each kind of sample, rules in order; the first one whose
 condition holds changes counters and perhaps moves the rung.
 """
 
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.streaming.steps import fold
+
 #: Thresholds of the controller.
 UPGRADE_BUFFER_MS, LOW_BUFFER_MS, CRITICAL_BUFFER_MS = 8000, 3000, 1200
 FAST_DOWNLOADS, HEALTHY_SAMPLES, SMOOTH_FRAMES, TROUBLED_FRAMES, LOW_SAMPLES, COOLDOWN = 4, 8, 90, 3, 2, 6
@@ -130,25 +131,22 @@ SAMPLES = "kind n_bytes elapsed_us segment_us video_ms audio_ms playing starved
 DECISIONS = "ord long, from_index int, to_index int, bandwidth long, reason string"
 
 
-def decide(controller: Controller, rows: pd.DataFrame, order: str = "ord") -> Iterator[tuple]:
-    for x in rows.sort_values(order, kind="stable").itertuples(index=False):
-        change = controller.step(x)
-        if change is not None:
-            yield getattr(x, order), change[0], change[1], controller.rungs[change[1]], change[2]
+class Abr:
+    """The controller as a step object of reelmill.streaming.steps."""
 
+    def __init__(self, rungs: list[int], ceiling: int | None = None) -> None:
+        self.controller = Controller(sorted(rungs), len(rungs) - 1 if ceiling is None else ceiling)
 
-def abr_decisions(samples: DataFrame, rungs: list[int], ceiling: int | None = None, key: str = "session_id", order: str = "ord") -> DataFrame:
-    """key and the controller's changes (ord, from_index, to_index, bandwidth, reason) of each session."""
-    ladder, top = sorted(rungs), len(rungs) - 1 if ceiling is None else ceiling
-    kind = samples.schema[key].dataType.simpleString()
+    def take(self, x) -> Iterator[tuple]:
+        change = self.controller.step(x)
+        if change is not None:
+            yield x.ord, change[0], change[1], self.controller.rungs[change[1]], change[2]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        made = list(decide(Controller(ladder, top), frame, order))
-        out = pd.DataFrame(made, columns=["ord", "from_index", "to_index", "bandwidth", "reason"])
-        out.insert(0, key, frame[key].iloc[0])
-        return out
 
-    return samples.select(key, order, *SAMPLES).groupBy(key).applyInPandas(run, f"{key} {kind}, {DECISIONS}")
+def abr_decisions(samples: DataFrame, rungs: list[int], ceiling: int | None = None, key: str = "session_id") -> DataFrame:
+    """key and the controller's changes (ord, from_index, to_index, bandwidth, reason) of each session; samples are in the
+    order of ord."""
+    return fold(samples.select(key, "ord", *SAMPLES), lambda: Abr(rungs, ceiling), key, "ord", DECISIONS)
 
 
 def apply_switches(segments: DataFrame, key: str = "session_id", order: str = "sequence", rule: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -1,57 +1,25 @@
-"""Stateful operators of ordered streams: one pure step function each, shared by the batch and the streaming form.
+"""Stateful operators of ordered streams: one pure step object each, shared by the batch and the streaming form.
 
-A step object takes the rows of its key in order and yields output rows; between micro-batches it is kept as the key's
-state. `fold` runs it over a whole table, `fold_stream` over a stream; both give the same rows if all input arrives, in
-one batch or in many, each in order.
+A step object takes the rows of its key in order and yields output rows; reelmill.streaming.steps runs it over tables and
+streams.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelmill.operators.abr import Controller
+from reelmill.operators.abr import DECISIONS, Abr  # noqa: F401  the controller as a step object
 from reelmill.operators.segments import LIVE_RULES
 from reelmill.sources.scans import adts_frames, nal_offsets, nal_open
+from reelmill.streaming.steps import fold, fold_stream  # noqa: F401
 
 HISTORY = 256
 
 
-def _rows(step, key: str, value, frame: pd.DataFrame, order: str, columns: list[str]) -> pd.DataFrame:
-    out = [r for x in frame.sort_values(order, kind="stable").itertuples(index=False) for r in step.take(x)]
-    made = pd.DataFrame(out, columns=columns)
-    made.insert(0, key, value)
-    return made
-
-
-def fold(df: DataFrame, make: Callable, key: str, order: str, output: str) -> DataFrame:
-    """key and the output columns that the step object of each key yields over all its rows."""
-    columns = [c.split()[0] for c in output.split(", ")]
-
-    def run(k: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _rows(make(), key, k[0], frame, order, columns)
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {output}")
-
-
-def fold_stream(df: DataFrame, make: Callable, key: str, order: str, output: str) -> DataFrame:
-    """The same over a streaming DataFrame; the step object is the key's state."""
-    columns = [c.split()[0] for c in output.split(", ")]
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        step = pickle.loads(state.get[0]) if state.exists else make()
-        yield _rows(step, key, k[0], pd.concat(list(frames)), order, columns)
-        state.update((pickle.dumps(step),))
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {output}", "step binary", "append", GroupStateTimeout.NoTimeout)
-
-
 SEGMENTS_OUT = "snapshot_no long, kind string, sequence long, segment_uri string, violation string"
 
 
@@ -147,21 +115,7 @@ class Throttle:
             yield x.ord, x.media_ms
 
 
-ABR_OUT = "ord long, from_index int, to_index int, bandwidth long, reason string"
-
-
-class Abr:
-    """The controller of operators.abr as a step object."""
-
-    def __init__(self, rungs: list[int], ceiling: int | None = None) -> None:
-        self.controller = Controller(sorted(rungs), len(rungs) - 1 if ceiling is None else ceiling)
-
-    def take(self, x) -> Iterator[tuple]:
-        change = self.controller.step(x)
-        if change is not None:
-            yield x.ord, change[0], change[1], self.controller.rungs[change[1]], change[2]
-
-
+ABR_OUT = DECISIONS
 PES_OUT = "first_packet long, n_packets long, payload binary"
 
 
