@@ -125,6 +125,13 @@ def carry_streams(segments: DataFrame, streams: DataFrame, key: str = "stream_id
     )
 
 
+def segment_report(packets: DataFrame, segments: DataFrame, key: str = "stream_id", segment: str = "segment_seq") -> DataFrame:
+    """key, segment, packets, rejected, trailing_bytes of every segment in segments (key, segment, n_bytes): its valid and
+    invalid packets (of packet_fields), and the bytes after the last whole one."""
+    found = packets.groupBy(key, segment).agg(F.count_if(~F.col("rejected")).alias("packets"), F.count_if("rejected").alias("rejected"))
+    return segments.select(key, segment, (F.col("n_bytes") % 188).alias("trailing_bytes")).join(found, [key, segment], "left").na.fill(0, ["packets", "rejected"])
+
+
 def demux_diagnostics(packets: DataFrame, checked: DataFrame, segments: DataFrame, tables: DataFrame, streams: DataFrame, pes: DataFrame, units: DataFrame, epochs: DataFrame, key: str = "stream_id", segment: str = "segment_seq") -> DataFrame:
     """The counters of each stream of packets (packet_fields); a stream that another table lacks has 0 there.
 

@@ -30,6 +30,15 @@ def scan_ts_packets(view, spark, sf):
     return transport.packet_fields(scans.scan_ts_packets(made)).select("stream_id", "segment_seq", "packet_no", "pid", "continuity_counter")
 
 
+@query(f"SELECT stream_id, packet_no // 100 AS segment_seq, count(*) FILTER (WHERE packet_no % 89 <> 0) AS packets, count(*) FILTER (WHERE packet_no % 89 = 0) AS rejected, packet_no // 100 % 7 AS trailing_bytes FROM {TS} GROUP BY stream_id, packet_no // 100")
+def segment_report(view, spark, sf):
+    """Segments with bad packets and up to six bytes after the last one."""
+    made = _joined(Q._worn(view).withColumn("segment_seq", F.floor(F.col("packet_no") / 100)), ["stream_id", "segment_seq"], "packet_no", "bytes")
+    made = made.withColumn("content", F.concat("content", F.substring(F.unhex(F.lit("47474747474747")), F.lit(1), (F.col("segment_seq") % 7).cast("int"))))
+    packets = transport.packet_fields(scans.scan_ts_packets(made))
+    return transport.segment_report(packets, made.select("stream_id", "segment_seq", F.octet_length("content").alias("n_bytes")))
+
+
 @query(f"""SELECT stream_id, au_no // 100 AS block, row_number() OVER w - 1 AS nal_no, CAST(sum(5 + au_no % 3) OVER w - (5 + au_no % 3) AS BIGINT) AS start_offset,
              CAST(sum(5 + au_no % 3) OVER w - (1 + au_no % 3) AS BIGINT) AS payload_offset, CASE WHEN is_idr THEN 5 ELSE 1 END AS nal_type FROM {AU} WINDOW w AS (PARTITION BY stream_id, au_no // 100 ORDER BY au_no ROWS UNBOUNDED PRECEDING)""", longs="nal_type")
 def scan_annexb_nals(view, spark, sf):
@@ -57,9 +66,8 @@ def _adts_blocks(view) -> DataFrame:
     return _joined(view(V.v_pcm).withColumn("block", F.floor(F.col("unit_no") / 100)).withColumn("frame", frame), ["stream_id", "block"], "unit_no", "frame")
 
 
-@query(f"""SELECT file, row_no, v0, v1 FROM (SELECT file, run_no - 1 AS row_no, count AS v0, delta AS v1 FROM {Q.MP4})""")
-def scan_sample_tables(view, spark, sf):
-    """A movie whose only track holds the runs of a file as its stts box."""
+def _movies(view) -> DataFrame:
+    """A movie a file, behind two free boxes; its only track holds the runs of the file as its stts box."""
     rows = view(V.v_mp4)
     word = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
     listed = rows.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_no", F.concat(word(F.col("count")), word(F.col("delta"))).alias("h")))), lambda x: x["h"]), "").alias("h"), F.count("*").alias("n"))
@@ -67,7 +75,19 @@ def scan_sample_tables(view, spark, sf):
     body = F.concat(F.lit("00000000"), word(F.col("n")), F.col("h"))
     for kind in ("stts", "stbl", "minf", "mdia", "trak", "moov"):
         body = box(kind, body)
-    return scans.scan_sample_tables(listed.select("file", F.unhex(F.concat(F.lit("000000086672656500000008"), F.lit("66726565"), body)).alias("content"))).filter("`table` = 'stts'").select("file", "row_no", "v0", "v1")
+    return listed.select("file", F.unhex(F.concat(F.lit("000000086672656500000008"), F.lit("66726565"), body)).alias("content"))
+
+
+@query(f"""SELECT file, '/free' AS path, CAST(2 AS BIGINT) AS boxes, CAST(16 AS BIGINT) AS n_bytes FROM (SELECT DISTINCT file FROM {Q.MP4})
+           UNION ALL SELECT file, path, 1, head + 8 * n FROM (SELECT file, count(*) AS n FROM {Q.MP4} GROUP BY 1), (VALUES ('/moov', 56), ('/moov/trak', 48), ('/moov/trak/mdia', 40), ('/moov/trak/mdia/minf', 32), ('/moov/trak/mdia/minf/stbl', 24), ('/moov/trak/mdia/minf/stbl/stts', 16)) b(path, head)""")
+def scan_mp4_boxes(view, spark, sf):
+    found = scans.scan_mp4_boxes(_movies(view))
+    return found.groupBy("file", "path").agg(F.count("*").alias("boxes"), F.sum(F.col("box_end") - F.col("box_start")).alias("n_bytes"))
+
+
+@query(f"""SELECT file, row_no, v0, v1 FROM (SELECT file, run_no - 1 AS row_no, count AS v0, delta AS v1 FROM {Q.MP4})""")
+def scan_sample_tables(view, spark, sf):
+    return scans.scan_sample_tables(_movies(view)).filter("`table` = 'stts'").select("file", "row_no", "v0", "v1")
 
 
 @query(f"""SELECT stream_id, segment_seq, CAST(1 AS BIGINT) AS program_number, CAST(4096 AS BIGINT) AS pmt_pid, pid, stream_type FROM (SELECT DISTINCT stream_id, segment_seq FROM {AU} WHERE segment_seq % 3 <> 2) s,
