@@ -30,7 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, those of under-weighted sources repeated as the temperature mixture draws them, in its order."""
+    """Every document, those of under-weighted sources repeated as the temperature mixture draws them, laid
+    out in the order of its blocks."""
     return mixing.apply_mix(docs, mixing.mix(docs))
 
 
