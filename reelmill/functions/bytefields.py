@@ -15,6 +15,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it (expressions are trees: each naming copies)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def uint(b, at, n: int = 1) -> Column:
     """n bytes at a 0-based offset as an unsigned long; null past the end."""
     b = _col(b)
@@ -25,7 +30,10 @@ def uint(b, at, n: int = 1) -> Column:
 def ts_header(b) -> Column:
     """Struct of a 188-byte transport packet; `valid` is false for a bad sync byte, a transport error, adaptation control
     0 or an adaptation field that leaves the packet. payload_start is 0-based; has_payload tells whether there is one."""
-    b = _col(b)
+    return let(_col(b), _ts_fields)
+
+
+def _ts_fields(b: Column) -> Column:
     b1, b3 = uint(b, 1), uint(b, 3)
     control = F.shiftright(b3, 4).bitwiseAND(3)
     extra = F.when(control.isin(2, 3), uint(b, 4) + 1).otherwise(F.lit(0))
@@ -115,11 +123,6 @@ def rbsp_bits(b, max_bytes: int = PROBE_BYTES) -> Column:
     return F.array_join(nibbles, "")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use names it (expressions are trees: each naming copies)."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def exp_golomb(bits: Column, at: Column) -> Column:
     """Struct (value, next) of the unsigned Exp-Golomb code at a 0-based bit; null if it is cut off."""
 
