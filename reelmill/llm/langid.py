@@ -28,7 +28,7 @@ AMBIGUOUS = 0.15
 MIN_SCORE = 0.4
 STEP = 1 << 18
 #: Bytes of text that a task takes from a batch at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 LETTER = regex.compile(r"\p{L}")
 
 

@@ -30,13 +30,13 @@ M = BANDS * ROWS
 #: Shingle identities have this many bits.
 ID_BITS = 40
 #: Bytes of text that are hashed at once.
-STEP = 1 << 18
+STEP = 1 << 17
 #: Components that are worked on at once.
 PIECE = 1 << 19
 #: Bytes of text that a task takes from a batch at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: A unit holds at most two blocks of a bucket, each of about so many rows and bytes of shingles.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 6 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
 #: Beyond this many candidate documents the filter on the documents is a shuffled join, not a broadcast.
 BROADCAST_IDS = 200_000
 
