@@ -7,11 +7,15 @@ goes through the window, and the pieces' offsets are joined back.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.scalars import quotient, wrap_delta
+from reelmill.operators.prefix import Scan, bins, latest, latest_two, total
 from reelmill.operators.rows import merged
+from reelmill.streaming.steps import fold
 
 MS_ALIGNMENT_TICKS = 45_000
 
@@ -31,39 +35,60 @@ def unwrap_clock(df: DataFrame, raw: str = "raw90k", keys: tuple[str, ...] = ("s
     return inner.join(offsets, [*keys, block]).withColumn(out, F.col("_base") + F.col("_rel")).drop("_step", "_rel", "_base")
 
 
+class EpochStep:
+    """The epochs of one stream in order: where each starts, in plain values. See epoch_table."""
+
+    def __init__(self) -> None:
+        self.first = self.last = self.cadence = None
+
+    def take(self, x) -> Iterator[tuple]:
+        known = lambda v: None if v is None or v != v else int(v)
+        elapsed, own = known(x.elapsed), known(x.cadence)
+        start = int(x.src_first)
+        if self.last is None:
+            self.first, jump = start, None
+        else:
+            floor = self.last + (self.cadence or 1)
+            start = floor if elapsed is None else max(floor, self.first + elapsed)
+            jump = start - self.last
+        self.cadence = own or jump or self.cadence
+        self.last = start + int(x.src_last) - int(x.src_first)
+        yield x[1], int(x.src_first), start
+
+
 def epoch_table(df: DataFrame, src: str = "src90k", key: str = "stream_id", epoch: str = "epoch", order: str = "ord", elapsed: str | None = None) -> DataFrame:
     """key, epoch, src_first, timeline_start: where each epoch of a stream starts on its continuous timeline.
 
     The first epoch keeps its clock. A later one starts at the later of (timeline's first value + declared elapsed
-    ticks) and (last value + cadence); the cadence is the last positive step so far, 1 without one. Epochs of a stream
-    are few and are folded in order.
+    ticks) and (last value + cadence); the cadence is the last positive step so far, 1 without one, and the step onto an
+    epoch counts. With D the sum of the lengths and cadences before an epoch and S its scheduled start, an epoch starts at
+    D + max(S - D) over the epochs so far: a sum and a maximum that run over one row an epoch. Only where an epoch
+    without a positive step of its own has a schedule does the cadence depend on the result; such streams are folded.
     """
     w = Window.partitionBy(key, epoch).orderBy(order)
     step = F.col(src) - F.lag(src).over(w)
     rows = df.withColumn("_step", F.when(step > 0, step))
     each = rows.groupBy(key, epoch).agg(
-        F.min_by(src, order).alias("src_first"), F.max_by(src, order).alias("src_last"),
-        F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col(order))).alias("cadence"),
+        F.min_by(src, order).cast("long").alias("src_first"), F.max_by(src, order).cast("long").alias("src_last"),
+        F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col(order))).cast("long").alias("cadence"),
         (F.min(elapsed) if elapsed else F.lit(None)).cast("long").alias("elapsed"),
     )
-    start = F.struct(F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("cadence"), F.array().cast("array<struct<epoch:bigint,src_first:bigint,timeline_start:bigint>>").alias("made"))
-
-    def begin(acc, x):
-        floor = acc["last"] + F.coalesce(acc["cadence"], F.lit(1))
-        return F.when(acc["last"].isNull(), x["src_first"]).otherwise(F.greatest(floor, acc["first"] + x["elapsed"]))
-
-    def fold(acc, x):
-        at = begin(acc, x)
-        jump = at - acc["last"]
-        return F.struct(
-            F.coalesce(acc["first"], at).alias("first"), (at + x["src_last"] - x["src_first"]).alias("last"),
-            F.coalesce(x["cadence"], F.when(jump > 0, jump), acc["cadence"]).alias("cadence"),
-            F.concat(acc["made"], F.array(F.struct(x["epoch"].cast("long").alias("epoch"), x["src_first"].cast("long").alias("src_first"), at.cast("long").alias("timeline_start")))).alias("made"),
-        )
-
-    lists = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).alias("epoch"), *[F.col(c).cast("long").alias(c) for c in ("src_first", "src_last", "cadence", "elapsed")]))).alias("epochs"))
-    made = lists.select(key, F.explode(F.aggregate("epochs", start, fold)["made"]).alias("m"))
-    return made.select(key, F.col("m.epoch").alias(epoch), "m.src_first", "m.timeline_start")
+    by_epoch = Window.partitionBy(key).orderBy(epoch)
+    before = by_epoch.rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({"_first": F.first("src_first").over(by_epoch), "_k": F.row_number().over(by_epoch), "_known": F.coalesce(F.last("cadence", ignorenulls=True).over(by_epoch), F.lit(1))})
+    each = each.withColumns({
+        "_d": F.coalesce(F.sum(F.col("src_last") - F.col("src_first") + F.col("_known")).over(before), F.lit(0)),
+        "_s": F.when(F.col("_k") == 1, F.col("src_first")).otherwise(F.col("_first") + F.col("elapsed")),
+    })
+    at = F.col("_d") + F.max(F.col("_s") - F.col("_d")).over(by_epoch)
+    if elapsed is None:
+        return each.select(key, epoch, "src_first", at.alias("timeline_start"))
+    odd = F.max((F.col("_k") > 1) & F.col("cadence").isNull() & F.col("elapsed").isNotNull()).over(Window.partitionBy(key))
+    told = each.withColumns({"timeline_start": at, "_odd": odd})
+    plain = told.filter(~F.col("_odd")).select(key, epoch, "src_first", "timeline_start")
+    kind = df.schema[epoch].dataType.simpleString()
+    folded = fold(told.filter("_odd").select(key, epoch, "src_first", "src_last", "cadence", "elapsed"), EpochStep, key, epoch, f"{epoch} {kind}, src_first long, timeline_start long")
+    return plain.unionByName(folded)
 
 
 def rebase_epochs(df: DataFrame, src: str = "src90k", key: str = "stream_id", epoch: str = "epoch", order: str = "ord", elapsed: str | None = None, out: str = "timeline90k") -> DataFrame:
@@ -89,45 +114,40 @@ def shared_epoch(audio: DataFrame, video_epochs: DataFrame, raw: str = "raw90k",
     return met.withColumn("violation", F.when(bad, "epoch_regression")).drop("_step", "_gap", "_cadence", "src_first", "timeline_start")
 
 
-def anchor_to_unit(anchors: DataFrame, units: DataFrame, key: str = "stream_id") -> DataFrame:
+def anchor_to_unit(anchors: DataFrame, units: DataFrame, key: str = "stream_id", width: int | None = None) -> DataFrame:
     """key, au_no, pts90k: each timestamp (offset, pts90k) goes to the first unit whose first slice starts at or after
-    it; the latest of several wins, those past the last unit are dropped."""
+    it; the latest of several wins, those past the last unit are dropped. width: pieces of so many bytes are handled by
+    themselves (see operators.prefix)."""
     a = anchors.select(key, F.col("offset").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("au_no"), F.col("pts90k").cast("long").alias("pts90k"))
     u = units.select(key, F.col("first_vcl_offset").alias("at"), F.lit(1).alias("kind"), F.col("au_no").cast("long").alias("au_no"), F.lit(None).cast("long").alias("pts90k"))
-    # a running frame over falling offsets: a frame to the end of the partition would be read anew for every row
-    w = Window.partitionBy(key).orderBy(F.desc("at"), F.desc("kind"), F.desc("au_no")).rowsBetween(Window.unboundedPreceding, 0)
-    met = merged([a, u], key).withColumn("to", F.last("au_no", ignorenulls=True).over(w)).filter("kind = 0 and to is not null")
+    met = Scan(merged([a, u], key), [key], ("at", "kind", "au_no"), bins("at", width)).add(to=latest(F.col("au_no"), ahead=True)).done().filter("kind = 0 and to is not null")
     return met.groupBy(key, F.col("to").alias("au_no")).agg(F.max_by("pts90k", "at").alias("pts90k"))
 
 
-def interpolate_pts(units: DataFrame, key: str = "stream_id", pts: str = "anchor90k", order: str = "au_no", out: str = "pts90k", base: str | None = None) -> DataFrame:
+def interpolate_pts(units: DataFrame, key: str = "stream_id", pts: str = "anchor90k", order: str = "au_no", out: str = "pts90k", base: str | None = None, block: str | None = None) -> DataFrame:
     """Adds timestamps between anchors by linear interpolation (rounded half away from zero).
 
     Units before the first anchor take its value, those after the last go on with the cadence of the last two anchors (0
     with one). base is the value of the first unit if it has no anchor, and of all units if there is none (else 0).
+    block: see operators.prefix.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = units.withColumn("_i", F.row_number().over(w))
+    scan = Scan(units, [key], order, block)
+    scan.add(_i=total(F.lit(1)))
     known = F.col(pts) if base is None else F.when(F.col(pts).isNull() & (F.col("_i") == 1), F.col(base)).otherwise(F.col(pts))
-    rows = rows.withColumn("_known", known).withColumn("_at", F.when(F.col("_known").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_known").alias("v"))))
-    rows = rows.withColumns({"_l": F.last("_at", ignorenulls=True).over(back), "_r": F.last("_at", ignorenulls=True).over(ahead)})
-    # the anchor before the last one, for the tail
-    rows = rows.withColumn("_prev", F.when(F.col("_at").isNotNull(), F.lag("_l").over(w)))
-    rows = rows.withColumn("_p", F.last(F.when(F.col("_at").isNotNull(), F.struct(F.col("_prev").alias("x"))), ignorenulls=True).over(back)["x"])
-    span = F.col("_r.i") - F.col("_l.i")
-    inside = F.col("_l.v") + F.round((F.col("_r.v") - F.col("_l.v")) * (F.col("_i") - F.col("_l.i")) / span).cast("long")
-    cadence = F.coalesce(F.round((F.col("_l.v") - F.col("_p.v")) / (F.col("_l.i") - F.col("_p.i"))).cast("long"), F.lit(0))
-    none = F.lit(0) if base is None else F.coalesce(F.first(base).over(w), F.lit(0))
+    scan.df = scan.df.withColumn("_known", known).withColumn("_at", F.when(F.col("_known").isNotNull(), F.struct(F.col("_i").alias("i"), F.col("_known").alias("v"))))
+    rows = scan.add(_two=latest_two(F.col("_at")), _r=latest(F.col("_at"), ahead=True)).done()
+    left, before = F.col("_two.last"), F.col("_two.prev")
+    span = F.col("_r.i") - left["i"]
+    inside = left["v"] + F.round((F.col("_r.v") - left["v"]) * (F.col("_i") - left["i"]) / span).cast("long")
+    cadence = F.coalesce(F.round((left["v"] - before["v"]) / (left["i"] - before["i"])).cast("long"), F.lit(0))
     value = (
         F.when(F.col("_known").isNotNull(), F.col("_known"))
-        .when(F.col("_l").isNull() & F.col("_r").isNull(), none)
-        .when(F.col("_l").isNull(), F.col("_r.v"))
-        .when(F.col("_r").isNull(), F.col("_l.v") + cadence * (F.col("_i") - F.col("_l.i")))
+        .when(left.isNull() & F.col("_r").isNull(), F.lit(0))
+        .when(left.isNull(), F.col("_r.v"))
+        .when(F.col("_r").isNull(), left["v"] + cadence * (F.col("_i") - left["i"]))
         .otherwise(inside)
     )
-    return rows.withColumn(out, value.cast("long")).drop("_i", "_known", "_at", "_l", "_r", "_prev", "_p")
+    return rows.withColumn(out, value.cast("long")).drop("_i", "_known", "_at", "_two", "_r")
 
 
 def normalize_ms(df: DataFrame, pts: str = "pts90k", key: str = "stream_id", order: str = "ord", out: str = "pts_ms") -> DataFrame:

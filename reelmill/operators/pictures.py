@@ -7,25 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.operators.prefix import Scan, bins, lagged, latest, peak, since, total
 from reelmill.operators.rows import merged
 
 LATE_MS, LARGE_PIXELS = 100, 1280 * 720
 
 
-def assemble_access_units(nals: DataFrame, key: str = "stream_id", order: str = "nal_no") -> DataFrame:
+def assemble_access_units(nals: DataFrame, key: str = "stream_id", order: str = "nal_no", block: str | None = None) -> DataFrame:
     """Adds au_no to NAL units (nal_type, first_mb for slices): types 6-9 and 12-18 close the open picture and belong to
-    the next; a slice of type 1, 2 or 5 with first_mb 0 or unreadable opens a new one; 10 and 11 close their own."""
-    w = Window.partitionBy(key).orderBy(order)
+    the next; a slice of type 1, 2 or 5 with first_mb 0 or unreadable opens a new one; 10 and 11 close their own. Units
+    after the last picture that belong to no other are left out. block: see operators.prefix."""
     t = F.col("nal_type")
     vcl = t.between(1, 5)
     closes_before = t.between(6, 9) | t.between(12, 18)
-    state = F.when(vcl, 1).when(t.between(6, 18), 0)
-    rows = nals.withColumn("_open", F.coalesce(F.last(state, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = vcl & ((F.col("_open") == 0) | (t.isin(1, 2, 5) & F.coalesce(F.col("first_mb") == 0, F.lit(True))))
-    rows = rows.withColumn("_n", F.sum(F.when(starts, 1).otherwise(0)).over(w))
-    au = F.when(vcl, F.col("_n") - 1).when((F.col("_open") == 1) & ~closes_before, F.col("_n") - 1).otherwise(F.col("_n"))
-    total = F.max("_n").over(Window.partitionBy(key))
-    return rows.withColumns({"au_no": au, "_total": total}).filter("au_no < _total").drop("_open", "_n", "_total")
+    scan = Scan(nals, [key], order, block).add(_open=latest(F.when(vcl, 1).when(t.between(6, 18), 0), before=True))
+    is_open = F.coalesce("_open", F.lit(0))
+    starts = vcl & ((is_open == 0) | (t.isin(1, 2, 5) & F.coalesce(F.col("first_mb") == 0, F.lit(True))))
+    scan.df = scan.df.withColumn("_starts", F.when(starts, 1).otherwise(0))
+    rows = scan.add(_n=total(F.col("_starts")), _more=peak(F.col("_starts"), before=True, ahead=True)).done()
+    mine = vcl | ((is_open == 1) & ~closes_before)
+    au = F.when(mine, F.col("_n") - 1).otherwise(F.col("_n"))
+    return rows.filter(mine | (F.col("_more") == 1)).withColumn("au_no", au).drop("_open", "_starts", "_n", "_more")
 
 
 def access_units(nals: DataFrame, key: str = "stream_id") -> DataFrame:
@@ -64,53 +66,59 @@ def safe_switch_boundary(units: DataFrame, keys: tuple[str, ...] = ("stream_id",
     return units.groupBy(*keys).agg(F.min_by("is_idr", "au_no").alias("safe"))
 
 
-def gate_on_keyframe(units: DataFrame, damage: str = "damaged", key: str = "stream_id", order: str = "au_no") -> DataFrame:
-    """Adds emitted: after the start and after damage units wait for the next refresh."""
-    rows = units.withColumn("_island", F.sum(F.when(F.col(damage), 1).otherwise(0)).over(Window.partitionBy(key).orderBy(order)))
-    return rows.withColumn("emitted", F.max("is_idr").over(Window.partitionBy(key, "_island").orderBy(order))).drop("_island")
+def gate_on_keyframe(units: DataFrame, damage: str = "damaged", key: str = "stream_id", order: str = "au_no", block: str | None = None) -> DataFrame:
+    """Adds emitted: after the start and after damage units wait for the next refresh (a damaged one counts).
+    block: see operators.prefix."""
+    at = F.col(order)
+    rows = Scan(units, [key], order, block).add(_idr=peak(F.when(F.col("is_idr"), at)), _damage=peak(F.when(F.col(damage), at))).done()
+    open_ = F.col("_idr").isNotNull() & (F.col("_damage").isNull() | (F.col("_idr") >= F.col("_damage")))
+    return rows.withColumn("emitted", open_).drop("_idr", "_damage")
 
 
-def picture_order_count(pictures: DataFrame, key: str = "stream_id", order: str = "au_no") -> DataFrame:
+def picture_order_count(pictures: DataFrame, key: str = "stream_id", order: str = "au_no", block: str | None = None) -> DataFrame:
     """Adds poc (type 0) from lsb, max_lsb, is_idr, is_reference, and, if present, delta_bottom and op5.
 
     The high part steps at reference pictures whose low part turns over by half the range or more downwards, more than
     half upwards. An IDR starts anew. A picture with op5 counts from itself: its own order is that of its fields less
-    the top's, and what follows it refers to its remaining top.
+    the top's, and what follows it refers to its remaining top. block: see operators.prefix.
     """
     have = set(pictures.columns)
     rows = pictures.withColumns({"_db": F.coalesce("delta_bottom", F.lit(0)) if "delta_bottom" in have else F.lit(0), "_op5": F.coalesce("op5", F.lit(False)) if "op5" in have else F.lit(False)})
-    w = Window.partitionBy(key).orderBy(order)
-    rows = rows.withColumn("_island", F.sum(F.when(F.col("is_idr"), 1).otherwise(0)).over(w) * 2**20 + F.coalesce(F.sum(F.when(F.col("_op5"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy(key, "_island").orderBy(order)
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    # what an op5 picture leaves as the low part: its top, once it counts from the smaller of its fields
-    left = F.lag(F.when(F.col("_op5"), F.greatest(F.lit(0), -F.col("_db")))).over(w)
-    start = F.coalesce(F.first(left).over(inside), F.lit(0))
-    prev = F.when(F.col("is_idr"), 0).otherwise(F.coalesce(F.last(F.when(F.col("is_reference"), F.col("lsb")), ignorenulls=True).over(before), start))
-    rows = rows.withColumn("_prev", prev)
+    scan = Scan(rows, [key], order, block)
+    idr, reference = F.coalesce("is_idr", F.lit(False)), F.coalesce("is_reference", F.lit(False))
+    starts, left = idr, F.lit(0)
+    if "op5" in have:
+        # the picture after an op5 one starts anew, from what that one leaves as the low part: its top, once it counts from the smaller of its fields
+        scan.add(_was=lagged(op5=F.col("_op5"), left=F.greatest(F.lit(0), -F.col("_db"))))
+        after = F.coalesce(F.col("_was.op5"), F.lit(False))
+        starts, left = idr | after, F.when(after, F.col("_was.left")).otherwise(0)
+    scan.df = scan.df.withColumns({"_starts": starts, "_left": left})
+    at = F.col(order)
+    scan.add(_from=latest(F.when(F.col("_starts"), F.struct(at.alias("at"), F.col("_left").alias("lsb")))), _ref=latest(F.when(reference, F.struct(at.alias("at"), F.col("lsb").alias("lsb"))), before=True))
+    known = F.col("_ref").isNotNull() & (F.col("_from").isNull() | (F.col("_ref.at") >= F.col("_from.at")))
+    scan.df = scan.df.withColumn("_prev", F.when(idr, 0).when(known, F.col("_ref.lsb")).otherwise(F.coalesce("_from.lsb", F.lit(0))))
     half = F.col("max_lsb") / 2
     turn = F.when((F.col("lsb") < F.col("_prev")) & (F.col("_prev") - F.col("lsb") >= half), F.col("max_lsb")).when((F.col("lsb") > F.col("_prev")) & (F.col("lsb") - F.col("_prev") > half), -F.col("max_lsb")).otherwise(0)
-    rows = rows.withColumn("_turn", turn)
-    held = F.coalesce(F.sum(F.when(F.col("is_reference"), F.col("_turn"))).over(before), F.lit(0))
-    rows = rows.withColumn("_top", held + F.col("_turn") + F.col("lsb"))
+    scan.df = scan.df.withColumn("_turn", turn)
+    rows = scan.add(_held=since(F.when(reference, F.col("_turn")), F.col("_starts"), before=True)).done()
+    rows = rows.withColumn("_top", F.col("_held") + F.col("_turn") + F.col("lsb"))
     own = F.least(F.col("_top"), F.col("_top") + F.col("_db"))
-    return rows.withColumn("poc", F.when(F.col("_op5"), 0).otherwise(own).cast("long")).drop("_db", "_op5", "_island", "_prev", "_turn", "_top")
+    return rows.withColumn("poc", F.when(F.col("_op5"), 0).otherwise(own).cast("long")).drop("_db", "_op5", "_was", "_starts", "_left", "_from", "_ref", "_prev", "_turn", "_held", "_top")
 
 
-def keyframe_navigation(units: DataFrame, key: str = "stream_id", order: str = "au_no") -> DataFrame:
-    """Adds preceding_idr (at or before a unit) and next_idr (at or after it)."""
-    w = Window.partitionBy(key).orderBy(order)
+def keyframe_navigation(units: DataFrame, key: str = "stream_id", order: str = "au_no", block: str | None = None) -> DataFrame:
+    """Adds preceding_idr (at or before a unit) and next_idr (at or after it). block: see operators.prefix."""
     at = F.when(F.col("is_idr"), F.col(order))
-    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return units.withColumns({"preceding_idr": F.last(at, ignorenulls=True).over(w), "next_idr": F.last(at, ignorenulls=True).over(ahead)})
+    return Scan(units, [key], order, block).add(preceding_idr=latest(at), next_idr=latest(at, ahead=True)).done()
 
 
-def previous_idr(positions: DataFrame, units: DataFrame, back_off: int = 2, key: str = "stream_id", next_no: str = "next_no", now: str = "now_ms", order: str = "au_no", pts: str = "pts_ms") -> DataFrame:
+def previous_idr(positions: DataFrame, units: DataFrame, back_off: int = 2, key: str = "stream_id", next_no: str = "next_no", now: str = "now_ms", order: str = "au_no", pts: str = "pts_ms", width: int | None = None) -> DataFrame:
     """positions (key, next_no, now_ms) with previous_idr: the last refresh at least back_off units before the next one
     (unit 0 counts for the first ones) whose time is before now; null if there is none.
 
     A refresh closes the order of times: later refreshes have later times. So it is the earlier one of two as-of matches,
-    by number and by time. positions with equal values are one row.
+    by number and by time. positions with equal values are one row. width: pieces of so many numbers or milliseconds are
+    handled by themselves (see operators.prefix).
     """
     idr = units.filter("is_idr").select(key, F.col(order).cast("long").alias("_no"), F.col(pts).cast("long").alias("_ms"))
     asked = positions.select(key, next_no, now).distinct()
@@ -119,8 +127,8 @@ def previous_idr(positions: DataFrame, units: DataFrame, back_off: int = 2, key:
         """The last refresh whose place is at most (upto) or less than `at`."""
         a = asked.withColumns({"_at": at.cast("long"), "_k": F.lit(1 if upto else -1), "_no": F.lit(None).cast("long")})
         r = idr.select(key, F.col(place).alias("_at"), F.lit(0).alias("_k"), "_no")
-        w = Window.partitionBy(key).orderBy("_at", "_k", "_no").rowsBetween(Window.unboundedPreceding, 0)
-        return merged([a, r], key).withColumn("_found", F.max("_no").over(w)).filter("_k != 0").select(key, next_no, now, "_found")
+        met = Scan(merged([a, r], key), [key], ("_at", "_k", "_no"), bins("_at", width)).add(_found=peak(F.col("_no"))).done()
+        return met.filter("_k != 0").select(key, next_no, now, "_found")
 
     by_number = as_of(F.greatest(F.col(next_no) - back_off, F.lit(0)), "_no", True).withColumnRenamed("_found", "_by_number")
     by_time = as_of(F.col(now), "_ms", False).withColumnRenamed("_found", "_by_time")
@@ -128,13 +136,13 @@ def previous_idr(positions: DataFrame, units: DataFrame, back_off: int = 2, key:
     return by_number.join(by_time, [key, next_no, now]).select(key, next_no, now, both.alias("previous_idr"))
 
 
-def unit_at_or_before(targets: DataFrame, units: DataFrame, key: str = "stream_id", at: str = "target_ms", pts: str = "pts_ms") -> DataFrame:
-    """The unit with the greatest time at or before each target (ties: the later one), else the first refresh."""
+def unit_at_or_before(targets: DataFrame, units: DataFrame, key: str = "stream_id", at: str = "target_ms", pts: str = "pts_ms", width: int | None = None) -> DataFrame:
+    """The unit with the greatest time at or before each target (ties: the later one), else the first refresh. width:
+    pieces of so many milliseconds are handled by themselves (see operators.prefix)."""
     t = targets.select(key, F.col(at).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("au_no"))
     u = units.select(key, F.col(pts).alias("t"), F.lit(0).alias("kind"), F.col("au_no").cast("long").alias("au_no"))
-    w = Window.partitionBy(key).orderBy("t", "kind", "au_no")
     first = units.filter("is_idr").groupBy(key).agg(F.min("au_no").alias("first_idr"))
-    met = merged([t, u], key).withColumn("found", F.last("au_no", ignorenulls=True).over(w)).filter("kind = 1")
+    met = Scan(merged([t, u], key), [key], ("t", "kind", "au_no"), bins("t", width)).add(found=latest(F.col("au_no"))).done().filter("kind = 1")
     return met.join(first, key, "left").select(key, F.col("t").alias(at), F.coalesce("found", "first_idr").alias("au_no"))
 
 

@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.operators.prefix import Scan, bins, latest, peak, since, total
 from reelmill.operators.rows import merged
 
 
-def throughput_estimate(fetches: DataFrame, key: str = "session_id", order: str = "ord", depth: int = 200) -> DataFrame:
-    """Adds fast_bps, slow_bps, estimate_bps: averages that halve (fast) and keep four fifths (slow) at each fetch.
+#: Averages restart from the last value in stretches of so many fetches; what lies further back weighs less than 0.8^STRETCH.
+STRETCH = 512
 
-    The slow one folds the last `depth` samples, the oldest as seed: what is left out weighs less than 0.8^depth.
-    """
-    sample = F.col("n_bytes") * 8.0 * 1e6 / F.greatest(F.col("elapsed_us"), F.lit(1))
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(-(depth - 1), 0)
-    rows = fetches.withColumn("_s", sample).withColumn("_l", F.collect_list("_s").over(w))
 
-    def fold(keep: float, take: float) -> Column:
-        return F.aggregate(F.slice("_l", 2, depth), F.col("_l")[0], lambda a, x: a * keep + x * take)
+def throughput_estimate(fetches: DataFrame, key: str = "session_id", order: str = "ord", block: str | None = None) -> DataFrame:
+    """Adds fast_bps, slow_bps, estimate_bps: averages that halve (fast) and keep four fifths (slow) at each fetch; the
+    first one is its own average.
 
-    return rows.withColumns({"fast_bps": fold(0.5, 0.5), "slow_bps": fold(0.8, 0.2)}).withColumn("estimate_bps", F.least("fast_bps", "slow_bps")).drop("_s", "_l")
+    An average is a linear recurrence. In a stretch it is keep^m times a running sum of the samples over keep^j, so that
+    every row is read once; what the stretch before has reached is carried into it. block: see operators.prefix.
+    """
+    rates = {"fast_bps": 0.5, "slow_bps": 0.8}
+    sample = F.col("n_bytes") * 8.0 * 1e6 / F.greatest(F.col("elapsed_us"), F.lit(1))
+    rows = Scan(fetches.withColumn("_s", sample), [key], order, block).add(_i=total(F.lit(1))).done()
+    rows = rows.withColumns({"_m": F.pmod(F.col("_i") - 1, F.lit(STRETCH)), "_stretch": F.floor((F.col("_i") - 1) / STRETCH)})
+    scan = Scan(rows, [key], order, None if block is None else "_stretch")
+    for name, keep in rates.items():
+        weight = F.when(F.col("_i") == 1, 1.0).otherwise(1.0 - keep)
+        summed = F.sum(F.col("_s") * weight * F.pow(F.lit(keep), -F.col("_m"))).over(scan.within(["_stretch"]))
+        scan.df = scan.df.withColumn(f"_{name}", F.pow(F.lit(keep), F.col("_m")) * summed)
+    scan.add(_was=latest(F.when(F.col("_m") == STRETCH - 1, F.struct(*[F.col(f"_{n}").alias(n) for n in rates])), before=True))
+    made = {n: F.col(f"_{n}") + F.coalesce(F.pow(F.lit(keep), F.col("_m") + 1) * F.col(f"_was.{n}"), F.lit(0.0)) for n, keep in rates.items()}
+    return scan.done().withColumns(made).withColumn("estimate_bps", F.least("fast_bps", "slow_bps")).drop("_s", "_i", "_m", "_stretch", "_was", *[f"_{n}" for n in rates])
 
 
 def rebuffer_episodes(events: DataFrame, key: str = "session_id", order: str = "ord", kind: str = "kind", at: str = "media_ms") -> DataFrame:
@@ -48,11 +59,10 @@ def qoe_summary(events: DataFrame, key: str = "session_id", order: str = "ord",
     return rest.join(episodes, key, "left").na.fill(0, ["rebuffer_count", "rebuffer_ms", "recoveries"])
 
 
-def consecutive_runs(df: DataFrame, condition: Column, key: str = "session_id", order: str = "ord", out: str = "run") -> DataFrame:
-    """Adds the length of the current run of rows that meet the condition; 0 where it fails."""
-    ok = F.coalesce(condition, F.lit(False))
-    rows = df.withColumn("_ok", ok).withColumn("_i", F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).over(Window.partitionBy(key).orderBy(order)))
-    return rows.withColumn(out, F.sum(F.when(F.col("_ok"), 1).otherwise(0)).over(Window.partitionBy(key, "_i").orderBy(order))).drop("_ok", "_i")
+def consecutive_runs(df: DataFrame, condition: Column, key: str = "session_id", order: str = "ord", out: str = "run", block: str | None = None) -> DataFrame:
+    """Adds the length of the current run of rows that meet the condition; 0 where it fails. block: see operators.prefix."""
+    rows = df.withColumn("_ok", F.coalesce(condition, F.lit(False)))
+    return Scan(rows, [key], order, block).add(**{out: since(F.when(F.col("_ok"), 1).otherwise(0), ~F.col("_ok"))}).done().drop("_ok")
 
 
 def buffer_ahead(units: DataFrame, now: str = "now_ms", pts: str = "pts_ms", key: str = "session_id", order: str = "ord", audio: str | None = None) -> DataFrame:
@@ -63,12 +73,13 @@ def buffer_ahead(units: DataFrame, now: str = "now_ms", pts: str = "pts_ms", key
     return rows.withColumn("ahead_ms", F.least("video_ahead_ms", audio) if audio else F.col("video_ahead_ms"))
 
 
-def quality_at(points: DataFrame, boundaries: DataFrame, key: str = "session_id", at: str = "pts_ms", quality: str = "rendition") -> DataFrame:
-    """points with the rendition in force: that of the last boundary at or before them."""
+def quality_at(points: DataFrame, boundaries: DataFrame, key: str = "session_id", at: str = "pts_ms", quality: str = "rendition", width: int | None = None) -> DataFrame:
+    """points with the rendition in force: that of the last boundary at or before them. width: pieces of so many
+    milliseconds are handled by themselves (see operators.prefix)."""
     p = points.withColumns({"_kind": F.lit(1), "_q": F.lit(None).cast(boundaries.schema[quality].dataType)})
     b = boundaries.select(key, at, F.lit(0).alias("_kind"), F.col(quality).alias("_q"))
-    w = Window.partitionBy(key).orderBy(at, "_kind")
-    return merged([p, b], key).withColumn(quality, F.last("_q", ignorenulls=True).over(w)).filter("_kind = 1").drop("_kind", "_q")
+    met = Scan(merged([p, b], key), [key], (at, "_kind"), bins(at, width)).add(_rm_quality=latest(F.col("_q"))).done()
+    return met.filter("_kind = 1").withColumn(quality, F.col("_rm_quality")).drop("_kind", "_q", "_rm_quality")
 
 
 def present_latest(ticks: DataFrame, frames: DataFrame, key: str = "session_id", clock: str = "clock_ms", pts: str = "pts_ms") -> DataFrame:
@@ -85,15 +96,15 @@ def present_latest(ticks: DataFrame, frames: DataFrame, key: str = "session_id",
     return met.select(key, F.col("t").alias(clock), shown.alias("shown_pts"), "due", F.when(new, F.col("due") - 1).otherwise(F.col("due")).alias("coalesced"), F.when(new, F.greatest(F.lit(0), F.col("t") - F.col("best"))).alias("lateness_ms"))
 
 
-def place_blocks(blocks: DataFrame, key: str = "stream_id", order: str = "unit_no", max_gap: int | None = None) -> DataFrame:
+def place_blocks(blocks: DataFrame, key: str = "stream_id", order: str = "unit_no", max_gap: int | None = None, block: str | None = None) -> DataFrame:
     """Adds gap, written, end_frame to PCM blocks (start_frame, valid_frames) put on one timeline in order.
 
     What lies before frame 0 or before the end reached so far is trimmed; a gap is silence, and the violation
-    gap_too_long beyond max_gap frames.
+    gap_too_long beyond max_gap frames. block: see operators.prefix.
     """
     start, end = F.greatest(F.col("start_frame"), F.lit(0)), F.greatest(F.col("start_frame") + F.col("valid_frames"), F.col("start_frame"), F.lit(0))
-    w = Window.partitionBy(key).orderBy(order)
-    rows = blocks.withColumn("_prev", F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    scan = Scan(blocks, [key], order, block).add(_end=peak(end, before=True))
+    rows = scan.done().withColumn("_prev", F.coalesce("_end", F.lit(0))).drop("_end")
     stop = F.col("start_frame") + F.col("valid_frames")
     rows = rows.withColumns({"gap": F.greatest(start - F.col("_prev"), F.lit(0)), "written": F.greatest(F.lit(0), stop - F.greatest(F.col("_prev"), start)), "end_frame": F.greatest(F.col("_prev"), end)})
     return rows.withColumn("violation", F.when(F.col("gap") > max_gap, "gap_too_long") if max_gap is not None else F.lit(None).cast("string")).drop("_prev")

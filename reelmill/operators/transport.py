@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.bytefields import pes_header, ts_header, uint
+from reelmill.operators.prefix import Scan, lagged, total
 
 STREAM_TYPES = {"h264": 0x1B, "adts": 0x0F, "latm": 0x11}
 
@@ -18,30 +19,29 @@ def packet_fields(packets: DataFrame, data: str = "bytes") -> DataFrame:
     return packets.withColumn("_h", ts_header(data)).select("*", "_h.*").drop("_h").withColumn("rejected", ~F.col("valid")).drop("valid")
 
 
-def continuity_check(packets: DataFrame, keys: tuple[str, ...] = ("stream_id", "pid"), order: str = "packet_no", segment: str | None = None) -> DataFrame:
+def continuity_check(packets: DataFrame, keys: tuple[str, ...] = ("stream_id", "pid"), order: str = "packet_no", segment: str | None = None, block: str | None = None) -> DataFrame:
     """Adds duplicate, continuity_error, damaged, fresh and island to the payload packets of each pid.
 
     A counter must follow its predecessor modulo 16; an equal one is a duplicate. A discontinuity flag forgets the
     predecessor. A scrambled packet is damage. With `segment`, the counter may restart in the first payload packet of a
     segment that also starts a unit. An island is a stretch from one unit start or damage to the next; fresh marks
-    packets that start a unit.
+    packets that start a unit. block: see operators.prefix.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
     rows = packets.filter(F.col("has_payload") & ~F.coalesce(F.col("rejected"), F.lit(False)) if "rejected" in packets.columns else F.col("has_payload"))
     scrambled = F.col("scrambling") != 0
-    previous = F.when(~F.col("discontinuity_indicator"), F.lag("continuity_counter").over(w))
-    restart = F.lit(False)
-    if segment is not None:
-        restart = F.col("payload_unit_start") & ~F.col(segment).eqNullSafe(F.lag(segment).over(w)) & (F.row_number().over(w) > 1)
-    rows = rows.withColumns({"_prev": previous, "_restart": restart})
-    told = ~scrambled & F.col("_prev").isNotNull() & ~F.col("_restart")
-    rows = rows.withColumns({
-        "duplicate": F.coalesce(told & (F.col("continuity_counter") == F.col("_prev")), F.lit(False)),
-        "continuity_error": F.coalesce(told & (F.col("continuity_counter") != F.col("_prev")) & (F.col("continuity_counter") != (F.col("_prev") + 1) % 16), F.lit(False)),
+    scan = Scan(rows, keys, order, block).add(_was=lagged(counter=F.col("continuity_counter"), segment=F.col(segment) if segment else F.lit(None)))
+    previous = F.when(~F.col("discontinuity_indicator"), F.col("_was.counter"))
+    restart = F.lit(False) if segment is None else F.col("payload_unit_start") & F.col("_was").isNotNull() & ~F.col(segment).eqNullSafe(F.col("_was.segment"))
+    told = ~scrambled & previous.isNotNull() & ~restart
+    same = F.col("continuity_counter") == previous
+    scan.df = scan.df.withColumns({
+        "duplicate": F.coalesce(told & same, F.lit(False)),
+        "continuity_error": F.coalesce(told & ~same & (F.col("continuity_counter") != (previous + 1) % 16), F.lit(False)),
     })
-    rows = rows.withColumn("damaged", scrambled | (F.col("discontinuity_indicator") & ~scrambled) | F.col("continuity_error"))
-    rows = rows.withColumn("fresh", F.col("payload_unit_start") & ~scrambled & ~F.col("duplicate"))
-    return rows.withColumn("island", F.sum(F.when((F.col("fresh") | F.col("damaged")) & ~F.col("duplicate"), 1).otherwise(0)).over(w)).drop("_prev", "_restart")
+    scan.df = scan.df.withColumn("damaged", scrambled | (F.col("discontinuity_indicator") & ~scrambled) | F.col("continuity_error"))
+    scan.df = scan.df.withColumn("fresh", F.col("payload_unit_start") & ~scrambled & ~F.col("duplicate"))
+    opens = (F.col("fresh") | F.col("damaged")) & ~F.col("duplicate")
+    return scan.add(island=total(F.when(opens, 1).otherwise(0))).done().drop("_was")
 
 
 def assemble_pes(checked: DataFrame, keys: tuple[str, ...] = ("stream_id", "pid"), order: str = "packet_no", flush: bool = True) -> DataFrame:
