@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.strict import validating
 from reelmill.streaming.steps import fold
 
 #: Thresholds of the controller.
@@ -53,8 +54,23 @@ class Controller:
         elif x.kind == "buffer":
             self.buffer_ms = int(x.video_ms) if pd.isna(x.audio_ms) else min(int(x.video_ms), int(x.audio_ms))
 
+    def select(self, rung: int | None) -> tuple[int, int, str] | None:
+        """A viewer's choice of a rung, which stays; without one, back to automatic choice from the lowest rung. All that
+        rules have counted is forgotten, not the throughput. A rung that there is not changes nothing."""
+        if rung is not None and not 0 <= rung < len(self.rungs):
+            return None
+        was, self.index, self.manual = self.index, rung or 0, rung is not None
+        self.buffer_ms, self.constrained, self.cooldown, self.counts = None, False, 0, {}
+        return (was, self.index, "manual" if self.manual else "automatic") if self.index != was else None
+
     def step(self, x) -> tuple[int, int, str] | None:
-        """One sample: kind download, failure, buffer or playback, with that kind's fields. (from, to, reason) of a move."""
+        """One sample: kind download, failure, buffer, playback or selection, with that kind's fields. (from, to, reason)
+        of a move. A sample that lacks a field it needs changes nothing (see sample_violations)."""
+        if any(pd.isna(getattr(x, f)) for f in NEEDS.get(x.kind, ())):
+            return None
+        if x.kind == "selection":
+            rung = getattr(x, "rung", None)
+            return self.select(None if pd.isna(rung) else int(rung))
         self.measure(x)
         rule = None if self.manual else next((r for r in RULES.get(x.kind, ()) if r.when(self, x)), None)
         if rule is None:
@@ -93,6 +109,22 @@ class Rule:
         return (was, c.index, self.reason) if c.index != was else None
 
 
+#: The fields that a kind of sample must have.
+NEEDS = {"download": ("n_bytes", "elapsed_us"), "buffer": ("video_ms",), "playback": ("lateness_ms",)}
+
+
+@validating
+def sample_violations(samples: DataFrame) -> DataFrame:
+    """samples with violation: unknown_kind, or missing_<field> for the first field that the kind needs and the row lacks.
+    The controller passes over such rows."""
+    known = F.col("kind").isin(*NEEDS, "failure", "selection")
+    code = F.when(~F.coalesce(known, F.lit(False)), "unknown_kind")
+    for kind, fields in NEEDS.items():
+        for f in fields:
+            code = code.when((F.col("kind") == kind) & F.col(f).isNull(), f"missing_{f}")
+    return samples.withColumn("violation", code)
+
+
 def _lags(c: Controller, x) -> bool:
     """A download that the rung is too much for: by its estimate, or as it took over nine tenths of its duration."""
     duration = 0 if pd.isna(x.segment_us) else int(x.segment_us)
@@ -100,6 +132,10 @@ def _lags(c: Controller, x) -> bool:
     return c.index > 0 and c.rungs[c.index] > 0 and (slow or c.estimate() < DOWN_MARGIN * c.rungs[c.index])
 
 
+def _true(v) -> bool:
+    return not pd.isna(v) and bool(v)
+
+
 def _may_rise(c: Controller) -> bool:
     return not c.constrained and c.cooldown == 0 and c.index < c.ceiling and (c.buffer_ms or 0) >= UPGRADE_BUFFER_MS
 
@@ -112,14 +148,14 @@ RULES: dict[str, tuple[Rule, ...]] = {
     ),
     "failure": (Rule(lambda c, x: True, clear=("fast",), trouble=True, move=-1, reason="download_failed"),),
     "buffer": (
-        Rule(lambda c, x: bool(x.starved), clear=("low",), trouble=True, move=-2, reason="starved"),
-        Rule(lambda c, x: bool(x.playing) and c.buffer_ms <= CRITICAL_BUFFER_MS, clear=("low",), trouble=True, move=-1, reason="critical_buffer"),
-        Rule(lambda c, x: bool(x.playing) and c.buffer_ms < LOW_BUFFER_MS, clear=("healthy", "fast"), count="low", upto=lambda c: LOW_SAMPLES, trouble=True, move=-1, reason="low_buffer"),
+        Rule(lambda c, x: _true(x.starved), clear=("low",), trouble=True, move=-2, reason="starved"),
+        Rule(lambda c, x: _true(x.playing) and c.buffer_ms <= CRITICAL_BUFFER_MS, clear=("low",), trouble=True, move=-1, reason="critical_buffer"),
+        Rule(lambda c, x: _true(x.playing) and c.buffer_ms < LOW_BUFFER_MS, clear=("healthy", "fast"), count="low", upto=lambda c: LOW_SAMPLES, trouble=True, move=-1, reason="low_buffer"),
         Rule(lambda c, x: c.buffer_ms >= UPGRADE_BUFFER_MS, clear=("low",), count="healthy", upto=lambda c: HEALTHY_SAMPLES, calm=True),
         Rule(lambda c, x: True, clear=("low", "healthy")),
     ),
     "playback": (
-        Rule(lambda c, x: bool(x.starved), clear=("smooth", "fast"), count="troubled", upto=lambda c: TROUBLED_FRAMES if c.constrained else 1, trouble=True, move=-1, reason="queue_starved"),
+        Rule(lambda c, x: _true(x.starved), clear=("smooth", "fast"), count="troubled", upto=lambda c: TROUBLED_FRAMES if c.constrained else 1, trouble=True, move=-1, reason="queue_starved"),
         Rule(lambda c, x: x.lateness_ms >= LATE_MS, clear=("smooth", "fast"), count="troubled", upto=lambda c: TROUBLED_FRAMES if c.constrained else 1, trouble=True, move=-1, reason="late"),
         Rule(lambda c, x: x.lateness_ms <= SMOOTH_MS, clear=("troubled",), count="smooth", upto=lambda c: SMOOTH_FRAMES, calm=True),
         Rule(lambda c, x: True, clear=("troubled", "smooth")),
@@ -134,9 +170,22 @@ DECISIONS = "ord long, from_index int, to_index int, bandwidth long, reason stri
 class Abr:
     """The controller as a step object of reelmill.streaming.steps."""
 
+    STATE = "index int, manual boolean, fast double, slow double, buffer_ms long, constrained boolean, cooldown int, counts map<string, int>"
+
     def __init__(self, rungs: list[int], ceiling: int | None = None) -> None:
         self.controller = Controller(sorted(rungs), len(rungs) - 1 if ceiling is None else ceiling)
 
+    def state(self) -> tuple:
+        c = self.controller
+        return c.index, c.manual, c.fast, c.slow, c.buffer_ms, c.constrained, c.cooldown, dict(c.counts)
+
+    def restore(self, was: tuple) -> None:
+        c = self.controller
+        c.index, c.manual, c.fast, c.slow, c.buffer_ms, c.constrained, c.cooldown, c.counts = *was[:7], dict(was[7])
+
+    def expire(self) -> Iterator[tuple]:
+        return iter(())
+
     def take(self, x) -> Iterator[tuple]:
         change = self.controller.step(x)
         if change is not None:
@@ -145,8 +194,9 @@ class Abr:
 
 def abr_decisions(samples: DataFrame, rungs: list[int], ceiling: int | None = None, key: str = "session_id") -> DataFrame:
     """key and the controller's changes (ord, from_index, to_index, bandwidth, reason) of each session; samples are in the
-    order of ord."""
-    return fold(samples.select(key, "ord", *SAMPLES), lambda: Abr(rungs, ceiling), key, "ord", DECISIONS)
+    order of ord. A sample of kind selection sets the rung in its column `rung` by hand, or with null returns to automatic
+    choice; nothing else moves a rung that was set by hand."""
+    return fold(samples.select(key, "ord", *SAMPLES, *[c for c in ("rung",) if c in samples.columns]), lambda: Abr(rungs, ceiling), key, "ord", DECISIONS)
 
 
 def apply_switches(segments: DataFrame, key: str = "session_id", order: str = "sequence", rule: Callable[[Column], Column] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.scalars import quotient, wrap_delta
+from reelmill.functions.strict import validating
 from reelmill.operators.prefix import Scan, bins, latest, latest_two, total
 from reelmill.operators.rows import merged
 from reelmill.streaming.steps import fold
@@ -97,6 +98,7 @@ def rebase_epochs(df: DataFrame, src: str = "src90k", key: str = "stream_id", ep
     return df.join(table, [key, epoch]).withColumn(out, F.col("timeline_start") + F.col(src) - F.col("src_first")).drop("src_first", "timeline_start")
 
 
+@validating
 def shared_epoch(audio: DataFrame, video_epochs: DataFrame, raw: str = "raw90k", key: str = "stream_id", epoch: str = "epoch", order: str = "ord", bits: int = 33) -> DataFrame:
     """Audio on the video's epochs, unwrapped from the video's start: timeline90k, and violation epoch_regression on
     the first unit of an epoch that falls before the unit ahead of it plus its cadence."""
@@ -167,6 +169,7 @@ def frame_clock(units: DataFrame, key: str = "stream_id", anchor: str = "anchor9
     return rows.withColumn(out, (F.first(anchor).over(inside) + quotient(since * 90_000, F.col(rate))).cast("long")).drop("_island")
 
 
+@validating
 def av_alignment(video: DataFrame, audio: DataFrame, key: str = "stream_id", pts: str = "raw90k", order: str = "ord", tolerance: int = MS_ALIGNMENT_TICKS) -> DataFrame:
     """key, delta90k (audio minus video of the first timestamps, nearest in 33 bits), violation av_misaligned."""
     v = video.groupBy(key).agg(F.min_by(pts, order).alias("v"))

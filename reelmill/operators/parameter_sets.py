@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.bytefields import exp_golomb, nal_type, rbsp_bits, uint
+from reelmill.functions.strict import validating
 from reelmill.operators.rows import merged
 
 
@@ -28,11 +29,27 @@ def shared_sets(found: DataFrame, key: str = "stream_id") -> DataFrame:
     return found.groupBy("digest", "kind").agg(F.count_distinct(key).alias("streams"), F.sum("uses").alias("uses"))
 
 
-def resolve(slices: DataFrame, pps: DataFrame, sps: DataFrame, key: str = "stream_id") -> DataFrame:
-    """slices with sps_id of their PPS and has_sps; violation missing_pps or missing_sps."""
-    p = pps.select(key, "pps_id", "sps_id").distinct()
+def last_version(sets: DataFrame, keys: list[str], order: str = "nal_no") -> DataFrame:
+    """One row for each id: its last version by `order`; where sets has no such column, the greatest version."""
+    rest = [c for c in sets.columns if c not in keys]
+    version = F.struct(*([order] if order in rest else []), *[c for c in rest if c != order])
+    return sets.groupBy(*keys).agg(F.max(version).alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+@validating
+def resolve(slices: DataFrame, pps: DataFrame, sps: DataFrame, key: str = "stream_id", order: str = "nal_no") -> DataFrame:
+    """slices with sps_id of their PPS and has_sps; violation missing_pps or missing_sps. A slice is one row, however many
+    versions an id has: if slices and pps carry `order`, the last version before the slice counts (a set that came later
+    is none), else the last one (see last_version)."""
+    kept = [key, "pps_id", "sps_id", *[c for c in (order,) if c in pps.columns]]
+    if order in slices.columns and order in pps.columns:
+        versions = pps.select(*kept).withColumns({"_k": F.lit(0), "_f": F.struct("sps_id")}).drop("sps_id")
+        w = Window.partitionBy(key, "pps_id").orderBy(order, "_k").rowsBetween(Window.unboundedPreceding, -1)
+        met = merged([slices.withColumn("_k", F.lit(1)), versions], key).withColumn("_f", F.last("_f", ignorenulls=True).over(w)).filter("_k = 1").withColumn("sps_id", F.col("_f.sps_id")).drop("_k", "_f")
+    else:
+        met = slices.join(last_version(pps.select(*kept), [key, "pps_id"], order).select(key, "pps_id", "sps_id"), [key, "pps_id"], "left")
     s = sps.select(key, "sps_id", F.lit(True).alias("has_sps")).distinct()
-    met = slices.join(p, [key, "pps_id"], "left").join(s, [key, "sps_id"], "left")
+    met = met.join(s, [key, "sps_id"], "left")
     return met.withColumn("violation", F.when(F.col("sps_id").isNull(), "missing_pps").when(F.col("has_sps").isNull(), "missing_sps")).drop("has_sps")
 
 
@@ -111,7 +128,8 @@ def probe_audit(segments: DataFrame, slices: DataFrame, pps: DataFrame, sps: Dat
     profile_idc, chroma_format, separate_planes, bit_depth_luma, bit_depth_chroma, frame_mbs_only, sps_scaling,
     direct_8x8, poc_type. slices: key, pps_id (null if unreadable), is_idr, slice_type (0 P, 1 B, 2 I, 3 SP, 4 SI),
     nal_ref_idc, cabac_init_idc, weight_table, modified_lists, poc_lsb, l0_active, l1_active, redundant_pic_cnt,
-    long_term_reference, adaptive_marking, marking_ops. Sets are judged if a readable slice names them (all of them if
+    long_term_reference, adaptive_marking, marking_ops. Of an id's versions the last by nal_no counts, if the tables have
+    that column. Sets are judged if a readable slice names them (all of them if
     none is readable); slice headers where the probe has a refresh. An empty live window is pending and compatible, an
     empty finished one is not. Null flags break no rule.
     """
@@ -119,8 +137,8 @@ def probe_audit(segments: DataFrame, slices: DataFrame, pps: DataFrame, sps: Dat
     have = pps.groupBy(key).agg(F.count("*").alias("_pps"))
     named = slices.filter("pps_id is not null").select(key, "pps_id").distinct()
     silent = pps.select(key, "pps_id").distinct().join(seen.filter("_read > 0").select(key), key, "left_anti")
-    p = pps.dropDuplicates([key, "pps_id"]).withColumn("pps_found", F.lit(True))
-    s = sps.dropDuplicates([key, "sps_id"]).withColumn("sps_found", F.lit(True))
+    p = last_version(pps, [key, "pps_id"]).drop("nal_no").withColumn("pps_found", F.lit(True))
+    s = last_version(sps, [key, "sps_id"]).drop("nal_no").withColumn("sps_found", F.lit(True))
     fields = ["is_idr", "slice_type", "nal_ref_idc", "cabac_init_idc", "weight_table", "modified_lists", "poc_lsb", "l0_active", "l1_active", "redundant_pic_cnt", "long_term_reference", "adaptive_marking", "marking_ops"]
 
     def broken(rows: DataFrame, heads: bool) -> DataFrame:

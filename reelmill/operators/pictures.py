@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.strict import validating
 from reelmill.operators.prefix import Scan, bins, lagged, latest, peak, since, total
 from reelmill.operators.rows import merged
 
@@ -146,6 +147,7 @@ def unit_at_or_before(targets: DataFrame, units: DataFrame, key: str = "stream_i
     return met.join(first, key, "left").select(key, F.col("t").alias(at), F.coalesce("found", "first_idr").alias("au_no"))
 
 
+@validating
 def dependency_window(units: DataFrame, max_window: int = 1200, key: str = "stream_id", order: str = "au_no", boundary: Column | None = None) -> DataFrame:
     """Adds distance from the last refresh before a unit and violation: a boundary at max_window or beyond, another unit
     at max_window - 1 or beyond, or a unit before the first refresh. boundary defaults to is_idr."""
@@ -166,7 +168,9 @@ def retention_start(units: DataFrame, next_no: str = "next_no", keep: int = 90,
     return units.groupBy(key, next_no).agg(last.alias("idr")).select(key, next_no, F.when(F.col("idr").isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.col(next_no) - keep, F.col("idr")))).alias("retain_from"))
 
 
-def concat_batches(batches: list[DataFrame], segment: str = "segment_seq", key: str = "stream_id") -> DataFrame:
+def concat_batches(batches: list[DataFrame], segment: str = "segment_seq", key: str = "stream_id", identity: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of incremental batches (the final tail is one too) as one table, with batch_no: the place of a row's
-    segment in its stream. Order is columns, so batches may come in any order; one that comes twice counts once."""
-    return merged(batches, key).dropDuplicates().withColumn("batch_no", F.dense_rank().over(Window.partitionBy(key).orderBy(segment)) - 1)
+    segment in its stream. Order is columns, so batches may come in any order. identity names the columns that tell rows
+    apart: of rows that agree in them, as when a batch comes twice, one stays; without it all rows stay, equal ones too."""
+    whole = merged(batches, key)
+    return (whole.dropDuplicates(list(identity)) if identity else whole).withColumn("batch_no", F.dense_rank().over(Window.partitionBy(key).orderBy(segment)) - 1)

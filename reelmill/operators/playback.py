@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.strict import validating
 from reelmill.operators.prefix import Scan, bins, latest, peak, since, total
 from reelmill.operators.rows import merged
 
@@ -96,6 +97,7 @@ def present_latest(ticks: DataFrame, frames: DataFrame, key: str = "session_id",
     return met.select(key, F.col("t").alias(clock), shown.alias("shown_pts"), "due", F.when(new, F.col("due") - 1).otherwise(F.col("due")).alias("coalesced"), F.when(new, F.greatest(F.lit(0), F.col("t") - F.col("best"))).alias("lateness_ms"))
 
 
+@validating
 def place_blocks(blocks: DataFrame, key: str = "stream_id", order: str = "unit_no", max_gap: int | None = None, block: str | None = None) -> DataFrame:
     """Adds gap, written, end_frame to PCM blocks (start_frame, valid_frames) put on one timeline in order.
 
@@ -116,11 +118,20 @@ def retained_window(placed: DataFrame, rate: int, max_seconds: float, max_bytes:
     return placed.groupBy(key).agg(F.max("end_frame").alias("end_frame")).withColumn("first_available", F.greatest(F.lit(0), F.col("end_frame") - capacity)).withColumn("available", F.col("end_frame") - F.col("first_available"))
 
 
+def read_status(reads: DataFrame, window: DataFrame, key: str = "stream_id", at: str = "start_frame") -> DataFrame:
+    """reads with status: evicted before the first frame that its stream's window (retained_window) still holds, pending
+    from its end on, negative below frame 0, else available; unknown_stream without a window."""
+    met = reads.join(window.select(key, F.col("first_available").alias("_first"), F.col("end_frame").alias("_end")), key, "left")
+    code = F.when(F.col("_end").isNull(), "unknown_stream").when(F.col(at) < 0, "negative").when(F.col(at) < F.col("_first"), "evicted").when(F.col(at) >= F.col("_end"), "pending")
+    return met.withColumn("status", F.coalesce(code, F.lit("available"))).drop("_first", "_end")
+
+
 def audio_covers(points: DataFrame, ranges: DataFrame, key: str = "stream_id", at: str = "media_ms") -> DataFrame:
     """points with covered: whether they lie in their stream's range start_ms (inclusive) to end_ms (exclusive)."""
     return points.join(ranges, key, "left").withColumn("covered", F.coalesce((F.col(at) >= F.col("start_ms")) & (F.col(at) < F.col("end_ms")), F.lit(False)))
 
 
+@validating
 def first_stable_audio_config(units: DataFrame, key: str = "stream_id", order: str = "unit_no") -> DataFrame:
     """key, config (the first unit's struct object_type, sampling_frequency, channel_config), configs (how many there
     are), violation: unsupported_object_type for any but 2, config_changed if they differ."""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmill.functions.strict import validating
+
 TICKS = 90_000
 
 
@@ -38,6 +40,7 @@ def single_epoch(segments: DataFrame, key: str = "playlist_uri") -> DataFrame:
     return off.groupBy(key).agg(F.min("off").alias("first_offending")).withColumn("is_single", F.col("first_offending").isNull())
 
 
+@validating
 def pair_renditions(video: DataFrame, audio: DataFrame, key: str = "playlist_uri", duration_tolerance: float = 0.5, drift_tolerance: float = 0.5, limit: int | None = None) -> DataFrame:
     """Each video segment with its audio sibling, and the first failed check: missing_sequence, discontinuity_mismatch,
     duration_mismatch, boundary_drift (of the durations summed so far, in whole nanoseconds, so that no order of addition shows)."""
@@ -63,6 +66,7 @@ def resolve_rendition(requests: DataFrame, canonical: DataFrame, selected: DataF
     return requests.join(seq, [key, "requested_uri"], "left").join(to, [key, "sequence"], "left").withColumn("resolved_uri", F.coalesce("selected_uri", "requested_uri"))
 
 
+@validating
 def ordered_segments(segments: DataFrame, key: str = "playlist_uri") -> DataFrame:
     """Adds ordinal by sequence and the violation duplicate_sequence."""
     return segments.withColumns({"ordinal": F.row_number().over(Window.partitionBy(key).orderBy("sequence")) - 1, "violation": F.when(F.count("*").over(Window.partitionBy(key, "sequence")) > 1, "duplicate_sequence")})
@@ -75,6 +79,7 @@ def probe_sample(segments: DataFrame, n: int = 2, key: str = "playlist_uri") ->
     return segments.withColumns({"_up": up, "_down": down}).filter(F.when(F.col("is_end_list"), F.col("_up")).otherwise(F.col("_down")) <= n).drop("_up", "_down")
 
 
+@validating
 def contiguous_window(segments: DataFrame, key: str = "playlist_uri", max_window: int = 256) -> DataFrame:
     """The first violation of each snapshot (key, snapshot_no), null if none: sequences run from media_sequence without
     gaps, durations are positive and finite, the target duration is positive, nothing is negative, the window is bounded."""
@@ -123,10 +128,18 @@ def snapshot_windows(snapshots: DataFrame, key: str = "playlist_uri") -> DataFra
     return snapshots.groupBy(key, "snapshot_no").agg(F.min("media_sequence").alias("media_sequence"), F.min("sequence").alias("window_first"), F.max("sequence").alias("window_last"), F.count("*").alias("window_count"), F.min("window_discontinuity").alias("discontinuity_sequence"), F.min("target_duration").alias("target_duration"))
 
 
-#: What ends a live playlist, by the first rule that holds: a window against the one before it (was_), the last sequence
-#: emitted so far and whether it changes a known segment. The rules are written for columns and for plain values alike.
+#: The most segments a window may hold, and the segments of a playlist that are remembered.
+MAX_WINDOW = 256
+
+#: What ends a live playlist, by the first rule that holds: a window by itself, then against the one before it (was_), the
+#: last sequence emitted so far and whether it changes a known segment. For columns and for plain values alike.
 LIVE_RULES: dict[str, Callable] = {
+    "bad_target_duration": lambda x: x.target_duration <= 0,
     "target_duration_changed": lambda x: x.target_duration != x.was_target,
+    "negative_sequence": lambda x: (x.media_sequence < 0) | (x.discontinuity_sequence < 0),
+    "window_too_large": lambda x: x.window_count > MAX_WINDOW,
+    "sequence_gap": lambda x: x.has_gap,
+    "bad_duration": lambda x: x.has_bad_duration,
     "rewind": lambda x: (x.media_sequence < x.was_first) | (x.window_last < x.was_last),
     "discontinuity_rewind": lambda x: x.discontinuity_sequence < x.was_gap,
     "expired_gap": lambda x: x.media_sequence > x.emitted + 1,
@@ -141,11 +154,20 @@ class _Columns:
         return F.col(name)
 
 
+@validating
 def live_violations(snapshots: DataFrame, key: str = "playlist_uri") -> DataFrame:
     """The terminal violation of each playlist, null if none: the first snapshot that breaks a rule of LIVE_RULES.
-    Snapshots after it are not looked at."""
+    Snapshots after it are not looked at. A null target duration, sequence or duration is a bad one."""
     w = Window.partitionBy(key).orderBy("snapshot_no")
-    windows = snapshot_windows(snapshots, key)
+    in_window = Window.partitionBy(key, "snapshot_no").orderBy("sequence")
+    steps = snapshots.withColumns({
+        "_gap": ~(F.col("sequence") - F.col("media_sequence")).eqNullSafe((F.row_number().over(in_window) - 1).cast("long")),
+        "_bad": ~F.coalesce((F.col("duration") > 0) & (F.col("duration") < float("inf")), F.lit(False)),
+    })
+    windows = steps.groupBy(key, "snapshot_no").agg(
+        F.coalesce(F.min("media_sequence"), F.lit(-1)).alias("media_sequence"), F.max("sequence").alias("window_last"), F.count("*").alias("window_count"), F.coalesce(F.min("window_discontinuity"), F.lit(-1)).alias("discontinuity_sequence"),
+        F.coalesce(F.min("target_duration"), F.lit(-1)).alias("target_duration"), F.max("_gap").alias("has_gap"), F.max("_bad").alias("has_bad_duration"),
+    )
     changed = mutations(snapshots, key).groupBy(key, "snapshot_no").agg(F.min("sequence").alias("mutated"))
     told = windows.join(changed, [key, "snapshot_no"], "left").withColumns({
         "was_first": F.lag("media_sequence").over(w), "was_last": F.lag("window_last").over(w), "was_gap": F.lag("discontinuity_sequence").over(w), "was_target": F.lag("target_duration").over(w),

@@ -97,9 +97,9 @@ def program_streams(view, spark, sf):
 
 
 @query(f"""WITH s AS (SELECT DISTINCT stream_id, segment_seq FROM {AU}), o AS (SELECT *, CASE WHEN segment_seq % 3 <> 2 THEN 257 + segment_seq % 2 END AS own FROM s),
-           c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY segment_seq) AS audio_pid FROM o)
-           SELECT stream_id, segment_seq, audio_pid, own IS NULL AS missing_psi, coalesce(lag(audio_pid) OVER (PARTITION BY stream_id ORDER BY segment_seq) <> audio_pid, false) AS pid_changed,
-             CASE WHEN lag(audio_pid) OVER (PARTITION BY stream_id ORDER BY segment_seq) <> audio_pid AND segment_seq % 5 <> 0 THEN 'audio_pid_changed' END AS violation FROM c""")
+           c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY stream_id, segment_seq // 5 ORDER BY segment_seq) AS audio_pid FROM o)
+           SELECT stream_id, segment_seq, audio_pid, own IS NULL AS missing_psi, coalesce(lag(audio_pid) OVER w <> audio_pid, false) AS pid_changed,
+             CASE WHEN lag(audio_pid) OVER w <> audio_pid THEN 'audio_pid_changed' END AS violation FROM c WINDOW w AS (PARTITION BY stream_id, segment_seq // 5 ORDER BY segment_seq)""")
 def carry_streams(view, spark, sf):
     declared = view(V.v_au).withColumn("discontinuity", F.col("segment_seq") % 5 == 0)
     found = transport.carry_streams(declared, transport.program_streams(Q.program_tables(view)))

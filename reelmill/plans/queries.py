@@ -372,8 +372,8 @@ def _worn(view) -> DataFrame:
            k AS (SELECT *, coalesce(NOT lead(d) OVER (PARTITION BY stream_id, pid ORDER BY island), true) AS whole FROM g),
            u AS (SELECT *, sum(CASE WHEN damaged THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY au_no) AS isl FROM {AU}), v AS (SELECT *, bool_or(is_idr) OVER (PARTITION BY stream_id, isl ORDER BY au_no ROWS UNBOUNDED PRECEDING) AS emitted FROM u)
            SELECT * FROM (SELECT stream_id, count(*) FILTER (WHERE NOT rej) AS packets, count(*) FILTER (WHERE rej) AS rejected, count(DISTINCT packet_no // 100) AS segments FROM p GROUP BY 1)
-           JOIN (SELECT stream_id, count(*) FILTER (WHERE scr) AS scrambled, count(*) FILTER (WHERE dup) AS duplicates, count(*) FILTER (WHERE err) AS continuity_errors, count(*) FILTER (WHERE flg) AS flagged, count(*) FILTER (WHERE dmg) AS discontinuities, count(*) FILTER (WHERE fresh) AS unit_starts FROM e GROUP BY 1) USING (stream_id)
-           JOIN (SELECT stream_id, CAST(sum(s % 7) AS BIGINT) AS trailing_bytes, count(*) FILTER (WHERE s % 3 = 2) AS segments_without_pat, count(*) FILTER (WHERE s % 3 = 2) AS segments_without_pmt,
+           JOIN (SELECT stream_id, count(*) FILTER (WHERE scr) AS scrambled, count(*) FILTER (WHERE dup) AS duplicates, count(*) FILTER (WHERE err) AS continuity_errors, count(*) FILTER (WHERE flg) AS flagged, count(*) FILTER (WHERE dmg) + any_value((SELECT count(DISTINCT packet_no // 100) FROM p WHERE p.stream_id = e.stream_id AND packet_no // 100 % 10 = 4)) AS discontinuities, count(*) FILTER (WHERE fresh) AS unit_starts FROM e GROUP BY 1) USING (stream_id)
+           JOIN (SELECT stream_id, CAST(sum(s % 7) AS BIGINT) AS trailing_bytes, count(*) FILTER (WHERE s % 10 = 4) AS declared, count(*) FILTER (WHERE s % 3 = 2) AS segments_without_pat, count(*) FILTER (WHERE s % 3 = 2) AS segments_without_pmt,
                         CAST(0 AS BIGINT) AS video_pid_changes
                  FROM (SELECT DISTINCT stream_id, packet_no // 100 AS s FROM p) z GROUP BY 1) USING (stream_id)
            JOIN (SELECT stream_id, count(*) FILTER (WHERE s AND whole AND NOT f AND bad) AS malformed_pes FROM k GROUP BY 1) USING (stream_id)
@@ -383,7 +383,7 @@ def demux_diagnostics(view, spark, sf):
     packets = transport.packet_fields(_worn(view))
     checked = transport.continuity_check(packets)
     held = packets.withColumn("segment_seq", F.floor(F.col("packet_no") / 100))
-    seg = held.groupBy("stream_id", "segment_seq").agg((F.count("*") * 188).alias("_n")).select("stream_id", "segment_seq", (F.col("_n") + F.col("segment_seq") % 7).alias("n_bytes"))
+    seg = held.groupBy("stream_id", "segment_seq").agg((F.count("*") * 188).alias("_n")).select("stream_id", "segment_seq", (F.col("_n") + F.col("segment_seq") % 7).alias("n_bytes"), (F.col("segment_seq") % 10 == 4).alias("discontinuity"))
     pes = transport.assemble_pes(checked.withColumn("payload", F.substring("bytes", F.col("payload_start") + 1, F.lit(184))))
     units = pictures.gate_on_keyframe(view(V.v_au))
     psi = program_tables(view)

@@ -13,11 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.functions.strict import validating
+
 PACKET = 188
 OUT_ROWS = 20_000
 #: Boxes that hold boxes.
 CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts", "dinf", "moof", "traf", "udta"}
-TABLES = {"stts": 2, "ctts": 2, "stsc": 3, "stco": 1}
+TABLES = ("stts", "ctts", "stsc", "stco")
 
 
 def _scan(files: DataFrame, keys: list[str], content: str, found: Callable[[bytes], Iterator[tuple]], columns: str) -> DataFrame:
@@ -117,65 +119,89 @@ def scan_adts_frames(blocks: DataFrame, keys: tuple[str, ...] = ("stream_id",),
     return _scan(blocks, list(keys), content, lambda data: ((k, p, n, data[p : p + 7]) for k, (p, n) in enumerate(adts_frames(data)[0])), "unit_no long, byte_offset long, frame_length long, header binary")
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, path: str = "") -> Iterator[tuple[str, int, int, int]]:
-    """(path, start, body, end) of all boxes; size 1 has 64 bits, size 0 reaches to the end. A box that leaves its
-    parent ends the walk there."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+#: Boxes lie at most so deep.
+MAX_DEPTH = 32
+
+
+def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int, int, str | None]]:
+    """(path, start, body, end, violation) of all boxes; size 1 has 64 bits, size 0 reaches to the end. A box that leaves
+    its parent (box_cut_off) ends its level; what lies deeper than MAX_DEPTH is not looked into (nested_too_deep)."""
+    levels = [(start, len(data) if end is None else end, "")]
+    while levels:
+        start, end, path = levels.pop()
+        if start + 8 > end:
+            continue
         n, kind = struct.unpack_from(">I4s", data, start)
-        body = start + 8
+        name, body = f"{path}/{kind.decode('latin-1')}", start + 8
         if n == 1 and start + 16 <= end:
             n, body = struct.unpack_from(">Q", data, start + 8)[0], start + 16
         stop = end if n == 0 else start + n
         if stop > end or stop < body:
-            return
-        name = f"{path}/{kind.decode('latin-1')}"
-        yield name, start, body, stop
-        if kind.decode("latin-1") in CONTAINERS:
-            yield from boxes(data, body, stop, name)
-        start = stop
+            yield name, start, body, end, "box_cut_off"
+            continue
+        inside = kind.decode("latin-1") in CONTAINERS
+        deep = inside and len(levels) + 1 >= MAX_DEPTH
+        yield name, start, body, stop, "nested_too_deep" if deep else None
+        levels.append((stop, end, path))
+        if inside and not deep:
+            levels.append((body, stop, name))
 
 
+@validating
 def scan_mp4_boxes(files: DataFrame, keys: tuple[str, ...] = ("file",), content: str = "content") -> DataFrame:
-    """keys, path, box_start, body_start, box_end of every box."""
-    return _scan(files, list(keys), content, boxes, "path string, box_start long, body_start long, box_end long")
-
-
-def sample_tables(data: bytes) -> Iterator[tuple[int, str, int, int | None, int | None, int | None]]:
-    """(track, table, row_no, v0, v1, v2) of the sample tables; track counts trak boxes from 1, 0 is the movie."""
+    """keys, path, box_start, body_start, box_end, violation of every box."""
+    return _scan(files, list(keys), content, boxes, "path string, box_start long, body_start long, box_end long, violation string")
+
+
+def _full_rows(data: bytes, track: int, kind: str, body: int, end: int) -> Iterator[tuple]:
+    """The rows of one table box: (track, table, row_no, v0, v1, v2, violation)."""
+    bad = lambda code: (track, kind, None, None, None, None, code)
+    if end - body < 8:
+        yield bad("box_too_short")
+        return
+    version = data[body]
+    if kind in ("mdhd", "mvhd"):
+        at = body + (20 if version == 1 else 12)
+        yield (track, kind, 0, struct.unpack_from(">I", data, at)[0], None, None, None) if at + 4 <= end else bad("box_too_short")
+        return
+    form, at, count = {"stts": ">II", "ctts": ">Ii" if version else ">II", "stsc": ">III", "stco": ">I", "co64": ">Q", "stsz": ">I", "elst": ">Qqi" if version == 1 else ">Iii"}[kind], body + 8, struct.unpack_from(">I", data, body + 4)[0]
+    if kind == "stsz":
+        if end - body < 12:
+            yield bad("box_too_short")
+            return
+        fixed, count, at = count, struct.unpack_from(">I", data, body + 8)[0], body + 12
+        if fixed:
+            # equal sizes are claimed, not stored: they cost no bytes, and rows leave in batches
+            yield from ((track, kind, k, fixed, None, None, None) for k in range(count))
+            return
+    step = struct.calcsize(form)
+    there = min(count, (end - at) // step)
+    for k in range(there):
+        v = struct.unpack_from(form, data, at + step * k)
+        v = (*v[:2], v[2] >> 16) if kind == "elst" else v
+        yield (track, "stco" if kind == "co64" else kind, k, *v, *[None] * (3 - len(v)), None)
+    if there < count:
+        yield bad("entries_cut_off")
+
+
+def sample_tables(data: bytes) -> Iterator[tuple]:
+    """(track, table, row_no, v0, v1, v2, violation) of the sample tables; track counts trak boxes from 1, 0 is the movie.
+    A broken box gives a row with a violation, and the walk goes on behind it."""
     track = 0
-    for path, _, body, end in boxes(data):
+    for path, _, body, end, violation in boxes(data):
         kind = path.rsplit("/", 1)[1]
         track += kind == "trak"
-        if end - body < 8:
-            continue
-        version = data[body]
-        if kind in ("mdhd", "mvhd"):
-            at = body + (20 if version == 1 else 12)
-            yield (track if kind == "mdhd" else 0), kind, 0, struct.unpack_from(">I", data, at)[0], None, None
-            continue
-        count = struct.unpack_from(">I", data, body + 4)[0]
-        if kind == "stsz" and end - body >= 12:
-            fixed, count = count, struct.unpack_from(">I", data, body + 8)[0]
-            sizes = [fixed] * count if fixed else struct.unpack_from(f">{min(count, (end - body - 12) // 4)}I", data, body + 12)
-            yield from ((track, kind, k, v, None, None) for k, v in enumerate(sizes))
-        elif kind == "co64":
-            for k in range(min(count, (end - body - 8) // 8)):
-                yield track, "stco", k, struct.unpack_from(">Q", data, body + 8 + 8 * k)[0], None, None
-        elif kind in TABLES:
-            width = TABLES[kind]
-            form = ">Ii" if kind == "ctts" and version else ">" + "I" * width
-            for k in range(min(count, (end - body - 8) // (4 * width))):
-                values = struct.unpack_from(form, data, body + 8 + 4 * width * k)
-                yield (track, kind, k, *values, *[None] * (3 - width))
-        elif kind == "elst":
-            form, step = (">Qqi", 20) if version == 1 else (">Iii", 12)
-            for k in range(min(count, (end - body - 8) // step)):
-                duration, time, rate = struct.unpack_from(form, data, body + 8 + step * k)
-                yield track, kind, k, duration, time, rate >> 16
+        if violation:
+            yield track, kind, None, None, None, None, violation
+        elif kind in ("mdhd", "stsz", "co64", "elst", *TABLES):
+            yield from _full_rows(data, track, kind, body, end)
+        elif kind == "mvhd":
+            yield from _full_rows(data, 0, kind, body, end)
 
 
+@validating
 def scan_sample_tables(files: DataFrame, keys: tuple[str, ...] = ("file",), content: str = "content") -> DataFrame:
-    """keys, track, table, row_no, v0, v1, v2: stts (count, delta), ctts (count, offset), stsc (first chunk, samples,
-    description), stsz (size), stco (offset), elst (duration, media time, rate), mdhd and mvhd (time scale)."""
-    return _scan(files, list(keys), content, sample_tables, "track int, table string, row_no long, v0 long, v1 long, v2 long")
+    """keys, track, table, row_no, v0, v1, v2, violation: stts (count, delta), ctts (count, offset), stsc (first chunk,
+    samples, description), stsz (size), stco (offset), elst (duration, media time, rate), mdhd and mvhd (time scale). A
+    broken box is a row with a violation (box_too_short, entries_cut_off, box_cut_off, nested_too_deep)."""
+    return _scan(files, list(keys), content, sample_tables, "track int, table string, row_no long, v0 long, v1 long, v2 long, violation string")

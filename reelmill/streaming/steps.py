@@ -1,18 +1,20 @@
 """Folding ordered rows: a step object a key takes its rows in order and yields output rows.
 
-`fold` runs it over a whole table, `fold_stream` over a stream, where it is kept as state between micro-batches; both give
-the same rows if all input arrives, in one batch or in many, each in order.
+`fold` runs it over a whole table, `fold_stream` over a stream; both give the same rows if all input arrives, in one batch
+or in many, each in order. A step that runs over streams names its state as a struct type (STATE) and gives and takes it
+as a tuple (`state`, `restore`); between micro-batches the struct lies typed in a RocksDB map, an entry a key.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _schema(df: DataFrame, key: str, output: str) -> tuple[str, list[str]]:
@@ -47,24 +49,63 @@ def fold(df: DataFrame, make: Callable, key: str, order: str, output: str) -> Da
     return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
-def fold_stream(df: DataFrame, make: Callable, key: str, order: str, output: str, lanes: int | None = None) -> DataFrame:
-    """The same over a streaming DataFrame. With lanes, keys are dealt by hash into so many groups, each with the steps of
-    its keys as one state: for many keys with few rows each, where a group and a state a key would cost more than the
-    rows. Choose lanes so that one holds some hundreds of keys."""
+class _Steps(StatefulProcessor):
+    """The steps of a lane's keys. Only the entries of keys that a trigger touches are read and written."""
+
+    def __init__(self, make: Callable, key: str, key_type: str, order: str, columns: list[str], idle_ms: int | None) -> None:
+        self.make, self.key, self.key_type, self.order, self.columns, self.idle_ms = make, key, key_type, order, columns, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("steps", f"k {self.key_type}", f"seen_ms long, {self.make().STATE}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values([self.key, self.order], kind="stable")
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        made: list[tuple] = []
+        for k, part in frame.groupby(self.key, sort=False, dropna=False):
+            name = (None if pd.isna(k) else k,)
+            step, was = self.make(), self.held.getValue(name)
+            if was is not None:
+                step.restore(tuple(was)[1:])
+            made += _taken(part, self.key, lambda _, step=step: step)
+            self.held.updateValue(name, (now, *step.state()))
+        if self.idle_ms and not list(self.handle.listTimers()):
+            self.handle.registerTimer(now + self.idle_ms)
+        yield pd.DataFrame(made, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Ends and removes the keys that have been silent for idle_ms, and looks again when the next one might be."""
+        now, made, gone, rest = timerValues.getCurrentProcessingTimeInMs(), [], [], []
+        for name, was in self.held.iterator():
+            if was[0] + self.idle_ms > now:
+                rest.append(was[0])
+                continue
+            step = self.make()
+            step.restore(tuple(was)[1:])
+            made += [(name[0], *row) for row in step.expire()]
+            gone.append(name)
+        for name in gone:
+            self.held.removeKey(tuple(name))
+        if rest:
+            self.handle.registerTimer(max(min(rest) + self.idle_ms, now + 1))
+        yield pd.DataFrame(made, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def fold_stream(df: DataFrame, make: Callable, key: str, order: str, output: str, lanes: int | None = None, idle_ms: int | None = None) -> DataFrame:
+    """The same over a streaming DataFrame, with the state of each key as its own typed entry.
+
+    With lanes, keys are dealt by hash into so many groups: for many keys with few rows each, where a group a key would
+    cost more than its rows; what is read and written is still the touched keys' entries alone. idle_ms: a key without a
+    row for so long (processing time) gives the rows of its step's `expire` and its state goes. The session's state store
+    must be RocksDB's (it is set here if it is not).
+    """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema, columns = _schema(df, key, output)
-    grouped = df.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(lanes)) if lanes else F.col(key))
-
-    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        steps: dict = pickle.loads(state.get[0]) if state.exists else {}
-
-        def step_of(k):
-            name = None if pd.isna(k) else k
-            if name not in steps:
-                steps[name] = make()
-            return steps[name]
-
-        rows = pd.concat(list(frames)).sort_values([key, order], kind="stable")
-        yield pd.DataFrame(list(_taken(rows, key, step_of)), columns=columns)
-        state.update((pickle.dumps(steps),))
-
-    return grouped.groupBy("_lane").applyInPandasWithState(run, schema, "steps binary", "append", GroupStateTimeout.NoTimeout)
+    grouped = df.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(lanes)) if lanes else F.xxhash64(key))
+    steps = _Steps(make, key, df.schema[key].dataType.simpleString(), order, columns, idle_ms)
+    # timers keep a query busy: Spark runs one trigger after the other for them, also with availableNow
+    return grouped.groupBy("_lane").transformWithStateInPandas(steps, schema, "append", "processingTime" if idle_ms else "none")
