@@ -11,8 +11,8 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup html iframe label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template title textarea svg math object canvas".split())
+#: Elements whose content is no text of the page. What svg and math hold is text, but for their titles.
+SKIPPED = frozenset("script style noscript template title textarea object canvas".split())
 #: Elements that close an open one of the same kind, and what such a search does not cross.
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
 MARKED = re.compile(r"<!\[[^>]*>?")
@@ -24,6 +24,7 @@ class Block(NamedTuple):
     text: str
     link_chars: int
     label: int | None
+    nodes: tuple = ()  # a number for each element of the path
 
 
 class _Blocks(HTMLParser):
@@ -32,16 +33,17 @@ class _Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.links: list[str] = []
         self.title = ""
-        self.open: list[tuple[str, tuple, int | None]] = []
+        self.open: list[tuple[str, tuple, int | None, int]] = []
+        self.made = 0
         self.text: list[str] = []
         self.link_chars = self.anchors = 0
-        self.skip = ""
+        self.skip: list[str] = []
 
     def end_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            label = next((y for _, _, y in reversed(self.open) if y is not None), None)
-            self.blocks.append(Block(tuple((t, h) for t, h, _ in self.open), text, min(self.link_chars, len(text)), label))
+            label = next((y for _, _, y, _ in reversed(self.open) if y is not None), None)
+            self.blocks.append(Block(tuple((t, h) for t, h, _, _ in self.open), text, min(self.link_chars, len(text)), label, tuple(k for *_, k in self.open)))
         self.text, self.link_chars, self.anchors = [], 0, 0
 
     def close(self) -> None:
@@ -58,9 +60,11 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.skip:
+            if tag == self.skip[0]:
+                self.skip.append(tag)
             return
         if tag in SKIPPED:
-            self.skip = tag
+            self.skip.append(tag)
         elif tag == "a":
             self.anchors += 1
             self.links += [v for k, v in attrs if k == "href" and v]
@@ -80,7 +84,8 @@ class _Blocks(HTMLParser):
             if "hidden" in named or "none" in (named.get("style") or ""):
                 hints.add("hidden")
             label = named.get("data-y")
-            self.open.append((tag, tuple(sorted(hints)), int(label) if label in ("0", "1") else None))
+            self.made += 1
+            self.open.append((tag, tuple(sorted(hints)), int(label) if label in ("0", "1") else None, self.made))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK_TAGS or tag in SKIPPED:
@@ -92,8 +97,8 @@ class _Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            if tag == self.skip:
-                self.skip = ""
+            if tag == self.skip[0]:
+                self.skip.pop()
         elif tag == "a":
             self.anchors = max(0, self.anchors - 1)
         elif tag in BLOCK_TAGS:
@@ -101,7 +106,7 @@ class _Blocks(HTMLParser):
             self._pop(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.skip == "title":
+        if self.skip and self.skip[0] == "title":
             self.title += data
         if self.skip:
             return

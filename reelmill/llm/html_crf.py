@@ -1,17 +1,21 @@
 """Main-text extraction by a linear-chain conditional random field over DOM leaf blocks.
 
-Blocks carry hashed features of their ancestors (tags, class and id words) and of their text; the field has one weight a
-feature and label and one a pair of neighbouring labels. It is trained by gradient ascent on the conditional likelihood
-of labelled pages. Tables of pages carry no labels, so the labelled pages are layouts made by `layout`: articles with
-tables, lists, unclosed tags and foreign parts inside, among menus, footers, sidebars, notices, adverts, forms and
-comments, filled with texts of the table's own blocks. What a part is follows from where the layout puts it; no rule
-reads the labels off a given page. Pages are decoded by Viterbi in the tasks.
+Blocks carry hashed features of their ancestors (tags; class and id words and pieces of them), of their text, and of where
+they stand: in the element that holds most of the page's unlinked text or how far from it, beside the first heading or
+not, in a run of alike siblings, among links. The field has one weight a feature and label and one a pair of neighbouring
+labels. It is trained by gradient ascent on the conditional likelihood of labelled pages. Tables of pages carry no labels,
+so the labelled pages are layouts made by `layout`: articles with tables, lists, unclosed tags and foreign parts inside,
+among menus, footers, sidebars, notices, adverts, forms and comments, filled with texts of the table's own blocks. Two
+parts in three have a name without a meaning or none, so that structure has to tell what they are. What a part is follows
+from where the layout puts it; no rule reads the labels off a given page. Pages are decoded by Viterbi in the tasks.
 """
 
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import escape
 from zlib import crc32
 
@@ -23,15 +27,15 @@ from pyspark.sql import functions as F
 from reelmill.llm.common import byte_pieces, stored
 from reelmill.llm.html_blocks import Block, parse
 
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
 #: Bytes of pages that a task takes from a batch at once.
 BATCH_BYTES = 4 << 20
 #: The layouts are filled with texts of at most this many distinct blocks of the table, chosen by a hash.
 SAMPLE_BLOCKS = 1500
 #: The field is trained on so many layouts.
-LAYOUTS = 450
+LAYOUTS = 1500
 
-#: Words by which layouts name their parts; used to make training layouts only.
+#: Words by which layouts name some of their parts; used to make training layouts only.
 MAIN_WORDS = "content post entry article main story body text page single".split()
 WRAP_WORDS = "wrapper container site inner row col grid layout center outer".split()
 SIDE_WORDS = {
@@ -46,8 +50,10 @@ SIDE_WORDS = {
     "ul": "social share sharing follow".split(),
 }
 FILLER = ["It rained all day in the valley.", "The council met on Monday, and most members agreed.", "Prices rose by two percent; wages did not.", "She wrote that the results, though early, were clear."]
+MENU = "Home About Contact News Archive Login Search Help Shop Blog".split()
 
 
+@lru_cache(1 << 16)
 def _slot(name: str) -> int:
     return crc32(name.encode()) % BUCKETS
 
@@ -58,12 +64,93 @@ def path_features(path: tuple) -> list[int]:
         names.append(f"tag:{tag}")
         if depth < 2:
             names.append(f"near{depth}:{tag}")
-        names += [f"hint:{h}" for h in hints]
-        if depth == 0:
-            names += [f"ownhint:{h}" for h in hints]
+        for h in hints:
+            names.append(f"hint:{h}")
+            names += [f"piece:{h[i : i + 5]}" for i in range(max(1, len(h) - 4))]
+            if depth == 0:
+                names.append(f"ownhint:{h}")
     return sorted({_slot(n) for n in names})
 
 
+def _share(part: float, whole: float) -> int:
+    return min(4, int(5 * part / whole)) if whole else 0
+
+
+#: Elements that hold a paragraph or less; none of them is a page's core.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt figcaption caption address".split())
+
+
+def place_features(blocks: list[Block]) -> list[list[int]]:
+    """For each block of a page, what its surroundings tell."""
+    chars, links, counts, alike, long_ones = Counter(), Counter(), Counter(), Counter(), Counter()
+    kinds: dict[int, tuple] = {}
+    for b in blocks:
+        n, up = len(b.text), 0
+        for node, (tag, hints) in zip(b.nodes, b.path, strict=False):
+            chars[node] += n - b.link_chars
+            links[node] += b.link_chars
+            counts[node] += 1
+            long_ones[node] += n > 120
+            if node not in kinds:
+                kinds[node] = (up, tag, hints)
+                alike[up, tag, hints] += 1
+            up = node
+    whole = sum(len(b.text) - b.link_chars for b in blocks)
+    # the core: from the root down as long as one element holds most of the text without links
+    core = max((node for node in chars if whole and chars[node] >= 0.6 * whole and kinds[node][1] not in LEAVES and kinds[node][1] not in ("html", "body")), default=0)
+    heads = [i for i, b in enumerate(blocks) if b.path and b.path[-1][0] in ("h1", "h2")]
+    head = next((i for i in heads if blocks[i].path[-1][0] == "h1"), heads[0] if heads else None)
+    head_up = blocks[head].nodes[-2::-1] if head is not None else ()
+    if not core:
+        # no element stands out: the one that the heading lies in
+        core = next((x for x in reversed(head_up) if kinds[x][1] not in ("html", "body")), 0)
+    if core and core not in head_up:
+        # the heading stands beside the core: what holds both is the core if it holds little else
+        up = next((b.nodes for b in blocks if core in b.nodes), ())
+        both = next((x for x in head_up if x in up and kinds[x][1] not in ("html", "body")), 0)
+        core = both if both and links[both] + chars[both] - chars[core] <= 0.3 * chars[both] + 80 else core
+    first_core = next((i for i, b in enumerate(blocks) if core in b.nodes), 0)
+    out, seen = [], 0
+    for i, b in enumerate(blocks):
+        names = [f"at:{min(9, 10 * i // len(blocks))}", f"read:{_share(seen, whole)}"]
+        seen += len(b.text) - b.link_chars
+        below = b.nodes[b.nodes.index(core) :] if core in b.nodes else ()
+        names.append(f"core:{min(4, len(below))}:{b.path[-1][0] if b.path else ''}" if below else f"core:{'before' if i < first_core else 'after'}")
+        if below:
+            inner = below[1:-1] or below[1:]
+            # whether the branch below the core that holds the block is prose, and how much of the core it is
+            names.append(f"branch:{_share(chars[inner[0]], chars[core]) if inner else 5}:{min(3, long_ones[inner[0]]) if inner else 3}:{len(below) > 2}")
+        else:
+            names.append(f"apart:{min(3, sum(long_ones[x] for x in b.nodes[-1:]))}")
+        for d, node in enumerate(b.nodes[-2::-1][:2] or b.nodes[-1:]):
+            total = chars[node] + links[node]
+            names += [f"linked{d}:{_share(links[node], total)}", f"part{d}:{_share(chars[node], whole)}", f"many{d}:{min(6, counts[node].bit_length())}", f"prose{d}:{min(4, long_ones[node].bit_length())}"]
+        for d, node in enumerate(b.nodes[::-1][:4]):
+            same = alike[kinds[node]]
+            if same > 1 and counts[node] > 1:
+                names.append(f"items{d}:{kinds[node][1]}:{min(3, same.bit_length())}")
+            elif same > 1 and d < 2:
+                names.append(f"alike{d}:{kinds[node][1]}:{min(3, same.bit_length())}")
+        where = min(2, len(below)) if below else 3 if i < first_core else 4
+        n = len(b.text)
+        own = f"{min(9, n.bit_length())}:{3 * b.link_chars // max(1, n)}"
+        up = b.nodes[-2] if len(b.nodes) > 1 else 0
+        names += [f"size:{where}:{own}", f"in:{where}:{_share(links[up], chars[up] + links[up])}:{min(3, long_ones[up])}:{b.path[-1][0] if b.path else ''}", f"page:{_share(n - b.link_chars, whole)}:{own}"]
+        if head is not None:
+            level = next((k for k, x in enumerate(head_up[:4]) if x in b.nodes), 4)
+            names += [f"head:{level}:{(i > head) - (i < head)}", f"headin:{where}:{level}:{min(9, n.bit_length())}", f"headdist:{max(-3, min(3, i - head))}"]
+        else:
+            names.append("nohead")
+        for name, j in (("prev", i - 1), ("next", i + 1)):
+            if 0 <= j < len(blocks):
+                o = blocks[j]
+                names.append(f"{name}:{min(10, len(o.text).bit_length())}:{2 * o.link_chars // max(1, len(o.text))}")
+            else:
+                names.append(f"{name}:edge")
+        out.append([_slot(x) for x in names])
+    return out
+
+
 def text_features(block: Block) -> list[int]:
     text, n = block.text, len(block.text)
     words = text.count(" ") + 1
@@ -74,6 +161,8 @@ def text_features(block: Block) -> list[int]:
         names.append("mark")
     if "©" in text or "|" in text or "·" in text:
         names.append("sep")
+    if words <= 3:
+        names += [f"word:{w}" for w in text.lower().split()]
     return [_slot(x) for x in names]
 
 
@@ -99,6 +188,10 @@ class Field:
             if base is None:
                 base = self._paths[b.path] = self.emit[path_features(b.path)].sum(0)
             out[i] = base + self.emit[text_features(b)].sum(0)
+        if blocks:
+            places = place_features(blocks)
+            flat = np.concatenate([np.array(p) for p in places])
+            out += np.add.reduceat(self.emit[flat], np.concatenate(([0], np.cumsum([len(p) for p in places])[:-1])), axis=0)
         return out
 
     def decode(self, blocks: list[Block]) -> list[int]:
@@ -155,43 +248,121 @@ def _main_part(rng: random.Random, texts: list[str]) -> str:
     return "<table>" + "".join(rows) + "</table>"
 
 
-def _side_part(rng: random.Random, texts: list[str], tag: str) -> str:
-    """A labelled part that is no main text: its element or a div, named by one of its words or (elements) not at all."""
-    own = tag if rng.random() < 0.6 else "div"
-    word = rng.choice(SIDE_WORDS[tag])
-    name = f' {rng.choice(["class", "class", "id"])}="{word}{rng.choice(["", "", "-box", " wrap", "-list"])}"' if own in ("div", "section", "ul") or rng.random() < 0.5 else ""
+def _name(rng: random.Random, words: list[str], most: float = 0.35) -> str:
+    """An attribute that names a part: by a word with a meaning, by letters without one, or none."""
+    kind, attribute = rng.random(), rng.choice(["class", "class", "id"])
+    if kind < most:
+        return f' {attribute}="{rng.choice(["", "", "site-", "my"])}{rng.choice(words)}{rng.choice(["", "", "-box", " wrap", "-list", "list", "s"])}"'
+    if kind < most + 0.35:
+        return f' {attribute}="{"".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(2, 9)))}{rng.choice(["", "", "-" + str(rng.randint(1, 40))])}"'
+    return ""
+
+
+def _comments(rng: random.Random, texts: list[str]) -> str:
+    """Readers' posts: alike items of a name, mostly a time, a text and perhaps a link to answer."""
+    holder, item = rng.choice([("ol", "li"), ("ul", "li"), ("div", "div"), ("div", "article"), ("section", "p"), ("div", "p"), ("div", "blockquote")])
+    named, alone = _name(rng, SIDE_WORDS["section"], 0.2), item in ("p", "blockquote") or rng.random() < 0.15
+    posts = []
+    for _ in range(rng.randint(1, 6)):
+        who, text = _phrase(rng, texts, "word"), _phrase(rng, texts, rng.choice(["line", "sentence", "sentence", "paragraph"]))
+        when = rng.choice(["", f" {rng.randint(1, 12)} {rng.choice(['hours', 'days', 'min'])} ago", f" {rng.randint(1, 28)}.{rng.randint(1, 12)}.20{rng.randint(10, 24)}", " says:"])
+        answer = rng.choice(["", "", '<a href="#r">Reply</a>', "<span>Like</span>"])
+        held = f"{rng.choice(['', who + ': '])}{text}" if alone else rng.choice([f"<b>{who}</b>{when}<p>{text}</p>{answer}", f"<div>{who}{when}</div><div>{text}</div>{answer}", f"<p>{who}{when}</p><p>{text}</p>{answer}", f"<cite>{who}</cite>{when} {text} {answer}"])
+        posts.append(f"<{item}{named}>{held}</{item}>")
+    head = f"<{(t := rng.choice(['h2', 'h3', 'h4', 'div']))}>{rng.choice([_phrase(rng, texts, 'word'), f'{rng.randint(1, 90)} comments', 'Comments', 'Responses'])}</{t}>"
+    body = f"<{holder}>" + "".join(posts) + f"</{holder}>" if rng.random() < 0.6 else "".join(posts)
+    return head * (rng.random() < 0.6) + body
+
+
+def _side_part(rng: random.Random, texts: list[str], tag: str, most: float = 0.35) -> str:
+    """A labelled part that is no main text: its element, or another one, with or without a name."""
+    own = tag if rng.random() < 0.45 else rng.choice(["div", "div", "div", "section"] if tag != "section" else ["div", "ol", "section"])
+    name = _name(rng, SIDE_WORDS[tag], most)
     many = range(rng.randint(1, 5))
+
+    def link() -> str:
+        return f'<a href="/x">{rng.choice([_phrase(rng, texts, "word"), rng.choice(MENU)])}</a>'
+
     if tag == "section":
-        held = [rng.choice(["<p>{}</p>", "<li>{}</li>", "<div><b>{}</b><p>{}</p></div>", "<blockquote>{}</blockquote>", "<div><span>{}</span> {}</div>"]) for _ in many]
-        body = f"<h3>{_phrase(rng, texts, 'word')}</h3>" * rng.randint(0, 1) + "".join(h.replace("{}", _phrase(rng, texts, rng.choice(["line", "sentence", "paragraph"]))) for h in held)
+        if own == "ol":
+            body = "".join(f"<li>{_phrase(rng, texts, 'word')} {rng.choice(['', '2 days ago'])}<p>{_phrase(rng, texts, rng.choice(['line', 'sentence']))}</p></li>" for _ in many)
+        else:
+            body = _comments(rng, texts)
+    elif tag in ("nav", "ul", "header") and rng.random() < 0.35:
+        between = rng.choice([" | ", " ", " &middot; ", " &gt; "])
+        body = between.join(link() if rng.random() < 0.75 else rng.choice(MENU) for _ in range(rng.randint(2, 6)))
+        body = f"<{(t := rng.choice(['p', 'div', 'span']))}>{body}</{t}>" if rng.random() < 0.5 else body
     elif tag in ("nav", "ul") or tag in ("header", "aside", "footer") and rng.random() < 0.4:
-        body = "<ul>" + "".join(f'<li><a href="/x">{_phrase(rng, texts, "word")}</a>' + "</li>" * rng.randint(0, 1) for _ in many) + "</ul>"
+        body = f"<h3>{_phrase(rng, texts, 'word')}</h3>" * (tag == "aside" and rng.random() < 0.5) + "<ul>" + "".join(f"<li>{link()}" + "</li>" * rng.randint(0, 1) for _ in many) + "</ul>"
+    elif tag == "header":
+        body = rng.choice(["{}", "<div>{}</div>", "<p>{}</p>", "<a href='/'>{}</a>"]).format(_phrase(rng, texts, rng.choice(["word", "word", "line"])))
     elif tag == "footer":
-        body = rng.choice(["", "&copy; ", "\u00a9 2020 "]) + rng.choice([" &middot; ", " | ", " "]).join(_phrase(rng, texts, rng.choice(["word", "sentence"])) for _ in range(2))
+        body = rng.choice(["", "&copy; ", "\u00a9 2020 ", "Copyright 2021 "]) + rng.choice([" &middot; ", " | ", " "]).join(_phrase(rng, texts, rng.choice(["word", "word", "line", "sentence"])) for _ in range(rng.randint(1, 2)))
     elif tag == "form":
         body = f'<label>{_phrase(rng, texts, "word")}</label><input name="q"><button>{_phrase(rng, texts, "word")}</button>' + f"<p>{_phrase(rng, texts, 'line')}</p>" * rng.randint(0, 1)
     elif rng.random() < 0.5:
         body = _phrase(rng, texts, rng.choice(["line", "sentence"]))
     else:
-        body = "".join(f"<p>{_phrase(rng, texts, rng.choice(['line', 'sentence', 'paragraph']))}</p>" for _ in many)
+        body = "".join(f"<p>{_phrase(rng, texts, rng.choice(['word', 'line', 'line', 'sentence']))}</p>" for _ in many)
+    if tag == "form" and own != "form":
+        body = f"<form>{body}</form>"
     return f'<{own}{name} data-y="0">{body}</{own}>'
 
 
 def layout(rng: random.Random, texts: list[str]) -> str:
     """A labelled page (data-y) in a random layout, filled with words of the given texts."""
-    inner = [f"<h1>{_phrase(rng, texts, rng.choice(['line', 'sentence']))}</h1>"] * (rng.random() < 0.9) + [_main_part(rng, texts) for _ in range(rng.randint(1, 12))]
+    top = [f"<{(t := rng.choice(['h1', 'h1', 'h1', 'h2']))}>{_phrase(rng, texts, rng.choice(['line', 'sentence']))}</{t}>"] * (rng.random() < 0.9)
+    if rng.random() < 0.25:
+        top.append(rng.choice(["<p>By {}</p>", "<div>{}</div>", "<p>{}, 3 May 2021</p>", "<address>{}</address>"]).format(_phrase(rng, texts, "word")))
+    if top and rng.random() < 0.2:
+        top = [f"<header>{''.join(top)}</header>"]
+    parts = [_main_part(rng, texts) for _ in range(rng.randint(1, 12))]
+    if rng.random() < 0.85:
+        # most articles have a text worth the name
+        parts.insert(rng.randint(0, len(parts)), f"<p>{_phrase(rng, texts, 'paragraph')} {_phrase(rng, texts, 'sentence')}</p>")
+    if rng.random() < 0.25:
+        # a short piece: a few sentences
+        parts = [f"<p>{_phrase(rng, texts, 'sentence' if rng.random() < 0.85 else 'line')}</p>" for _ in range(rng.randint(2, 6))]
+    kind = rng.random()
+    if kind < 0.06:
+        parts = ["<br><br>".join(_phrase(rng, texts, rng.choice(["sentence", "paragraph"])) for _ in range(rng.randint(1, 4)))]
+        top = top if rng.random() < 0.5 else [f"<b>{_phrase(rng, texts, 'line')}</b><br>"]
+    elif kind < 0.16:
+        parts = [x.replace("<p>", "<div>").replace("</p>", "</div>") if x.endswith("</p>") else x for x in parts]
+    if rng.random() < 0.25:
+        parts = [f"<div{_name(rng, WRAP_WORDS)}>{''.join(parts)}</div>"]
+        top = [f"<div{_name(rng, WRAP_WORDS)}>{''.join(top)}</div>"] if rng.random() < 0.5 else top
+    inner = top + parts
     for tag in ("div", "section", "ul", "form", "aside", "dialog", "nav", "footer"):
-        if rng.random() < 0.15:
-            inner.insert(rng.randint(1, len(inner)), _side_part(rng, texts, tag))
-    own = rng.choice(["article", "article", "main", "div", "section", "td"])
-    named = f' {rng.choice(["class", "class", "id"])}="{rng.choice(MAIN_WORDS)}"' if own in ("div", "section", "td") or rng.random() < 0.4 else ""
-    main = f'<{own}{named} data-y="1">' + "".join(inner) + f"</{own}>"
-    outer = [_side_part(rng, texts, t) for t in SIDE_WORDS if rng.random() < 0.45]
-    rng.shuffle(outer)
-    at = rng.randint(0, len(outer))
-    page = "".join(outer[:at]) + main + "".join(outer[at:])
+        if rng.random() < (0.27 if tag in ("form", "div") else 0.15):
+            at = len(inner) if tag in ("section", "footer") and rng.random() < 0.7 else rng.randint(1, len(inner))
+            # prose inside an article is foreign to it only by its name
+            inner.insert(at, _side_part(rng, texts, tag, 0.9 if tag in ("div", "dialog", "aside") else 0.35))
+    own = rng.choice(["article", "article", "main", "main", "div", "div", "div", "div", "section"])
+    main = f'<{own}{_name(rng, MAIN_WORDS, 0.4)} data-y="1">' + "".join(inner) + f"</{own}>"
+    share = rng.choice([0.2, 0.45, 0.6])
+    tags = [t for t in SIDE_WORDS if rng.random() < share]
+    below = [_side_part(rng, texts, "section")] * (rng.random() < 0.1)
+    if rng.random() < 0.5:
+        # as pages mostly are: what belongs on top, the article, the rest
+        early = [t for t in ("header", "nav", "dialog", "div") if t in tags and rng.random() < 0.8]
+        outer, at = early + [t for t in tags if t not in early], len(early)
+    else:
+        rng.shuffle(tags)
+        outer, at = tags, rng.randint(0, len(tags))
+    sides = [_side_part(rng, texts, t) for t in outer]
+    if at and rng.random() < 0.15:
+        sides.insert(0, f'<h1 data-y="1">{_phrase(rng, texts, "line")}</h1>')
+        at += 1
+    whole = [*sides[:at], main, *below, *sides[at:]]
+    if rng.random() < 0.15:
+        bare = rng.random() < 0.6  # cells that hold the parts' own elements no more
+        cells = [("<td" + x[x.index(" data-y") : x.rindex("<")] + "</td>" if bare and " data-y" in x[: x.index(">")] else f"<td>{x}</td>") for x in whole]
+        page = "<table>" + "".join(f"<tr>{c}</tr>" if rng.random() < 0.7 else c for c in cells) + "</table>"
+    else:
+        page = "".join(whole)
     for _ in range(rng.randint(0, 2)):
-        page = f'<{rng.choice(["div", "div", "main"]) if own != "main" else "div"} {rng.choice(["class", "id"])}="{rng.choice(WRAP_WORDS)}">{page}</div>'
+        page = f'<{rng.choice(["div", "div", "main"]) if own != "main" else "div"}{_name(rng, WRAP_WORDS)}>{page}</div>'
     return f"<html><body>{page}</body></html>"
 
 
@@ -202,12 +373,12 @@ def labelled(texts: list[str], seed: int = 5, layouts: int = LAYOUTS) -> list[li
     return [x for x in made if x]
 
 
-def fit(pages: list[list[Block]], rounds: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Field:
+def fit(pages: list[list[Block]], rounds: int = 100, rate: float = 0.1, l2: float = 1e-4) -> Field:
     """Conditional likelihood by Adam; forward and backward run over all pages at once, step by step."""
     longest = max(len(p) for p in pages)
     n = len(pages)
     where = [(i, t) for i, p in enumerate(pages) for t in range(len(p))]
-    feats = [path_features(b.path) + text_features(b) for p in pages for b in p]
+    feats = [path_features(b.path) + text_features(b) + place for p in pages for b, place in zip(p, place_features(p), strict=True)]
     flat = np.concatenate([np.array(f) for f in feats])
     of = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     begin = np.concatenate(([0], np.cumsum([len(f) for f in feats])[:-1]))
