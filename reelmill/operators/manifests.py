@@ -1,7 +1,6 @@
 """Manifest and ladder operators: playlist kinds, variants, segments, tag checks, ranking and selection.
 
-Every operator takes and gives DataFrames. Bad rows are reported in `violation`; `strict` is left to the caller, who can
-filter on it.
+Every operator takes and gives DataFrames. Bad rows are reported in `violation`; functions.strict.raising ends a job at one.
 """
 
 from __future__ import annotations

@@ -374,7 +374,7 @@ def test_demux_counters(spark):
     epochs = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "stream_id long, epoch long")
     pes = spark.createDataFrame([(0, b"\0\0\1\xe0\0\0\0\0\0")], "stream_id long, payload binary")
     got = transport.demux_diagnostics(packets, checked, seg, tables, streams, pes, units, epochs).first().asDict()
-    assert got == {"stream_id": 0, "packets": 4, "rejected": 1, "scrambled": 1, "duplicates": 0, "continuity_errors": 1, "flagged": 0, "discontinuities": 2, "unit_starts": 1, "segments": 3, "trailing_bytes": 1, "segments_without_pat": 1, "segments_without_pmt": 1, "video_pid_changes": 1, "malformed_pes": 1, "discarded_pictures": 1, "dropped_dependents": 1, "emitted_units": 2, "epochs": 2}
+    assert got == {"stream_id": 0, "packets": 4, "rejected": 1, "scrambled": 1, "duplicates": 0, "continuity_errors": 1, "flagged": 0, "discontinuities": 2, "unit_starts": 1, "segments": 3, "trailing_bytes": 1, "segments_without_pat": 1, "segments_without_pmt": 1, "video_pid_changes": 1, "declared": 0, "malformed_pes": 1, "discarded_pictures": 1, "dropped_dependents": 1, "emitted_units": 2, "epochs": 2}
     found = transport.carry_streams(seg, streams.union(spark.createDataFrame([(0, 1, 1, 300, 0x11)], streams.schema))).orderBy("segment_seq").collect()
     assert [r.violation for r in found] == [None, "latm_unsupported", None]
 
