@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -19,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelmill.llm.common import byte_pieces
 from reelmill.llm.html_blocks import parse
 
+#: Bytes of pages or records that a task takes from a batch at once.
+PIECE_BYTES = 4 << 20
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:reelmill:warc")
 
@@ -70,6 +74,42 @@ def read(record: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return fields, rest[: int(n)]
 
 
+def unchunked(payload: bytes) -> bytes:
+    """The data of a chunked body; ValueError if it ends before its last chunk or a size is no number."""
+    parts, at = [], 0
+    while True:
+        stop = payload.find(b"\r\n", at)
+        size = payload[at:stop].split(b";")[0].strip() if stop >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            raise ValueError("chunked body is cut off" if stop < 0 or not size else "bad chunk size")
+        n, at = int(size, 16), stop + 2
+        if n == 0:
+            return b"".join(parts)
+        if at + n > len(payload):
+            raise ValueError("chunked body is cut off")
+        parts.append(payload[at : at + n])
+        at += n + 2
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """A body in gzip (of one or more members) or deflate (with a zlib header or, as some servers send it, without)."""
+    if coding in ("gzip", "x-gzip"):
+        return gzip.decompress(body)
+    if coding == "deflate":
+        for window in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+            found = zlib.decompressobj(window)
+            try:
+                data = found.decompress(body)
+            except zlib.error:
+                continue
+            if found.eof:
+                return data
+        raise ValueError("deflated body is broken or cut off")
+    if coding in ("", "identity"):
+        return body
+    raise ValueError(f"unknown content coding {coding}")
+
+
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
     """Status line, fields, payload as sent and payload decoded (chunked, gzip, deflate)."""
     head, gap, payload = block.partition(b"\r\n\r\n")
@@ -78,22 +118,24 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes]:
     fields = _fields(head)
     named, body = _named(fields), payload
     if "chunked" in named.get("transfer-encoding", "").lower():
-        body, at = b"", 0
-        while True:
-            line, _, rest = payload[at:].partition(b"\r\n")
-            n = int(line.split(b";")[0].strip() or b"0", 16)
-            if n == 0:
-                break
-            body += rest[:n]
-            at += len(line) + 2 + n + 2
-    coding = named.get("content-encoding", "").lower()
-    if coding in ("gzip", "x-gzip"):
-        body = gzip.decompress(body)
-    elif coding == "deflate":
-        body = zlib.decompress(body)
+        body = unchunked(payload)
+    for coding in reversed([c.strip() for c in named.get("content-encoding", "").lower().split(",") if c.strip()]):
+        body = inflated(body, coding) if body else body
     return head.split(b"\r\n")[0].decode("latin-1"), fields, payload, body
 
 
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+META = re.compile(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
+
+
+def charset_of(kind: str, body: bytes) -> str:
+    """By the byte order mark, the content type, the page's own meta element (in its first 1024 bytes), else UTF-8."""
+    marked = next((name for mark, name in MARKS if body.startswith(mark)), None)
+    said = re.search(r"charset\s*=\s*[\"']?([^\s;\"']+)", kind, re.I)
+    meta = META.search(body[:1024])
+    return marked or (said[1] if said else meta[1].decode("latin-1") if meta else "utf-8")
+
+
 def response(uri: str, date: str, payload: bytes, kind: str = "text/html; charset=utf-8") -> bytes:
     """A response record of an HTTP payload; its id is derived from URI, date and payload."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: {kind}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -119,10 +161,9 @@ def derive(record: bytes | None) -> list[dict]:
     except (ValueError, EOFError, OSError, zlib.error) as e:
         return [{"violation": str(e) or type(e).__name__}]
     kind = _named(http).get("content-type", "")
-    charset = kind.partition("charset=")[2].split(";")[0].strip(" \"'") or "utf-8"
     try:
-        page = body.decode(charset, "replace")
-    except LookupError:
+        page = body.decode(charset_of(kind, body), "replace")
+    except (LookupError, UnicodeError):
         page = body.decode("utf-8", "replace")
     told = {"block": named.get("warc-block-digest", ""), "payload": named.get("warc-payload-digest", "")}
     ok = all(not d.startswith("sha1:") or d == digest(x) for d, x in ((told["block"], block), (told["payload"], payload)))
@@ -158,7 +199,7 @@ def derivatives(responses: DataFrame, key_col: str, record_col: str = "record")
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[k]) for n, k in zip(_NAMES, _KINDS, strict=True)], list(_NAMES))
 
-        for batch in batches:
+        for batch in byte_pieces(batches, 1, PIECE_BYTES):
             rows, size = [], 0
             for key, record in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 made = derive(record.as_py())
@@ -177,7 +218,7 @@ def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col:
     """key, record: a WARC response record of every page (null html: empty payload; null url: empty URI)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_pieces(batches, 2, PIECE_BYTES):
             made = [response(u or "", date, (h.as_py() or "").encode()) for u, h in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "record"])
 
