@@ -460,7 +460,8 @@ class StartDecision(Step):
 
     STATE = "segments long, refreshed boolean, heard boolean, has_audio boolean, ready_at long, failed_at long, ended boolean"
 
-    def __init__(self, need: int = 2) -> None:
+    def __init__(self, need: int = 2, order: str = "ord") -> None:
+        self.order = order
         self.need, self.segments, self.refreshed, self.heard, self.has_audio, self.ready_at, self.failed_at, self.ended = need, 0, False, False, False, None, None, False
 
     def decision(self) -> str:
@@ -473,7 +474,7 @@ class StartDecision(Step):
     def take(self, x) -> Iterator[tuple]:
         if self.ended:
             return
-        at = int(x[x._fields.index(self.ORDER)])
+        at = int(getattr(x, self.order))
         was = self.ready_at, self.failed_at, self.has_audio
         self.segments += int(_flag(x, "new_segment"))
         self.refreshed |= _flag(x, "is_idr")
@@ -486,5 +487,3 @@ class StartDecision(Step):
         if (self.ready_at, self.failed_at, self.has_audio) != was and (self.ready_at, self.failed_at) != (None, None):
             yield at, self.decision(), self.ready_at, self.failed_at
             self.ended = self.decision() == "failed"
-
-    ORDER = "ord"

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from reelmill.plans import media_queries  # noqa: F401
+from reelmill.plans import media_queries, ordered_queries  # noqa: F401
 from reelmill.plans.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.001")
@@ -32,71 +32,11 @@ def normal(rows, names):
     return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows), key=repr)
 
 
-def plain_decisions(spark, sf):
-    """The controller's moves by the rules as the survey states them, one sample after the other."""
-    from reelmill.plans import queries as Q
-    from reelmill.plans import views as V
-
-    rungs, out = [250_000, 500_000, 1_500_000], []
-    samples = Q._samples(V.bind(spark, sf, V.v_fetch("spark"))).collect()
-    for session in {r.session_id for r in samples}:
-        i, fast, slow, buffered, constrained, cooldown = 0, None, None, 0, False, 0
-        up = low = healthy = smooth = troubled = 0
-        for r in sorted((r for r in samples if r.session_id == session), key=lambda r: r.ord):
-            by, why, trouble = 0, None, False
-            if r.kind == "download":
-                rate = r.n_bytes * 8e6 / max(1, r.elapsed_us)
-                fast, slow = (rate, rate) if fast is None else (fast / 2 + rate / 2, 0.8 * slow + 0.2 * rate)
-                estimate, cooldown = min(fast, slow), max(0, cooldown - 1)
-                if i > 0 and (estimate < 1.1 * rungs[i] or r.segment_us and r.elapsed_us * 100 > r.segment_us * 90):
-                    up, by, why, trouble = 0, -1, "bandwidth", True
-                elif constrained or cooldown or i == 2 or buffered < 8000:
-                    up = 0
-                else:
-                    up = up + 1 if estimate * 0.72 >= rungs[i + 1] else 0
-                    if up == 4:
-                        up, by, why = 0, 1, "headroom"
-            elif r.kind == "failure":
-                up, by, why, trouble = 0, -1, "download_failed", True
-            elif r.kind == "buffer":
-                buffered = r.video_ms if r.audio_ms is None else min(r.video_ms, r.audio_ms)
-                if r.starved or r.playing and buffered <= 1200:
-                    low, by, why, trouble = 0, -2 if r.starved else -1, "starved" if r.starved else "critical_buffer", True
-                elif r.playing and buffered < 3000:
-                    healthy, up, low = 0, 0, low + 1
-                    if low == 2:
-                        low, by, why, trouble = 0, -1, "low_buffer", True
-                else:
-                    low, healthy = 0, healthy + 1 if buffered >= 8000 else 0
-                    if healthy == 8:
-                        constrained, healthy = False, 0
-            elif r.starved or r.lateness_ms >= 180:
-                smooth, up, troubled = 0, 0, troubled + 1
-                if not constrained or troubled >= 3:
-                    troubled, by, why, trouble = 0, -1, "queue_starved" if r.starved else "late", True
-            else:
-                troubled, smooth = 0, smooth + 1 if r.lateness_ms <= 60 else 0
-                if smooth == 90:
-                    constrained, smooth = False, 0
-            if trouble:
-                constrained, healthy, cooldown = True, 0, 6
-            was, i = i, min(2, max(0, i + by))
-            if i != was:
-                out.append((session, r.ord, was, i, rungs[i], why))
-    return ["session_id", "ord", "from_index", "to_index", "bandwidth", "reason"], out
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_twin(spark, duck, name):
     sf = DENSE.get(name, SF)
     df = QUERIES[name](spark, sf)
     got = normal(df.collect(), df.columns)
-    if name not in ORACLE_SQL:
-        assert name.startswith("abr_decisions")
-        names, want = plain_decisions(spark, sf)
-        assert sorted(names) == sorted(df.columns)
-        assert got == normal(want, names) and got
-        return
     cursor = duck(sf).execute(ORACLE_SQL[name])
     names = [c[0] for c in cursor.description]
     assert sorted(names) == sorted(df.columns)
