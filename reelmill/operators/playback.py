@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.strict import validating
 from reelmill.operators.prefix import Scan, bins, latest, peak, since, total
+from reelmill.operators.ranges import merged_spans, range_join
 from reelmill.operators.rows import merged
 
 
@@ -126,9 +127,12 @@ def read_status(reads: DataFrame, window: DataFrame, key: str = "stream_id", at:
     return met.withColumn("status", F.coalesce(code, F.lit("available"))).drop("_first", "_end")
 
 
-def audio_covers(points: DataFrame, ranges: DataFrame, key: str = "stream_id", at: str = "media_ms") -> DataFrame:
-    """points with covered: whether they lie in their stream's range start_ms (inclusive) to end_ms (exclusive)."""
-    return points.join(ranges, key, "left").withColumn("covered", F.coalesce((F.col(at) >= F.col("start_ms")) & (F.col(at) < F.col("end_ms")), F.lit(False)))
+def audio_covers(points: DataFrame, ranges: DataFrame, key: str = "stream_id", at: str = "media_ms", width: int = 60_000) -> DataFrame:
+    """points with covered: whether a range of their stream holds them, start_ms (inclusive) to end_ms (exclusive).
+    Ranges that overlap count as one; points are dealt by stream and stretches of `width` (see operators.ranges)."""
+    spans = merged_spans(ranges, key, "start_ms", "end_ms").withColumnsRenamed({"start_ms": "_rm_start", "end_ms": "_rm_end"})
+    met = range_join(points, spans, key, at, "_rm_start", "_rm_end", width, "left")
+    return met.withColumn("covered", F.col("_rm_start").isNotNull()).drop("_rm_start", "_rm_end")
 
 
 @validating

@@ -124,22 +124,29 @@ MAX_DEPTH = 32
 
 
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int, int, str | None]]:
-    """(path, start, body, end, violation) of all boxes; size 1 has 64 bits, size 0 reaches to the end. A box that leaves
-    its parent (box_cut_off) ends its level; what lies deeper than MAX_DEPTH is not looked into (nested_too_deep)."""
-    levels = [(start, len(data) if end is None else end, "")]
+    """(path, start, body, end, violation) of all boxes of data; see boxes_at."""
+    return boxes_at(lambda at, n: data[at : at + n], start, len(data) if end is None else end)
+
+
+def boxes_at(read: Callable[[int, int], bytes], start: int, end: int, only: frozenset[str] = frozenset(CONTAINERS)) -> Iterator[tuple[str, int, int, int, str | None]]:
+    """(path, start, body, end, violation) of all boxes between two offsets, from their headers alone: read(at, n) gives n
+    bytes. Size 1 has 64 bits, size 0 reaches to the end. A box that leaves its parent (box_cut_off) ends its level; what
+    lies deeper than MAX_DEPTH is not looked into (nested_too_deep). only: the boxes whose inside is walked."""
+    levels = [(start, end, "")]
     while levels:
         start, end, path = levels.pop()
         if start + 8 > end:
             continue
-        n, kind = struct.unpack_from(">I4s", data, start)
+        head = read(start, min(16, end - start))
+        n, kind = struct.unpack_from(">I4s", head)
         name, body = f"{path}/{kind.decode('latin-1')}", start + 8
-        if n == 1 and start + 16 <= end:
-            n, body = struct.unpack_from(">Q", data, start + 8)[0], start + 16
+        if n == 1 and len(head) == 16:
+            n, body = struct.unpack_from(">Q", head, 8)[0], start + 16
         stop = end if n == 0 else start + n
         if stop > end or stop < body:
             yield name, start, body, end, "box_cut_off"
             continue
-        inside = kind.decode("latin-1") in CONTAINERS
+        inside = kind.decode("latin-1") in only
         deep = inside and len(levels) + 1 >= MAX_DEPTH
         yield name, start, body, stop, "nested_too_deep" if deep else None
         levels.append((stop, end, path))
@@ -153,50 +160,61 @@ def scan_mp4_boxes(files: DataFrame, keys: tuple[str, ...] = ("file",), content:
     return _scan(files, list(keys), content, boxes, "path string, box_start long, body_start long, box_end long, violation string")
 
 
-def _full_rows(data: bytes, track: int, kind: str, body: int, end: int) -> Iterator[tuple]:
+#: Entries of a table that are read at once.
+ENTRIES = 1 << 14
+
+
+def _table_rows(read: Callable[[int, int], bytes], track: int, kind: str, body: int, end: int) -> Iterator[tuple]:
     """The rows of one table box: (track, table, row_no, v0, v1, v2, violation)."""
     bad = lambda code: (track, kind, None, None, None, None, code)
-    if end - body < 8:
+    head = read(body, min(40, end - body))
+    if len(head) < 8:
         yield bad("box_too_short")
         return
-    version = data[body]
+    version = head[0]
     if kind in ("mdhd", "mvhd"):
-        at = body + (20 if version == 1 else 12)
-        yield (track, kind, 0, struct.unpack_from(">I", data, at)[0], None, None, None) if at + 4 <= end else bad("box_too_short")
+        at = 20 if version == 1 else 12
+        yield (track, kind, 0, struct.unpack_from(">I", head, at)[0], None, None, None) if at + 4 <= len(head) else bad("box_too_short")
         return
-    form, at, count = {"stts": ">II", "ctts": ">Ii" if version else ">II", "stsc": ">III", "stco": ">I", "co64": ">Q", "stsz": ">I", "elst": ">Qqi" if version == 1 else ">Iii"}[kind], body + 8, struct.unpack_from(">I", data, body + 4)[0]
+    form, at, count = {"stts": ">II", "ctts": ">Ii" if version else ">II", "stsc": ">III", "stco": ">I", "co64": ">Q", "stsz": ">I", "elst": ">Qqi" if version == 1 else ">Iii"}[kind], body + 8, struct.unpack_from(">I", head, 4)[0]
     if kind == "stsz":
-        if end - body < 12:
+        if len(head) < 12:
             yield bad("box_too_short")
             return
-        fixed, count, at = count, struct.unpack_from(">I", data, body + 8)[0], body + 12
+        fixed, count, at = count, struct.unpack_from(">I", head, 8)[0], body + 12
         if fixed:
             # equal sizes are claimed, not stored: they cost no bytes, and rows leave in batches
             yield from ((track, kind, k, fixed, None, None, None) for k in range(count))
             return
     step = struct.calcsize(form)
     there = min(count, (end - at) // step)
-    for k in range(there):
-        v = struct.unpack_from(form, data, at + step * k)
-        v = (*v[:2], v[2] >> 16) if kind == "elst" else v
-        yield (track, "stco" if kind == "co64" else kind, k, *v, *[None] * (3 - len(v)), None)
+    for first in range(0, there, ENTRIES):
+        block = read(at + step * first, step * min(ENTRIES, there - first))
+        for k, v in enumerate(struct.iter_unpack(form, block), first):
+            v = (*v[:2], v[2] >> 16) if kind == "elst" else v
+            yield (track, "stco" if kind == "co64" else kind, k, *v, *[None] * (3 - len(v)), None)
     if there < count:
         yield bad("entries_cut_off")
 
 
 def sample_tables(data: bytes) -> Iterator[tuple]:
+    """(track, table, row_no, v0, v1, v2, violation) of the sample tables of data; see sample_tables_at."""
+    return sample_tables_at(lambda at, n: data[at : at + n], len(data))
+
+
+def sample_tables_at(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple]:
     """(track, table, row_no, v0, v1, v2, violation) of the sample tables; track counts trak boxes from 1, 0 is the movie.
-    A broken box gives a row with a violation, and the walk goes on behind it."""
+    A broken box gives a row with a violation, and the walk goes on behind it. Media data is passed over unread."""
     track = 0
-    for path, _, body, end, violation in boxes(data):
+    for path, _, body, end, violation in boxes_at(read, 0, size):
         kind = path.rsplit("/", 1)[1]
         track += kind == "trak"
         if violation:
             yield track, kind, None, None, None, None, violation
         elif kind in ("mdhd", "stsz", "co64", "elst", *TABLES):
-            yield from _full_rows(data, track, kind, body, end)
+            yield from _table_rows(read, track, kind, body, end)
         elif kind == "mvhd":
-            yield from _full_rows(data, 0, kind, body, end)
+            yield from _table_rows(read, 0, kind, body, end)
 
 
 @validating
