@@ -202,13 +202,15 @@ def active_parameter_sets(view, spark, sf):
     return parameter_sets.active_sets(units, sets).select("stream_id", "nal_no", "pps_nal", "sps_nal")
 
 
-@query(f"""SELECT stream_id, au_no, CASE WHEN ord % 3 = 2 THEN 'missing_pps' WHEN ord % 3 = 1 AND stream_id = 4 THEN 'missing_sps' END AS violation FROM {AU}""")
+@query(f"""SELECT stream_id, au_no, CASE WHEN ord % 3 = 2 THEN 'missing_pps' WHEN au_no >= 300 OR ord % 3 = 1 AND stream_id = 4 THEN 'missing_sps' END AS violation FROM {AU}""")
 def resolve_parameter_sets(view, spark, sf):
+    """Picture sets of two versions: from unit 300 on they name sequence sets that there are not."""
     units = view(V.v_au)
     streams = units.select("stream_id").distinct()
-    pps = streams.select("stream_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pps_id")).withColumn("sps_id", F.col("pps_id") + 10)
-    sps = pps.select("stream_id", "sps_id").filter("not (stream_id = 4 and sps_id = 11)")
-    return parameter_sets.resolve(units.withColumn("pps_id", (F.col("ord") % 3).cast("int")), pps, sps).select("stream_id", "au_no", "violation")
+    pps = streams.select("stream_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pps_id")).withColumn("v", F.explode(F.array(F.struct(F.lit(-1).alias("nal_no"), F.lit(10).alias("to")), F.struct(F.lit(300).alias("nal_no"), F.lit(12).alias("to")))))
+    pps = pps.select("stream_id", "pps_id", F.col("v.nal_no").cast("long").alias("nal_no"), (F.col("pps_id") + F.col("v.to")).alias("sps_id"))
+    sps = pps.select("stream_id", "sps_id").filter("sps_id < 12 and not (stream_id = 4 and sps_id = 11)")
+    return parameter_sets.resolve(units.withColumns({"pps_id": (F.col("ord") % 3).cast("int"), "nal_no": F.col("au_no")}), pps, sps).select("stream_id", "au_no", "violation")
 
 
 _PROBE = {n: f"({v('duck')})" for n, v in (("seg", V.v_probe_segments), ("sl", V.v_probe_slices), ("pps", V.v_probe_pps), ("sps", V.v_probe_sps))}

@@ -109,9 +109,16 @@ def live_edge(view, spark, sf):
     return segments.live_edge(view(V.v_snap)).select("playlist_uri", "sequence", "skipped")
 
 
-@query(f"""SELECT playlist_uri, snapshot_no, CASE WHEN min(media_sequence) < 0 THEN 'negative_sequence' END AS violation FROM {SNAP} GROUP BY 1, 2""")
+@query(f"""SELECT playlist_uri, snapshot_no, CASE playlist_uri % 11 WHEN 4 THEN 'bad_target_duration' WHEN 3 THEN 'negative_sequence' WHEN 1 THEN CASE WHEN count(*) >= 3 THEN 'sequence_gap' END WHEN 2 THEN CASE WHEN count(*) >= 2 THEN 'bad_duration' END
+             WHEN 5 THEN CASE WHEN count(*) > 3 THEN 'sequence_gap' END END AS violation FROM {SNAP} GROUP BY 1, 2""")
 def contiguous_window(view, spark, sf):
-    return segments.contiguous_window(view(V.v_snap)).select("playlist_uri", "snapshot_no", "violation")
+    """Windows with gaps, durations, targets and sequences that are wrong, in some playlists each."""
+    of = F.col("playlist_uri") % 11
+    bad = view(V.v_snap).withColumns({
+        "sequence": F.col("sequence") + F.when((of == 1) & (F.col("ordinal") == 2) | (of == 5) & (F.col("ordinal") == 3), 1).otherwise(0), "duration": F.when((of == 2) & (F.col("ordinal") == 1), 0.0).otherwise(F.col("duration")),
+        "media_sequence": F.when(of == 3, -F.col("media_sequence") - 1).otherwise(F.col("media_sequence")), "target_duration": F.when(of == 4, 0).otherwise(F.col("target_duration")), "discontinuity_sequence": F.lit(0),
+    })
+    return segments.contiguous_window(bad).select("playlist_uri", "snapshot_no", "violation")
 
 
 @query(f"""WITH w AS (SELECT playlist_uri, snapshot_no, min(media_sequence) m, max(sequence) l, min(window_discontinuity) d, min(target_duration) t FROM {SNAP} GROUP BY 1, 2),
@@ -590,6 +597,14 @@ def retained_window(view, spark, sf):
     return playback.retained_window(playback.place_blocks(view(V.v_pcm)), 48_000, 1.0, 10_000_000, 4)
 
 
+@query(f"""SELECT p.stream_id, unit_no, CASE WHEN start_frame < 0 THEN 'negative' WHEN start_frame < w.first_available THEN 'evicted' WHEN start_frame >= w.end_frame THEN 'pending' ELSE 'available' END AS status
+           FROM {PCM} p JOIN (SELECT stream_id, max(greatest(start_frame + valid_frames, 0)) AS end_frame, greatest(0, max(greatest(start_frame + valid_frames, 0)) - 48000) AS first_available FROM {PCM} GROUP BY 1) w ON w.stream_id = p.stream_id""")
+def read_status(view, spark, sf):
+    rows = view(V.v_pcm)
+    held = playback.retained_window(playback.place_blocks(rows), 48_000, 1.0, 10_000_000, 4)
+    return playback.read_status(rows, held).select("stream_id", "unit_no", "status")
+
+
 @query(f"SELECT stream_id, unit_no, CAST(least(greatest(round(least(greatest(sample, -1), 1) * 32768), -32768), 32767) AS BIGINT) AS pcm, greatest(start_frame, 0) * 1000000 // 48000 AS us, (greatest(start_frame, 0) * 1000000 // 48000) * 44100 // 1000000 AS frame FROM {PCM}")
 def pcm_scalars(view, spark, sf):
     rows = view(V.v_pcm).withColumn("us", S.frame_to_us("start_frame", 48_000))
