@@ -258,12 +258,92 @@ def _verified(limit: float):
     return run
 
 
+def _lists(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in the order of their ids, and for each position the stretch of that order with the same id after it."""
+    order = np.argsort(ids, kind="stable")
+    head = np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
+    stop = np.append(np.flatnonzero(head)[1:], len(ids))[np.cumsum(head) - 1]
+    after, end = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+    after[order], end[order] = np.arange(1, len(ids) + 1), stop
+    return order, after, end
+
+
+def _rare_heads(row: np.ndarray, ids: np.ndarray, weight: np.ndarray, total: np.ndarray, limit: float) -> np.ndarray:
+    """Which shingles of each row are its head: the rarest ones, as many as it takes that the rest has less than `limit` of
+    the row's weight. Of two rows whose common part is `limit` of both, the heads meet."""
+    _, where, often = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((ids, often[where], row))
+    run = np.cumsum(weight[order])
+    before = np.concatenate(([0.0], np.cumsum(total)))[row]
+    # what the row has from this shingle on
+    rest = before + total[row] - np.concatenate(([0.0], run[:-1]))
+    head = np.empty(len(ids), bool)
+    head[order] = rest >= (limit - 1e-9) * total[row] - 1e-9
+    return head
+
+
+#: Beyond so many candidates of a row their common shingles are counted together, not a pair at a time.
+TOGETHER = 48
+#: Rows that are counted together, and the bytes of the table of the shingles that many rows have.
+STRIP, DENSE_BYTES = 64, 24 << 20
+
+
+class _Common:
+    """Common shingles (and their weights) of each row with all rows of a unit: those that many rows have by products of
+    tables, a strip of rows at a time, the others by the lists of their rows."""
+
+    def __init__(self, n: int, row: np.ndarray, ids: np.ndarray, weight: np.ndarray, weighted: bool) -> None:
+        self.n, self.weighted, self.at = n, weighted, -1
+        _, column, often = np.unique(ids, return_inverse=True, return_counts=True)
+        most = max(1, DENSE_BYTES // (4 * n))
+        chosen = np.argsort(-often, kind="stable")[:most]
+        chosen = chosen[often[chosen] >= max(TOGETHER, n // 32)]
+        place = np.full(len(often), -1)
+        place[chosen] = np.arange(len(chosen))
+        dense = place[column] >= 0
+        self.has = np.zeros((n, len(chosen)), np.float32)
+        self.has[row[dense], place[column][dense]] = 1
+        self.heavy = None
+        if weighted:
+            self.heavy = np.zeros_like(self.has)
+            self.heavy[row[dense], place[column][dense]] = weight[dense]
+        rest = np.flatnonzero(~dense)
+        self.weight, self.start = weight[rest], np.searchsorted(row[rest], np.arange(n + 1))
+        order, self.after, self.end = _lists(ids[rest]) if len(rest) else (rest, rest, rest)
+        self.listed, self.listed_weight = row[rest][order], weight[rest][order]
+
+    def of(self, x: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        """How many shingles x shares with each row; with weights, what they weigh in x and in the other. Lists count
+        later rows alone."""
+        if self.at != x // STRIP:
+            self.at = x // STRIP
+            part = slice(self.at * STRIP, (self.at + 1) * STRIP)
+            self.strip = self.has[part] @ self.has.T
+            if self.weighted:
+                self.strips = self.heavy[part] @ self.has.T, self.has[part] @ self.heavy.T
+        mine = slice(self.start[x], self.start[x + 1])
+        where, n = _stretches(self.after[mine], self.end[mine])
+        others, k = self.listed[where], x % STRIP
+        common = self.strip[k] + np.bincount(others, minlength=self.n)
+        if not self.weighted:
+            return common, None, None
+        return common, self.strips[0][k] + np.bincount(others, np.repeat(self.weight[mine], n), self.n), self.strips[1][k] + np.bincount(others, self.listed_weight[where], self.n)
+
+
+def _stretches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions from a to b, and how many each gives."""
+    n = b - a
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 def forest(comps: list[int], sides: list[int], grams: list[tuple[np.ndarray, np.ndarray]], limit: float) -> list[tuple[int, int]]:
     """Pairs of positions with at least the similarity `limit` that join components: a spanning forest of all such pairs.
 
-    sides: 0 and 1 are compared with each other alone; rows of side 2 with one another. Common shingles are counted with
-    all later rows at once through the shingles' lists of rows. Equal weights give the similarity from the counts; else
-    the smaller share of the weights that is common bounds it from above, and what passes is computed.
+    sides: 0 and 1 are compared with each other alone; rows of side 2 with one another. Candidates of a row are the later
+    rows (by size) that share a shingle of both rows' rare heads, are not too large for it and belong to another
+    component; so rows that are alike in frequent shingles alone are never compared. Equal weights give the similarity
+    from the counts; else the smaller share of the weights that is common bounds it from above, and what passes is
+    computed.
     """
     sizes = np.array([len(g) for g, _ in grams])
     rank = np.argsort(sizes, kind="stable")
@@ -273,45 +353,31 @@ def forest(comps: list[int], sides: list[int], grams: list[tuple[np.ndarray, np.
     sizes, side = sizes[rank], np.array(sides)[rank]
     plain = np.array([(grams[i][1] == grams[i][1][:1]).all() for i in rank])
     total = np.bincount(row, weight, len(rank))
-    order = np.argsort(ids, kind="stable")
-    head = np.concatenate(([True], ids[order][1:] != ids[order][:-1]))
-    stop = np.append(np.flatnonzero(head)[1:], len(ids))[np.cumsum(head) - 1]
-    # for each shingle of a row: its list's rows after this row, as a stretch of `order`
-    after, end = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-    after[order], end[order] = np.arange(1, len(ids) + 1), stop
-    listed, listed_weight = row[order], weight[order]
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    up = {c: c for c in comps}
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
+    counted: _Common | None = None
+    picked = np.flatnonzero(_rare_heads(row, ids, weight, total, limit))
+    head_order, head_after, head_end = _lists(ids[picked])
+    head_listed, head_at = row[picked][head_order], np.searchsorted(row[picked], np.arange(len(rank) + 1))
+    _, group = np.unique(np.array(comps)[rank], return_inverse=True)
     links = []
     for x in range(len(rank)):
-        a = after[at[x] : at[x + 1]]
-        n = end[at[x] : at[x + 1]] - a
-        if not n.sum():
-            continue
-        where = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        others = listed[where]
-        common = np.bincount(others, minlength=len(rank))
-        share = common / (sizes[x] + sizes - common)
-        maybe = share >= limit - 1e-12
-        if not plain[x] or not plain.all():
-            mine = np.bincount(others, np.repeat(weight[at[x] : at[x + 1]], n), len(rank)) / total[x]
-            theirs = np.bincount(others, listed_weight[where], len(rank)) / total
-            maybe = np.where(plain & plain[x], maybe, np.minimum(mine, theirs) >= limit - 1e-9)
+        h = slice(head_at[x], head_at[x + 1])
+        a, b = head_after[h], head_end[h]
+        # heads that meet most of the rows tell little: then all later rows are candidates
+        near = np.unique(head_listed[_stretches(a, b)[0]]) if (b - a).sum() < 2 * len(rank) else np.arange(x + 1, len(rank))
+        near = near[(group[near] != group[x]) & (~(plain[near] & plain[x]) | (sizes[x] >= limit * sizes[near] - 1e-9))]
         if side[x] < 2:
-            maybe &= side != side[x]
-        for y in np.flatnonzero(maybe).tolist():
-            i, j = int(rank[x]), int(rank[y])
-            p, q = find(comps[i]), find(comps[j])
-            if p != q and (plain[x] and plain[y] or probability_jaccard(grams[i], grams[j]) >= limit - 1e-12):
-                up[max(p, q)] = min(p, q)
-                links.append((i, j))
+            near = near[side[near] != side[x]]
+        if len(near) > TOGETHER:
+            counted = counted or _Common(len(rank), row, ids, weight, not plain.all())
+            common, mine, theirs = (None if c is None else c[near] for c in counted.of(x))
+            maybe = common / (sizes[x] + sizes[near] - common) >= limit - 1e-12
+            if mine is not None:
+                maybe = np.where(plain[near] & plain[x], maybe, np.minimum(mine / total[x], theirs / total[near]) >= limit - 1e-6)
+            near = near[maybe]
+        for y in near.tolist():
+            if group[x] != group[y] and probability_jaccard(grams[rank[x]], grams[rank[y]]) >= limit - 1e-12:
+                group[group == group[y]] = group[x]
+                links.append((int(rank[x]), int(rank[y])))
     return links
 
 
