@@ -58,6 +58,17 @@ def _slot(name: str) -> int:
     return crc32(name.encode()) % BUCKETS
 
 
+class _Slots(dict):
+    """The slot of a feature that is a name and small numbers or a tag; there are few of them."""
+
+    def __missing__(self, key: tuple) -> int:
+        self[key] = slot = crc32(repr(key).encode()) % BUCKETS
+        return slot
+
+
+_SLOTS = _Slots()
+
+
 def path_features(path: tuple) -> list[int]:
     names = [f"own:{path[-1][0]}" if path else "own:"]
     for depth, (tag, hints) in enumerate(reversed(path)):
@@ -110,44 +121,50 @@ def place_features(blocks: list[Block]) -> list[list[int]]:
         both = next((x for x in head_up if x in up and kinds[x][1] not in ("html", "body")), 0)
         core = both if both and links[both] + chars[both] - chars[core] <= 0.3 * chars[both] + 80 else core
     first_core = next((i for i, b in enumerate(blocks) if core in b.nodes), 0)
-    out, seen = [], 0
+    # what an element's own numbers tell of any block in it
+    about: dict[int, tuple] = {}
+    for node in chars:
+        total = chars[node] + links[node]
+        same = min(3, alike[kinds[node]].bit_length()) if alike[kinds[node]] > 1 else 0
+        about[node] = (_share(links[node], total), _share(chars[node], whole), min(6, counts[node].bit_length()), min(4, long_ones[node].bit_length()), same, kinds[node][1], counts[node] > 1)
+    out, seen, slots, n_blocks = [], 0, _SLOTS, len(blocks)
+    shapes = [(min(10, len(b.text).bit_length()), 2 * b.link_chars // max(1, len(b.text))) for b in blocks]
     for i, b in enumerate(blocks):
-        names = [f"at:{min(9, 10 * i // len(blocks))}", f"read:{_share(seen, whole)}"]
-        seen += len(b.text) - b.link_chars
-        below = b.nodes[b.nodes.index(core) :] if core in b.nodes else ()
-        names.append(f"core:{min(4, len(below))}:{b.path[-1][0] if b.path else ''}" if below else f"core:{'before' if i < first_core else 'after'}")
+        n, nodes, tag = len(b.text), b.nodes, b.path[-1][0] if b.path else ""
+        free = n - b.link_chars
+        names = [slots["at", min(9, 10 * i // n_blocks)], slots["read", _share(seen, whole)]]
+        seen += free
+        below = nodes[nodes.index(core) :] if core in nodes else ()
         if below:
+            where = min(2, len(below))
+            names.append(slots["core", min(4, len(below)), tag])
             inner = below[1:-1] or below[1:]
             # whether the branch below the core that holds the block is prose, and how much of the core it is
-            names.append(f"branch:{_share(chars[inner[0]], chars[core]) if inner else 5}:{min(3, long_ones[inner[0]]) if inner else 3}:{len(below) > 2}")
+            names.append(slots["branch", _share(chars[inner[0]], chars[core]) if inner else 5, min(3, long_ones[inner[0]]) if inner else 3, len(below) > 2])
         else:
-            names.append(f"apart:{min(3, sum(long_ones[x] for x in b.nodes[-1:]))}")
-        for d, node in enumerate(b.nodes[-2::-1][:2] or b.nodes[-1:]):
-            total = chars[node] + links[node]
-            names += [f"linked{d}:{_share(links[node], total)}", f"part{d}:{_share(chars[node], whole)}", f"many{d}:{min(6, counts[node].bit_length())}", f"prose{d}:{min(4, long_ones[node].bit_length())}"]
-        for d, node in enumerate(b.nodes[::-1][:4]):
-            same = alike[kinds[node]]
-            if same > 1 and counts[node] > 1:
-                names.append(f"items{d}:{kinds[node][1]}:{min(3, same.bit_length())}")
-            elif same > 1 and d < 2:
-                names.append(f"alike{d}:{kinds[node][1]}:{min(3, same.bit_length())}")
-        where = min(2, len(below)) if below else 3 if i < first_core else 4
-        n = len(b.text)
-        own = f"{min(9, n.bit_length())}:{3 * b.link_chars // max(1, n)}"
-        up = b.nodes[-2] if len(b.nodes) > 1 else 0
-        names += [f"size:{where}:{own}", f"in:{where}:{_share(links[up], chars[up] + links[up])}:{min(3, long_ones[up])}:{b.path[-1][0] if b.path else ''}", f"page:{_share(n - b.link_chars, whole)}:{own}"]
+            where = 3 if i < first_core else 4
+            names.append(slots["core", where])
+            names.append(slots["apart", min(3, sum(long_ones[x] for x in nodes[-1:]))])
+        for d, node in enumerate(nodes[-2::-1][:2] or nodes[-1:]):
+            linked, part, many, prose, *_ = about[node]
+            names += (slots["linked", d, linked], slots["part", d, part], slots["many", d, many], slots["prose", d, prose])
+        for d, node in enumerate(nodes[::-1][:4]):
+            *_, same, kind, several = about[node]
+            if same and several:
+                names.append(slots["items", d, kind, same])
+            elif same and d < 2:
+                names.append(slots["alike", d, kind, same])
+        size, own_links = min(9, n.bit_length()), 3 * b.link_chars // max(1, n)
+        up = nodes[-2] if len(nodes) > 1 else 0
+        names += (slots["size", where, size, own_links], slots["in", where, about[up][0] if up else 0, min(3, long_ones[up]), tag], slots["page", _share(free, whole), size, own_links])
         if head is not None:
-            level = next((k for k, x in enumerate(head_up[:4]) if x in b.nodes), 4)
-            names += [f"head:{level}:{(i > head) - (i < head)}", f"headin:{where}:{level}:{min(9, n.bit_length())}", f"headdist:{max(-3, min(3, i - head))}"]
+            level = next((k for k, x in enumerate(head_up[:4]) if x in nodes), 4)
+            names += (slots["head", level, (i > head) - (i < head)], slots["headin", where, level, size], slots["headdist", max(-3, min(3, i - head))])
         else:
-            names.append("nohead")
-        for name, j in (("prev", i - 1), ("next", i + 1)):
-            if 0 <= j < len(blocks):
-                o = blocks[j]
-                names.append(f"{name}:{min(10, len(o.text).bit_length())}:{2 * o.link_chars // max(1, len(o.text))}")
-            else:
-                names.append(f"{name}:edge")
-        out.append([_slot(x) for x in names])
+            names.append(slots["nohead",])
+        names.append(slots["prev", *shapes[i - 1]] if i else slots["prev",])
+        names.append(slots["next", *shapes[i + 1]] if i + 1 < n_blocks else slots["next",])
+        out.append(names)
     return out
 
 
@@ -155,8 +172,8 @@ def text_features(block: Block) -> list[int]:
     text, n = block.text, len(block.text)
     words = text.count(" ") + 1
     names = ["bias", f"len:{min(10, n.bit_length())}", f"words:{min(8, words.bit_length())}", f"link:{4 * block.link_chars // max(1, n)}", f"last:{text[-1] if not text[-1].isalnum() else 'x'}"]
-    stops = sum(text.count(c) for c in ".,;:!?")
-    names += [f"stops:{min(4, stops)}", f"dense:{min(5, 40 * stops // n)}", f"digit:{min(3, 8 * sum(c.isdigit() for c in text) // n)}" if n < 200 else "digit:-"]
+    stops = sum(map(text.count, ".,;:!?"))
+    names += [f"stops:{min(4, stops)}", f"dense:{min(5, 40 * stops // n)}", f"digit:{min(3, 8 * sum(map(str.isdigit, text)) // n)}" if n < 200 else "digit:-"]
     if text[0] in "©®™":
         names.append("mark")
     if "©" in text or "|" in text or "·" in text:
@@ -180,19 +197,20 @@ class Field:
         self.__init__(**state)
 
     def scores(self, blocks: list[Block]) -> np.ndarray:
-        out = np.empty((len(blocks), 2))
+        if not blocks:
+            return np.empty((0, 2))
         if len(self._paths) > 50_000:
             self._paths.clear()
-        for i, b in enumerate(blocks):
-            base = self._paths.get(b.path)
-            if base is None:
-                base = self._paths[b.path] = self.emit[path_features(b.path)].sum(0)
-            out[i] = base + self.emit[text_features(b)].sum(0)
-        if blocks:
-            places = place_features(blocks)
-            flat = np.concatenate([np.array(p) for p in places])
-            out += np.add.reduceat(self.emit[flat], np.concatenate(([0], np.cumsum([len(p) for p in places])[:-1])), axis=0)
-        return out
+        base, flat, begin = [], [], []
+        for b, place in zip(blocks, place_features(blocks), strict=True):
+            known = self._paths.get(b.path)
+            if known is None:
+                known = self._paths[b.path] = self.emit[path_features(b.path)].sum(0)
+            base.append(known)
+            begin.append(len(flat))
+            flat += text_features(b)
+            flat += place
+        return np.array(base) + np.add.reduceat(self.emit[flat], begin, axis=0)
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The most probable labels (Viterbi; ties go to 0)."""
