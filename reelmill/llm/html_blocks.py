@@ -39,11 +39,22 @@ class _Blocks(HTMLParser):
         self.link_chars = self.anchors = 0
         self.skip: list[str] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not asked for."""
+        return j
+
     def end_block(self) -> None:
+        if not self.text:
+            self.link_chars = self.anchors = 0
+            return
         text = " ".join("".join(self.text).split())
         if text:
-            label = next((y for _, _, y, _ in reversed(self.open) if y is not None), None)
-            self.blocks.append(Block(tuple((t, h) for t, h, _, _ in self.open), text, min(self.link_chars, len(text)), label, tuple(k for *_, k in self.open)))
+            path, label, nodes = [], None, []
+            for tag, hints, y, node in self.open:
+                path.append((tag, hints))
+                nodes.append(node)
+                label = label if y is None else y
+            self.blocks.append(Block(tuple(path), text, min(self.link_chars, len(text)), label, tuple(nodes)))
         self.text, self.link_chars, self.anchors = [], 0, 0
 
     def close(self) -> None:
@@ -78,13 +89,16 @@ class _Blocks(HTMLParser):
                 self.open.pop()
             if tag in SIBLINGS:
                 self._pop(tag, SIBLINGS[tag])
+            self.made += 1
+            if not attrs:
+                self.open.append((tag, (), None, self.made))
+                return
             named = dict(attrs)
             words = " ".join(named.get(k) or "" for k in ("class", "id", "role"))
             hints = {w.lower() for w in HINT.findall(words)}
             if "hidden" in named or "none" in (named.get("style") or ""):
                 hints.add("hidden")
             label = named.get("data-y")
-            self.made += 1
             self.open.append((tag, tuple(sorted(hints)), int(label) if label in ("0", "1") else None, self.made))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
