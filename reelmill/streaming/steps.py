@@ -63,13 +63,19 @@ class _Steps(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values([self.key, self.order], kind="stable")
         now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
         made: list[tuple] = []
-        for k, part in frame.groupby(self.key, sort=False, dropna=False):
-            name = (None if pd.isna(k) else k,)
-            step, was = self.make(), self.held.getValue(name)
-            if was is not None:
-                step.restore(tuple(was)[1:])
-            made += _taken(part, self.key, lambda _, step=step: step)
-            self.held.updateValue(name, (now, *step.state()))
+        at, name, step = frame.columns.get_loc(self.key), None, None
+        for x in frame.itertuples(index=False):
+            k = x[at]
+            if step is None or k != name and not (pd.isna(k) and name is None):
+                if step is not None:
+                    self.held.updateValue((name,), (now, *step.state()))
+                name, step = None if pd.isna(k) else k, self.make()
+                was = self.held.getValue((name,))
+                if was is not None:
+                    step.restore(tuple(was)[1:])
+            made += [(k, *row) for row in step.take(x)]
+        if step is not None:
+            self.held.updateValue((name,), (now, *step.state()))
         if self.idle_ms and not list(self.handle.listTimers()):
             self.handle.registerTimer(now + self.idle_ms)
         yield pd.DataFrame(made, columns=self.columns)
