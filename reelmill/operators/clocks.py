@@ -116,14 +116,16 @@ def shared_epoch(audio: DataFrame, video_epochs: DataFrame, raw: str = "raw90k",
     return met.withColumn("violation", F.when(bad, "epoch_regression")).drop("_step", "_gap", "_cadence", "src_first", "timeline_start")
 
 
-def anchor_to_unit(anchors: DataFrame, units: DataFrame, key: str = "stream_id", width: int | None = None) -> DataFrame:
+def anchor_to_unit(anchors: DataFrame, units: DataFrame, key: str = "stream_id", width: int | None = None, order: str | None = None) -> DataFrame:
     """key, au_no, pts90k: each timestamp (offset, pts90k) goes to the first unit whose first slice starts at or after
-    it; the latest of several wins, those past the last unit are dropped. width: pieces of so many bytes are handled by
-    themselves (see operators.prefix)."""
-    a = anchors.select(key, F.col("offset").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("au_no"), F.col("pts90k").cast("long").alias("pts90k"))
+    it; the latest of several wins, those past the last unit are dropped. Of timestamps at one offset the one that came
+    last by `order` (a column of anchors) wins, without one the greatest; a null timestamp gives way to any other. width:
+    pieces of so many bytes are handled by themselves (see operators.prefix)."""
+    came = F.col(order) if order else F.lit(None).cast("long")
+    a = anchors.select(key, F.col("offset").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("au_no"), F.col("pts90k").cast("long").alias("pts90k"), came.alias("came"))
     u = units.select(key, F.col("first_vcl_offset").alias("at"), F.lit(1).alias("kind"), F.col("au_no").cast("long").alias("au_no"), F.lit(None).cast("long").alias("pts90k"))
     met = Scan(merged([a, u], key), [key], ("at", "kind", "au_no"), bins("at", width)).add(to=latest(F.col("au_no"), ahead=True)).done().filter("kind = 0 and to is not null")
-    return met.groupBy(key, F.col("to").alias("au_no")).agg(F.max_by("pts90k", "at").alias("pts90k"))
+    return met.groupBy(key, F.col("to").alias("au_no")).agg(F.max_by("pts90k", F.when(F.col("pts90k").isNotNull(), F.struct("at", "came", "pts90k"))).alias("pts90k"))
 
 
 def interpolate_pts(units: DataFrame, key: str = "stream_id", pts: str = "anchor90k", order: str = "au_no", out: str = "pts90k", base: str | None = None, block: str | None = None) -> DataFrame:

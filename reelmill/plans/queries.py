@@ -296,8 +296,8 @@ def frame_clock(view, spark, sf):
            SELECT stream_id, au_no, arg_max(true90k, pos) AS pts90k FROM m GROUP BY 1, 2""")
 def anchor_to_unit(view, spark, sf):
     units = view(V.v_au)
-    anchors = units.filter("ord % 3 = 0").select("stream_id", (F.col("first_vcl_offset") - F.col("ord") % 150).alias("offset"), F.col("true90k").alias("pts90k"))
-    return clocks.anchor_to_unit(anchors, units)
+    anchors = units.filter("ord % 3 = 0").select("stream_id", (F.col("first_vcl_offset") - F.col("ord") % 150).alias("offset"), F.col("true90k").alias("pts90k"), "ord")
+    return clocks.anchor_to_unit(anchors, units, order="ord")
 
 
 @query(f"""WITH f AS (SELECT stream_id, arg_min(raw90k, ord) AS v, (arg_min(true90k, ord) + 44000 + 500 * stream_id) % {V.M} AS a FROM {PTS} GROUP BY 1)

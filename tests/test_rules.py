@@ -5,7 +5,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from reelmill.operators import abr, parameter_sets, pictures, playback, segments, transport
+from reelmill.operators import abr, clocks, parameter_sets, pictures, playback, segments, transport
 from reelmill.sources import scans
 from reelmill.sources.files import SealedTimeline, new_folder
 from reelmill.streaming import folds
@@ -145,3 +145,11 @@ def test_a_stream_into_a_sealed_timeline(spark):
         at.write_stream(spark.readStream.schema(schema).parquet(source), marks).awaitTermination(60)
     assert {(r.playlist_uri, r.batch) for r in at.rows(spark, schema).collect()} == {(1, 0), (2, 1)}
     assert [r.playlist_uri for r in at.refused(spark, schema).collect()] == [1]
+
+
+def test_of_anchors_at_one_offset_the_last_to_come_wins(spark):
+    units = spark.createDataFrame([(1, 20, 0), (1, 40, 1), (1, 60, 2)], "stream_id long, first_vcl_offset long, au_no long")
+    anchors = spark.createDataFrame([(1, 10, 5, 2), (1, 10, 9, 1), (1, 30, 7, 3), (1, 30, 8, 4), (1, 50, 3, 5), (1, 55, None, 6)], "stream_id long, offset long, pts90k long, came long")
+    got = lambda **how: {r.au_no: r.pts90k for r in clocks.anchor_to_unit(anchors, units, **how).collect()}
+    assert got(order="came") == got(order="came", width=16) == {0: 5, 1: 8, 2: 3}
+    assert got() == {0: 9, 1: 8, 2: 3}
