@@ -112,6 +112,8 @@ def nal_ref_idc(b) -> Column:
 
 #: Three Exp-Golomb codes of at most 63 bits take 24 bytes, and 36 with an emulation byte after every two.
 PROBE_BYTES = 40
+#: Zeros ahead of the format's longest code.
+UE_ZEROS = 31
 
 
 def rbsp_bits(b, max_bytes: int = PROBE_BYTES) -> Column:
@@ -123,20 +125,22 @@ def rbsp_bits(b, max_bytes: int = PROBE_BYTES) -> Column:
     return F.array_join(nibbles, "")
 
 
-def exp_golomb(bits: Column, at: Column) -> Column:
-    """Struct (value, next) of the unsigned Exp-Golomb code at a 0-based bit; null if it is cut off."""
+def exp_golomb(bits: Column, at: Column, zeros_most: int = UE_ZEROS) -> Column:
+    """Struct (value, next) of the unsigned Exp-Golomb code at a 0-based bit; null if it is cut off or has more than
+    zeros_most zeros ahead (62 at most: values are longs)."""
 
     def read(zeros: Column) -> Column:
         stop = at + 2 * zeros + 1
-        ok = (zeros >= 0) & (zeros < 32) & (stop <= F.length(bits))
+        ok = (zeros >= 0) & (zeros <= zeros_most) & (stop <= F.length(bits))
         code = F.conv(F.substr(bits, at + zeros + 1, zeros + 1), 2, 10).cast("long") - 1
         return F.when(ok, F.struct(code.alias("value"), stop.cast("int").alias("next")))
 
     return let(F.instr(F.substr(bits, at + 1), "1") - 1, read)
 
 
-def slice_probe(b) -> Column:
-    """Struct (first_mb, slice_type modulo 5, pps_id) of a slice NAL; null if it is too short or malformed."""
+def slice_probe(b, zeros_most: int = UE_ZEROS) -> Column:
+    """Struct (first_mb, slice_type modulo 5, pps_id) of a slice NAL; null if it is too short or malformed. zeros_most: of
+    the first code, see exp_golomb."""
 
     def made(first: Column, kind: Column, pps: Column) -> Column:
         return F.when(pps.isNotNull() & (kind["value"] < 10), F.struct(first["value"].alias("first_mb"), (kind["value"] % 5).cast("int").alias("slice_type"), pps["value"].alias("pps_id")))
@@ -147,7 +151,9 @@ def slice_probe(b) -> Column:
     def second(bits: Column, first: Column) -> Column:
         return let(exp_golomb(bits, first["next"]), lambda kind: third(bits, first, kind))
 
-    return let(rbsp_bits(b), lambda bits: let(exp_golomb(bits, F.lit(0)), lambda first: second(bits, first)))
+    # 31 zeros more in the first code are 62 bits more, with emulation bytes 12 bytes
+    n = PROBE_BYTES if zeros_most <= UE_ZEROS else PROBE_BYTES + 12
+    return let(rbsp_bits(b, n), lambda bits: let(exp_golomb(bits, F.lit(0), zeros_most), lambda first: second(bits, first)))
 
 
 def sps_geometry(width_mbs, height_map_units, frame_mbs_only, chroma_format, crop_left, crop_right, crop_top, crop_bottom) -> Column:

@@ -1,10 +1,12 @@
 """Rules over bad rows: none ends a job, each is told, and strict mode raises it inside the plan."""
 
+import re
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from reelmill.functions import bytefields as B
 from reelmill.operators import abr, clocks, parameter_sets, pictures, playback, segments, transport
 from reelmill.sources import scans
 from reelmill.sources.files import SealedTimeline, new_folder
@@ -153,3 +155,14 @@ def test_of_anchors_at_one_offset_the_last_to_come_wins(spark):
     got = lambda **how: {r.au_no: r.pts90k for r in clocks.anchor_to_unit(anchors, units, **how).collect()}
     assert got(order="came") == got(order="came", width=16) == {0: 5, 1: 8, 2: 3}
     assert got() == {0: 9, 1: 8, 2: 3}
+
+
+def test_probe_reads_codes_beyond_the_format_where_asked(spark):
+    ue = lambda v: "0" * ((v + 1).bit_length() - 1) + f"{v + 1:b}"
+    for first in ((1 << 32) - 2, (1 << 32) - 1, 5_999_999_000, (1 << 62) + 5):
+        bits = ue(first) + ue(7) + ue(3) + "1"
+        bits += "0" * (-len(bits) % 8)
+        data = bytearray(b"\x41" + re.sub(rb"\0\0(?=[\0-\3])", b"\0\0\3", int(bits, 2).to_bytes(len(bits) // 8, "big")))
+        r = spark.range(1).select(B.slice_probe(F.lit(data)).alias("format"), B.slice_probe(F.lit(data), 62).alias("wide")).first()
+        assert tuple(r.wide) == (first, 2, 3)
+        assert (r.format is None) == (first > (1 << 32) - 2)
