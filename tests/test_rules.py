@@ -3,6 +3,7 @@
 import re
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,15 @@ def test_probe_reads_codes_beyond_the_format_where_asked(spark):
         r = spark.range(1).select(B.slice_probe(F.lit(data)).alias("format"), B.slice_probe(F.lit(data), 62).alias("wide")).first()
         assert tuple(r.wide) == (first, 2, 3)
         assert (r.format is None) == (first > (1 << 32) - 2)
+
+
+def test_rows_of_many_small_files_leave_together():
+    free, names, kinds = b"\0\0\0\x08free", ["file", "path", "start"], [pa.string(), pa.int64()]
+    found = lambda data: ((path, start) for path, start, *_ in scans.boxes(data))
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(3000), None]), pa.array([free * (k % 3) if k % 5 else None for k in range(3001)], pa.binary())], ["file", "_content"])
+    made = list(scans.batches_of([batch], ["file"], found, names, kinds))
+    assert len(made) == 1
+    want = [(None if k == 3000 else k, "/free", 8 * i) for k in range(3001) if k % 5 for i in range(k % 3)]
+    assert [tuple(r.values()) for r in made[0].to_pylist()] == want
+    large = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([free * (scans.OUT_ROWS + 1), free], pa.binary())], ["file", "_content"])
+    assert [len(b) for b in scans.batches_of([large], ["file"], found, names, kinds)] == [scans.OUT_ROWS, 2]
