@@ -224,3 +224,66 @@ def test_start_decision_equals_the_batch_functions(spark):
         else:
             assert last[1] == w.decision and last[2] == w.ready_at
         assert run_in_pieces(folds.StartDecision, rows[k]) == got
+
+
+class FakeMap(dict):
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = tuple(value)
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class FakeHandle:
+    def __init__(self):
+        self.map = FakeMap()
+
+    def getMapState(self, *_):
+        return self.map
+
+    def listTimers(self):
+        return iter([1])
+
+    def registerTimer(self, _):
+        pass
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_a_shelf_is_read_and_written_once_and_keeps_its_other_keys():
+    import pandas as pd
+
+    from reelmill.streaming.steps import SHELF, _Steps
+
+    steps, handle = _Steps(lambda: folds.Throttle(1000), "session_id", "long", "ord", ["session_id", "ord", "media_ms"], 50), FakeHandle()
+    steps.init(handle)
+
+    def trigger(now, *rows):
+        frame = pd.DataFrame([(*r, r[0] % 2) for r in rows], columns=["session_id", "ord", "media_ms", SHELF])
+        return [tuple(r) for f in steps.handleInputRows((0,), iter([frame]), At(now)) for r in f.itertuples(index=False)]
+
+    assert len(trigger(10, *[(k, 1, 0) for k in range(100)])) == 100
+    assert handle.map.calls == 4
+    assert trigger(40, (3, 2, 999), (4, 2, 1000)) == [(4, 2, 1000)]
+    assert sorted(e[0] for shelf in handle.map.values() for e in shelf[0]) == list(range(100))
+    assert [e[1] for shelf in handle.map.values() for e in shelf[0] if e[0] in (3, 4, 5)].count(40) == 2
+    list(steps.handleExpiredTimer((0,), At(70), None))
+    assert sorted(e[0] for shelf in handle.map.values() for e in shelf[0]) == [3, 4]
+    list(steps.handleExpiredTimer((0,), At(100), None))
+    assert not handle.map
