@@ -64,13 +64,13 @@ def segments(manifests: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
         return F.when(line.startswith(name + ":"), F.trim(F.substring_index(line, ":", -1)))
 
     base = lines(manifests, keys).withColumns({"is_uri": ~line.startswith("#"), "extinf": F.trim(F.split(tag("#EXTINF"), ",")[0]).try_cast("double"), "ms": tag("#EXT-X-MEDIA-SEQUENCE").try_cast("long"), "ds": tag("#EXT-X-DISCONTINUITY-SEQUENCE").try_cast("long")})
+    # only what the windows look at is sorted
+    told = base.filter(F.col("is_uri") | F.col("extinf").isNotNull() | F.col("ms").isNotNull() | F.col("ds").isNotNull() | (line == "#EXT-X-DISCONTINUITY")).select(*keys, "pos", F.when(F.col("is_uri"), line).alias("line"), "extinf", "ms", "ds", "is_uri", (line == "#EXT-X-DISCONTINUITY").alias("gap"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    counted = base.withColumns({"uris": F.coalesce(F.count_if("is_uri").over(before), F.lit(0)), "gaps": F.count_if(line == "#EXT-X-DISCONTINUITY").over(w)})
-    held = counted.withColumns({
-        "duration": F.last("extinf", ignorenulls=True).over(Window.partitionBy(*keys, "uris").orderBy("pos")),
-        "m": F.last(F.when(F.col("ms").isNotNull(), F.struct("ms", "uris")), ignorenulls=True).over(w),
-        "d": F.last(F.when(F.col("ds").isNotNull(), F.struct("ds", "gaps")), ignorenulls=True).over(w),
-    })
+    counted = told.withColumns({"uris": F.coalesce(F.count_if("is_uri").over(before), F.lit(0)), "gaps": F.count_if("gap").over(w)})
+    # all in one order, so that it is sorted once: an EXTINF holds if no URI came since
+    held = counted.withColumns({name: F.last(F.when(F.col(of).isNotNull(), F.struct(of, count)), ignorenulls=True).over(w) for name, of, count in (("e", "extinf", "uris"), ("m", "ms", "uris"), ("d", "ds", "gaps"))})
+    held = held.withColumn("duration", F.when(F.col("e.uris") == F.col("uris"), F.col("e.extinf")))
     return held.filter("is_uri").select(
         *keys, F.col("uris").alias("ordinal"), (F.coalesce("m.ms", F.lit(0)) + F.col("uris") - F.coalesce("m.uris", F.lit(0))).alias("sequence"), line.alias("segment_uri"),
         F.coalesce("duration", F.lit(0.0)).alias("duration"), (F.coalesce("d.ds", F.lit(0)) + F.col("gaps") - F.coalesce("d.gaps", F.lit(0))).alias("discontinuity_sequence"),
