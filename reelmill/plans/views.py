@@ -15,10 +15,23 @@ from pyspark.sql import types as T
 M = 1 << 33
 
 
+#: Rows of a table in one task, where a view has windows by the table's key: sorts and windows hold a task's rows.
+TASK_ROWS = 500_000
+KEYS = {"lineitem": "l_orderkey"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, by_key: bool = False) -> DataFrame:
+    """A Parquet table of sf_dir; by_key: a large one dealt by its key to more tasks than the session has partitions, so
+    that a task's share does not grow with the table."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = rows.count() // TASK_ROWS if by_key else 0
+    return rows.repartition(tasks, KEYS[name]) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Spark's DataFrame of a view text over the Parquet tables of sf_dir."""
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(sql, **{n: table(spark, sf_dir, n, n in KEYS and f"PARTITION BY {KEYS[n]} " in sql) for n in names})
 
 
 def duck(sql: str) -> str:
