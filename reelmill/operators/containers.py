@@ -61,7 +61,8 @@ def edit_offsets(edits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 def presentation_times(samples: DataFrame, edits: DataFrame | None = None, keys: tuple[str, ...] = KEYS, timescale: str = "timescale") -> DataFrame:
     """Adds pts (dts + ctts + edit offset) and pts_ms (truncated)."""
-    met = samples if edits is None else samples.join(edits.select(*keys, "edit_offset"), list(keys), "left")
+    # a row a track is small beside its samples, which need no sort then
+    met = samples if edits is None else samples.join(edits.select(*keys, "edit_offset").hint("shuffle_hash"), list(keys), "left")
     shift = F.lit(0) if edits is None else F.coalesce("edit_offset", F.lit(0))
     met = met.withColumn("pts", F.col("dts") + F.coalesce("ctts", F.lit(0)) + shift)
     return met.withColumn("pts_ms", quotient(F.col("pts") * 1000, F.col(timescale)))

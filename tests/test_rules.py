@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelmill.functions import bytefields as B
-from reelmill.operators import abr, clocks, parameter_sets, pictures, playback, segments, transport
+from reelmill.operators import abr, clocks, containers, manifests, parameter_sets, pictures, playback, segments, transport
+from reelmill.plans import queries as media
 from reelmill.sources import scans
 from reelmill.sources.files import SealedTimeline, new_folder
 from reelmill.streaming import folds
@@ -179,3 +180,31 @@ def test_rows_of_many_small_files_leave_together():
     assert [tuple(r.values()) for r in made[0].to_pylist()] == want
     large = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([free * (scans.OUT_ROWS + 1), free], pa.binary())], ["file", "_content"])
     assert [len(b) for b in scans.batches_of([large], ["file"], found, names, kinds)] == [scans.OUT_ROWS, 2]
+
+
+def test_segments_are_sorted_once_and_extinf_holds_for_the_next_uri_only(spark):
+    text = "#EXTM3U\n#EXT-X-MEDIA-SEQUENCE:7\n#EXTINF:1.5,\n#EXT-X-DISCONTINUITY\n#EXTINF:bad,\na\n\nb\n#EXTINF:2,\n#EXTINF:3,\n# note\nc\n#EXT-X-MEDIA-SEQUENCE:20\n#EXT-X-DISCONTINUITY-SEQUENCE:9\nd\n"
+    found = manifests.segments(spark.createDataFrame([("m", 0, text)], "uri string, snapshot_no int, text string"))
+    rows = [(r.ordinal, r.sequence, r.segment_uri, r.duration, r.discontinuity_sequence) for r in found.orderBy("ordinal").collect()]
+    assert rows == [(0, 7, "a", 1.5, 1), (1, 8, "b", 0.0, 1), (2, 9, "c", 3.0, 1), (3, 20, "d", 0.0, 9)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Window ") == 2
+    assert found._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+@pytest.mark.parametrize("name", ["parse_segments", "manifest_audit", "presentation_times"])
+def test_a_large_table_is_dealt_to_more_tasks(spark, sf_dir, monkeypatch, name):
+    whole = sorted(tuple(r) for r in media.QUERIES[name](spark, sf_dir).collect())
+    monkeypatch.setattr(media.V, "TASK_ROWS", 250)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert media.V.table(spark, sf_dir, "lineitem", True).rdd.getNumPartitions() == rows // 250 > 8
+    assert media.V.table(spark, sf_dir, "lineitem").rdd.getNumPartitions() < 8
+    made = media.QUERIES[name](spark, sf_dir)
+    assert f"{rows // 250}), REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in made.collect()) == whole
+
+
+def test_samples_are_not_sorted_for_their_edits(spark):
+    samples = spark.createDataFrame([(1, 1, 0, 0, 44_100), (1, 1, 1, 441, 44_100), (2, 1, 0, 5, 44_100)], "file long, track long, sample_no long, dts long, timescale long").withColumn("ctts", F.lit(0))
+    made = containers.presentation_times(samples, spark.createDataFrame([(1, 1, 10)], "file long, track long, edit_offset long"))
+    assert sorted((r.file, r.sample_no, r.pts) for r in made.collect()) == [(1, 0, 10), (1, 1, 451), (2, 0, 5)]
+    assert "ShuffledHashJoin" in made._jdf.queryExecution().executedPlan().toString()
