@@ -24,8 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, by_key: bool = False) ->
     """A Parquet table of sf_dir; by_key: a large one dealt by its key to more tasks than the session has partitions, so
     that a task's share does not grow with the table."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    tasks = rows.count() // TASK_ROWS if by_key else 0
-    return rows.repartition(tasks, KEYS[name]) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+    tasks = tasks_of(spark, rows) if by_key else None
+    return rows.repartition(tasks, KEYS[name]) if tasks else rows
+
+
+def tasks_of(spark: SparkSession, rows: DataFrame) -> int | None:
+    """The tasks of TASK_ROWS that a table is dealt to, where they are more than the session has partitions."""
+    tasks = rows.count() // TASK_ROWS
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

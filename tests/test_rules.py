@@ -208,3 +208,21 @@ def test_samples_are_not_sorted_for_their_edits(spark):
     made = containers.presentation_times(samples, spark.createDataFrame([(1, 1, 10)], "file long, track long, edit_offset long"))
     assert sorted((r.file, r.sample_no, r.pts) for r in made.collect()) == [(1, 0, 10), (1, 1, 451), (2, 0, 5)]
     assert "ShuffledHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_probe_tables_are_read_once_and_rules_see_the_last_version(spark):
+    from reelmill.plans import media_queries  # noqa: F401
+
+    plan = media.QUERIES["compatibility_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 6  # the views hold two tables twice
+    assert plan.count("Join") == 1
+    flags = "pps_id long, is_idr boolean, slice_type long, nal_ref_idc long, cabac_init_idc long, weight_table boolean, modified_lists boolean, poc_lsb long, l0_active long, l1_active long, redundant_pic_cnt long, long_term_reference boolean, adaptive_marking boolean, marking_ops array<int>"
+    slices = spark.createDataFrame([(v, i, d, t, 1, 0, w, None, 1, 1, 1, 0, None, False, []) for v, i, d, t, w in [(1, 0, True, 2, None), (1, 0, False, 0, False), (1, 5, False, 1, None), (2, None, True, 2, None), (3, 0, False, 1, None)]], f"variant_uri long, {flags}")
+    pps = spark.createDataFrame([(v, i, n, s, c, True, 2, False, None, 1) for v, i, n, s, c in [(1, 0, 1, 7, False), (1, 0, 9, 0, True), (2, 0, 1, 3, True), (3, 0, 1, None, None)]], "variant_uri long, pps_id long, nal_no long, sps_id long, cabac boolean, weighted_pred boolean, weighted_bipred_idc long, transform_8x8 boolean, pps_scaling boolean, slice_groups long")
+    sps = spark.createDataFrame([(v, i, 100, 1, False, 8, 8, True, False, True, 0) for v, i in [(1, 0), (3, None)]], "variant_uri long, sps_id long, profile_idc long, chroma_format long, separate_planes boolean, bit_depth_luma long, bit_depth_chroma long, frame_mbs_only boolean, sps_scaling boolean, direct_8x8 boolean, poc_type long")
+    segments = spark.createDataFrame([(v, v != 5, v < 5, True, True, True) for v in (1, 2, 3, 4, 5, 6)], "variant_uri long, is_end_list boolean, has_segment boolean, has_pat boolean, has_pmt boolean, has_h264 boolean")
+    got = {r.variant_uri: (r.reasons, r.compatible, r.pending) for r in parameter_sets.probe_audit(segments, slices, pps, sps).collect()}
+    assert got == {
+        1: (["missing_pps", "p_without_weights"], False, False), 2: (["missing_sps"], False, False), 3: (["missing_sps"], False, False),
+        4: (["no_pps"], False, False), 5: ([], True, True), 6: (["empty_media"], False, False),
+    }
