@@ -30,19 +30,25 @@ def uint(b, at, n: int = 1) -> Column:
 def ts_header(b) -> Column:
     """Struct of a 188-byte transport packet; `valid` is false for a bad sync byte, a transport error, adaptation control
     0 or an adaptation field that leaves the packet. payload_start is 0-based; has_payload tells whether there is one."""
-    return let(_col(b), _ts_fields)
+    return let(_col(b), lambda b: let(F.conv(F.rpad(F.hex(F.substring(b, F.lit(1), F.lit(4))), 8, "0"), 16, 10).cast("long"), lambda w: _ts_fields(b, w)))
 
 
-def _ts_fields(b: Column) -> Column:
-    b1, b3 = uint(b, 1), uint(b, 3)
+def _ts_fields(b: Column, word: Column) -> Column:
+    """word: the first four bytes, with zeros past the end; they are read once, and no field past the end is told."""
+    n = F.octet_length(b)
+
+    def told(at: int, size: int = 1) -> Column:
+        return F.when(n >= at + size, F.shiftright(word, 8 * (4 - at - size)).bitwiseAND((1 << 8 * size) - 1))
+
+    b1, b3 = told(1), told(3)
     control = F.shiftright(b3, 4).bitwiseAND(3)
     extra = F.when(control.isin(2, 3), uint(b, 4) + 1).otherwise(F.lit(0))
     start = (extra + 4).cast("int")
     has = control.isin(1, 3) & (start < 188)
-    valid = (F.octet_length(b) == 188) & (uint(b, 0) == 0x47) & (b1.bitwiseAND(0x80) == 0) & (control != 0) & (start <= 188)
+    valid = (n == 188) & (told(0) == 0x47) & (b1.bitwiseAND(0x80) == 0) & (control != 0) & (start <= 188)
     return F.struct(
         F.coalesce(valid, F.lit(False)).alias("valid"),
-        uint(b, 1, 2).bitwiseAND(0x1FFF).cast("int").alias("pid"),
+        told(1, 2).bitwiseAND(0x1FFF).cast("int").alias("pid"),
         (b1.bitwiseAND(0x40) != 0).alias("payload_unit_start"),
         F.shiftright(b3, 6).cast("int").alias("scrambling"),
         control.cast("int").alias("adaptation_control"),

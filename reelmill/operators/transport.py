@@ -19,8 +19,11 @@ STREAM_TYPES = {"h264": 0x1B, "adts": 0x0F, "latm": 0x11}
 
 
 def packet_fields(packets: DataFrame, data: str = "bytes") -> DataFrame:
-    """Adds the header fields of 188-byte packets, and rejected for those that are not valid."""
-    return packets.withColumn("_h", ts_header(data)).select("*", "_h.*").drop("_h").withColumn("rejected", ~F.col("valid")).drop("valid")
+    """Adds the header fields of 188-byte packets, and rejected for those that are not valid.
+
+    Each packet is read once: a filter on fields stays behind `inline`, while one on a struct's fields would move below
+    and read the packet, and make its bytes, again for each field it names."""
+    return packets.select("*", F.inline(F.array(ts_header(data)))).withColumn("rejected", ~F.col("valid")).drop("valid")
 
 
 #: What is told of a payload packet, in this order, each by name for the ones after it; for columns and plain values alike.

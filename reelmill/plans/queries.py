@@ -387,9 +387,10 @@ def _worn(view) -> DataFrame:
            JOIN (SELECT stream_id, count(*) FILTER (WHERE damaged) AS discarded_pictures, count(*) FILTER (WHERE NOT damaged AND NOT emitted) AS dropped_dependents, count(*) FILTER (WHERE NOT damaged AND emitted) AS emitted_units FROM v GROUP BY 1) USING (stream_id)
            JOIN (SELECT stream_id, count(DISTINCT epoch) AS epochs FROM {PTS} GROUP BY 1) USING (stream_id)""")
 def demux_diagnostics(view, spark, sf):
-    packets = transport.packet_fields(_worn(view))
+    worn = _worn(view)
+    packets = transport.packet_fields(worn)
     checked = transport.continuity_check(packets)
-    held = packets.withColumn("segment_seq", F.floor(F.col("packet_no") / 100))
+    held = worn.withColumn("segment_seq", F.floor(F.col("packet_no") / 100))
     seg = held.groupBy("stream_id", "segment_seq").agg((F.count("*") * 188).alias("_n")).select("stream_id", "segment_seq", (F.col("_n") + F.col("segment_seq") % 7).alias("n_bytes"), (F.col("segment_seq") % 10 == 4).alias("discontinuity"))
     pes = transport.assemble_pes(checked.withColumn("payload", F.substring("bytes", F.col("payload_start") + 1, F.lit(184))))
     units = pictures.gate_on_keyframe(view(V.v_au))

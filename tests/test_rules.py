@@ -226,3 +226,14 @@ def test_probe_tables_are_read_once_and_rules_see_the_last_version(spark):
         1: (["missing_pps", "p_without_weights"], False, False), 2: (["missing_sps"], False, False), 3: (["missing_sps"], False, False),
         4: (["no_pps"], False, False), 5: ([], True, True), 6: (["empty_media"], False, False),
     }
+
+
+def test_packets_are_made_and_read_once(spark):
+    made = F.unhex(F.concat(F.lit("470100"), F.lpad(F.hex(16 + F.col("id") % 16), 2, "0"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 5), F.lit("FF" * 24)))
+    packets = transport.packet_fields(spark.range(40).select(F.lit(0).alias("stream_id"), F.col("id").alias("packet_no"), made.alias("bytes")))
+    checked = transport.continuity_check(packets)
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert checked.filter("not damaged and continuity_counter = packet_no % 16").count() == 40
+    for data in (b"", b"\x47", b"\x47\x41", b"\x47\x41\x05", None):  # what lies beyond the end is not told
+        r = spark.range(1).select(B.ts_header(F.lit(data).cast("binary")).alias("h")).first().h
+        assert (r.valid, r.pid, r.payload_unit_start, r.has_payload) == (False, 0x105 if data and len(data) == 3 else None, True if data and len(data) > 1 else None, None)
